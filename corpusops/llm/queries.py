@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from corpusops.llm import exact_dedup, kd_shards, packed_ids, rank_bpe, source_mix, token_counts
+from corpusops.llm import arc_to_warc, exact_dedup, kd_shards, packed_ids, quality_pu, rank_bpe, source_mix, token_counts
 
 QUERIES = {
+    "op1_quality_pu": quality_pu.op1_quality_pu,
     "op4_source_mix": source_mix.op4_source_mix,
+    "op5_arc_to_warc": arc_to_warc.op5_arc_to_warc,
     "op6_kd_shards": kd_shards.op6_kd_shards,
     "op7_packed_ids": packed_ids.op7_packed_ids,
     "op8_token_counts": token_counts.op8_token_counts,
