@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from corpusops.llm import arc_to_warc, exact_dedup, kd_shards, packed_ids, quality_pu, rank_bpe, source_mix, token_counts
+from corpusops.llm import arc_to_warc, exact_dedup, kd_shards, minhash_dedup, packed_ids, quality_pu, rank_bpe, source_mix, stable_ann, token_counts
 
 QUERIES = {
     "op1_quality_pu": quality_pu.op1_quality_pu,
+    "op2_minhash_dedup": minhash_dedup.op2_minhash_dedup,
+    "op3_stable_ann": stable_ann.op3_stable_ann,
     "op4_source_mix": source_mix.op4_source_mix,
     "op5_arc_to_warc": arc_to_warc.op5_arc_to_warc,
     "op6_kd_shards": kd_shards.op6_kd_shards,
