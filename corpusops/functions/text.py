@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, functions as F
 
@@ -66,20 +66,28 @@ def expand_tokens(tokens: Column, forms: dict[str, str]) -> Column:
     return F.transform(tokens, lambda t: F.coalesce(F.try_element_at(table, t), t))
 
 
+def bound(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body of a value that is computed once, however often body uses it inside lambdas."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
 def expand_phrases(tokens: Column, forms: dict[str, str]) -> Column:
-    """expand_tokens where keys may have two words; a two-word key is taken before its first word. Tokens
-    are read left to right by one fold that holds what is out and whether the next one is used up."""
+    """expand_tokens where keys may have two words; read left to right, a two-word key is taken before its
+    first word. Only the places where one could start are folded over, as one may use up the next."""
     table = F.create_map(*[F.lit(x) for pair in forms.items() for x in pair])
-    start = F.struct(F.array().cast("array<string>").alias("out"), F.lit(0).alias("at"), F.lit(False).alias("skip"))
 
-    def step(state: Column, token: Column) -> Column:
-        following = F.get(tokens, state["at"] + 1)
-        two = F.try_element_at(table, F.concat_ws(" ", token, following))
-        two = F.when(following.isNotNull(), two)
-        out = F.when(state["skip"], state["out"]).otherwise(F.concat(state["out"], F.array(F.coalesce(two, F.try_element_at(table, token), token))))
-        return F.struct(out.alias("out"), (state["at"] + 1).alias("at"), (~state["skip"] & two.isNotNull()).alias("skip"))
+    def expand(ts: Column) -> Column:
+        two = F.zip_with(ts, F.slice(ts, 2, 1_000_000), lambda a, b: F.when(b.isNotNull(), F.try_element_at(table, F.concat_ws(" ", a, b))))
+        return bound(two, lambda pairs: bound(starts(pairs), lambda at: F.transform(ts, lambda t, i: one(pairs, at, t, i))))
+
+    def starts(pairs: Column) -> Column:
+        places = F.filter(F.transform(pairs, lambda p, i: F.when(p.isNotNull(), i)), lambda i: i.isNotNull())
+        return F.aggregate(places, F.array().cast("array<int>"), lambda done, i: F.when(F.array_contains(done, i - 1), done).otherwise(F.array_append(done, i)))
+
+    def one(pairs: Column, at: Column, t: Column, i: Column) -> Column:
+        return F.when(F.array_contains(at, i - 1), None).when(F.array_contains(at, i), F.get(pairs, i)).otherwise(F.coalesce(F.try_element_at(table, t), t))
 
-    return F.aggregate(tokens, start, step, lambda s: s["out"])
+    return F.array_compact(bound(tokens, expand))
 
 
 def aliases(term: Column, forms: dict[str, str]) -> Column:
@@ -125,10 +133,10 @@ def detect_codes(tokens: Column, codes: Sequence[str]) -> Column:
     after it, or a known subject alone. Subjects are matched in upper case."""
     known, number = strings(codes), "^[0-9]{3,4}$"
 
-    def one(token: Column, i: Column) -> Column:
+    def one(ts: Column, token: Column, i: Column) -> Column:
         up = F.upper(token)
         joined = F.regexp_extract(up, "^([A-Z]{2,5})([0-9]{3,4})$", 1)
-        after = F.get(tokens, i + 1)
+        after = F.get(ts, i + 1)
         alone = F.array_contains(known, up)
         return (
             F.when((joined != "") & F.array_contains(known, joined), F.concat_ws(" ", joined, F.regexp_extract(up, "^([A-Z]{2,5})([0-9]{3,4})$", 2)))
@@ -136,7 +144,7 @@ def detect_codes(tokens: Column, codes: Sequence[str]) -> Column:
             .when(alone, up)
         )
 
-    return F.array_distinct(F.array_compact(F.transform(tokens, one)))
+    return F.array_distinct(F.array_compact(bound(tokens, lambda ts: F.transform(ts, lambda t, i: one(ts, t, i)))))
 
 
 def truncate(text: Column, n: int, marker: str = "...") -> Column:

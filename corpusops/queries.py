@@ -2,5 +2,5 @@
 
 from __future__ import annotations
 
-from corpusops.plans import retrieval  # noqa: F401  importing registers
+from corpusops.plans import catalogs, questions, retrieval  # noqa: F401  importing registers
 from corpusops.plans.registry import ORACLE, QUERIES  # noqa: F401
