@@ -89,7 +89,7 @@ class Scorer:
 def fit(pos: np.ndarray, unl: np.ndarray, prior: float, steps: int = 1500, rate: float = 0.02, decay: float = 2e-3, seed: int = 0) -> Scorer:
     """Minimises the non-negative risk by Adam over mini-batches."""
     both = np.concatenate([pos, unl]).astype(np.float64)
-    mean, scale = both.mean(0), both.std(0) + 1e-6
+    mean, scale = (both.mean(0), both.std(0) + 1e-6) if len(both) else (np.zeros(both.shape[1]), np.ones(both.shape[1]))
     if not len(pos) or not len(unl):
         return Scorer(mean, scale, np.zeros(both.shape[1]), float(np.log(prior / (1 - prior))))
     p, u = (np.clip((x - mean) / scale, -6, 6) for x in (pos, unl))

@@ -82,8 +82,8 @@ def source_mix(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), share: flo
 
 def mixed(docs: DataFrame, **options) -> DataFrame:
     """The documents of the mix: a document is there as often as the mix takes its words, to the
-    nearest whole number, with the columns of docs. Rows of docs must have distinct doc_ids."""
-    copies = source_mix(docs, **options).where("taken > 0").select(F.col("doc_id").alias("_id"), F.round(F.col("taken") / F.col("size")).cast("int").alias("_copies"))
+    nearest whole number, with the columns of docs. Rows that share a doc_id get the mean of their shares."""
+    copies = source_mix(docs, **options).groupBy(F.col("doc_id").alias("_id")).agg(F.round(F.sum("taken") / F.nullif(F.sum("size"), F.lit(0))).cast("int").alias("_copies"))
     taken = docs.join(copies, docs["doc_id"].eqNullSafe(copies["_id"])).where("_copies > 0")
     return taken.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies")))).select(*[docs[c] for c in docs.columns])
 
