@@ -3,16 +3,19 @@
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
-from pyspark.sql.window import Window
+from pyspark.sql.window import Window, WindowSpec
+
+
+def in_order() -> WindowSpec:
+    return Window.partitionBy("conv_id").orderBy("turn")
 
-ORDER = Window.partitionBy("conv_id").orderBy("turn")
 
 
 def merge_adjacent_roles(turns: DataFrame) -> DataFrame:
     """(conv_id, island, role, text): system turns go, runs of one role are joined by a blank line, and a user
     turn "Hello" comes first where the first is not the user's."""
-    said = turns.where("role != 'system'").withColumn("_new", F.coalesce((F.col("role") != F.lag("role").over(ORDER)).cast("int"), F.lit(0)))
-    islands = said.withColumn("island", F.sum("_new").over(ORDER))
+    said = turns.where("role != 'system'").withColumn("_new", F.coalesce((F.col("role") != F.lag("role").over(in_order())).cast("int"), F.lit(0)))
+    islands = said.withColumn("island", F.sum("_new").over(in_order()))
     merged = islands.groupBy("conv_id", "island", "role").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("turn", "text"))), lambda x: x["text"]), "\n\n").alias("text"))
     hello = merged.where("island = 0 AND role != 'user'").select("conv_id", F.lit(-1).cast("long").alias("island"), F.lit("user").alias("role"), F.lit("Hello").alias("text"))
     return merged.unionByName(hello)
@@ -21,13 +24,13 @@ def merge_adjacent_roles(turns: DataFrame) -> DataFrame:
 def recent(turns: DataFrame, n: int) -> DataFrame:
     """The newest n turns of each conversation, with their place from the oldest."""
     newest = turns.withColumn("_back", F.row_number().over(Window.partitionBy("conv_id").orderBy(F.desc("turn")))).where(F.col("_back") <= n)
-    return newest.withColumn("place", F.row_number().over(ORDER)).drop("_back")
+    return newest.withColumn("place", F.row_number().over(in_order())).drop("_back")
 
 
 def history(turns: DataFrame, n: int = 10, chars: int = 200) -> DataFrame:
     """Adds to each turn the n turns before it, as lines of role and the first characters."""
     line = F.concat(F.initcap("role"), F.lit(": "), F.substring("text", 1, chars))
-    return turns.withColumn("history", F.array_join(F.collect_list(line).over(ORDER.rowsBetween(-n, -1)), "\n"))
+    return turns.withColumn("history", F.array_join(F.collect_list(line).over(in_order().rowsBetween(-n, -1)), "\n"))
 
 
 def summary(turns: DataFrame, chars: int = 100) -> DataFrame:
@@ -37,7 +40,7 @@ def summary(turns: DataFrame, chars: int = 100) -> DataFrame:
 def carry(turns: DataFrame, name: str, value: Column) -> DataFrame:
     """Adds the last value set before each turn; a turn leaves it as it is where value is null, and clears it
     where value is empty."""
-    held = F.last(value, ignorenulls=True).over(ORDER.rowsBetween(Window.unboundedPreceding, -1))
+    held = F.last(value, ignorenulls=True).over(in_order().rowsBetween(Window.unboundedPreceding, -1))
     return turns.withColumn(name, F.nullif(held, F.lit("")))
 
 
@@ -64,5 +67,5 @@ def combine_clarification(turns: DataFrame, before: list[str], after: list[str])
     """Adds combined: after a vague user turn the next user turn is its answer; words of `before` follow the answer,
     those of `after` precede it."""
     users = turns.where("role = 'user'")
-    vague = F.lower(F.trim(F.lag("text").over(ORDER)))
+    vague = F.lower(F.trim(F.lag("text").over(in_order())))
     return users.withColumn("combined", F.when(vague.isin(before), F.concat_ws(" ", "text", vague)).when(vague.isin(after), F.concat_ws(" ", vague, "text")).otherwise(F.col("text")))

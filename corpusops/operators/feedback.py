@@ -8,7 +8,14 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.window import Window
 
-UP, DOWN = F.col("rating") == "up", F.col("rating") == "down"
+
+def up() -> Column:
+    return F.col("rating") == "up"
+
+
+def down() -> Column:
+    return F.col("rating") == "down"
+
 
 
 def short_hash(*parts: Column) -> Column:
@@ -21,26 +28,26 @@ def prepare(rows: DataFrame, limits: Mapping[str, int]) -> DataFrame:
     return cut.withColumns({"user_hash": short_hash(F.col("session").cast("string"), F.col("ip")), "ip_hash": short_hash(F.col("ip"))})
 
 
-def approval(up: Column, total: Column) -> Column:
+def approval(liked: Column, total: Column) -> Column:
     """Percent to one decimal, 0 without ratings."""
-    return F.when(total == 0, 0.0).otherwise(F.round(100.0 * up / F.nullif(total, F.lit(0)), 1))
+    return F.when(total == 0, 0.0).otherwise(F.round(100.0 * liked / F.nullif(total, F.lit(0)), 1))
 
 
 def stats(rows: DataFrame, now: Column) -> DataFrame:
-    counts = rows.agg(F.count(F.lit(1)).alias("total"), F.count_if(UP).alias("up"), F.count_if(F.to_date("created_at") == F.to_date(now)).alias("today"), F.count_if(F.col("created_at") >= now - F.expr("INTERVAL 7 DAYS")).alias("last_7_days"))
+    counts = rows.agg(F.count(F.lit(1)).alias("total"), F.count_if(up()).alias("up"), F.count_if(F.to_date("created_at") == F.to_date(now)).alias("today"), F.count_if(F.col("created_at") >= now - F.expr("INTERVAL 7 DAYS")).alias("last_7_days"))
     return counts.select("total", "up", (F.col("total") - F.col("up")).alias("down"), approval(F.col("up"), F.col("total")).alias("approval"), "today", "last_7_days")
 
 
 def top_negative(rows: DataFrame, order: str, n: int = 10) -> DataFrame:
     """The n down-rated questions (by their first 100 characters) with the most ratings; a report of n rows."""
-    grouped = rows.where(DOWN).groupBy(F.substring("query", 1, 100).alias("query")).agg(F.count(F.lit(1)).alias("n"), F.min(order).alias("first"), F.substring(F.min_by("response", order), 1, 200).alias("example"))
+    grouped = rows.where(down()).groupBy(F.substring("query", 1, 100).alias("query")).agg(F.count(F.lit(1)).alias("n"), F.min(order).alias("first"), F.substring(F.min_by("response", order), 1, 200).alias("example"))
     return grouped.orderBy(F.desc("n"), "first").limit(n)
 
 
 def daily_series(rows: DataFrame, now: Column, days: int = 7) -> DataFrame:
     """The last calendar days, empty ones too."""
     span = rows.sparkSession.range(1).select(F.explode(F.sequence(F.date_sub(F.to_date(now), days - 1), F.to_date(now))).alias("day"))
-    counts = rows.groupBy(F.to_date("created_at").alias("day")).agg(F.count(F.lit(1)).alias("total"), F.count_if(UP).alias("up"))
+    counts = rows.groupBy(F.to_date("created_at").alias("day")).agg(F.count(F.lit(1)).alias("total"), F.count_if(up()).alias("up"))
     zero = lambda c: F.coalesce(c, F.lit(0)).alias(c)
     return span.join(counts, "day", "left").select("day", zero("total"), zero("up"), (F.coalesce("total", F.lit(0)) - F.coalesce("up", F.lit(0))).alias("down"))
 
@@ -50,29 +57,29 @@ def preference_pairs(rows: DataFrame, order: str, newest: int | None = None, min
     so many last ratings are looked at."""
     looked = rows if newest is None else rows.orderBy(F.desc(order)).limit(newest)
     latest = lambda kind: F.max_by(F.when(kind, F.col("response")), F.when(kind, F.col(order)))
-    out = looked.groupBy(F.lower(F.trim("query")).alias("query")).agg(latest(UP).alias("chosen"), latest(DOWN).alias("rejected"), F.count(F.lit(1)).alias("votes"))
+    out = looked.groupBy(F.lower(F.trim("query")).alias("query")).agg(latest(up()).alias("chosen"), latest(down()).alias("rejected"), F.count(F.lit(1)).alias("votes"))
     return out.where((F.col("votes") >= min_votes) & F.col("chosen").isNotNull() & F.col("rejected").isNotNull()).drop("votes")
 
 
 def approval_by_type(rows: DataFrame, kind: Column, order: str, least: int = 3, below: float = 70.0) -> DataFrame:
     """Types with enough ratings and an approval under the limit, and three examples in order."""
     typed = rows.withColumn("type", kind).withColumn("_n", F.row_number().over(Window.partitionBy("type", "rating").orderBy(order)))
-    example = F.when(~UP & (F.col("_n") <= 3), F.struct(order, "query"))
-    out = typed.groupBy("type").agg(F.count(F.lit(1)).alias("n"), F.count_if(UP).alias("up"), F.array_sort(F.collect_list(example)).alias("examples"))
+    example = F.when(~up() & (F.col("_n") <= 3), F.struct(order, "query"))
+    out = typed.groupBy("type").agg(F.count(F.lit(1)).alias("n"), F.count_if(up()).alias("up"), F.array_sort(F.collect_list(example)).alias("examples"))
     scored = out.withColumn("approval", approval(F.col("up"), F.col("n"))).where((F.col("n") >= least) & (F.col("approval") < below))
     return scored.select("type", "n", "approval", F.array_join(F.transform("examples", lambda x: x["query"]), "|").alias("examples"))
 
 
 def lessons(rows: DataFrame, families: Mapping[str, tuple[str, str]], least: int = 2) -> DataFrame:
     """(family, n, lesson): the lesson of each family of phrases that enough negative comments have."""
-    counted = rows.where(~UP).agg(*[F.count_if(F.lower("comment").rlike(p)).alias(f) for f, (p, _) in families.items()])
+    counted = rows.where(~up()).agg(*[F.count_if(F.lower("comment").rlike(p)).alias(f) for f, (p, _) in families.items()])
     listed = F.array(*[F.struct(F.lit(f).alias("family"), F.col(f).alias("n"), F.lit(text).alias("lesson")) for f, (_, text) in families.items()])
     return counted.select(F.inline(listed)).where(F.col("n") >= least)
 
 
 def length_lesson(rows: DataFrame) -> DataFrame:
     """Mean lengths of down and up responses, and what their ratio says."""
-    means = rows.agg(F.round(F.avg(F.when(UP, F.length("response"))), 6).alias("up_mean"), F.round(F.avg(F.when(~UP, F.length("response"))), 6).alias("down_mean"))
+    means = rows.agg(F.round(F.avg(F.when(up(), F.length("response"))), 6).alias("up_mean"), F.round(F.avg(F.when(~up(), F.length("response"))), 6).alias("down_mean"))
     ratio = F.col("down_mean") / F.nullif(F.col("up_mean"), F.lit(0.0))
     return means.withColumn("lesson", F.when(ratio > 1.5, "shorter").when(ratio < 0.5, "longer").otherwise("none"))
 
@@ -80,7 +87,7 @@ def length_lesson(rows: DataFrame) -> DataFrame:
 def success_patterns(rows: DataFrame, cue: str) -> DataFrame:
     """Shares of up responses with a digit and with a cue, and their mean length; which of them are patterns."""
     share = lambda c: F.round(F.avg(c.cast("int")), 6)
-    out = rows.where(UP).agg(share(F.col("response").rlike("[0-9]")).alias("digits"), share(F.col("response").rlike(cue)).alias("cues"), F.round(F.avg(F.length("response")), 6).alias("mean_length"))
+    out = rows.where(up()).agg(share(F.col("response").rlike("[0-9]")).alias("digits"), share(F.col("response").rlike(cue)).alias("cues"), F.round(F.avg(F.length("response")), 6).alias("mean_length"))
     return out.withColumn("patterns", F.concat_ws(",", F.when(F.col("digits") > 0.7, "digits"), F.when(F.col("cues") > 0.5, "cues"), F.when((F.col("mean_length") > 100) & (F.col("mean_length") < 500), "concise")))
 
 

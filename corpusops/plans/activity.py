@@ -64,7 +64,7 @@ def _(spark, sf):
     coalesce(lag(role = 'assistant' AND contains(text, '?')) OVER (PARTITION BY conv_id ORDER BY turn), false) AS asked FROM s""")
 def _(spark, sf):
     value = F.when(F.col("text").contains("zz"), "").when(F.col("role") == "user", F.substring("text", 1, 40))
-    asked = F.coalesce(F.lag((F.col("role") == "assistant") & F.col("text").contains("?")).over(M.ORDER), F.lit(False))
+    asked = F.coalesce(F.lag((F.col("role") == "assistant") & F.col("text").contains("?")).over(M.in_order()), F.lit(False))
     return M.carry(turns(spark, sf), "last_query", value).select("conv_id", "turn", "last_query", asked.alias("asked"))
 
 
@@ -171,7 +171,7 @@ def _(spark, sf):
 @query("overall_approval", TEXTS + " SELECT source, count(*) AS n, round(100.0 * count(*) FILTER (rating = 'up') / count(*), 1)::DOUBLE AS approval FROM f GROUP BY source")
 def _(spark, sf):
     n = F.count(F.lit(1))
-    return judged_texts(spark, sf).groupBy("source").agg(n.alias("n"), B.approval(F.count_if(B.UP), n).alias("approval"))
+    return judged_texts(spark, sf).groupBy("source").agg(n.alias("n"), B.approval(F.count_if(B.up()), n).alias("approval"))
 
 
 @query("similar_failure", """WITH f AS (SELECT 'a' AS type, doc_id AS failure_no, left(text, 60) AS query FROM documents JOIN labels USING (doc_id) WHERE quality = 0), w AS (SELECT type, failure_no, query AS example, unnest(string_split(lower(query), ' ')[1:3]) AS word FROM f),
