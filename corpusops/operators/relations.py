@@ -88,3 +88,25 @@ def course_blocks(df: DataFrame, key: str, text: str) -> DataFrame:
         F.substring(F.regexp_extract("block", r"[Cc]redits?\.?\s*(.*?)(?:Prerequisite|$)", 1), 1, 500).alias("description"),
         F.regexp_extract("block", r"Prerequisites?:\s*([^.]+)\.", 1).alias("prerequisites"),
     )
+
+
+# Words of a section's header and the bucket of its courses; the first rule counts.
+BUCKETS = (("math", "math"), ("basic_science", "science"), ("electives", "elective"), ("core", "core|required"))
+
+
+def program_hours(text: Column) -> Column:
+    """Total credit hours that the text names."""
+    return F.regexp_extract(text, r"(?i)([0-9]{2,3})\s+(?:total\s+)?credit\s+hours", 1).try_cast("int")
+
+
+def program_gpas(text: Column) -> Column:
+    """"kind: number" of each GPA that the text names, in order."""
+    kinds, numbers = (F.regexp_extract_all(text, F.lit(r"(?i)(overall|major|minimum|cumulative)\s+gpa\s+(?:of\s+)?([0-9]\.[0-9]+)"), F.lit(i)) for i in (1, 2))
+    return F.zip_with(kinds, numbers, lambda k, n: F.concat_ws(": ", F.lower(k), n))
+
+
+def course_buckets(sections: DataFrame, key: str, header: str, body: str) -> DataFrame:
+    """(key, bucket, code): codes of the sections' bodies by the rule that fits the header."""
+    low = F.lower(header)
+    bucket = F.coalesce(*[F.when(low.rlike(p), F.lit(b)) for b, p in BUCKETS], F.lit("other"))
+    return sections.select(key, bucket.alias("bucket"), F.explode(course_codes(F.col(body), r"([A-Z]{2,5})\s?([0-9]{3,4})")).alias("code")).distinct()

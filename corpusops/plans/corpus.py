@@ -292,3 +292,24 @@ def _(spark, sf):
 def _(spark, sf):
     return read(spark, sf, "pages").select("page_id", C.first_keyword_type(F.col("url"), {"courses": ["course"], "plan": ["1"], "requirements": ["2"]}, "generic").alias("kind"))
 
+
+
+@query("program_page", "SELECT p_partkey, p_size + 100 AS hours, 'overall: 3.' || (p_size % 10) || '|major: 2.5' AS gpas FROM part")
+def _(spark, sf):
+    text = F.expr("concat('Needs ', p_size + 100, ' credit hours, an overall GPA of 3.', p_size % 10, ' and a major GPA of 2.5.')")
+    return part(spark, sf).select("p_partkey", G.program_hours(text).alias("hours"), F.array_join(G.program_gpas(text), "|").alias("gpas"))
+
+
+@query("course_buckets", "SELECT DISTINCT p_brand, CASE p_size % 3 WHEN 0 THEN 'math' WHEN 1 THEN 'electives' ELSE 'core' END AS bucket, 'CS ' || (100 + p_size) AS code FROM part")
+def _(spark, sf):
+    rows = part(spark, sf).selectExpr("p_brand", "CASE p_size % 3 WHEN 0 THEN 'Math courses' WHEN 1 THEN 'Electives' ELSE 'Required' END AS header", "concat('Take CS ', 100 + p_size, '.') AS body")
+    return G.course_buckets(rows, "p_brand", "header", "body")
+
+
+@query("embed")
+def _(spark, sf):
+    """Hashed TF-IDF vectors of all documents, as text."""
+    from corpusops.operators.embedding import hashed_tfidf
+
+    vectors = hashed_tfidf(documents(spark, sf), "doc_id", "text")
+    return vectors.select("doc_id", F.array_join(F.transform("embedding", lambda x: F.round(x, 4).cast("string")), ",").alias("embedding"))
