@@ -306,7 +306,7 @@ def _(spark, sf):
 
 SCORES = """WITH s AS (SELECT d.doc_id, d.lang AS difficulty, d.source AS domain, quality, toxic, n_chars,
   CASE WHEN n_chars = 13 THEN NULL ELSE round((quality + (1 - toxic) + least(1.0, n_chars / 3000.0) + (d.doc_id % 5) / 4.0) / 4, 6) END AS composite,
-  CASE WHEN regexp_matches(d.text, '[0-9]') THEN 1.0 ELSE 0.0 END AS entity FROM documents d JOIN labels l ON l.doc_id = d.doc_id)"""
+  CASE WHEN regexp_matches(d.text, '[0-9]') THEN 1.0::DOUBLE ELSE 0.0 END AS entity FROM documents d JOIN labels l ON l.doc_id = d.doc_id)"""
 
 
 def scores(spark: SparkSession, sf: str) -> DataFrame:
