@@ -5,11 +5,11 @@ their projections over d squared has a chi-square distribution with dims degrees
 projections of all vectors are split by a kd-tree whose leaves hold about `leaf` vectors; its planes are
 fitted on at most `sample` projections (the rows of smallest id hash), every row is indexed.
 
-A query first searches its own leaf: neighbours are verified in the order of their projected distance, in
-the original space, until the chi-square test holds: a vector still unseen, projected at r or more from
-the query, is nearer than the k-th found at d only with probability below 1 - P(chi2 <= r^2 / d^2),
-and that is `miss` at most. With the d found there, the query goes on to every other leaf whose box does
-not already satisfy the test, and the best k of all leaves are its answer.
+A query first searches its own leaf: projections come box by box of a finer kd-tree, nearest box first, and
+are verified in the original space until the chi-square test holds: a vector still unseen, projected at
+r or more from the query, is nearer than the k-th found at d only with probability below
+1 - P(chi2 <= r^2 / d^2), and that is `miss` at most. With the d found there, the query goes on to every
+other leaf whose box does not already satisfy the test, and the best k of all leaves are its answer.
 
 Work is dealt by (leaf, part of the leaf, part of the queries), all of bounded size, so neither a crowded
 leaf (equal vectors can't be split by planes) nor a large query set meets in one task.
@@ -21,7 +21,6 @@ candidates, but never their own query's. Ties go to the smaller id. Fewer than k
 
 from __future__ import annotations
 
-import heapq
 import math
 from collections.abc import Iterator
 
@@ -93,10 +92,9 @@ class Planes:
 
 
 class Local:
-    """The kd-tree of one part of a leaf: boxes of `bucket` projections, visited nearest first."""
+    """The kd-tree of one part of a leaf: boxes of at most `bucket` projections, visited nearest first."""
 
-    def __init__(self, projected: np.ndarray, bucket: int = 64):
-        self.points = projected
+    def __init__(self, projected: np.ndarray, bucket: int = 128):
         self.rows, stack, self.lo, self.hi = [], [np.arange(len(projected))], [], []
         while stack:
             rows = stack.pop()
@@ -109,37 +107,35 @@ class Local:
             order = rows[np.argsort(projected[rows, axis], kind="stable")]
             stack += [order[: len(order) // 2], order[len(order) // 2 :]]
         self.lo, self.hi = np.array(self.lo), np.array(self.hi)
+        self.points = [projected[rows] for rows in self.rows]
 
-    def ordered(self, query: np.ndarray) -> Iterator[tuple[float, np.ndarray]]:
-        """(projected distance of the first, rows) of batches of rows in ascending projected distance."""
+    def boxes(self, query: np.ndarray) -> Iterator[tuple[float, int]]:
+        """(squared projected distance, box) in ascending order."""
         gaps = np.maximum(np.maximum(self.lo - query, query - self.hi), 0)
-        to_box = np.sqrt((gaps * gaps).sum(1))
-        order, held = np.argsort(to_box), []
-        for i, box in enumerate(order):
-            rows = self.rows[box]
-            for d, r in zip(np.sqrt(((self.points[rows] - query) ** 2).sum(1)).tolist(), rows.tolist(), strict=True):
-                heapq.heappush(held, (d, r))
-            limit = to_box[order[i + 1]] if i + 1 < len(order) else math.inf
-            out = []
-            while held and held[0][0] <= limit:
-                out.append(heapq.heappop(held))
-            if out:
-                yield out[0][0], np.array([r for _, r in out])
-
-
-def search(local: Local, vectors: np.ndarray, ids: np.ndarray, query: np.ndarray, projected: np.ndarray, own: int, bound: float, k: int, limit: float) -> list[tuple[float, int]]:
-    """The best k of a part, as (distance, id), for a query that has k neighbours within `bound`."""
-    best: list[tuple[float, int]] = []
-    for first, rows in local.ordered(projected):
-        worst = min(bound, best[k - 1][0] if len(best) >= k else math.inf)
-        if first * first > limit * worst * worst:
+        away = (gaps * gaps).sum(1)
+        order = np.argsort(away)
+        return zip(away[order].tolist(), order.tolist(), strict=True)
+
+
+def search(local: Local, vectors: np.ndarray, ids: np.ndarray, query: np.ndarray, projected: np.ndarray, own: int, bound: float, k: int, limit: float) -> tuple[np.ndarray, np.ndarray]:
+    """(ids, distances) of the best k of a part, for a query that has k neighbours within `bound`. A box, and
+    a projection in it, is passed over once the chi-square test holds for it at the k-th distance so far."""
+    best_ids, best = np.empty(0, np.int64), np.empty(0)
+    for away, box in local.boxes(projected):
+        worst = min(bound, best[-1] if len(best) >= k else math.inf)
+        if away > limit * worst * worst:
             break
+        gaps = local.points[box] - projected
+        rows = local.rows[box][np.einsum("ij,ij->i", gaps, gaps) <= limit * worst * worst]
         rows = rows[ids[rows] != own]
-        found = np.sqrt(((vectors[rows] - query) ** 2).sum(1))
+        gaps = vectors[rows] - query
+        found = np.sqrt((gaps * gaps).sum(1))
         near = found <= worst
         if near.any():
-            best = sorted([*best, *zip(found[near].tolist(), ids[rows[near]].tolist(), strict=True)])[:k]
-    return best
+            best, best_ids = np.append(best, found[near]), np.append(best_ids, ids[rows[near]])
+            order = np.lexsort((best_ids, best))[:k]
+            best, best_ids = best[order], best_ids[order]
+    return best_ids, best
 
 
 def directions(width: int, dims: int, seed: int = 7) -> np.ndarray:
@@ -187,7 +183,8 @@ def nearest(vectors: DataFrame, is_query: Column, k: int = 10, dims: int = 8, mi
             vectors, ids = np.array(rows["embedding"].tolist()), rows["vec_id"].to_numpy()
             local, points = Local(vectors @ matrix), np.array(queries["query"].tolist())
             for own, query, projected, bound in zip(queries["query_id"].tolist(), points, points @ matrix, queries["bound"].tolist(), strict=True):
-                out += [(own, i, d) for d, i in search(local, vectors, ids, query, projected, own, bound, k, limit)]
+                found, away = search(local, vectors, ids, query, projected, own, bound, k, limit)
+                out += zip([own] * len(found), found.tolist(), away.tolist(), strict=True)
         return pd.DataFrame(out, columns=["query_id", "vec_id", "score"])
 
     def visit(queries: DataFrame) -> DataFrame:
