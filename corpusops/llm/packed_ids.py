@@ -29,15 +29,17 @@ from collections.abc import Iterator
 import numpy as np
 import public_tokenizers
 import pyarrow as pa
+import regex
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.window import Window
 from tokenizers import Tokenizer
 
 from corpusops.llm.common import shared_dir, stored, table
+from corpusops.llm.token_counts import PLAIN, byte_letters
 
 VOCABULARY = public_tokenizers.path("byte_bpe_50k.json")
-#: Chunks that a worker remembers at most; beyond it starts anew.
-REMEMBERED = 400_000
+#: Words that a worker remembers at most; beyond it starts anew.
+REMEMBERED = 600_000
 NO_ID = -(2**63)
 
 
@@ -47,56 +49,78 @@ NO_ID = -(2**63)
 class Encoder:
     """Ids of whole texts as the tokenizers library gives them.
 
-    A text is cut before each single space that a character other than white space follows: a match of
-    the byte-level pattern takes such a space only as its first character. What the library makes of a
-    piece is remembered, so the library sees each frequent piece once per worker. A text that holds a
-    special string goes to the library whole."""
+    A text is cut at each single space that a character other than white space follows: a match of the
+    byte-level pattern takes such a space only as its first character. What the library makes of a piece
+    is remembered, so the library sees each frequent piece once per worker. A text that holds a special
+    string goes to the library whole."""
 
     cut = re.compile(r" (?=\S)")
-    odd = re.compile(r" (?:\s|$)")
 
-    def __init__(self, path: str):
-        self.library = Tokenizer.from_file(path)
-        spec = self.library.get_added_tokens_decoder()
-        self.special = re.compile("|".join(re.escape(t.content) for t in spec.values())) if spec else None
-        self.known: dict[str, bytes] = {}
-
-    def pieces(self, text: str) -> list[str]:
-        first, *rest = self.cut.split(text) if self.odd.search(text) else text.split(" ")
-        return [first, *map(" ".__add__, rest)]
-
-    def learn(self, new: list[str]) -> None:
-        for lo in range(0, len(new), 1000):
-            some = new[lo : lo + 1000]
+    def __init__(self, path: str, width: str = "<u4"):
+        self.library, self.width = Tokenizer.from_file(path), np.dtype(width)
+        self.special = [t.content for t in self.library.get_added_tokens_decoder().values()]
+        self.pattern, self.letters = regex.compile(public_tokenizers.PATTERN), byte_letters()
+        raw = np.arange(self.library.get_vocab_size(), dtype=self.width).tobytes()
+        self.bytes_of = [raw[i : i + self.width.itemsize] for i in range(0, len(raw), self.width.itemsize)]
+        self.known: dict[str, bytes] = {}  # of a word with the space before it
+        self.parts: dict[str, bytes] = {}  # of a match of the pattern
+
+    def learn(self, words: list[str]) -> None:
+        """Plain words are cut by the pattern, and the library's model gives the ids of each part that is new;
+        for all others the library does the cutting too."""
+        plain, other, tokenize = [], [], self.library.model.tokenize
+        for w in words:
+            (plain if w.isascii() or not PLAIN.search(w) else other).append(w)
+        for w in plain:
+            parts = self.pattern.findall(" " + w)
+            for part in parts:
+                if part not in self.parts:
+                    # ASCII letters stand for themselves, the space for the letter of byte 32
+                    letters = self.letters[32] + part[1:] if part[0] == " " and part.isascii() and part[1:].isalpha() else "".join(map(self.letters.__getitem__, part.encode()))
+                    self.parts[part] = b"".join([self.bytes_of[t.id] for t in tokenize(letters)])
+            self.known[w] = self.parts[parts[0]] if len(parts) == 1 else b"".join(map(self.parts.__getitem__, parts))
+        for lo in range(0, len(other), 1000):
+            some = [" " + w for w in other[lo : lo + 1000]]
             got = self.library.encode(some, is_pretokenized=True, add_special_tokens=False)
-            of = np.array(got.word_ids, np.int64)
-            ends = np.searchsorted(of, np.arange(len(some)), side="right") * 4
-            raw, at = np.array(got.ids, "<u4").tobytes(), 0
-            for piece, end in zip(some, ends.tolist(), strict=True):
-                self.known[piece] = raw[at:end]
+            ends = np.searchsorted(np.array(got.word_ids, np.int64), np.arange(len(some)), side="right") * self.width.itemsize
+            raw, at = self.array(got.ids), 0
+            for word, end in zip(other[lo : lo + 1000], ends.tolist(), strict=True):
+                self.known[word] = raw[at:end]
                 at = end
 
+    def array(self, ids: list[int]) -> bytes:
+        return np.array(ids, self.width).tobytes()
+
+    def whole(self, text: str) -> bytes:
+        return self.array(self.library.encode(text, add_special_tokens=False).ids)
+
     def encode(self, texts: list[str], end_id: int) -> list[bytes]:
-        """Little-endian 32-bit ids of each text, the end id added."""
+        """The ids of each text, the end id added, as little-endian integers."""
         if len(self.known) > REMEMBERED:
             self.known.clear()
-        whole = {i for i, t in enumerate(texts) if self.special and self.special.search(t)}
-        split = [[] if i in whole else self.pieces(t) for i, t in enumerate(texts)]
-        new = list(set(itertools.chain.from_iterable(split)).difference(self.known))
-        self.learn(new)
-        end, known = struct.pack("<I", end_id), self.known.__getitem__
-        out = [b"".join(map(known, p)) + end for p in split]
-        for i in whole:
-            out[i] = np.array(self.library.encode(texts[i], add_special_tokens=False).ids, "<u4").tobytes() + end
-        for piece in new:
-            if len(piece) > 64:  # a long piece hardly returns
-                del self.known[piece]
+        if len(self.parts) > REMEMBERED // 2:
+            self.parts.clear()
+        end = self.array([end_id])
+        split = [None if any(s in t for s in self.special) else t.split(" ") for t in texts]
+        new = set(itertools.chain.from_iterable(s[1:] for s in split if s)).difference(self.known)
+        odd = {w for w in new if not w or w[0].isspace()}
+        if odd:  # some spaces are followed by white space: cut those texts at the others only
+            split = [s if not s or odd.isdisjoint(s[1:]) else self.cut.split(t) for s, t in zip(split, texts, strict=True)]
+            new = set(itertools.chain.from_iterable(s[1:] for s in split if s)).difference(self.known)
+        self.learn(list(new))
+        known = self.known.__getitem__
+        out = [self.whole(t) + end if s is None else b"".join((self.whole(s[0]), *map(known, s[1:]), end)) for s, t in zip(split, texts, strict=True)]
+        for word in new:
+            if len(word) > 64:  # a long one hardly returns
+                del self.known[word]
+        for part in [p for p in self.parts if len(p) > 64] if any(len(w) > 64 for w in new) else []:
+            del self.parts[part]
         return out
 
 
 @functools.lru_cache(maxsize=2)
-def encoder(path: str) -> Encoder:
-    return Encoder(path)
+def encoder(path: str, width: str) -> Encoder:
+    return Encoder(path, width)
 
 
 # --- packing ----------------------------------------------------------------------------------------
@@ -155,6 +179,7 @@ def write_packed(docs: DataFrame, path: str, vocabulary: str = VOCABULARY, end_i
     are shuffled, once, to the file of their document."""
     lib_size = Tokenizer.from_file(vocabulary).get_vocab_size()
     bits = bits_for(max(lib_size, end_id + 1))
+    width = "<u2" if bits <= 16 else "<u4"
     keys = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("id"))
     count = keys.count()
     files = max(1, -(-count // file_docs))
@@ -162,17 +187,15 @@ def write_packed(docs: DataFrame, path: str, vocabulary: str = VOCABULARY, end_i
     limits = np.array(sorted(set(keys.agg(F.percentile_approx("id", [i / files for i in range(1, files)], 20 * files)).first()[0] or [])) if files > 1 else [], np.int64)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc = encoder(vocabulary)
+        enc = encoder(vocabulary, width)
         for batch in batches:
             for lo in range(0, batch.num_rows, 500):
                 part = batch.slice(lo, 500)
                 ids = part.column(0)
                 to = np.searchsorted(limits, ids.to_numpy(zero_copy_only=False), side="left")
-                packed = [np.frombuffer(x, "<u4").astype("<u2" if bits <= 16 else "<u4").tobytes() for x in enc.encode([t or "" for t in part.column(1).to_pylist()], end_id)]
+                packed = enc.encode([t or "" for t in part.column(1).to_pylist()], end_id)
                 yield pa.RecordBatch.from_arrays([pa.array(to, pa.int32()), ids, pa.array(packed, pa.binary())], ["file", "id", "ids"])
 
-    width = "<u2" if bits <= 16 else "<u4"
-
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         first, held, doc_ids, ids = 0, 0, [], []
         out = lambda: pa.RecordBatch.from_arrays([pa.array([block(first, doc_ids, ids, bits)], pa.binary())], ["value"])
