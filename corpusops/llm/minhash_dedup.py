@@ -13,9 +13,11 @@ A document's set holds its distinct shingles of five words (see `shingles`); two
 4. Components of the confirmed links are found by alternating large-star and small-star steps.
 5. In buckets whose members (the smallest apart) are still in several components, the members outside
    the bucket's main component are compared with all members of other components, signatures against
-   signatures, in chunks of CHUNK on either side. First each one's best partner of a chunk is confirmed,
-   which settles most; then every surviving pair is. So no pair of a bucket is left out, but only pairs
-   that may still join two components are ever made.
+   signatures, SIDE against SIDE at a time, and the surviving pairs are confirmed. So no pair of a bucket is
+   left out, but only pairs that may still join two components are ever looked at.
+
+Vertices are dealt to chunks by hash. What is to be verified travels as (vertex, chunk, partners in the
+chunk), so a pivot of a million partners is sent once per chunk and pairs are never rows.
 
 A pair of similarity 0.75 shares no bucket with probability (1 - 0.75 ** ROWS) ** BANDS = 2e-5.
 
@@ -40,7 +42,9 @@ from corpusops.llm.common import stored, table
 WORDS = 5
 BANDS, ROWS = 40, 5
 BATCH = 40  # signature values compared at a time
-CHUNK = 256
+CHUNK = 128  # vertices that a task holds at a time
+SIDE = 256  # members of a bucket compared with as many others at a time
+SPAN = 64  # chunks whose pairs of one vertex are gathered
 #: Words whose hashes a worker remembers at most.
 REMEMBERED = 500_000
 
@@ -158,8 +162,8 @@ def components(links: DataFrame) -> DataFrame:
     state = None
     while True:
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = stored(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")))
-        large = both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u != v").distinct()
+        low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
+        large = both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u != v")
         small = large.join(large.groupBy("u").agg(F.min("v").alias("m")), "u")
         pairs = small.select(F.inline(F.array(F.struct(F.col("u"), F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))))
         edges = stored(pairs.where("u != v").distinct())
@@ -169,79 +173,131 @@ def components(links: DataFrame) -> DataFrame:
     return edges.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(edges.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())
 
 
-def confirm(pairs: DataFrame, sigs: DataFrame, docs: DataFrame, least: np.ndarray, percent: int) -> DataFrame:
-    """Of the distinct pairs (u, v) of prints those whose sets are similar enough."""
+def same_shape(df: DataFrame) -> DataFrame:
+    """Joined by sort-merge at every size, so that a small run costs what a large one does by the row."""
+    return df.hint("merge")
 
-    def prune(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            yield batch.filter(pa.array(possible(stack(batch.column(2)), stack(batch.column(3)), least))).select([0, 1])
 
-    u, v = (sigs.select(F.col("print").alias(x), F.col("sig").alias(f"sig_{x}"), F.col("locator").alias(f"at_{x}")) for x in "uv")
-    survivors = stored(pairs.join(u, "u").join(v, "v").select("u", "v", "sig_u", "sig_v").mapInArrow(prune, "u binary, v binary"))
-    wanted = survivors.select(F.col("u").alias("print")).union(survivors.select("v")).distinct()
-    wanted = stored(wanted.join(sigs, "print").select(F.col("locator").alias("at"), "print"))
+def sets_of(docs: DataFrame, candidates: DataFrame) -> DataFrame:
+    """(print, chunk, data): the full set of each candidate, from its text."""
 
-    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = [shingles(t.as_py()).tobytes() for t in batch.column(1)]
+            rows = [shingles(t.as_py()).tobytes() for t in batch.column(2)]
             same = [xxhash.xxh3_128_digest(r) == p for r, p in zip(rows, batch.column(0).to_pylist(), strict=True)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(rows, pa.binary())], ["print", "set"]).filter(pa.array(same))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(rows, pa.binary())], ["print", "chunk", "data"]).filter(pa.array(same, pa.bool_()))
 
-    texts = located(docs).select("locator", "text").join(wanted, F.col("locator") == F.col("at")).select("print", "text")
-    full = stored(texts.mapInArrow(sets, "print binary, set binary").dropDuplicates(["print"]))
+    wanted = candidates.select(F.col("locator").alias("at"), "print", "chunk")
+    texts = located(docs).select("locator", "text").join(same_shape(wanted), F.col("locator") == F.col("at")).select("print", "chunk", "text")
+    return texts.mapInArrow(run, "print binary, chunk int, data binary").dropDuplicates(["print"])
+
+
+class SignatureTest:
+    """Sequential Bayesian verification of one signature against many."""
+
+    def __init__(self, threshold: float, miss: float):
+        self.least = least_matches(threshold, miss)
+
+    def load(self, data: bytes) -> np.ndarray:
+        return np.frombuffer(data, np.uint32)
+
+    def __call__(self, one: np.ndarray, many: list[np.ndarray]) -> np.ndarray:
+        return possible(np.broadcast_to(one, (len(many), BANDS * ROWS)), np.stack(many), self.least)
 
-    def similar(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            keep = []
-            for a, b in zip(batch.column(2), batch.column(3), strict=True):
-                a, b = (np.frombuffer(x.as_buffer(), _U64) for x in (a, b))
-                both = len(np.intersect1d(a, b, assume_unique=True))
-                keep.append(100 * both >= percent * (len(a) + len(b) - both))
-            yield batch.filter(pa.array(keep, pa.bool_())).select([0, 1])
 
-    u, v = (full.select(F.col("print").alias(x), F.col("set").alias(f"set_{x}")) for x in "uv")
-    return survivors.join(u, "u").join(v, "v").select("u", "v", "set_u", "set_v").mapInArrow(similar, "u binary, v binary")
+class SetTest:
+    """Exact verification of one full set against many."""
 
+    def __init__(self, percent: int):
+        self.percent = percent
 
-def across(members: DataFrame, sigs: DataFrame, labels: DataFrame, least: np.ndarray, best_only: bool) -> DataFrame:
-    """Distinct pairs (u, v) of members (key, band, print, pivot) of a bucket in different components."""
+    def load(self, data: bytes) -> np.ndarray:
+        return np.frombuffer(data, _U64)
+
+    def __call__(self, one: np.ndarray, many: list[np.ndarray]) -> np.ndarray:
+        sizes, flat = np.array([len(x) for x in many]), np.concatenate(many)
+        hits = one[np.minimum(np.searchsorted(one, flat), len(one) - 1)] == flat
+        both = np.add.reduceat(hits.astype(np.int64), np.cumsum(sizes) - sizes)
+        return 100 * both >= self.percent * (len(one) + sizes - both)
+
+
+def meet(rows: DataFrame, data: DataFrame, test: SignatureTest | SetTest) -> DataFrame:
+    """Of rows (u, chunk, vs) the vs that pass the test with u. data: (print, chunk, data) of all of them.
+
+    A chunk's data comes first in its partition and is held, about CHUNK entries; the rows stream past it. So u
+    is sent once per chunk, and not once per pair."""
+    us = rows.join(same_shape(data.select(F.col("print").alias("u"), "data")), "u").select("chunk", F.lit(1).alias("kind"), "u", "vs", "data")
+    vs = data.select("chunk", F.lit(0).alias("kind"), F.col("print").alias("u"), F.array().cast("array<binary>").alias("vs"), "data")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, held = None, {}
+        for batch in batches:
+            out = []
+            for chunk, kind, u, vs, raw in zip(*(batch.column(i).to_pylist() for i in range(4)), batch.column(4), strict=True):
+                if chunk != at:
+                    at, held = chunk, {}
+                one = test.load(raw.as_py())
+                if kind == 0:
+                    held[u] = one
+                    continue
+                passed = test(one, [held[v] for v in vs])
+                if passed.any():
+                    out.append((u, chunk, [v for v, ok in zip(vs, passed.tolist(), strict=True) if ok]))
+            columns = list(zip(*out, strict=True)) if out else [[], [], []]
+            yield pa.RecordBatch.from_arrays([pa.array(columns[0], pa.binary()), pa.array(columns[1], pa.int32()), pa.array(columns[2], pa.list_(pa.binary()))], ["u", "chunk", "vs"])
+
+    dealt = us.unionByName(vs).repartition("chunk").sortWithinPartitions("chunk", "kind")
+    return dealt.mapInArrow(run, "u binary, chunk int, vs array<binary>")
+
+
+def edges_of(rows: DataFrame) -> DataFrame:
+    return rows.select("u", F.explode("vs").alias("v"))
+
+
+def across(members: DataFrame, sigs: DataFrame, labels: DataFrame, test: SignatureTest) -> tuple[DataFrame, DataFrame]:
+    """Rows (u, chunk, vs) of members (key, band, print, pivot) that share a bucket, are in different
+    components and pass the test; and the prints of the buckets looked at."""
     labelled = members.where("print != pivot").join(labels.withColumnRenamed("node", "print"), "print", "left").select("key", "band", "print", F.coalesce("root", "print").alias("label"))
     labelled = stored(labelled)
     sizes = labelled.groupBy("key", "label").agg(F.count(F.lit(1)).alias("n"))
     open_ = sizes.groupBy("key").agg(F.max(F.struct("n", "label")).alias("main"), F.sum("n").alias("n"), F.count(F.lit(1)).alias("labels")).where("labels > 1")
-    open_ = stored(open_.select("key", F.col("main.label").alias("main"), F.ceil(F.col("n") / CHUNK).alias("chunks"), F.ceil((F.col("n") - F.col("main.n")) / CHUNK).alias("left_chunks")))
-    rows = stored(labelled.join(open_, "key").join(sigs.select("print", "sig"), "print"))
-    item = F.struct("print", "label", "sig")
+    open_ = stored(open_.select("key", F.col("main.label").alias("main"), F.ceil(F.col("n") / SIDE).alias("chunks"), F.ceil((F.col("n") - F.col("main.n")) / SIDE).alias("left_chunks")))
+    rows = stored(labelled.join(open_, "key").join(sigs, "print"))
+    item = F.struct("print", "label", "chunk", F.col("data").alias("sig"))
     dealt = lambda n: F.pmod(F.xxhash64("print"), F.col(n))
-    right = rows.groupBy("key", "band", dealt("chunks").alias("chunk")).agg(F.collect_list(item).alias("right"))
-    left = rows.where("label != main").groupBy("key", dealt("left_chunks").alias("left_chunk")).agg(F.collect_list(item).alias("left"))
+    right = rows.groupBy("key", "band", dealt("chunks").alias("part")).agg(F.collect_list(item).alias("right"))
+    left = rows.where("label != main").groupBy("key", dealt("left_chunks").alias("left_part")).agg(F.collect_list(item).alias("left"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            us, vs = [], []
+            out = []
             for band, left, right in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2), strict=True):
                 left, right = left.values, right.values
                 sig, sigs = stack(left.field("sig")), stack(right.field("sig"))
                 mine, theirs = (np.array(x.field("label").to_pylist(), object) for x in (left, right))
-                prints, others = (x.field("print").to_pylist() for x in (left, right))
+                prints, others, chunk = left.field("print").to_pylist(), right.field("print").to_pylist(), right.field("chunk").to_pylist()
                 for i in range(len(prints)):
                     at = np.flatnonzero(theirs != mine[i])
-                    at = at[possible(sigs[at], np.broadcast_to(sig[i], (len(at), BANDS * ROWS)), least)]
-                    same = sigs[at] == sig[i]
-                    if best_only and len(at):
-                        at = at[[int(same.sum(1).argmax())]]
-                    elif len(at):  # a pair counts in the first band that it shares
-                        at = at[same.reshape(-1, BANDS, ROWS).all(2).argmax(1) == band]
-                    us += [min(prints[i], others[j]) for j in at]
-                    vs += [max(prints[i], others[j]) for j in at]
-            yield pa.RecordBatch.from_arrays([pa.array(us, pa.binary()), pa.array(vs, pa.binary())], ["u", "v"])
-
-    return left.join(right, "key").select("band", "left", "right").mapInArrow(run, "u binary, v binary").distinct()
+                    at = at[possible(sigs[at], np.broadcast_to(sig[i], (len(at), BANDS * ROWS)), test.least)]
+                    # a pair counts in the first band that it shares
+                    at = at[(sigs[at] == sig[i]).reshape(-1, BANDS, ROWS).all(2).argmax(1) == band]
+                    by: dict[int, list[dict]] = {}
+                    for j in at.tolist():
+                        by.setdefault(chunk[j] // SPAN, []).append({"chunk": chunk[j], "v": others[j]})
+                    out += [(prints[i], span, vs) for span, vs in by.items()]
+            columns = list(zip(*out, strict=True)) if out else [[], [], []]
+            item = pa.struct([("chunk", pa.int32()), ("v", pa.binary())])
+            yield pa.RecordBatch.from_arrays([pa.array(columns[0], pa.binary()), pa.array(columns[1], pa.int32()), pa.array(columns[2], pa.list_(item))], ["u", "span", "vs"])
+
+    found = left.join(right, "key").select("band", "left", "right").mapInArrow(run, "u binary, span int, vs array<struct<chunk: int, v: binary>>")
+    merged = found.groupBy("u", "span").agg(F.flatten(F.collect_list("vs")).alias("vs")).withColumn("chunk", F.explode(F.array_distinct(F.transform("vs", lambda x: x["chunk"]))))
+    mine = F.filter("vs", lambda x: x["chunk"] == F.col("chunk"))
+    return merged.select("u", "chunk", F.array_distinct(F.transform(mine, lambda x: x["v"])).alias("vs")), rows.select("print").distinct()
 
 
 def near_duplicates(docs: DataFrame, percent: int = 75, miss: float = 1e-5) -> DataFrame:
     """doc_id, n_shingles, component_id, kept for every row of docs."""
-    least = least_matches(percent / 100, miss)
+    bayes, exact = SignatureTest(percent / 100, miss), SetTest(percent)
     signed = stored(sign(docs))
     some = signed.where("n_shingles > 0")
     vertices = stored(some.groupBy("print").agg(F.min("doc_id").alias("first_id"), F.min("locator").alias("locator")))
@@ -251,21 +307,24 @@ def near_duplicates(docs: DataFrame, percent: int = 75, miss: float = 1e-5) -> D
     keyed = keyed.select(F.xxhash64("band", F.substring(F.col("sig"), F.col("band") * width + 1, F.lit(width))).alias("key"), "band", "print")
     mark = F.xxhash64("print")
     shared = stored(keyed.groupBy("key").agg(F.min(mark).alias("lo"), F.max(mark).alias("hi")).where("lo != hi").select("key"))
-    members = stored(keyed.join(shared, "key").distinct())
-    pivots = stored(members.groupBy("key").agg(F.min("print").alias("pivot")))
-    members = stored(members.join(pivots, "key"))
-    candidates = stored(members.select("print").distinct().join(vertices.select("print", "locator"), "print"))
-    sigs = signed.select("locator", F.col("print").alias("_print"), "sig").join(candidates, ["locator"]).where("_print = print").select("print", "locator", "sig")
+    members = stored(keyed.join(same_shape(shared), "key").distinct())
+    members = stored(members.join(members.groupBy("key").agg(F.min("print").alias("pivot")), "key"))
+    candidates = stored(members.select("print").distinct().join(same_shape(vertices.select("print", "locator")), "print"))
+    chunks = max(1, -(-candidates.count() // CHUNK))
+    chunk = F.pmod(F.xxhash64("print"), F.lit(chunks)).cast("int").alias("chunk")
+    candidates = candidates.select("print", "locator", chunk)
+    sigs = signed.select("locator", F.col("print").alias("_print"), F.col("sig").alias("data")).join(same_shape(candidates), "locator").where("_print = print").select("print", "chunk", "data")
     sigs = stored(sigs.dropDuplicates(["print"]))
-    star = members.where("print != pivot").select(F.col("pivot").alias("u"), F.col("print").alias("v")).distinct()
-    links = stored(confirm(star, sigs, docs, least, percent))
-    for best_only in (True, False):
-        pairs = across(members, sigs, components(links), least, best_only)
-        links = stored(links.unionByName(confirm(pairs, sigs, docs, least, percent)))
-    roots = vertices.select("print", "first_id").join(components(links).withColumnRenamed("node", "print"), "print", "left").select("print", "first_id", F.coalesce("root", "print").alias("root"))
+    sets = stored(sets_of(docs, candidates))
+    star = members.where("print != pivot").select("pivot", "print", chunk).groupBy(F.col("pivot").alias("u"), "chunk").agg(F.collect_set("print").alias("vs"))
+    labels = components(edges_of(meet(stored(meet(star, sigs, bayes)), sets, exact)))
+    rows, prints = across(members, sigs, labels, bayes)
+    links = edges_of(meet(rows, sets.join(prints, "print", "left_semi"), exact))
+    labels = components(labels.select(F.col("node").alias("u"), F.col("root").alias("v")).unionByName(links))
+    roots = vertices.select("print", "first_id").join(labels.withColumnRenamed("node", "print"), "print", "left").select("print", "first_id", F.coalesce("root", "print").alias("root"))
     ids = stored(roots.groupBy("root").agg(F.min("first_id").alias("component_id")))
-    classes = stored(roots.join(ids, "root").select("print", "component_id"))
-    found = signed.select("doc_id", "n_shingles", "print").join(classes, "print", "left")
+    classes = stored(roots.join(same_shape(ids), "root").select("print", "component_id"))
+    found = signed.select("doc_id", "n_shingles", "print").join(same_shape(classes), "print", "left")
     component = F.when(F.col("print").isNull(), F.col("doc_id")).otherwise(F.col("component_id"))
     kept = F.coalesce(F.col("doc_id") == component, F.col("print").isNull())
     return found.select("doc_id", "n_shingles", component.alias("component_id"), kept.alias("kept"))
