@@ -37,6 +37,11 @@ def stored(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def row_print(doc_id: Column, text: Column) -> Column:
+    """128 bits that tell rows of different ids or texts apart; never null, whatever is null in the row."""
+    return F.unhex(F.md5(F.concat(F.coalesce(doc_id.cast("string"), F.lit("")), F.coalesce(F.concat(F.lit(" "), text.cast("string")), F.lit("")))))
+
+
 def word_count(text: Column) -> Column:
     """Number of words; null and empty texts have none."""
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")

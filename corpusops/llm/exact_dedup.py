@@ -6,16 +6,16 @@ at a time, and each merge keeps the best entry (most code points, then smallest
 count of every digest. A digest that fills a third of the table is therefore cut down inside its own
 partitions, and no round hands a task more than `fan_in` entries of it.
 
-Defined results: a null text counts as empty, and all empty texts form one group. Rows that repeat the
-doc_id of the row that stays are kept with it. A null doc_id sorts after every other id and is matched
-null-safely. Other columns are never read, so their names don't matter. An empty table gives no rows.
+Defined results: a null text counts as empty, and all empty texts form one group. In `exact_dedup`, rows that
+repeat the doc_id of the row that stays are kept with it; `keep_one` leaves exactly one row of a group. A
+null doc_id sorts after every other id and is matched null-safely. Other columns are never read, so their names don't matter. An empty table gives no rows.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from corpusops.llm.common import stored, table
+from corpusops.llm.common import row_print, stored, table
 
 
 def normalised(text: Column) -> Column:
@@ -26,12 +26,13 @@ def normalised(text: Column) -> Column:
     return out
 
 
-def digest_rows(docs: DataFrame) -> DataFrame:
-    """doc_id, run, chars, and what identifies the normalised text: its SHA-256 and, to verify that,
+def digest_rows(docs: DataFrame, *more: str) -> DataFrame:
+    """doc_id, more, run, chars, and what identifies the normalised text: its SHA-256 and, to verify that,
     its byte length and a second hash."""
-    text = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"), normalised(F.col("text")).alias("norm"))
+    text = docs.select("doc_id", *more, F.coalesce("text", F.lit("")).alias("text"), normalised(F.col("text")).alias("norm"))
     return text.select(
         "doc_id",
+        *more,
         F.spark_partition_id().alias("run"),
         F.length("text").cast("long").alias("chars"),
         F.unhex(F.sha2("norm", 256)).alias("digest"),
@@ -43,15 +44,15 @@ def digest_rows(docs: DataFrame) -> DataFrame:
 SAME = ["digest", "norm_bytes", "check"]
 
 
-def tree_merge(rows: DataFrame, fan_in: int = 16, rounds: int = 2) -> DataFrame:
-    """One row per text: SAME, keep_id and group_size. `rounds` levels merge fan_in runs each; the last
-    merge takes what is left."""
-    best = F.struct((-F.col("chars")).alias("neg"), F.col("doc_id").isNull().alias("no_id"), "doc_id")
+def tree_merge(rows: DataFrame, fan_in: int = 16, rounds: int = 2, ties: tuple[str, ...] = ()) -> DataFrame:
+    """One row per text: SAME, keep_id, the columns of ties (which decide among rows of one id) and
+    group_size. `rounds` levels merge fan_in runs each; the last merge takes what is left."""
+    best = F.struct((-F.col("chars")).alias("neg"), F.col("doc_id").isNull().alias("no_id"), "doc_id", *ties)
     runs = rows.groupBy(*SAME, "run").agg(F.min(best).alias("best"), F.count(F.lit(1)).alias("n"))
     merge = [F.min("best").alias("best"), F.sum("n").alias("n")]
     for _ in range(rounds):
         runs = runs.withColumn("run", F.floor(F.col("run") / fan_in)).groupBy(*SAME, "run").agg(*merge)
-    return runs.groupBy(*SAME).agg(*merge).select(*SAME, F.col("best.doc_id").alias("keep_id"), F.col("n").alias("group_size"))
+    return runs.groupBy(*SAME).agg(*merge).select(*SAME, F.col("best.doc_id").alias("keep_id"), *[F.col(f"best.{t}").alias(t) for t in ties], F.col("n").alias("group_size"))
 
 
 def exact_dedup(docs: DataFrame, fan_in: int = 16, rounds: int = 2) -> DataFrame:
@@ -66,9 +67,10 @@ def exact_dedup(docs: DataFrame, fan_in: int = 16, rounds: int = 2) -> DataFrame
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
-    """docs without the rows that exact_dedup drops; rows that repeat a kept doc_id and text go too."""
-    kept = exact_dedup(docs).where("kept").select(F.col("doc_id").alias("_kept_id")).distinct()
-    return docs.join(kept, docs["doc_id"].eqNullSafe(kept["_kept_id"]), "left_semi").dropDuplicates(["doc_id", "text"])
+    """Exactly one row of docs for each group of equal texts, whether ids are null or repeated."""
+    rows = docs.withColumn("_row", row_print(F.col("doc_id"), F.col("text")))
+    kept = tree_merge(stored(digest_rows(rows, "_row")), ties=("_row",)).select("_row")
+    return rows.join(kept, "_row", "left_semi").dropDuplicates(["_row"]).select(*docs.columns)
 
 
 def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

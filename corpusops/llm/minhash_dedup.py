@@ -24,7 +24,8 @@ A pair of similarity 0.75 shares no bucket with probability (1 - 0.75 ** ROWS) *
 Defined results: a null text has no words; documents without words have size 0, are their own
 component and kept. Repeated rows are vertices of one print; every row whose doc_id equals the component's
 is kept. A null doc_id is never smallest, takes its component's id, and is not kept; a component of null
-ids alone has a null id. Only doc_id and text are read. An empty table gives no rows.
+ids alone has a null id. `keep_one` leaves exactly one row of a component, of null ids and of repeated ids
+too. Only doc_id and text are read. An empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -37,7 +38,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from corpusops.llm.common import stored, table
+from corpusops.llm.common import WORD, row_print, stored, table
 
 WORDS = 5
 BANDS, ROWS = 40, 5
@@ -134,8 +135,8 @@ def stack(column: pa.Array) -> np.ndarray:
 # --- jobs -------------------------------------------------------------------------------------------
 
 
-def sign(docs: DataFrame) -> DataFrame:
-    """doc_id, locator (what finds the text again), n_shingles, print, sig per row."""
+def sign(docs: DataFrame, *more: str) -> DataFrame:
+    """doc_id, locator (what finds the text again), n_shingles, print, sig and more (binary) per row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -145,14 +146,14 @@ def sign(docs: DataFrame) -> DataFrame:
                 sizes.append(len(x))
                 prints.append(xxhash.xxh3_128_digest(x.tobytes()) if len(x) else None)
                 sigs.append(signature(x).tobytes() if len(x) else None)
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(sizes, pa.int64()), pa.array(prints, pa.binary()), pa.array(sigs, pa.binary())], ["doc_id", "locator", "n_shingles", "print", "sig"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(sizes, pa.int64()), pa.array(prints, pa.binary()), pa.array(sigs, pa.binary()), *batch.columns[3:]], ["doc_id", "locator", "n_shingles", "print", "sig", *more])
 
-    return located(docs).mapInArrow(run, "doc_id long, locator long, n_shingles long, print binary, sig binary")
+    return located(docs, *more).mapInArrow(run, "doc_id long, locator long, n_shingles long, print binary, sig binary" + "".join(f", {c} binary" for c in more))
 
 
-def located(docs: DataFrame) -> DataFrame:
+def located(docs: DataFrame, *more: str) -> DataFrame:
     doc_id = F.col("doc_id").cast("long")
-    return docs.select(doc_id.alias("doc_id"), F.coalesce(doc_id, F.xxhash64("text")).alias("locator"), F.col("text").cast("string").alias("text"))
+    return docs.select(doc_id.alias("doc_id"), F.coalesce(doc_id, F.xxhash64("text")).alias("locator"), F.col("text").cast("string").alias("text"), *more)
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -295,10 +296,11 @@ def across(members: DataFrame, sigs: DataFrame, labels: DataFrame, test: Signatu
     return merged.select("u", "chunk", F.array_distinct(F.transform(mine, lambda x: x["v"])).alias("vs")), rows.select("print").distinct()
 
 
-def near_duplicates(docs: DataFrame, percent: int = 75, miss: float = 1e-5) -> DataFrame:
-    """doc_id, n_shingles, component_id, kept for every row of docs."""
+def rooted(docs: DataFrame, percent: int, miss: float, *more: str) -> tuple[DataFrame, DataFrame]:
+    """The signed rows with their columns more, and (print, first_id, root) of every print: its smallest doc_id
+    and its component."""
     bayes, exact = SignatureTest(percent / 100, miss), SetTest(percent)
-    signed = stored(sign(docs))
+    signed = stored(sign(docs, *more))
     some = signed.where("n_shingles > 0")
     vertices = stored(some.groupBy("print").agg(F.min("doc_id").alias("first_id"), F.min("locator").alias("locator")))
     band = F.explode(F.sequence(F.lit(0), F.lit(BANDS - 1))).alias("band")
@@ -322,6 +324,12 @@ def near_duplicates(docs: DataFrame, percent: int = 75, miss: float = 1e-5) -> D
     links = edges_of(meet(rows, sets.join(prints, "print", "left_semi"), exact))
     labels = components(labels.select(F.col("node").alias("u"), F.col("root").alias("v")).unionByName(links))
     roots = vertices.select("print", "first_id").join(labels.withColumnRenamed("node", "print"), "print", "left").select("print", "first_id", F.coalesce("root", "print").alias("root"))
+    return signed, roots
+
+
+def near_duplicates(docs: DataFrame, percent: int = 75, miss: float = 1e-5) -> DataFrame:
+    """doc_id, n_shingles, component_id, kept for every row of docs."""
+    signed, roots = rooted(docs, percent, miss)
     ids = stored(roots.groupBy("root").agg(F.min("first_id").alias("component_id")))
     classes = stored(roots.join(same_shape(ids), "root").select("print", "component_id"))
     found = signed.select("doc_id", "n_shingles", "print").join(same_shape(classes), "print", "left")
@@ -330,10 +338,16 @@ def near_duplicates(docs: DataFrame, percent: int = 75, miss: float = 1e-5) -> D
     return found.select("doc_id", "n_shingles", component.alias("component_id"), kept.alias("kept"))
 
 
-def keep_one(docs: DataFrame) -> DataFrame:
-    """docs without the rows that near_duplicates drops."""
-    kept = near_duplicates(docs).where("kept").select(F.col("doc_id").alias("_kept_id")).distinct()
-    return docs.join(kept, docs["doc_id"].eqNullSafe(kept["_kept_id"]), "left_semi")
+def keep_one(docs: DataFrame, percent: int = 75, miss: float = 1e-5) -> DataFrame:
+    """Exactly one row of docs for each component, the one of its smallest doc_id (null after all others),
+    and every row without words."""
+    rows = docs.withColumn("_row", row_print(F.col("doc_id"), F.col("text")))
+    signed, roots = rooted(rows, percent, miss, "_row")
+    row = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "_row")
+    best = signed.where("print IS NOT NULL").groupBy("print").agg(F.min(row).alias("row"))
+    kept = best.join(same_shape(roots), "print").groupBy("root").agg(F.min("row").alias("row")).select("row._row")
+    wordless = ~F.coalesce(F.col("text").cast("string").rlike(WORD), F.lit(False))
+    return rows.join(kept, "_row", "left_semi").dropDuplicates(["_row"]).unionByName(rows.where(wordless)).select(*docs.columns)
 
 
 def op2_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

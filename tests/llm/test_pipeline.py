@@ -47,3 +47,25 @@ def test_run_matches_brute_force_after_the_classifier(spark):
     want = sorted((r.doc_id, len(e := enc.encode_ordinary(r.text)), hashlib.sha256(" ".join(map(str, e)).encode()).hexdigest()) for r in near.collect() for _ in range(copies.get(r.doc_id, 0)))
     got = corpus_pipeline.run(spark, SF).collect()
     assert sorted((r.doc_id, r.n_tokens, r.ids_sha256) for r in got) == want
+
+
+def test_dedup_stages_keep_one_row_of_null_and_repeated_ids(spark):
+    text = lambda seed: " ".join(f"t{seed}w{i}" for i in range(40))
+    rows = [
+        (None, text(1)), (None, text(1)), (None, text(1) + " more"),  # null ids alone: exact and near copies
+        (None, text(2)),  # unique, of a null id
+        (None, " "), (None, None),  # no words
+        (3, text(3)), (None, text(3)), (None, text(3).upper()),
+        (4, text(4)), (4, text(5)), (2, text(5)), (4, text(5) + " more"),  # an id of two texts; 2 is the smaller in the second group
+        (6, text(6)), (6, text(6)), (6, text(6) + "\n"), (6, text(6) + " more"),
+    ]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    exact = corpus_pipeline.exact(spark, docs, SF)
+    bare = lambda t: "".join((t or "").split())
+    assert sorted(bare(r.text) for r in exact.collect()) == sorted({bare(t) for _, t in rows})
+    for given in (exact, docs):
+        near = corpus_pipeline.near(spark, given, SF)
+        assert near.columns == ["doc_id", "text"]
+        got = [(r.doc_id, r.text.split()[0].lower()[:2]) for r in near.collect() if bare(r.text)]
+        assert sorted(got, key=lambda x: x[1]) == [(None, "t1"), (None, "t2"), (3, "t3"), (4, "t4"), (2, "t5"), (6, "t6")]
+    assert sum(not bare(r.text) for r in corpus_pipeline.near(spark, docs, SF).collect()) == 2
