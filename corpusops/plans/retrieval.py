@@ -297,6 +297,20 @@ def _(spark, sf):
     return E.precision_recall_f1(found, wanted)
 
 
+@query("precision_recall_f1_all", bm25_sql(k=5) + """, w AS (SELECT doc_id % 40 AS part, count(DISTINCT doc_id) AS wanted FROM documents GROUP BY 1),
+  c AS (SELECT query_id, count(*) AS found, count(*) FILTER (doc_id % 40 = query_id % 40) AS n_both FROM bm25 GROUP BY 1),
+  pr AS (SELECT query_id, coalesce(n_both, 0) AS n_both, coalesce(found, 0) AS found, coalesce(wanted, 0) AS wanted FROM c FULL JOIN (SELECT item_id AS query_id, wanted FROM benchmark JOIN w ON part = item_id % 40) USING (query_id)),
+  s AS (SELECT query_id, CASE WHEN found = 0 THEN 0 ELSE n_both / found::DOUBLE END AS p, CASE WHEN wanted = 0 THEN 1 ELSE n_both / wanted::DOUBLE END AS r FROM pr)
+  SELECT query_id, round(p, 6) AS precision, round(r, 6) AS recall, round(CASE WHEN p + r = 0 THEN 0 ELSE 2 * p * r / (p + r) END, 6) AS f1 FROM s""")
+def _(spark, sf):
+    """precision_recall_f1 judged by all documents, which are counted before they meet the questions."""
+    asked, docs = questions(spark, sf), documents(spark, sf)
+    found = L.search(asked, docs, "doc_id", "text", 5).select("query_id", (F.col("doc_id") % 40 == F.col("query_id") % 40).alias("hit"))
+    counts = docs.groupBy((F.col("doc_id") % 40).alias("part")).agg(F.count_distinct("doc_id").alias("w"))
+    wanted = asked.join(F.broadcast(counts), F.col("query_id") % 40 == F.col("part")).select("query_id", "w")  # 40 rows
+    return E.precision_recall_f1_counts(found, wanted)
+
+
 @query("filter_accuracy", knn_sql(k=10) + " SELECT query_id, bool_and(label = query_label) AND NOT bool_or(label = (query_label + 1) % 10) AS ok FROM knn GROUP BY query_id")
 def _(spark, sf):
     asked, rows = vectors(spark, sf)

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from corpusops.functions import decompose, text as T
 from corpusops.operators import evaluation, lexical, limits, preprocessing, ranking, vectors
+from corpusops.queries import QUERIES
 from corpusops.sources import files, html
 from corpusops.streaming import admission
 
@@ -192,3 +193,10 @@ def test_block_search_equals_expression_search(spark):
     assert key(vectors.knn(asked, corpus, 5)) == key(vectors.knn_blocks(asked, corpus, 5))
 
 
+
+
+def test_precision_and_recall_count_documents_of_high_ids(spark, tmp_path):
+    spark.createDataFrame([(i, "apple" if i == 441 else "pear") for i in range(600)], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(1, "apple"), (2, "plum")], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    got = {r.query_id: (r.precision, r.recall, r.f1) for r in QUERIES["precision_recall_f1_all"](spark, str(tmp_path)).collect()}
+    assert got == {1: (1.0, round(1 / 15, 6), 0.125), 2: (0.0, 0.0, 0.0)}
