@@ -7,9 +7,9 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.window import Window
 
 from corpusops.functions import decompose as Q, rules as C, text as T
-from corpusops.operators import preprocessing as F2
+from corpusops.operators import lexical as L, preprocessing as F2
 from corpusops.plans.registry import query, read
-from corpusops.plans.retrieval import sql_tokens
+from corpusops.plans.retrieval import IDF, TOKENS, sql_tokens
 
 CODES = ["AB", "CS", "MATH", "PHYS", "BRAND"]
 SYNONYMS = {"the": "der", "and": "und", "of": "von", "of the": "vom", "to": "zu"}
@@ -340,3 +340,24 @@ def _(spark, sf):
     parts = F.slice(F.split("text", r"\. "), 1, 2)
     subs = read(spark, sf, "benchmark").select("item_id", F.posexplode(parts).alias("i", "text"))
     return subs.select((F.col("item_id") * 10 + F.col("i")).alias("query_id"), F.size(T.tokenize(F.col("text"))).alias("n_tokens"))
+
+
+@query("sub_query_search", f"""{TOKENS} s AS (SELECT item_id, generate_subscripts(parts, 1) - 1 AS sub_no, unnest(parts) AS text FROM (SELECT item_id, string_split(text, '. ') AS parts FROM benchmark)),
+  q AS (SELECT item_id, sub_no, term, count(*) AS qtf FROM (SELECT item_id, sub_no, unnest({sql_tokens('text')}) AS term FROM s) GROUP BY ALL),
+  p AS (SELECT doc_id, len(tokens) AS length, unnest(tokens) AS term FROM d), t AS (SELECT doc_id, length, term, count(*) AS tf FROM p GROUP BY ALL), f AS (SELECT term, count(*) AS df FROM t GROUP BY ALL),
+  b AS (SELECT item_id, sub_no, doc_id, round(sum(qtf * {IDF} * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * length / mean_length))), 6) AS score
+        FROM t JOIN f USING (term) CROSS JOIN (SELECT count(*) AS n_docs, avg(len(tokens)) AS mean_length FROM d) m JOIN q USING (term) GROUP BY ALL),
+  k AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY item_id, sub_no ORDER BY score DESC, doc_id) AS rank FROM b WHERE score > 0) WHERE rank <= 5),
+  r AS (SELECT item_id AS query_id, sub_no, rank, text, source FROM k JOIN documents USING (doc_id)),
+  n AS (SELECT query_id, count(DISTINCT left(text, 100)) AS n_results FROM r WHERE text <> '' GROUP BY 1),
+  c AS (SELECT query_id, string_agg(context, chr(10) || '---' || chr(10) ORDER BY sub_no) AS context FROM (SELECT query_id, sub_no, min_by(text, rank) AS context FROM r GROUP BY ALL) GROUP BY 1),
+  o AS (SELECT query_id, string_agg(source, ',' ORDER BY source) AS sources FROM (SELECT DISTINCT query_id, source FROM r) GROUP BY 1)
+  SELECT query_id, n_results, md5(context) AS context, sources FROM n JOIN c USING (query_id) JOIN o USING (query_id)""")
+def _(spark, sf):
+    """Every sentence of a question is a sub-question; one search answers all of them, and the results are
+    merged by question."""
+    parts = read(spark, sf, "benchmark").select("item_id", F.posexplode(F.split("text", r"\. ")).alias("sub_no", "text"))
+    found = L.search(parts.select(F.struct("item_id", "sub_no").alias("query_id"), "text"), docs(spark, sf), "doc_id", "text", 5)
+    results = found.join(docs(spark, sf).select("doc_id", "text", "source"), "doc_id")
+    results = results.select("query_id.item_id", "query_id.sub_no", "rank", F.col("text").alias("content"), "source", F.col("text").alias("context"))
+    return Q.merge_sub_results(results.withColumnRenamed("item_id", "query_id")).select("query_id", "n_results", F.md5("context").alias("context"), "sources")

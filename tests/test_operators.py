@@ -1,6 +1,7 @@
 """Units of the library against plain restatements and literal cases."""
 
 import collections
+import hashlib
 import json
 import math
 import random
@@ -200,3 +201,11 @@ def test_precision_and_recall_count_documents_of_high_ids(spark, tmp_path):
     spark.createDataFrame([(1, "apple"), (2, "plum")], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
     got = {r.query_id: (r.precision, r.recall, r.f1) for r in QUERIES["precision_recall_f1_all"](spark, str(tmp_path)).collect()}
     assert got == {1: (1.0, round(1 / 15, 6), 0.125), 2: (0.0, 0.0, 0.0)}
+
+
+def test_sub_queries_after_the_second_are_searched_and_merged(spark, tmp_path):
+    spark.createDataFrame([(1, "apple", "a"), (2, "pear", "b"), (3, "plum", "c")], "doc_id long, text string, source string").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(7, "apple. nothing. plum. pear")], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    got = QUERIES["sub_query_search"](spark, str(tmp_path)).collect()
+    want = hashlib.md5(b"apple\n---\nplum\n---\npear").hexdigest()
+    assert [(r.query_id, r.n_results, r.context, r.sources) for r in got] == [(7, 3, want, "a,b,c")]
