@@ -7,7 +7,7 @@ from pyspark.sql.window import Window
 
 from corpusops.functions import text as T
 from corpusops.operators import evaluation as E, lexical as L, ranking as R, rerank as R2, vectors as V
-from corpusops.plans.registry import query, read
+from corpusops.plans.registry import ORACLE, query, read
 
 STOP = ", ".join(f"'{w}'" for w in T.STOPWORDS)
 
@@ -194,6 +194,18 @@ def _(spark, sf):
     return R.top_k(fused, ["query_id"], [F.desc("score"), F.asc("first_list"), F.asc("first_rank")], 5).select("query_id", "key", "score", "rank")
 
 
+def hybrid(spark: SparkSession, sf: str, question: Column) -> DataFrame:
+    """Vectors and documents of one id stand for each other; question is made of the document's text."""
+    asked, rows = vectors(spark, sf)
+    docs = documents(spark, sf)
+    near = V.knn(asked.drop("label"), rows, 11).where("query_id != vec_id")
+    near = R.top_k(near, ["query_id"], [F.asc("rank")], 10, "place").where(V.distance_to_score(F.col("distance")) >= 0.25).select("query_id", F.col("vec_id").alias("key"), F.col("place").alias("rank"))
+    said = docs.join(asked.select("query_id"), F.col("doc_id") == F.col("query_id")).select("query_id", question.alias("text"))
+    words = L.search(said, docs, "doc_id", "text", 10).select("query_id", F.col("doc_id").alias("key"), "rank")
+    fused = R.reciprocal_rank_fusion([near, words], [0.6, 0.4]).withColumn("score", F.round("score", 9))
+    return R.top_k(fused, ["query_id"], [F.desc("score"), F.asc("first_list"), F.asc("first_rank")], 5).select("query_id", "key", "score", "rank")
+
+
 @query("hybrid_search", knn_sql("q.vec_id <> c.vec_id", 10) + f""", h AS (SELECT query_id, vec_id, rank FROM knn WHERE 1 - distance >= 0.25),
   d AS (SELECT doc_id, {sql_tokens('text')} AS tokens FROM documents), p AS (SELECT doc_id, len(tokens) AS length, unnest(tokens) AS term FROM d),
   t AS (SELECT doc_id, length, term, count(*) AS tf FROM p GROUP BY ALL), f AS (SELECT term, count(*) AS df FROM t GROUP BY ALL),
@@ -205,15 +217,14 @@ def _(spark, sf):
   g AS (SELECT query_id, key, round(sum(share), 9) AS score, min(list * 1000 + rank) AS first FROM u GROUP BY ALL)
   SELECT query_id, key, score, rank FROM (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, first) AS INT) AS rank FROM g) WHERE rank <= 5""")
 def _(spark, sf):
-    """Vectors and documents of one id stand for each other; the first 200 characters are the question."""
-    asked, rows = vectors(spark, sf)
-    docs = documents(spark, sf)
-    near = V.knn(asked.drop("label"), rows, 11).where("query_id != vec_id")
-    near = R.top_k(near, ["query_id"], [F.asc("rank")], 10, "place").where(V.distance_to_score(F.col("distance")) >= 0.25).select("query_id", F.col("vec_id").alias("key"), F.col("place").alias("rank"))
-    said = docs.join(asked.select("query_id"), F.col("doc_id") == F.col("query_id")).select("query_id", F.substring("text", 1, 200).alias("text"))
-    words = L.search(said, docs, "doc_id", "text", 10).select("query_id", F.col("doc_id").alias("key"), "rank")
-    fused = R.reciprocal_rank_fusion([near, words], [0.6, 0.4]).withColumn("score", F.round("score", 9))
-    return R.top_k(fused, ["query_id"], [F.desc("score"), F.asc("first_list"), F.asc("first_rank")], 5).select("query_id", "key", "score", "rank")
+    """The first 200 characters are the question."""
+    return hybrid(spark, sf, F.substring("text", 1, 200))
+
+
+@query("hybrid_search_whole", ORACLE["hybrid_search"].replace("left(text, 200)", "text"))
+def _(spark, sf):
+    """hybrid_search with the whole text as the question."""
+    return hybrid(spark, sf, F.col("text"))
 
 
 @query("stable_key", "SELECT page_id, CASE WHEN url <> '' AND page_id % 2 = 0 THEN 'url:' || url ELSE 'sha1:' || sha1(html) END AS key FROM pages")

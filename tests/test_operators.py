@@ -203,6 +203,14 @@ def test_precision_and_recall_count_documents_of_high_ids(spark, tmp_path):
     assert got == {1: (1.0, round(1 / 15, 6), 0.125), 2: (0.0, 0.0, 0.0)}
 
 
+def test_hybrid_search_asks_words_after_character_200(spark, tmp_path):
+    texts = {0: "the " * 60 + "zebra", 1: "zebra zebra", 2: "music"}
+    spark.createDataFrame([*texts.items()], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(0, [1.0, 0.0], 0), (1, [0.0, 1.0], 0), (2, [0.0, 1.0], 0)], "vec_id long, embedding array<float>, label int").write.parquet(f"{tmp_path}/embeddings.parquet")
+    assert QUERIES["hybrid_search"](spark, str(tmp_path)).count() == 0
+    assert {r.key for r in QUERIES["hybrid_search_whole"](spark, str(tmp_path)).collect()} == {0, 1}
+
+
 def test_sub_queries_after_the_second_are_searched_and_merged(spark, tmp_path):
     spark.createDataFrame([(1, "apple", "a"), (2, "pear", "b"), (3, "plum", "c")], "doc_id long, text string, source string").write.parquet(f"{tmp_path}/documents.parquet")
     spark.createDataFrame([(7, "apple. nothing. plum. pear")], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
