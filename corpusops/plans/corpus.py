@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from corpusops.functions import rules as C, text as T
 from corpusops.operators import context as X, documents as D, lexical as L, relations as G
-from corpusops.plans.registry import query, read
+from corpusops.plans.registry import ORACLE, query, read
 from corpusops.plans.retrieval import bm25_sql, documents, questions
 
 
@@ -175,11 +175,11 @@ CAL = ", ".join(f"(o_orderkey >> {i}) % 2 = 1 AS {d}" for i, d in enumerate(DAYN
 ROUTED = f"WITH t AS (SELECT DISTINCT c_custkey AS route_id, o_orderkey AS service_id FROM customer LEFT JOIN orders ON o_custkey = c_custkey AND o_orderkey % 4 = 0), c AS (SELECT o_orderkey AS service_id, {CAL} FROM orders), s AS (SELECT route_id, " + ", ".join(f"coalesce(bool_or({d}), false) AS {d}" for d in DAYNAMES) + " FROM t LEFT JOIN c USING (service_id) GROUP BY route_id)"
 
 
-def service_days(spark: SparkSession, sf: str) -> DataFrame:
-    """Customers stand for routes, every fourth of their orders for a service, bits of its key for days."""
+def service_days(spark: SparkSession, sf: str, chosen: str = "o_orderkey % 4 = 0") -> DataFrame:
+    """Customers stand for routes, their chosen orders for services, bits of an order's key for days."""
     orders = read(spark, sf, "orders")
     routes = read(spark, sf, "customer").select(F.col("c_custkey").alias("route_id"))
-    trips = orders.where("o_orderkey % 4 = 0").select(F.col("o_custkey").alias("route_id"), F.col("o_orderkey").alias("service_id"))
+    trips = orders.where(chosen).select(F.col("o_custkey").alias("route_id"), F.col("o_orderkey").alias("service_id"))
     calendar = orders.select(F.col("o_orderkey").alias("service_id"), *[(F.shiftright("o_orderkey", i) % 2 == 1).alias(d) for i, d in enumerate(DAYNAMES)])
     return G.route_service_days(routes, trips, calendar)
 
@@ -197,6 +197,17 @@ def _(spark, sf):
     return service_days(spark, sf).select("route_id", G.day_label().alias("label"))
 
 
+@query("route_service_days_all", ORACLE["route_service_days"].replace(" AND o_orderkey % 4 = 0", ""))
+def _(spark, sf):
+    """route_service_days with every order as a service."""
+    return service_days(spark, sf, "true")
+
+
+@query("day_label_all", ORACLE["day_label"].replace(" AND o_orderkey % 4 = 0", ""))
+def _(spark, sf):
+    return service_days(spark, sf, "true").select("route_id", G.day_label().alias("label"))
+
+
 @query("numeric_first_sort", "SELECT p_brand, CAST(dense_rank() OVER (ORDER BY coalesce(TRY_CAST(replace(p_brand, 'Brand#', '') AS INT), 999), p_brand) AS INT) AS place FROM (SELECT DISTINCT p_brand FROM part)")
 def _(spark, sf):
     from pyspark.sql.window import Window

@@ -11,7 +11,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from corpusops.functions import decompose, text as T
-from corpusops.operators import evaluation, lexical, limits, preprocessing, ranking, vectors
+from corpusops.operators import evaluation, lexical, limits, preprocessing, ranking, relations, vectors
 from corpusops.queries import QUERIES
 from corpusops.sources import files, html
 from corpusops.streaming import admission
@@ -203,6 +203,18 @@ def test_precision_and_recall_count_documents_of_high_ids(spark, tmp_path):
     assert got == {1: (1.0, round(1 / 15, 6), 0.125), 2: (0.0, 0.0, 0.0)}
 
 
+def test_every_order_is_a_service_and_one_may_miss_its_calendar(spark, tmp_path):
+    spark.createDataFrame([(1,), (2,)], "c_custkey long").write.parquet(f"{tmp_path}/customer.parquet")
+    spark.createDataFrame([(4, 1), (3, 1)], "o_orderkey long, o_custkey long").write.parquet(f"{tmp_path}/orders.parquet")
+    got = {r.route_id: r.label for r in QUERIES["day_label_all"](spark, str(tmp_path)).collect()}
+    assert got == {1: "Mon, Tue, Wed", 2: "Special schedule"}
+    days = {r.route_id: r.wednesday for r in QUERIES["route_service_days_all"](spark, str(tmp_path)).collect()}
+    assert days == {1: True, 2: False}
+    routes, trips = spark.createDataFrame([(1,)], "route_id long"), spark.createDataFrame([(1, 9)], "route_id long, service_id long")
+    calendar = spark.createDataFrame([(8, *[True] * 7)], "service_id long, " + ", ".join(f"{d} boolean" for d in relations.DAYS))
+    assert not any(relations.route_service_days(routes, trips, calendar).drop("route_id").first())
+
+
 def test_hybrid_search_asks_words_after_character_200(spark, tmp_path):
     texts = {0: "the " * 60 + "zebra", 1: "zebra zebra", 2: "music"}
     spark.createDataFrame([*texts.items()], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
