@@ -11,20 +11,19 @@ Files are written by Spark's own writer in the shared folder and read by its bin
 system that Spark reaches will do. Documents are dealt to files by ranges of doc_id that hold equal
 numbers of documents; the order of files is that of their names.
 
-Defined results: a null text is empty; an empty document holds the end id alone. Null doc_ids come
-first, documents with the same doc_id follow one another by their ids' bytes. Only doc_id and text are
-read. An empty table gives no rows.
+Defined results: a null text is empty; an empty document holds the end id alone. Texts of any length are
+encoded whole. Null doc_ids come first, documents with the same doc_id follow one another by their ids'
+bytes. Only doc_id and text are read. An empty table gives no rows.
 """
 
 from __future__ import annotations
 
 import functools
-import itertools
 import json
 import re
 import struct
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import public_tokenizers
@@ -38,23 +37,49 @@ from corpusops.llm.common import shared_dir, stored, table
 from corpusops.llm.token_counts import PLAIN, byte_letters
 
 VOCABULARY = public_tokenizers.path("byte_bpe_50k.json")
-#: Words that a worker remembers at most; beyond it starts anew.
-REMEMBERED = 600_000
+#: Words that a worker remembers at most, of those after a space, of others, and of parts of words.
+REMEMBERED = 800_000
 NO_ID = -(2**63)
 
 
 # --- encoding ---------------------------------------------------------------------------------------
 
 
+class Odd(Exception):
+    """A space stands before white space or at the end of the text."""
+
+
+class Words(dict):
+    """Ids of words, found when first asked for. Of the words in use two generations are remembered, of at
+    most half of REMEMBERED each; a word of over 64 characters hardly returns and is not."""
+
+    def __init__(self, find: Callable[[str], bytes]):
+        super().__init__()
+        self.find, self.old = find, {}
+
+    def __missing__(self, word: str) -> bytes:
+        ids = self.old.get(word)
+        if ids is None:
+            ids = self.find(word)
+        if len(word) <= 64:
+            if len(self) >= REMEMBERED // 2:
+                self.old = dict(self)
+                self.clear()
+            self[word] = ids
+        return ids
+
+
 class Encoder:
     """Ids of whole texts as the tokenizers library gives them.
 
     A text is cut at each single space that a character other than white space follows: a match of the
-    byte-level pattern takes such a space only as its first character. What the library makes of a piece
-    is remembered, so the library sees each frequent piece once per worker. A text that holds a special
-    string goes to the library whole."""
+    byte-level pattern takes such a space only as its first character. The ids of a word, the space before it
+    included, are remembered. For a new word of plain characters (see PLAIN) the matches of the pattern are
+    found here, and the library's model gives the ids of each match; other words go through the whole
+    library, and a text that holds a special string goes to it uncut."""
 
     cut = re.compile(r" (?=\S)")
+    signs = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
 
     def __init__(self, path: str, width: str = "<u4"):
         self.library, self.width = Tokenizer.from_file(path), np.dtype(width)
@@ -62,31 +87,41 @@ class Encoder:
         self.pattern, self.letters = regex.compile(public_tokenizers.PATTERN), byte_letters()
         raw = np.arange(self.library.get_vocab_size(), dtype=self.width).tobytes()
         self.bytes_of = [raw[i : i + self.width.itemsize] for i in range(0, len(raw), self.width.itemsize)]
-        self.known: dict[str, bytes] = {}  # of a word with the space before it
-        self.parts: dict[str, bytes] = {}  # of a match of the pattern
-
-    def learn(self, words: list[str]) -> None:
-        """Plain words are cut by the pattern, and the library's model gives the ids of each part that is new;
-        for all others the library does the cutting too."""
-        plain, other, tokenize = [], [], self.library.model.tokenize
-        for w in words:
-            (plain if w.isascii() or not PLAIN.search(w) else other).append(w)
-        for w in plain:
-            parts = self.pattern.findall(" " + w)
-            for part in parts:
-                if part not in self.parts:
-                    # ASCII letters stand for themselves, the space for the letter of byte 32
-                    letters = self.letters[32] + part[1:] if part[0] == " " and part.isascii() and part[1:].isalpha() else "".join(map(self.letters.__getitem__, part.encode()))
-                    self.parts[part] = b"".join([self.bytes_of[t.id] for t in tokenize(letters)])
-            self.known[w] = self.parts[parts[0]] if len(parts) == 1 else b"".join(map(self.parts.__getitem__, parts))
-        for lo in range(0, len(other), 1000):
-            some = [" " + w for w in other[lo : lo + 1000]]
-            got = self.library.encode(some, is_pretokenized=True, add_special_tokens=False)
-            ends = np.searchsorted(np.array(got.word_ids, np.int64), np.arange(len(some)), side="right") * self.width.itemsize
-            raw, at = self.array(got.ids), 0
-            for word, end in zip(other[lo : lo + 1000], ends.tolist(), strict=True):
-                self.known[word] = raw[at:end]
-                at = end
+        self.after = Words(self.word_after_space)
+        self.first = Words(functools.partial(self.word, ""))
+        self.parts = Words(self.part)
+
+    def part(self, part: str) -> bytes:
+        """Ids of one match of the pattern."""
+        if part.isascii() and part.isalpha():  # these letters stand for themselves
+            return self.of_letters(part)
+        return self.of_letters("".join(map(self.letters.__getitem__, part.encode())))
+
+    def of_letters(self, letters: str) -> bytes:
+        ids = self.bytes_of
+        return b"".join([ids[t.id] for t in self.library.model.tokenize(letters)])
+
+    def word_after_space(self, word: str) -> bytes:
+        if word.isascii() and word.isalpha():
+            return self.of_letters(self.letters[32] + word)
+        if not word or word[0].isspace():
+            raise Odd
+        return self.word(" ", word)
+
+    def word(self, before: str, word: str) -> bytes:
+        """Ids of a word and of what stands before it: a space or, at the start of a text or line, nothing."""
+        if PLAIN.search(word):
+            return self.array(self.library.encode([before + word], is_pretokenized=True, add_special_tokens=False).ids)
+        if word.isalpha():
+            return self.part(before + word)
+        known = self.after if before else self.first
+        body = word.rstrip(self.signs)
+        if body.isalpha() and body is not word:  # the signs at the end are one match
+            return known[body] + self.parts[word[len(body) :]]
+        lines = word.split("\n")
+        if len(lines) > 1 and word.split() == lines:  # a line feed between other characters is a match of its own
+            return known[lines[0]] + b"".join([self.parts["\n"] + self.first[x] for x in lines[1:]])
+        return b"".join(map(self.parts.__getitem__, self.pattern.findall(before + word)))
 
     def array(self, ids: list[int]) -> bytes:
         return np.array(ids, self.width).tobytes()
@@ -94,28 +129,21 @@ class Encoder:
     def whole(self, text: str) -> bytes:
         return self.array(self.library.encode(text, add_special_tokens=False).ids)
 
+    def cut_up(self, first: str, *words: str) -> bytes:
+        return b"".join((self.first[first], *map(self.after.__getitem__, words)))
+
+    def ids(self, text: str) -> bytes:
+        if any(s in text for s in self.special):
+            return self.whole(text)
+        try:
+            return self.cut_up(*text.split(" "))
+        except Odd:  # such spaces stay with the word before
+            return self.cut_up(*self.cut.split(text))
+
     def encode(self, texts: list[str], end_id: int) -> list[bytes]:
         """The ids of each text, the end id added, as little-endian integers."""
-        if len(self.known) > REMEMBERED:
-            self.known.clear()
-        if len(self.parts) > REMEMBERED // 2:
-            self.parts.clear()
         end = self.array([end_id])
-        split = [None if any(s in t for s in self.special) else t.split(" ") for t in texts]
-        new = set(itertools.chain.from_iterable(s[1:] for s in split if s)).difference(self.known)
-        odd = {w for w in new if not w or w[0].isspace()}
-        if odd:  # some spaces are followed by white space: cut those texts at the others only
-            split = [s if not s or odd.isdisjoint(s[1:]) else self.cut.split(t) for s, t in zip(split, texts, strict=True)]
-            new = set(itertools.chain.from_iterable(s[1:] for s in split if s)).difference(self.known)
-        self.learn(list(new))
-        known = self.known.__getitem__
-        out = [self.whole(t) + end if s is None else b"".join((self.whole(s[0]), *map(known, s[1:]), end)) for s, t in zip(split, texts, strict=True)]
-        for word in new:
-            if len(word) > 64:  # a long one hardly returns
-                del self.known[word]
-        for part in [p for p in self.parts if len(p) > 64] if any(len(w) > 64 for w in new) else []:
-            del self.parts[part]
-        return out
+        return [self.ids(t) + end for t in texts]
 
 
 @functools.lru_cache(maxsize=2)
