@@ -1,12 +1,15 @@
 """Byte-level BPE encoding and decoding with the tiktoken library and a local rank file.
 
 Texts over LONG characters are cut before they reach the library, only where a match of the pattern
-surely ends: before a single space between two characters that are not white space, as a match takes a
-space only as its first character or in a run of white space. Pieces are encoded one by one and their
-ids joined, so memory is bounded by the piece, and the ids are those of the whole text.
-
-Defined results: a null text is empty; an empty text has no ids and the digests of nothing. One row per
-row of the input, repeated rows too. Only doc_id and text are read.
+surely ends: before white space that follows another character, as a match has white space at its start
+only. Pieces are encoded one by one and their ids joined, so memory is bounded by the piece, and the ids are
+those of the whole text. A run of white space of over LONG characters, all but its last character if
+another character follows, is one match; it goes to the library as such, since the library's search for a
+match gives up in runs of a million.
+
+Defined results: a null text is empty; an empty text has no ids and the digests of nothing. Texts of any
+length are encoded whole; one of over LONG characters without white space is one piece. One row per row of
+the input, repeated rows too. An empty table gives no rows. Only doc_id and text are read.
 """
 
 from __future__ import annotations
@@ -26,7 +29,9 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from corpusops.llm.common import table
 
 LONG = 65_536
-SAFE = re.compile(r"(?<=\S) (?=\S)")
+#: What \s stands for in the pattern.
+SPACE = r"[\x09-\x0d\x20\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]"
+SAFE = re.compile(rf"(?<!{SPACE})(?={SPACE})")
 RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
 
 
@@ -37,19 +42,30 @@ def encoding(path: str, pattern: str = public_tokenizers.PATTERN) -> tiktoken.En
     return tiktoken.Encoding(os.path.basename(path), pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
 
 
-def pieces(text: str, long: int = LONG) -> Iterator[str]:
-    """The text in pieces of about `long` characters, cut at safe boundaries; a text without any stays whole."""
+def pieces(text: str, long: int = LONG) -> Iterator[tuple[str, bool]]:
+    """The text in pieces of about `long` characters, cut at safe boundaries, and whether each is one match of
+    the pattern; what has no safe boundary stays whole."""
     start = 0
-    while len(text) - start > long and (cut := SAFE.search(text, start + long)):
-        yield text[start : cut.start()]
-        start = cut.start()
-    yield text[start:]
+    for run in [*long_run(long).finditer(text), None]:
+        end = run.start() if run else len(text)
+        while end - start > long and (cut := SAFE.search(text, start + long, end)):
+            yield text[start : cut.start()], False
+            start = cut.start()
+        yield text[start:end], False
+        if run:
+            start = run.end() - (run.end() < len(text))
+            yield text[end:start], True
+
+
+@functools.lru_cache(maxsize=4)
+def long_run(long: int) -> re.Pattern:
+    return re.compile(f"(?<!{SPACE}){SPACE}{{{long + 1},}}")
 
 
 def encode(text: str, enc: tiktoken.Encoding, long: int = LONG) -> list[int]:
     if len(text) <= long:
         return enc.encode_ordinary(text)
-    return [i for piece in pieces(text, long) for i in enc.encode_ordinary(piece)]
+    return [i for piece, match in pieces(text, long) for i in (enc._encode_single_piece(piece) if match else enc.encode_ordinary(piece))]
 
 
 def decode(ids: list[int], enc: tiktoken.Encoding) -> bytes:
