@@ -12,6 +12,7 @@ import zlib
 import numpy as np
 import public_tokenizers
 import pytest
+import regex
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
@@ -281,6 +282,41 @@ def test_encoder_equals_the_library():
     assert got == [np.array([*e.ids, 0], "<u4").tobytes() for e in lib.encode_batch(texts, add_special_tokens=False)]
 
 
+def test_encoder_forgets_words_without_changing_ids(monkeypatch):
+    monkeypatch.setattr(packed_ids, "REMEMBERED", 8)
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    lib, texts = Tokenizer.from_file(path), odd_texts() + [words(300, i) + ",\nLine. \"Said\" she's" for i in range(5)]
+    got = packed_ids.Encoder(path).encode(texts, 7)
+    assert got == [np.array([*e.ids, 7], "<u4").tobytes() for e in lib.encode_batch(texts, add_special_tokens=False)]
+
+
+LONG_TEXTS = {
+    "spaces": " " * 1_000_000,
+    "line feeds": "\n" * 1_000_001,
+    "mixed white space": "x" + " \n\t" * 400_000 + "y",
+    "one word": "".join(random.Random(9).choices("abcdefghij", k=300_000)),
+    "a run between words": "ab cd" * 20_000 + " " * 1_100_000 + "ef gh" * 20_000,
+    "signs": "!?" * 100_000,
+}
+
+
+@pytest.mark.parametrize("name", LONG_TEXTS)
+def test_very_long_texts_in_ids(name):
+    """Against the pattern's matches, found by another library and encoded one by one."""
+    text, enc = LONG_TEXTS[name], rank_bpe.encoding(rank_bpe.RANKS)
+    want = [i for m in regex.findall(public_tokenizers.PATTERN, text) for i in enc._encode_single_piece(m)]
+    assert rank_bpe.encode(text, enc) == want
+    assert rank_bpe.decode(want, enc) == text.encode()
+    packed = packed_ids.Encoder(public_tokenizers.path("byte_bpe_50k.json")).encode([text], 0)[0]
+    assert packed == np.array([*want, 0], "<u4").tobytes()
+
+
+def test_very_long_texts_in_counts():
+    lib, counter = Tokenizer.from_file(token_counts.VOCABULARY), token_counts.Merger(token_counts.VOCABULARY)
+    texts = [t[:120_000] if name == "one word" else t for name, t in LONG_TEXTS.items()]
+    assert counter.count(texts) == [len(lib.encode(t, add_special_tokens=False).ids) for t in texts]
+
+
 def test_token_counts(spark, docs, none):
     lib, texts = Tokenizer.from_file(token_counts.VOCABULARY), odd_texts()
     assert token_counts.Merger(token_counts.VOCABULARY).count(texts) == [len(e.ids) for e in lib.encode_batch(texts, add_special_tokens=False)]
@@ -292,7 +328,7 @@ def test_token_counts(spark, docs, none):
 
 def test_rank_bpe(docs, none):
     enc = rank_bpe.encoding(rank_bpe.RANKS)
-    for text in [*odd_texts(), "w " * 5000, "  x" * 3000]:
+    for text in [*odd_texts(), "w " * 5000, "  x" * 3000, "a" + " " * 90 + "b\n" + "\n" * 70]:
         ids = rank_bpe.encode(text, enc, 40)
         assert ids == enc.encode_ordinary(text) and rank_bpe.decode(ids, enc) == text.encode()
     got = rank_bpe.encoded_digests(docs).collect()
