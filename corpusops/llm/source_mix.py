@@ -5,9 +5,14 @@ Slot i of the schedule is the golden-ratio point frac(i * phi); the cumulative t
 a source. Slots are ranked per source, and the slot of rank r takes block r modulo the source's number
 of blocks: the first pass over a source is ranks below that number, the second pass the next ones.
 
-Defined results: a null or empty text has size 0 and is never taken. A null source is a source of its
-own, ordered last. Repeated rows are separate documents. An empty table gives no rows; a table without
-words gives targets of 0. Columns other than doc_id, text and source are not read.
+Points and bounds are integers in units of 2 ** -40, so they are the same in every engine and order of
+summing, and exact for 2 ** 40 slots. The table of sources, a row each, is ordered in one task; documents,
+blocks and slots never are.
+
+Defined results: a null or empty text has size 0 and is never taken. Very long texts are many blocks.
+A null source is a source of its own, ordered last. Repeated rows are separate documents. An empty table
+gives no rows; a table without words gives targets of 0. Columns other than doc_id, text and source are
+not read.
 """
 
 from __future__ import annotations
@@ -17,7 +22,8 @@ from pyspark.sql.window import Window
 
 from corpusops.llm.common import running, stored, table, word_count
 
-GOLDEN = 0.6180339887498949
+#: 1 / phi in units of 1 / UNIT, and the mask of a half of their bits.
+UNIT, GOLDEN, HALF = 2**40, 679_535_556_991, 2**20 - 1
 
 
 def targets(sizes: DataFrame, weights: tuple[int, ...] = (5, 2, 1), share: float = 1.5, cap: float = 2.0) -> DataFrame:
@@ -41,20 +47,25 @@ def targets(sizes: DataFrame, weights: tuple[int, ...] = (5, 2, 1), share: float
     return open_.withColumn("served", first).select("source", "no", "source_size", F.least("most", F.coalesce(F.col("weight") * F.col("served"), F.col("most"))).cast("double").alias("target"))
 
 
-def schedule(spark: SparkSession, sources: DataFrame, slots: int, cells: int = 4096) -> DataFrame:
+def point(slot: Column) -> Column:
+    """frac(slot * phi) in units of 1 / UNIT; no product reaches 2 ** 63."""
+    low, high = slot.bitwiseAND(HALF), F.shiftright(slot, 20).bitwiseAND(HALF)
+    return (low * F.lit(GOLDEN) + F.shiftleft((high * F.lit(GOLDEN)).bitwiseAND(HALF), 20)).bitwiseAND(UNIT - 1)
+
+
+def schedule(spark: SparkSession, sources: DataFrame, slots: int) -> DataFrame:
     """(slot, no, rank): the source of each of `slots` golden-ratio points and the point's rank in it.
 
-    sources: (no, target). A point meets its source by way of the cell of [0, 1) that both touch, so
-    the work is a plain equi-join with about one match per point."""
+    sources: (no, target). A point meets its source by way of the cell of [0, 1) that both touch; there
+    are at least four cells a source, so the work is a plain equi-join with about one match per point."""
     ordered = Window.orderBy("no")
-    whole = F.sum("target").over(Window.partitionBy())
-    upper = F.sum("target").over(ordered.rowsBetween(Window.unboundedPreceding, 0)) / whole
-    lower = F.coalesce(F.sum("target").over(ordered.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0)) / whole
-    bounds = sources.where("target > 0").select("no", lower.alias("lower"), upper.alias("upper"), (F.lead("no").over(ordered).isNull()).alias("last"))
-    bounds = bounds.withColumn("upper", F.when(F.col("last"), F.lit(1.0)).otherwise(F.col("upper")))
-    touched = bounds.withColumn("cell", F.explode(F.sequence(F.floor(F.col("lower") * cells), F.least(F.floor(F.col("upper") * cells), F.lit(cells - 1)))))
-    x = F.col("id") * F.lit(GOLDEN)
-    points = spark.range(1, slots + 1).select(F.col("id").alias("slot"), (x - F.floor(x)).alias("x")).withColumn("cell", F.floor(F.col("x") * cells))
+    share = sources.select("no", F.floor(F.col("target") + 0.5).alias("share"))
+    whole = F.sum("share").over(Window.partitionBy()).cast("double")
+    bound = lambda to: F.floor(F.coalesce(F.sum("share").over(ordered.rowsBetween(Window.unboundedPreceding, to)), F.lit(0)).cast("double") / whole * F.lit(float(UNIT)))
+    bounds = stored(share.select("no", "share", bound(-1).alias("lower"), bound(0).alias("upper")).where("share > 0"))
+    bits = 40 - max(12, (4 * bounds.count()).bit_length())  # of a place inside a cell
+    touched = bounds.withColumn("cell", F.explode(F.sequence(F.shiftright("lower", bits), F.shiftright(F.col("upper") - 1, bits))))
+    points = spark.range(1, slots + 1).select(F.col("id").alias("slot"), point(F.col("id")).alias("x")).withColumn("cell", F.shiftright("x", bits))
     hit = points.join(stored(touched), "cell").where("x >= lower AND x < upper").select("slot", "no", F.floor(F.col("slot") / 4096).alias("stretch"))
     return running(hit, ["no"], "stretch", [F.col("slot")], {"rank": F.lit(1)}).select("slot", "no", "rank")
 
@@ -113,15 +124,16 @@ t AS (
   SELECT source, no, source_size,
          least(most, coalesce(weight * (SELECT water FROM o WHERE level > water ORDER BY level, no LIMIT 1), most))::DOUBLE AS target
   FROM o),
+h AS (SELECT no, CAST(floor(target + 0.5) AS BIGINT) AS share FROM t),
 b AS (
-  SELECT no, coalesce(sum(target) OVER (ORDER BY no ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0.0) / sum(target) OVER () AS lower,
-         CASE WHEN lead(no) OVER (ORDER BY no) IS NULL THEN 1.0::DOUBLE
-              ELSE sum(target) OVER (ORDER BY no ROWS UNBOUNDED PRECEDING) / sum(target) OVER () END AS upper
-  FROM t WHERE target > 0),
+  SELECT no, share,
+         CAST(floor(coalesce(sum(share) OVER (ORDER BY no ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::DOUBLE / (sum(share) OVER ())::DOUBLE * 1099511627776.0::DOUBLE) AS BIGINT) AS lower,
+         CAST(floor((sum(share) OVER (ORDER BY no ROWS UNBOUNDED PRECEDING))::DOUBLE / (sum(share) OVER ())::DOUBLE * 1099511627776.0::DOUBLE) AS BIGINT) AS upper
+  FROM h),
 x AS (
-  SELECT i AS slot, i * 0.6180339887498949::DOUBLE - floor(i * 0.6180339887498949::DOUBLE) AS x
-  FROM range(1, (SELECT CAST((floor(1.5 * sum(size)) + 63) // 64 AS BIGINT) + 1 FROM d)) AS r(i)),
-k AS (SELECT no, row_number() OVER (PARTITION BY no ORDER BY slot) - 1 AS rank FROM x JOIN b ON x >= lower AND x < upper),
+  SELECT i AS slot, ((i & 1048575) * 679535556991 + ((((i >> 20) & 1048575) * 679535556991) & 1048575) * 1048576) & 1099511627775 AS x
+  FROM range(1, (SELECT (CAST(floor(1.5 * sum(size)) AS BIGINT) + 63) // 64 + 1 FROM d)) AS r(i)),
+k AS (SELECT no, row_number() OVER (PARTITION BY no ORDER BY slot) - 1 AS rank FROM x JOIN b ON share > 0 AND x >= lower AND x < upper),
 g AS (
   SELECT no, rank % ((source_size + 63) // 64) AS block, count(*) AS times
   FROM k JOIN t USING (no) WHERE rank < 2 * ((source_size + 63) // 64) GROUP BY ALL),
