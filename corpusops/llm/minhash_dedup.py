@@ -352,3 +352,28 @@ def keep_one(docs: DataFrame, percent: int = 75, miss: float = 1e-5) -> DataFram
 
 def op2_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))
+
+
+#: Exact: two linked sets share a shingle of the first quarter of each, in one order of all shingles (r, f).
+ORACLE = r"""
+WITH RECURSIVE w AS (
+  SELECT doc_id, len(words) AS n, unnest(words) AS word, generate_subscripts(words, 1) AS i
+  FROM (SELECT doc_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS words FROM documents)),
+g AS (
+  SELECT doc_id, n, i, concat_ws(' ', word, lead(word) OVER o, lead(word, 2) OVER o, lead(word, 3) OVER o, lead(word, 4) OVER o) AS shingle
+  FROM w WINDOW o AS (PARTITION BY doc_id ORDER BY i)),
+e AS (SELECT DISTINCT doc_id, shingle FROM g WHERE i <= greatest(n - 4, 1)),
+p AS (SELECT doc_id, count(*) AS n, bit_xor(md5_number(shingle)) AS print FROM e GROUP BY doc_id),
+v AS (SELECT min(doc_id) AS id, print, n FROM p GROUP BY print, n),
+r AS (SELECT id, n, shingle, row_number() OVER (PARTITION BY id ORDER BY hash(shingle), shingle) AS place FROM v JOIN e ON doc_id = id),
+f AS (SELECT id, n, shingle FROM r WHERE place <= n - (3 * n + 3) // 4 + 1),
+c AS (SELECT DISTINCT a.id AS a, b.id AS b, a.n + b.n AS n FROM f a JOIN f b USING (shingle) WHERE a.id < b.id AND 4 * a.n >= 3 * b.n AND 4 * b.n >= 3 * a.n),
+l AS (
+  SELECT c.a, c.b FROM c JOIN r x ON x.id = c.a JOIN r y ON y.id = c.b AND y.shingle = x.shingle
+  GROUP BY c.a, c.b, c.n HAVING 100 * count(*) >= 75 * (c.n - count(*))),
+t AS (SELECT a, b FROM l UNION ALL SELECT b, a FROM l),
+reach(id, seen) AS (SELECT id, id FROM v UNION SELECT reach.id, t.b FROM reach JOIN t ON t.a = reach.seen),
+o AS (SELECT v.print, v.n, min(seen) AS component_id FROM reach JOIN v USING (id) GROUP BY v.print, v.n)
+SELECT d.doc_id, coalesce(p.n, 0) AS n_shingles, coalesce(component_id, d.doc_id) AS component_id, d.doc_id = coalesce(component_id, d.doc_id) AS kept
+FROM documents d LEFT JOIN p ON p.doc_id = d.doc_id LEFT JOIN o ON o.print = p.print AND o.n = p.n
+"""

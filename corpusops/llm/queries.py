@@ -18,6 +18,8 @@ QUERIES = {
 }
 
 ORACLE = {
+    "op2_minhash_dedup": minhash_dedup.ORACLE,
     "op4_source_mix": source_mix.ORACLE,
+    "op5_arc_to_warc": arc_to_warc.ORACLE,
     "op10_exact_dedup": exact_dedup.ORACLE,
 }
