@@ -1,14 +1,17 @@
 """Exact duplicate removal by a tree-merge of digest runs (native DataFrame operations only).
 
 Every input partition first reduces its rows to one entry per digest: its run, ordered by digest in the
-sort-based aggregate that Spark uses for struct minima. Rounds then merge `fan_in` neighbouring runs
-at a time, and each merge keeps the best entry (most code points, then smallest doc_id) and the row
-count of every digest. A digest that fills a third of the table is therefore cut down inside its own
-partitions, and no round hands a task more than `fan_in` entries of it.
-
-Defined results: a null text counts as empty, and all empty texts form one group. In `exact_dedup`, rows that
-repeat the doc_id of the row that stays are kept with it; `keep_one` leaves exactly one row of a group. A
-null doc_id sorts after every other id and is matched null-safely. Other columns are never read, so their names don't matter. An empty table gives no rows.
+sort-based aggregate, the only one that Spark has for struct minima. Rounds then merge `fan_in` neighbouring
+runs at a time (16 of them are four binomial rounds in one exchange) until one is left, and each merge keeps
+the best entry (most code points, then smallest doc_id) and the row count of every digest. Entries are of one
+digest only if length and a second hash agree too, at every level. The outcome goes back the same way:
+from the last merge to the runs, and from a run to its rows. A digest that fills a third of the table is
+therefore cut down inside its own partitions, and no task meets its rows of more than one of them.
+
+Defined results: a null text counts as empty, and all empty texts form one group. Texts of any length are
+read whole. In `exact_dedup`, rows that repeat the doc_id of the row that stays are kept with it; `keep_one`
+leaves exactly one row of a group. A null doc_id sorts after every other id and is matched null-safely. Other
+columns are never read, so their names don't matter. An empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -44,22 +47,23 @@ def digest_rows(docs: DataFrame, *more: str) -> DataFrame:
 SAME = ["digest", "norm_bytes", "check"]
 
 
-def tree_merge(rows: DataFrame, fan_in: int = 16, rounds: int = 2, ties: tuple[str, ...] = ()) -> DataFrame:
+def tree_merge(rows: DataFrame, fan_in: int = 16, ties: tuple[str, ...] = ()) -> DataFrame:
     """One row per text: SAME, keep_id, the columns of ties (which decide among rows of one id) and
-    group_size. `rounds` levels merge fan_in runs each; the last merge takes what is left."""
+    group_size. Each level merges fan_in runs into one."""
     best = F.struct((-F.col("chars")).alias("neg"), F.col("doc_id").isNull().alias("no_id"), "doc_id", *ties)
+    left = rows.agg(F.coalesce(F.max("run") + 1, F.lit(0))).first()[0]
     runs = rows.groupBy(*SAME, "run").agg(F.min(best).alias("best"), F.count(F.lit(1)).alias("n"))
-    merge = [F.min("best").alias("best"), F.sum("n").alias("n")]
-    for _ in range(rounds):
-        runs = runs.withColumn("run", F.floor(F.col("run") / fan_in)).groupBy(*SAME, "run").agg(*merge)
-    return runs.groupBy(*SAME).agg(*merge).select(*SAME, F.col("best.doc_id").alias("keep_id"), *[F.col(f"best.{t}").alias(t) for t in ties], F.col("n").alias("group_size"))
+    while left > 1:
+        runs = runs.withColumn("run", F.floor(F.col("run") / fan_in)).groupBy(*SAME, "run").agg(F.min("best").alias("best"), F.sum("n").alias("n"))
+        left = -(-left // fan_in)
+    return runs.select(*SAME, F.col("best.doc_id").alias("keep_id"), *[F.col(f"best.{t}").alias(t) for t in ties], F.col("n").alias("group_size"))
 
 
-def exact_dedup(docs: DataFrame, fan_in: int = 16, rounds: int = 2) -> DataFrame:
+def exact_dedup(docs: DataFrame, fan_in: int = 16) -> DataFrame:
     """doc_id, keep_id, group_size, kept, text_sha256: one row per row of docs."""
     rows = stored(digest_rows(docs))
-    kept = tree_merge(rows, fan_in, rounds)
-    return rows.join(kept, SAME).select(
+    outcome = rows.select(*SAME, "run").distinct().join(tree_merge(rows, fan_in), SAME)
+    return rows.join(outcome, [*SAME, "run"]).select(
         "doc_id", "keep_id", "group_size",
         F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"),
         F.lower(F.hex("digest")).alias("text_sha256"),

@@ -65,7 +65,7 @@ def test_running_sums_match_a_single_window(spark):
 
 
 def test_exact_dedup(docs, none):
-    got = exact_dedup.exact_dedup(docs, fan_in=2, rounds=3).collect()
+    got = exact_dedup.exact_dedup(docs, fan_in=2).collect()
     rows = edge_rows()
     key = lambda t: (t or "").translate({ord(c): None for c in " \t\n\r\x0b\x0c"})
     assert len(got) == len(rows)
@@ -79,6 +79,16 @@ def test_exact_dedup(docs, none):
     assert kept.count() == len({key(x[1]) for x in rows})
 
 
+def test_exact_dedup_of_a_hot_text_over_many_partitions(spark):
+    """A third of the rows are one text; runs of 40 partitions merge in four levels."""
+    rows = [(i, "one text" if i % 3 else f"text {i}", "en", "s", 0) for i in range(600)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").repartition(40)
+    got = {r.doc_id: r for r in exact_dedup.exact_dedup(df, fan_in=3).collect()}
+    assert len(got) == 600
+    for i, r in got.items():
+        assert (r.keep_id, r.group_size, r.kept) == ((1, 400, i == 1) if i % 3 else (i, 1, True))
+
+
 def brute_components(rows):
     sets = []
     for r in rows:
