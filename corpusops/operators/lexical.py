@@ -1,16 +1,25 @@
 """BM25 over tables of questions and documents.
 
-Postings are built once per corpus; questions, cut to distinct terms, meet them in an equi-join on the term,
-so no question is ever paired with a document that shares no term with it.
+A search reads the corpus once. Of each document only the tokens that some question asks for leave the scan,
+dealt by document, with one marker row that carries its length; term and corpus statistics come from
+the same rows. Questions meet them by term, so no question is ever paired with a document that shares no
+term with it, and the sum over a document's terms needs no further shuffle where the questions are few enough
+to be broadcast; otherwise both sides are joined by shuffles that Spark may split.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql.window import Window
 
 from corpusops.functions.text import tokenize
 from corpusops.operators.ranking import top_k
 
+#: Rows of (question, term, group) up to which they are broadcast; their number is counted first.
+FEW = 500_000
+#: Stands for a document's own row among its tokens, which are never empty.
+MARK = ""
+
 
 def postings(corpus: DataFrame, key: str, text: str, by: list[str] | None = None) -> DataFrame:
     """(by, key, term, tf, length): how often each term is in each document, and the document's length."""
@@ -34,18 +43,46 @@ def idf(n_docs: Column, df: Column) -> Column:
     return F.log((n_docs - df + 0.5) / (df + 0.5) + 1)
 
 
+def asked_terms(questions: DataFrame, own: list[str]) -> DataFrame:
+    """(query_id, own, term, qtf): a term counts as often as it is asked."""
+    tokens = questions.select("query_id", *own, F.explode(tokenize(F.col("text"))).alias("term"))
+    return tokens.groupBy("query_id", *own, "term").agg(F.count(F.lit(1)).alias("qtf"))
+
+
+def few_rows(asked: DataFrame, corpus: DataFrame, spread: list[str]) -> bool:
+    """Whether questions' terms, times the groups of `spread` that each meets, are at most FEW rows."""
+    rows = asked.limit(FEW + 1).count()
+    groups = corpus.select(*spread).distinct().limit(FEW + 1).count() if spread and rows <= FEW else 1
+    return rows * groups <= FEW
+
+
 def bm25(questions: DataFrame, corpus: DataFrame, key: str, text: str, by: list[str] | None = None, k1: float = 1.5, b: float = 0.75) -> DataFrame:
-    """(query_id, by, key, score > 0). questions: (query_id, text); a term counts as often as it is asked.
-    With `by`, each group has its own statistics, as if it were a corpus of its own."""
+    """(query_id, by, key, score > 0). questions: (query_id, text). With `by`, each group has its own
+    statistics, as if it were a corpus of its own; where questions have columns of `by` too, a question is
+    asked of its own groups only."""
     by = by or []
-    asked = questions.select("query_id", F.explode(tokenize(F.col("text"))).alias("term")).groupBy("query_id", "term").agg(F.count(F.lit(1)).alias("qtf"))
-    posted = postings(corpus, key, text, by).join(asked.select("term").distinct(), "term", "left_semi")
-    weighed = posted.join(frequencies(posted, by), [*by, "term"])
-    stats = statistics(corpus, text, by)
-    weighed = weighed.join(stats, by) if by else weighed.crossJoin(F.broadcast(stats))  # one row
-    share = idf(F.col("n_docs"), F.col("df")) * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("length") / F.col("mean_length")))
-    scored = weighed.select(*by, key, "term", share.alias("share")).join(asked, "term")
-    return scored.groupBy("query_id", *by, key).agg(F.sum(F.col("qtf") * F.col("share")).alias("score")).where("score > 0")
+    own = [c for c in by if c in questions.columns]
+    asked = asked_terms(questions, own)
+    near = F.broadcast if few_rows(asked, corpus, [c for c in by if c not in own]) else (lambda df: df)
+
+    wanted = asked.select("term").unionByName(questions.sparkSession.range(1).select(F.lit(MARK).alias("term"))).distinct()
+    tokens = corpus.select(*by, key, F.coalesce(tokenize(F.col(text)), F.array().cast("array<string>")).alias("tokens"))
+    every = tokens.select(*by, key, F.size("tokens").alias("length"), F.explode(F.concat(F.array(F.lit(MARK)), "tokens")).alias("term"))
+    met = every.withColumn("term", F.coalesce("term", F.lit(MARK))).join(near(wanted), "term", "left_semi")
+    posted = met.repartition(F.col(key)).groupBy(*by, key, "length", "term").agg(F.count(F.lit(1)).alias("tf"))
+
+    marked = F.col("term") == MARK
+    terms = posted.groupBy(*by, "term").agg(F.sum(F.when(marked, F.col("tf")).otherwise(1)).alias("df"), F.sum(F.col("length") * F.col("tf")).alias("total"))
+    # a window over the statistics of the terms that are asked for, which are one row each (and group)
+    group = Window.partitionBy(*by)
+    stats = terms.withColumns({"n_docs": F.max(F.when(marked, F.col("df"))).over(group), "mean_length": F.max(F.when(marked, F.col("total") / F.col("df"))).over(group)})
+    # nobody asks for MARK; a filter that says so would part the two readers of the exchange above
+    weights = stats.join(near(asked), [*own, "term"])
+    weights = weights.select("query_id", *by, "term", (F.col("qtf") * idf(F.col("n_docs"), F.col("df"))).alias("weight"), "mean_length")
+
+    share = F.col("weight") * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("length") / F.col("mean_length")))
+    met = posted.join(near(weights), [*by, "term"])
+    return met.select("query_id", *by, key, share.alias("share")).groupBy("query_id", *by, key).agg(F.sum("share").alias("score")).where("score > 0")
 
 
 def search(questions: DataFrame, corpus: DataFrame, key: str, text: str, k: int, by: list[str] | None = None) -> DataFrame:

@@ -19,14 +19,23 @@ def keep_first(df: DataFrame, key: list[Column], order: list[Column], drop_empty
     return named.where(((F.col("_rn") == 1) & ~empty) if drop_empty else ((F.col("_rn") == 1) | empty)).drop("_rn")
 
 
+def fuse(ranked: DataFrame, weights: list[float], k: int = 60) -> DataFrame:
+    """(query_id, list, key, rank) to (query_id, key, score, first_list, first_rank): the weighted sum of
+    1 / (k + rank); weights are by the number of the list. A key that a list repeats adds each time; the first
+    place breaks ties."""
+    weight = F.element_at(F.array(*[F.lit(float(w)) for w in weights]), F.col("list") + 1)
+    shares = ranked.select("query_id", "key", "list", "rank", (weight / (k + F.col("rank"))).alias("share"))
+    fused = shares.groupBy("query_id", "key").agg(F.sum("share").alias("score"), F.min(F.struct("list", "rank")).alias("first"))
+    return fused.select("query_id", "key", "score", F.col("first.list").alias("first_list"), F.col("first.rank").alias("first_rank"))
+
+
 def reciprocal_rank_fusion(lists: list[DataFrame], weights: list[float], k: int = 60) -> DataFrame:
-    """lists of (query_id, key, rank) to (query_id, key, score, first_list, first_rank): the weighted sum of
-    1 / (k + rank). A key that a list repeats adds each time; the first place breaks ties."""
+    """fuse for lists (query_id, key, rank) that are tables of their own."""
     every = None
-    for i, (one, w) in enumerate(zip(lists, weights, strict=True)):
-        part = one.select("query_id", "key", F.lit(i).alias("list"), "rank", (F.lit(float(w)) / (k + F.col("rank"))).alias("share"))
+    for i, one in enumerate(lists):
+        part = one.select("query_id", F.lit(i).alias("list"), "key", "rank")
         every = part if every is None else every.unionByName(part)
-    return every.groupBy("query_id", "key").agg(F.sum("share").alias("score"), F.min(F.struct("list", "rank")).alias("first")).select("query_id", "key", "score", F.col("first.list").alias("first_list"), F.col("first.rank").alias("first_rank"))
+    return fuse(every, weights, k)
 
 
 def stable_key(fields: list[str], content: str) -> Column:

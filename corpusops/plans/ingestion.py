@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from corpusops.functions import rules as C
@@ -33,8 +31,7 @@ def _(spark, sf):
 
 @query("write_partitioned", "SELECT replace(lower(p_brand), ' ', '_') AS group_slug, count(*) AS n FROM part GROUP BY 1")
 def _(spark, sf):
-    parent = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp()
-    path = f"{parent.rstrip('/')}/partitioned-{spark.sparkContext.applicationId}-{sf.strip('/').replace('/', '_').replace(':', '_')}"
+    path = S.shared_folder(spark, "partitioned")
     S.write_partitioned(read(spark, sf, "part"), F.col("p_brand"), path)
     return spark.read.parquet(path).groupBy("group_slug").agg(F.count(F.lit(1)).alias("n"))
 

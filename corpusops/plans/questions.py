@@ -9,7 +9,7 @@ from pyspark.sql.window import Window
 from corpusops.functions import decompose as Q, rules as C, text as T
 from corpusops.operators import lexical as L, preprocessing as F2
 from corpusops.plans.registry import query, read
-from corpusops.plans.retrieval import IDF, TOKENS, sql_tokens
+from corpusops.plans.retrieval import IDF, TOKENS, documents, sql_tokens
 
 CODES = ["AB", "CS", "MATH", "PHYS", "BRAND"]
 SYNONYMS = {"the": "der", "and": "und", "of": "von", "of the": "vom", "to": "zu"}
@@ -21,7 +21,7 @@ def turns(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def docs(spark: SparkSession, sf: str) -> DataFrame:
-    return read(spark, sf, "documents")
+    return documents(spark, sf)
 
 
 def sql_list(words) -> str:

@@ -8,6 +8,7 @@ from pyspark.sql.window import Window
 from corpusops.functions import text as T
 from corpusops.operators import evaluation as E, lexical as L, ranking as R, rerank as R2, vectors as V
 from corpusops.plans.registry import ORACLE, query, read
+from corpusops.sources.files import spread
 
 STOP = ", ".join(f"'{w}'" for w in T.STOPWORDS)
 
@@ -21,7 +22,7 @@ def questions(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def documents(spark: SparkSession, sf: str) -> DataFrame:
-    return read(spark, sf, "documents")
+    return spread(read(spark, sf, "documents"))
 
 
 # --- lexical ------------------------------------------------------------------------------------------
@@ -105,8 +106,9 @@ def _(spark, sf):
 
 @query("knn_blocks", knn_sql() + " SELECT query_id, vec_id, distance, rank FROM knn")
 def _(spark, sf):
+    """knn where questions count as many: the corpus lies in parts, past which they stream."""
     asked, rows = vectors(spark, sf)
-    return V.knn_blocks(asked, rows, 5).select("query_id", "vec_id", "distance", "rank")
+    return V.knn(asked, rows, 5, few=4, part=128).select("query_id", "vec_id", "distance", "rank")
 
 
 @query("knn_l2", knn_sql(distance="round(list_sum(list_transform(list_zip(q.v, c.v), lambda x: (x[1] - x[2]) * (x[1] - x[2]))), 6)") + " SELECT query_id, vec_id, distance, rank FROM knn")
@@ -170,12 +172,14 @@ def _(spark, sf):
 # --- fusion -------------------------------------------------------------------------------------------
 
 
-def lists(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
-    """Two ranked lists per question: BM25 over all terms, and over the question's longest words."""
-    asked, docs = questions(spark, sf), documents(spark, sf)
-    long_ = asked.select("query_id", F.concat_ws(" ", F.filter(T.tokenize(F.col("text")), lambda t: F.length(t) > 5)).alias("text"))
-    one, two = (L.search(q, docs, "doc_id", "text", 10).select("query_id", F.col("doc_id").alias("key"), "rank") for q in (asked, long_))
-    return one, two
+def lists(spark: SparkSession, sf: str) -> DataFrame:
+    """Two ranked lists per question: BM25 over all terms, and over the question's longest words. One search
+    answers both, so the corpus is read once."""
+    asked = questions(spark, sf)
+    long_ = F.concat_ws(" ", F.filter(T.tokenize(F.col("text")), lambda t: F.length(t) > 5))
+    both = asked.select("query_id", F.inline(F.array(F.struct(F.lit(0).alias("list"), "text"), F.struct(F.lit(1).alias("list"), long_.alias("text")))))
+    found = L.search(both.select(F.struct("query_id", "list").alias("query_id"), "text"), documents(spark, sf), "doc_id", "text", 10)
+    return found.select("query_id.query_id", "query_id.list", F.col("doc_id").alias("key"), "rank")
 
 
 RRF = bm25_sql(k=10) + f""",
@@ -190,7 +194,7 @@ RRF = bm25_sql(k=10) + f""",
 
 @query("rrf", RRF + " SELECT query_id, key, score, rank FROM rrf WHERE rank <= 5")
 def _(spark, sf):
-    fused = R.reciprocal_rank_fusion([*lists(spark, sf)], [0.6, 0.4]).withColumn("score", F.round("score", 9))
+    fused = R.fuse(lists(spark, sf), [0.6, 0.4]).withColumn("score", F.round("score", 9))
     return R.top_k(fused, ["query_id"], [F.desc("score"), F.asc("first_list"), F.asc("first_rank")], 5).select("query_id", "key", "score", "rank")
 
 

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
+
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 from pyspark.sql.window import Window
 
@@ -18,6 +21,23 @@ GTFS = {
 }
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """A table of fewer files than cores dealt evenly to the cores, as one file may be one split; a table of many
+    files stays as it is."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if len(df.inputFiles()) < cores else df
+
+
+def shared_folder(spark: SparkSession, name: str) -> str:
+    """A new folder that all executors reach: under spark.checkpoint.dir or, in a local session without it, a
+    temporary one."""
+    parent = spark.conf.get("spark.checkpoint.dir", None)
+    if not parent:
+        if not spark.sparkContext.master.startswith("local") or "cluster" in spark.sparkContext.master:
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors reach")
+        parent = tempfile.mkdtemp(prefix="spark-")
+    return f"{parent.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
 def read_wrapped_json(spark: SparkSession, path: str, array_field: str, schema: str = COURSE) -> DataFrame:
     """The records of {..., array_field: [...]} files."""
     wrapped = T.StructType().add(array_field, T.ArrayType(T.StructType.fromDDL(schema)))
