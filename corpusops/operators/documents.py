@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.window import Window
 
 from corpusops.functions.text import humanize_key
+from corpusops.sources.files import row_index
 
 
 def render_template(fields: Sequence[tuple[str, Column, str | None]], sep: str = "\n") -> Column:
@@ -46,10 +47,16 @@ def split_facets(df: DataFrame, keys: Sequence[str], facets: Sequence[tuple[str,
     return df.select(*keys, F.inline(F.filter(made, lambda x: x["text"].isNotNull())))
 
 
-def chunk_children(df: DataFrame, parent: str, order: str, text: Column, size: int = 5, sep: str = "; ") -> DataFrame:
-    """(parent, chunk, n, text): children in groups of `size`, numbered from 1. Children are numbered inside
-    stretches of their order first, so that a parent of any size keeps its groups small."""
-    numbered = df.select(parent, order, text.alias("_text"), F.row_number().over(Window.partitionBy(parent).orderBy(order)).alias("_rn"))
+def chunk_children(df: DataFrame, parent: str, order: str, text: Column, size: int = 5, sep: str = "; ", stretch: int = 4096) -> DataFrame:
+    """(parent, chunk, n, text): children in groups of `size`, numbered from 1 in a numeric order. They are
+    numbered inside stretches of the order first, whose sizes are then added up, so that no task gets all
+    children of a parent."""
+    rows = df.select(parent, order, text.alias("_text"), F.floor(F.col(order) / stretch).alias("_stretch"))
+    sizes = rows.groupBy(parent, "_stretch").agg(F.count(F.lit(1)).alias("_n"))
+    before = Window.partitionBy(parent).orderBy("_stretch").rowsBetween(Window.unboundedPreceding, -1)
+    starts = sizes.select(F.col(parent).alias("_parent"), F.col("_stretch").alias("_of"), F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_start"))
+    own = rows.withColumn("_rn", F.row_number().over(Window.partitionBy(parent, "_stretch").orderBy(order)))
+    numbered = own.join(starts, F.col(parent).eqNullSafe(F.col("_parent")) & (F.col("_stretch") == F.col("_of"))).withColumn("_rn", F.col("_start") + F.col("_rn"))
     grouped = numbered.groupBy(parent, (F.floor((F.col("_rn") - 1) / size) + 1).alias("chunk"))
     return grouped.agg(F.count(F.lit(1)).alias("n"), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("_rn", "_text"))), lambda x: x["_text"]), sep).alias("text"))
 
@@ -106,6 +113,13 @@ def scalarize_metadata(df: DataFrame, drop: Sequence[str]) -> Column:
 
 
 def ensure_unique_ids(df: DataFrame, id_col: str, order: str) -> DataFrame:
-    """A repeated id gets its row's place in the order appended."""
+    """A repeated id gets its row's place in the whole table, from 0 in the order, appended."""
     again = F.row_number().over(Window.partitionBy(id_col).orderBy(order))
-    return df.withColumn("unique_id", F.when(again > 1, F.concat_ws("_", F.col(id_col), F.col(order).cast("string"))).otherwise(F.col(id_col)))
+    return row_index(df, [F.col(order)], "_at").withColumn("unique_id", F.when(again > 1, F.concat_ws("_", F.col(id_col), F.col("_at").cast("string"))).otherwise(F.col(id_col))).drop("_at")
+
+
+def dropped_names(df: DataFrame, name: str, invalid: Sequence[str] = ("Sign-On", "SSO")) -> DataFrame:
+    """(reason, n): how many rows searchable_text drops, and why."""
+    marked = F.greatest(*[F.col(name).contains(x) for x in invalid], F.lit(False))
+    reason = F.when(F.coalesce(F.trim(name), F.lit("")) == "", "no name").when(marked, "invalid name")
+    return df.select(reason.alias("reason")).where("reason IS NOT NULL").groupBy("reason").agg(F.count(F.lit(1)).alias("n"))

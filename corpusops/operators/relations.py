@@ -6,12 +6,24 @@ from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from corpusops.functions.rules import first_keyword_type
+
 DAYS = ("monday", "tuesday", "wednesday", "thursday", "friday", "saturday", "sunday")
-# Words in a program's name and its type; the first match counts.
-PROGRAM_TYPES = (
-    ("doctoral", r"phd|ph\.d|doctor"), ("masters", r"master|\bms\b|\bma\b|\bmba\b"), ("bachelors", r"bachelor|\bbs\b|\bba\b"),
-    ("certificate", "certificate"), ("minor", "minor"),
-)
+# What a program's name holds, and its type; the first rule with a match counts.
+PROGRAM_TYPES = {
+    "doctoral": ("ph.d", "doctor"),
+    "masters": ("master", "m.a.", "m.s.", "m.arch"),
+    "bachelors": ("bachelor", "b.a.", "b.s.", "b.f.a."),
+    "certificate": ("certificate",),
+    "minor": ("minor",),
+}
+# The rules of a program list that writes degrees out.
+DEGREE_TYPES = {
+    "doctoral": ("doctor of philosophy", "phd"),
+    "masters": ("master of science", "master of engineering"),
+    "bachelors": ("bachelor",),
+    "certificate": ("certificate",),
+}
 
 
 def course_codes(text: Column, pattern: str = r"([A-Z]{2,5})\s+([0-9]{3})") -> Column:
@@ -28,9 +40,8 @@ def program_requirements(courses: DataFrame, program: str, code: str, admission:
     return courses.groupBy(program).agg(F.array_join(F.array_sort(F.collect_set(code)), "|").alias("required"), F.substring(F.min(admission), 1, 500).alias("admission"))
 
 
-def program_type(name: Column) -> Column:
-    low = F.lower(name)
-    return F.coalesce(*[F.when(low.rlike(p), F.lit(t)) for t, p in PROGRAM_TYPES], F.lit("other"))
+def program_type(name: Column, rules: Mapping[str, Sequence[str]] = PROGRAM_TYPES) -> Column:
+    return first_keyword_type(name, rules, "other")
 
 
 def route_service_days(routes: DataFrame, trips: DataFrame, calendar: DataFrame) -> DataFrame:
@@ -41,13 +52,15 @@ def route_service_days(routes: DataFrame, trips: DataFrame, calendar: DataFrame)
 
 
 def day_label(days: Mapping[str, Column] | None = None) -> Column:
+    """The first label that fits. Monday and Friday stand for all weekdays there; Thursday without Friday is
+    Monday-Thursday whatever the weekend; only all seven days are Daily."""
     d = days or {x: F.col(x) for x in DAYS}
-    week, weekend = d["monday"] & d["friday"], d["saturday"] & d["sunday"]
+    week, saturday, sunday = d["monday"] & d["friday"], d["saturday"], d["sunday"]
     every = F.array_join(F.array_compact(F.array(*[F.when(d[x], F.initcap(F.lit(x[:3]))) for x in DAYS])), ", ")
     return (
-        F.when(week & d["saturday"] & ~d["sunday"], "Monday-Saturday").when(week & ~d["saturday"] & ~d["sunday"], "Monday-Friday")
-        .when(d["monday"] & d["thursday"] & ~d["friday"] & ~d["saturday"] & ~d["sunday"], "Monday-Thursday")
-        .when(week & weekend, "Daily").when(every != "", every).otherwise("Special schedule")
+        F.when(week & saturday & ~sunday, "Monday-Saturday").when(week & ~saturday & ~sunday, "Monday-Friday")
+        .when(d["monday"] & d["thursday"] & ~d["friday"], "Monday-Thursday")
+        .when(F.least(*d.values()), "Daily").when(every != "", every).otherwise("Special schedule")
     )
 
 
@@ -56,8 +69,13 @@ def numeric_first(column: Column, otherwise: int = 999) -> list[Column]:
     return [F.coalesce(column.try_cast("int"), F.lit(otherwise)), column]
 
 
-def membership_flags(df: DataFrame, column: str, lists: Mapping[str, Sequence]) -> DataFrame:
-    return df.withColumns({name: F.col(column).isin(list(values)) for name, values in lists.items()})
+def membership_flags(df: DataFrame, column: str, lists: Mapping[str, Sequence], notes: Mapping[object, str] | None = None) -> DataFrame:
+    """A flag for each list that holds the column's value, and the note of the value if there are notes."""
+    flagged = df.withColumns({name: F.col(column).isin(list(values)) for name, values in lists.items()})
+    if not notes:
+        return flagged
+    table = F.create_map(*[F.lit(x) for pair in notes.items() for x in pair])
+    return flagged.withColumn("note", F.try_element_at(table, F.col(column)))
 
 
 def catalog_summary(df: DataFrame, group: str, conditions: Mapping[str, Column], names: Mapping[str, str]) -> DataFrame:
@@ -75,8 +93,9 @@ def course_level(number: Column, rule: str = "two") -> Column:
 
 
 def course_blocks(df: DataFrame, key: str, text: str) -> DataFrame:
-    """(key, block_no, code, title, credits, description, prerequisites): the text split before each course code;
-    blocks that tell credits and have more than fifty characters stay."""
+    """(key, block_no, code, title, credits, description, prerequisites, corequisites, core): the text split before
+    each course code; blocks that tell credits and have more than fifty characters stay. core is what follows
+    "Satisfies:"."""
     code = r"([A-Z]{2,5})\s+([0-9]{3,4})"
     blocks = df.select(key, F.posexplode(F.split(text, r"(?=\b[A-Z]{2,5}\s+[0-9]{3,4}\.\s)")).alias("block_no", "block"))
     fit = blocks.where(F.lower("block").contains("credit") & (F.length("block") > 50) & F.col("block").rlike(f"^{code}"))
@@ -85,8 +104,10 @@ def course_blocks(df: DataFrame, key: str, text: str) -> DataFrame:
         F.concat_ws(" ", F.regexp_extract("block", code, 1), F.regexp_extract("block", code, 2)).alias("code"),
         F.regexp_extract("block", r"^[A-Z]{2,5}\s+[0-9]{3,4}\.\s*([^.]+)\.", 1).alias("title"),
         F.regexp_extract("block", r"([0-9]+)(?:-[0-9]+)?\s+[Cc]redit", 1).try_cast("int").alias("credits"),
-        F.substring(F.regexp_extract("block", r"[Cc]redits?\.?\s*(.*?)(?:Prerequisite|$)", 1), 1, 500).alias("description"),
+        F.substring(F.regexp_extract("block", r"[Cc]redits?\.?\s*(.*?)(?:Prerequisite|Corequisite|Satisfies|$)", 1), 1, 500).alias("description"),
         F.regexp_extract("block", r"Prerequisites?:\s*([^.]+)\.", 1).alias("prerequisites"),
+        F.regexp_extract("block", r"Corequisites?:\s*([^.]+)\.", 1).alias("corequisites"),
+        F.regexp_extract("block", r"Satisfies:\s*([^.]+)\.", 1).alias("core"),
     )
 
 

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from corpusops.functions import rules as C, text as T
 from corpusops.operators import context as X, documents as D, lexical as L, relations as G
-from corpusops.plans.registry import ORACLE, query, read
+from corpusops.plans.registry import query, read
 from corpusops.plans.retrieval import bm25_sql, documents, questions
 
 
@@ -92,6 +92,13 @@ def _(spark, sf):
     return D.searchable_text(read(spark, sf, "supplier"), "s_name", ["s_name", "s_nationkey"], ["9"]).select("s_suppkey", "searchable_text")
 
 
+@query("dropped_names", "SELECT CASE WHEN contains(s_name, '9') THEN 'invalid name' ELSE 'no name' END AS reason, count(*) AS n FROM supplier WHERE contains(s_name, '9') OR contains(s_name, '00') GROUP BY 1")
+def _(spark, sf):
+    """Of names those with 00 are blanked; 9 marks an invalid one."""
+    rows = read(spark, sf, "supplier").withColumn("name", F.when(F.col("s_name").contains("00") & ~F.col("s_name").contains("9"), " ").otherwise(F.col("s_name")))
+    return D.dropped_names(rows, "name", ["9"])
+
+
 @query("text_or_fallback", "SELECT page_id, coalesce(CASE WHEN page_id % 3 = 0 THEN url END, 'page ' || page_id) AS text FROM pages")
 def _(spark, sf):
     rows = read(spark, sf, "pages").withColumn("a", F.when(F.col("page_id") % 3 == 0, F.col("url")).otherwise("  "))
@@ -128,18 +135,18 @@ def _(spark, sf):
     return rows.select("doc_id", F.array_join(F.transform(entries, lambda e: F.concat_ws("=", e["key"], e["value"])), ";").alias("metadata"))
 
 
-@query("ensure_unique_ids", "SELECT p_partkey, CASE WHEN row_number() OVER (PARTITION BY p_name ORDER BY p_partkey) > 1 THEN p_name || '_' || p_partkey ELSE p_name END AS unique_id FROM part")
+@query("ensure_unique_ids", "SELECT p_partkey, CASE WHEN row_number() OVER (PARTITION BY p_name ORDER BY p_partkey) > 1 THEN p_name || '_' || (row_number() OVER (ORDER BY p_partkey) - 1) ELSE p_name END AS unique_id FROM part")
 def _(spark, sf):
     return D.ensure_unique_ids(part(spark, sf), "p_name", "p_partkey").select("p_partkey", "unique_id")
 
 
 # --- relations ------------------------------------------------------------------------------------------
 
-BLOCKS = "SELECT p_partkey, 'CS ' || (100 + p_size) || '. ' || p_name || '. ' || (p_size % 5 + 1) || '-9 Credits. About ' || p_type || ' and more of it. Prerequisite: CS ' || (100 + p_size % 7) || ' and MATH ' || (200 + p_size % 3) || '.' AS text FROM part"
+BLOCKS = "SELECT p_partkey, 'CS ' || (100 + p_size) || '. ' || p_name || '. ' || (p_size % 5 + 1) || '-9 Credits. About ' || p_type || ' and more of it. Prerequisite: CS ' || (100 + p_size % 7) || ' and MATH ' || (200 + p_size % 3) || ' or consent. Corequisite: ' || p_brand || '. Satisfies: Goal ' || p_size || '.' AS text FROM part"
 
 
 def blocks(spark: SparkSession, sf: str) -> DataFrame:
-    return part(spark, sf).select("p_partkey", "p_brand", F.expr("concat('CS ', 100 + p_size, '. ', p_name, '. ', p_size % 5 + 1, '-9 Credits. About ', p_type, ' and more of it. Prerequisite: CS ', 100 + p_size % 7, ' and MATH ', 200 + p_size % 3, '.')").alias("text"))
+    return part(spark, sf).select("p_partkey", "p_brand", F.expr("concat('CS ', 100 + p_size, '. ', p_name, '. ', p_size % 5 + 1, '-9 Credits. About ', p_type, ' and more of it. Prerequisite: CS ', 100 + p_size % 7, ' and MATH ', 200 + p_size % 3, ' or consent. Corequisite: ', p_brand, '. Satisfies: Goal ', p_size, '.')").alias("text"))
 
 
 @query("course_codes", "SELECT p_partkey, 'CS ' || (100 + p_size) || CASE WHEN p_size % 7 <> p_size THEN '|CS ' || (100 + p_size % 7) ELSE '' END || '|MATH ' || (200 + p_size % 3) AS codes FROM part")
@@ -153,7 +160,7 @@ def _(spark, sf):
     return G.prerequisite_edges(rows, "code", "text")
 
 
-@query("course_blocks", f"WITH b AS ({BLOCKS}) SELECT p_partkey, regexp_extract(text, '^(CS [0-9]+)', 1) AS code, regexp_extract(text, '^CS [0-9]+\\. ([^.]+)\\.', 1) AS title, CAST(regexp_extract(text, '([0-9]+)-9 Credits', 1) AS INT) AS credits, regexp_extract(text, 'Credits\\. (.*)Prerequisite', 1) AS description, regexp_extract(text, 'Prerequisite: ([^.]+)\\.', 1) AS prerequisites FROM b")
+@query("course_blocks", f"WITH b AS ({BLOCKS}) SELECT p_partkey, regexp_extract(text, '^(CS [0-9]+)', 1) AS code, regexp_extract(text, '^CS [0-9]+\\. ([^.]+)\\.', 1) AS title, CAST(regexp_extract(text, '([0-9]+)-9 Credits', 1) AS INT) AS credits, regexp_extract(text, 'Credits\\. (.*)Prerequisite', 1) AS description, regexp_extract(text, 'Prerequisite: ([^.]+)\\.', 1) AS prerequisites, regexp_extract(text, 'Corequisite: ([^.]+)\\.', 1) AS corequisites, regexp_extract(text, 'Satisfies: ([^.]+)\\.', 1) AS core FROM b")
 def _(spark, sf):
     return G.course_blocks(blocks(spark, sf), "p_partkey", "text").drop("block_no")
 
@@ -164,23 +171,32 @@ def _(spark, sf):
     return G.program_requirements(rows, "p_brand", "code", "p_type")
 
 
-@query("program_type", "SELECT p_partkey, CASE p_size % 6 WHEN 0 THEN 'doctoral' WHEN 1 THEN 'masters' WHEN 2 THEN 'bachelors' WHEN 3 THEN 'certificate' WHEN 4 THEN 'minor' ELSE 'other' END AS type FROM part")
+NAMES = ["History, Ph.D.", "Doctor of Music", "Physics, M.S.", "Master of Arts", "Art, M.A.", "Design, M.Arch.", "Chemistry, B.S.", "History, B.A.", "Art, B.F.A.", "Bachelor of Music", "Certificate in Data", "Minor in Latin", "PhD in Law", "Doctor of Philosophy in Law", "Master of Science in Law", "Summer School"]
+TYPES = ["doctoral", "doctoral", "masters", "masters", "masters", "masters", "bachelors", "bachelors", "bachelors", "bachelors", "certificate", "minor", "other", "doctoral", "masters", "other"]
+DEGREES = ["other", "other", "other", "other", "other", "other", "other", "other", "other", "bachelors", "certificate", "other", "doctoral", "doctoral", "masters", "other"]
+
+
+@query("program_type", f"""WITH t AS (SELECT unnest(range(0, 16)) AS i, unnest({TYPES}) AS type, unnest({DEGREES}) AS degree)
+  SELECT p_partkey, type, degree FROM part JOIN t ON i = p_partkey % 16""")
 def _(spark, sf):
-    name = F.element_at(F.array(*map(F.lit, ["PhD in X", "Master of Y", "BS Z", "Certificate in A", "Minor B", "Course C"])), F.col("p_size") % 6 + 1)
-    return part(spark, sf).select("p_partkey", G.program_type(name).alias("type"))
+    """Each part gets one of the names, by both tables of rules; the SQL has the types that names should get."""
+    name = F.element_at(F.array(*map(F.lit, NAMES)), (F.col("p_partkey") % 16 + 1).cast("int"))
+    return part(spark, sf).select("p_partkey", G.program_type(name).alias("type"), G.program_type(name, G.DEGREE_TYPES).alias("degree"))
 
 
 DAYNAMES = ["monday", "tuesday", "wednesday", "thursday", "friday", "saturday", "sunday"]
-CAL = ", ".join(f"(o_orderkey >> {i}) % 2 = 1 AS {d}" for i, d in enumerate(DAYNAMES))
-ROUTED = f"WITH t AS (SELECT DISTINCT c_custkey AS route_id, o_orderkey AS service_id FROM customer LEFT JOIN orders ON o_custkey = c_custkey AND o_orderkey % 4 = 0), c AS (SELECT o_orderkey AS service_id, {CAL} FROM orders), s AS (SELECT route_id, " + ", ".join(f"coalesce(bool_or({d}), false) AS {d}" for d in DAYNAMES) + " FROM t LEFT JOIN c USING (service_id) GROUP BY route_id)"
+CAL = ", ".join(f"(o_custkey >> {i}) % 2 = 1 AND (o_orderkey >> {i}) % 2 = 1 AS {d}" for i, d in enumerate(DAYNAMES))
+ROUTED = f"WITH t AS (SELECT DISTINCT c_custkey AS route_id, o_orderkey AS service_id FROM customer LEFT JOIN orders ON o_custkey = c_custkey), c AS (SELECT o_orderkey AS service_id, {CAL} FROM orders WHERE o_orderstatus <> 'P'), s AS (SELECT route_id, " + ", ".join(f"coalesce(bool_or({d}), false) AS {d}" for d in DAYNAMES) + " FROM t LEFT JOIN c USING (service_id) GROUP BY route_id)"
 
 
-def service_days(spark: SparkSession, sf: str, chosen: str = "o_orderkey % 4 = 0") -> DataFrame:
-    """Customers stand for routes, their chosen orders for services, bits of an order's key for days."""
+def service_days(spark: SparkSession, sf: str) -> DataFrame:
+    """Customers stand for routes, their orders for services, of which pending ones are in no calendar. A service
+    runs on the days whose bits both its and its route's number have."""
     orders = read(spark, sf, "orders")
     routes = read(spark, sf, "customer").select(F.col("c_custkey").alias("route_id"))
-    trips = orders.where(chosen).select(F.col("o_custkey").alias("route_id"), F.col("o_orderkey").alias("service_id"))
-    calendar = orders.select(F.col("o_orderkey").alias("service_id"), *[(F.shiftright("o_orderkey", i) % 2 == 1).alias(d) for i, d in enumerate(DAYNAMES)])
+    trips = orders.select(F.col("o_custkey").alias("route_id"), F.col("o_orderkey").alias("service_id"))
+    runs = lambda i: (F.shiftright("o_custkey", i) % 2 == 1) & (F.shiftright("o_orderkey", i) % 2 == 1)
+    calendar = orders.where("o_orderstatus <> 'P'").select(F.col("o_orderkey").alias("service_id"), *[runs(i).alias(d) for i, d in enumerate(DAYNAMES)])
     return G.route_service_days(routes, trips, calendar)
 
 
@@ -190,24 +206,13 @@ def _(spark, sf):
 
 
 @query("day_label", ROUTED + """ SELECT route_id, CASE WHEN monday AND friday AND saturday AND NOT sunday THEN 'Monday-Saturday' WHEN monday AND friday AND NOT saturday AND NOT sunday THEN 'Monday-Friday'
-  WHEN monday AND thursday AND NOT friday AND NOT saturday AND NOT sunday THEN 'Monday-Thursday' WHEN monday AND friday AND saturday AND sunday THEN 'Daily'
+  WHEN monday AND thursday AND NOT friday THEN 'Monday-Thursday' WHEN monday AND tuesday AND wednesday AND thursday AND friday AND saturday AND sunday THEN 'Daily'
   WHEN monday OR tuesday OR wednesday OR thursday OR friday OR saturday OR sunday THEN array_to_string(list_filter([CASE WHEN monday THEN 'Mon' END, CASE WHEN tuesday THEN 'Tue' END, CASE WHEN wednesday THEN 'Wed' END, CASE WHEN thursday THEN 'Thu' END, CASE WHEN friday THEN 'Fri' END, CASE WHEN saturday THEN 'Sat' END, CASE WHEN sunday THEN 'Sun' END], lambda x: x IS NOT NULL), ', ')
   ELSE 'Special schedule' END AS label FROM s""")
 def _(spark, sf):
     return service_days(spark, sf).select("route_id", G.day_label().alias("label"))
 
 
-@query("route_service_days_all", ORACLE["route_service_days"].replace(" AND o_orderkey % 4 = 0", ""))
-def _(spark, sf):
-    """route_service_days with every order as a service."""
-    return service_days(spark, sf, "true")
-
-
-@query("day_label_all", ORACLE["day_label"].replace(" AND o_orderkey % 4 = 0", ""))
-def _(spark, sf):
-    return service_days(spark, sf, "true").select("route_id", G.day_label().alias("label"))
-
-
 @query("numeric_first_sort", "SELECT p_brand, CAST(dense_rank() OVER (ORDER BY coalesce(TRY_CAST(replace(p_brand, 'Brand#', '') AS INT), 999), p_brand) AS INT) AS place FROM (SELECT DISTINCT p_brand FROM part)")
 def _(spark, sf):
     from pyspark.sql.window import Window
@@ -217,9 +222,9 @@ def _(spark, sf):
     return brands.withColumn("place", F.dense_rank().over(Window.orderBy(*G.numeric_first(number))))  # one row per brand
 
 
-@query("membership_flags", "SELECT p_partkey, p_size IN (1, 2, 3) AS small, p_size IN (10, 20) AS round FROM part")
+@query("membership_flags", "SELECT p_partkey, p_size IN (1, 2, 3) AS small, p_size IN (10, 20) AS round, CASE p_size WHEN 1 THEN 'smallest' WHEN 20 THEN 'a score' END AS note FROM part")
 def _(spark, sf):
-    return G.membership_flags(part(spark, sf), "p_size", {"small": [1, 2, 3], "round": [10, 20]}).select("p_partkey", "small", "round")
+    return G.membership_flags(part(spark, sf), "p_size", {"small": [1, 2, 3], "round": [10, 20]}, {1: "smallest", 20: "a score"}).select("p_partkey", "small", "round", "note")
 
 
 @query("catalog_summary", "SELECT CASE WHEN grouping(p_type) = 1 THEN 'all' WHEN p_type = 'ECONOMY' THEN 'Economy class' ELSE p_type END AS name, count(*) AS n, count(*) FILTER (p_size > 25) AS large FROM part GROUP BY ROLLUP (p_type)")

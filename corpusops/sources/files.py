@@ -38,6 +38,24 @@ def shared_folder(spark: SparkSession, name: str) -> str:
         parent = tempfile.mkdtemp(prefix="spark-")
     return f"{parent.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
+def stored(df: DataFrame, name: str = "stored") -> DataFrame:
+    """df written to a shared folder and read again, so that what depends on how rows are dealt stays as it is."""
+    path = shared_folder(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def row_index(df: DataFrame, order: list[Column], name: str = "row_index") -> DataFrame:
+    """Adds each row's place in the order, from 0. Rows are sorted by ranges: a task numbers those of its own
+    range, and only the ranges' sizes are added up in one place."""
+    ranged = stored(df.repartitionByRange(*order).withColumn("_range", F.spark_partition_id()), "indexed")
+    sizes = ranged.groupBy("_range").agg(F.count(F.lit(1)).alias("_n"))
+    before = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    starts = sizes.select("_range", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_start"))  # one row per range
+    placed = ranged.withColumn("_place", F.row_number().over(Window.partitionBy("_range").orderBy(*order)) - 1)
+    return placed.join(F.broadcast(starts), "_range").withColumn(name, F.col("_start") + F.col("_place")).drop("_range", "_start", "_place")
+
+
 def read_wrapped_json(spark: SparkSession, path: str, array_field: str, schema: str = COURSE) -> DataFrame:
     """The records of {..., array_field: [...]} files."""
     wrapped = T.StructType().add(array_field, T.ArrayType(T.StructType.fromDDL(schema)))
