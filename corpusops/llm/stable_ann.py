@@ -11,8 +11,13 @@ r or more from the query, is nearer than the k-th found at d only with probabili
 1 - P(chi2 <= r^2 / d^2), and that is `miss` at most. With the d found there, the query goes on to every
 other leaf whose box does not already satisfy the test, and the best k of all leaves are its answer.
 
-Work is dealt by (leaf, part of the leaf, part of the queries), all of bounded size, so neither a crowded
-leaf (equal vectors can't be split by planes) nor a large query set meets in one task.
+Of equal vectors only the rows of the k + 1 smallest ids are candidates, as no query can have others among its
+k, so a vector that a third of the rows share is no crowd. Work is dealt by (leaf, part of the leaf). A task
+holds the vectors of a part, each sent once, and the queries of the leaf stream past them. The planes have at
+most a quarter as many leaves as there are sampled rows; beyond `leaf` times that many vectors (17 million by
+default) leaves have more parts, and the work of a query grows with the table.
+
+Only vec_id and embedding are read, so other columns may have any names. An empty table gives no rows.
 
 Defined results: null, zero or non-finite vectors, and vectors of null components, take no part, nor
 do rows without an id or of another length than the most common one. Repeated vec_ids are separate
@@ -148,12 +153,11 @@ def usable(vector: Column) -> Column:
     return F.coalesce(~bad & F.exists(vector, lambda x: x != 0), F.lit(False))
 
 
-def nearest(vectors: DataFrame, is_query: Column, k: int = 10, dims: int = 8, miss: float = 0.001, leaf: int = 1024, sample: int = 8192, queries_a_task: int = 4096) -> DataFrame:
+def nearest(vectors: DataFrame, is_query: Column, k: int = 10, dims: int = 8, miss: float = 0.001, leaf: int = 1024, sample: int = 65_536) -> DataFrame:
     """(query_id, rank, vec_id, score) of the k nearest of vectors (vec_id, embedding) to those for which
     is_query holds, by Euclidean distance in double precision."""
     good = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("embedding")).where(F.col("vec_id").isNotNull() & usable(F.col("embedding")))
     widths = good.groupBy(F.size("embedding").alias("width")).count().orderBy(F.desc("count"), "width").first()
-    schema = "query_id long, vec_id long, score double"
     if widths is None:
         return vectors.sparkSession.createDataFrame([], "query_id long, rank int, vec_id long, score double")
     width, count = widths
@@ -162,8 +166,8 @@ def nearest(vectors: DataFrame, is_query: Column, k: int = 10, dims: int = 8, mi
     depth = max(0, math.ceil(math.log2(max(1, count / leaf))))
     depth = min(depth, int(math.log2(sample)) - 2)
     # at most `sample` vectors come to the driver
-    some = good.orderBy(F.xxhash64("vec_id"), "vec_id").limit(sample).select("embedding").toPandas()["embedding"]
-    planes = Planes(np.array(some.tolist()) @ matrix, depth)
+    some = good.orderBy(F.xxhash64("vec_id"), "vec_id").limit(sample).select("embedding").toArrow()["embedding"].combine_chunks()
+    planes = Planes(some.flatten().to_numpy().reshape(-1, width) @ matrix, depth)
 
     def place(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for rows in batches:
@@ -171,29 +175,40 @@ def nearest(vectors: DataFrame, is_query: Column, k: int = 10, dims: int = 8, mi
                 yield rows.assign(leaf=planes.leaf(np.array(rows["embedding"].tolist()) @ matrix))
 
     placed = stored(good.mapInPandas(place, "vec_id long, embedding array<double>, leaf long"))
-    parts = placed.groupBy("leaf").agg(F.ceil(F.count(F.lit(1)) / leaf).alias("parts"))  # at most 2 ** depth rows
-    data = placed.join(F.broadcast(parts), "leaf").withColumn("part", F.pmod(F.xxhash64("vec_id"), F.col("parts")))
-    asked = placed.where(is_query)
-    shares = max(1, -(-asked.count() // queries_a_task))
-    asked = asked.select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query"), "leaf", F.pmod(F.xxhash64(F.col("vec_id") + 1), F.lit(shares)).alias("share"))
-
-    def within(key: tuple, queries: pd.DataFrame, rows: pd.DataFrame) -> pd.DataFrame:
-        out = []
-        if len(queries) and len(rows):
-            vectors, ids = np.array(rows["embedding"].tolist()), rows["vec_id"].to_numpy()
-            local, points = Local(vectors @ matrix), np.array(queries["query"].tolist())
-            for own, query, projected, bound in zip(queries["query_id"].tolist(), points, points @ matrix, queries["bound"].tolist(), strict=True):
-                found, away = search(local, vectors, ids, query, projected, own, bound, k, limit)
-                out += zip([own] * len(found), found.tolist(), away.tolist(), strict=True)
-        return pd.DataFrame(out, columns=["query_id", "vec_id", "score"])
+    alike = F.dense_rank().over(Window.partitionBy("leaf", "embedding").orderBy("vec_id"))
+    data = stored(placed.withColumn("_alike", alike).where(F.col("_alike") <= k + 1).drop("_alike"))
+    parts = data.groupBy("leaf").agg(F.ceil(F.count(F.lit(1)) / leaf).alias("parts"))  # at most 2 ** depth rows
+    data = data.join(F.broadcast(parts), "leaf").withColumn("part", F.pmod(F.xxhash64("vec_id"), F.col("parts")))
+    asked = placed.where(is_query).select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query"), "leaf")
+
+    def past(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        """The vectors of a part (kind 0) come first and are held, its queries (kind 1) follow."""
+        at, held, local = None, [], None
+        for batch in batches:
+            out = []
+            for (leaf_no, part, kind), rows in batch.groupby(["leaf", "part", "kind"], sort=False):
+                if (leaf_no, part) != at:
+                    at, held, local = (leaf_no, part), [], None
+                points = np.array(rows["vector"].tolist())
+                if kind == 0:
+                    held.append((rows["id"].to_numpy(), points))
+                elif held:
+                    if local is None:
+                        ids, kept = (np.concatenate(x) for x in zip(*held, strict=True))
+                        local = Local(kept @ matrix)
+                    for own, query, projected, bound in zip(rows["id"].tolist(), points, points @ matrix, rows["bound"].tolist(), strict=True):
+                        found, away = search(local, kept, ids, query, projected, own, bound, k, limit)
+                        out += zip([own] * len(found), found.tolist(), away.tolist(), strict=True)
+            yield pd.DataFrame(out, columns=["query_id", "vec_id", "score"])
 
     def visit(queries: DataFrame) -> DataFrame:
-        """queries: query_id, query, bound, leaf, share; every part of the leaf is visited."""
+        """queries: query_id, query, bound, leaf; every part of the leaf is visited."""
         to = parts.toDF("to_leaf", "to_parts")
-        sides = queries.join(F.broadcast(to), F.col("leaf") == F.col("to_leaf")).withColumn("to_part", F.explode(F.sequence(F.lit(0).cast("long"), F.col("to_parts") - 1)))
-        sides = sides.select("query_id", "query", "bound", "to_leaf", "to_part", F.col("share").alias("to_share"))
-        dealt = data.withColumn("share", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(shares - 1).cast("long"))))
-        return sides.groupBy("to_leaf", "to_part", "to_share").cogroup(dealt.groupBy("leaf", "part", "share")).applyInPandas(within, schema)
+        sides = queries.join(F.broadcast(to), F.col("leaf") == F.col("to_leaf")).withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.col("to_parts") - 1)))
+        sides = sides.select("leaf", "part", F.lit(1).alias("kind"), F.col("query_id").alias("id"), F.col("query").alias("vector"), "bound")
+        held = data.select("leaf", "part", F.lit(0).alias("kind"), F.col("vec_id").alias("id"), F.col("embedding").alias("vector"), F.lit(0.0).alias("bound"))
+        dealt = held.unionByName(sides).repartition("leaf", "part").sortWithinPartitions("leaf", "part", "kind")
+        return dealt.mapInPandas(past, "query_id long, vec_id long, score double")
 
     def best(found: DataFrame) -> DataFrame:
         order = Window.partitionBy("query_id").orderBy("score", "vec_id")
@@ -209,8 +224,8 @@ def nearest(vectors: DataFrame, is_query: Column, k: int = 10, dims: int = 8, mi
             more = [[x for x in planes.near(p, math.sqrt(limit) * b) if x != home] for p, b, home in zip(points, bound, rows["leaf"], strict=True)]
             yield rows.assign(bound=bound, to=more)
 
-    going = asked.join(bounds, "query_id", "left").mapInPandas(onward, "query_id long, query array<double>, leaf long, share long, bound double, to array<long>")
-    rest = visit(going.select("query_id", "query", "bound", "share", F.explode("to").alias("leaf")))
+    going = asked.join(bounds, "query_id", "left").mapInPandas(onward, "query_id long, query array<double>, leaf long, bound double, to array<long>")
+    rest = visit(going.select("query_id", "query", "bound", F.explode("to").alias("leaf")))
     answer = best(first.select("query_id", "vec_id", "score").unionByName(rest))
     return answer.select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
 
