@@ -12,10 +12,12 @@ for all but one record of equal payloads, and digests are base-32 SHA-1. The res
 payloads is that of the largest page_id.
 
 Files are written by Spark's text writer (it appends the line feed of ARC and, set so, the blank
-lines of WARC), gzip-compressed, and read by its binary reader, all in the shared folder. One file is one
-input split of the table, so its size is bounded by spark.sql.files.maxPartitionBytes.
+lines of WARC), gzip-compressed, and read by its binary reader, all in the shared folder. One ARC file is one
+input split of the table, so its size is bounded by spark.sql.files.maxPartitionBytes. A WARC file is cut
+after FILE_CHUNKS chunks of records, of CHUNK bytes or one longer record each. A file is one gzip member:
+Spark's writer puts a separator after each value, so records can't be members of their own.
 
-Defined results: a null html is an empty payload. A null url is written as `about:blank`; white space in
+Defined results: a null html is an empty payload. Very long payloads are written, and read, whole. A null url is written as `about:blank`; white space in
 urls is percent-encoded. Rows that repeat page_id and payload of the response are responses too. A
 null page_id stays null and only becomes a response if no equal payload has an id. Only page_id, url
 and html are read. An empty table gives archives without records and no rows.
@@ -43,6 +45,8 @@ ARC_FIELDS = {
 }
 REVISIT_PROFILE = "http://netpreserve.org/warc/1.0/revisit/identical-payload-digest"
 DATE = "20240101000000"
+#: Bytes of records in a chunk, and chunks in a WARC file.
+CHUNK, FILE_CHUNKS = 4_000_000, 64
 
 META = "page_id long, url string, ip string, date string, kind string, payload_bytes long, payload_digest string, record_id string"
 
@@ -152,6 +156,8 @@ def arrow(rows: list[tuple], payloads: bool) -> pa.RecordBatch:
 
 # --- WARC -------------------------------------------------------------------------------------------
 
+RECORD_END = b"\r\n\r\n"
+
 
 def iso(date: str) -> str:
     return f"{date[:4]}-{date[4:6]}-{date[6:8]}T{date[8:10]}:{date[10:12]}:{date[12:14]}Z"
@@ -174,7 +180,7 @@ def warc_records(stream: io.BufferedIOBase) -> Iterator[tuple[dict[str, str], by
         yield fields, stream.read(int(fields["Content-Length"]))
 
 
-def convert(spark: SparkSession, arc: str, warc: str, least_bytes: int = 0) -> None:
+def convert(spark: SparkSession, arc: str, warc: str, least_bytes: int = 0, chunk: int = CHUNK, file_chunks: int = FILE_CHUNKS) -> None:
     """WARC files in warc from the ARC files in arc. Payloads of fewer than least_bytes bytes are never
     revisits. What decides is gathered per digest first, combined in each task before it is shuffled; a
     hot digest's records then meet that one row in a join whose large partitions Spark splits."""
@@ -186,24 +192,35 @@ def convert(spark: SparkSession, arc: str, warc: str, least_bytes: int = 0) -> N
     joined = rows.join(best, (rows["payload_digest"] == best["_digest"]) & (rows["payload_bytes"] == best["_bytes"]), "left")
     revisit = F.col("_digest").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("_page_id"))
 
+    info = warc_record([("WARC-Type", "warcinfo"), ("WARC-Record-ID", f"<urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, warc)}>"), ("WARC-Date", iso(DATE)), ("Content-Type", "application/warc-fields")], b"software: corpusops\r\nformat: WARC File Format 1.0\r\n")
+
+    def record(r: dict) -> bytes:
+        block, kind = r["block"], "revisit" if r["revisit"] else "response"
+        fields = [("WARC-Type", kind), ("WARC-Record-ID", r["record_id"]), ("WARC-Target-URI", r["url"]), ("WARC-Date", iso(r["date"])), ("WARC-IP-Address", r["ip"]), ("WARC-Payload-Digest", f"sha1:{r['payload_digest']}"), ("Content-Type", "application/http; msgtype=response")]
+        if r["revisit"]:
+            block = split_http(block)[1]
+            fields += [("WARC-Profile", REVISIT_PROFILE), ("WARC-Refers-To", r["_record_id"]), ("WARC-Refers-To-Target-URI", r["_url"]), ("WARC-Refers-To-Date", iso(r["_date"])), ("X-Refers-To-Page-Id", "" if r["_page_id"] is None else str(r["_page_id"]))]
+        return warc_record([*fields, ("WARC-Block-Digest", f"sha1:{sha1(block)}")], block)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        begun = False
+        """Chunks of records; the first of each file starts with the record that describes the file."""
+        held, size, chunks = [info], 0, 0
+        value = lambda: pa.RecordBatch.from_arrays([pa.array([RECORD_END.join(held)], pa.binary())], ["value"])
         for batch in batches:
-            out = []
-            if not begun:
-                begun, info = True, b"software: corpusops\r\nformat: WARC File Format 1.0\r\n"
-                out.append(warc_record([("WARC-Type", "warcinfo"), ("WARC-Record-ID", f"<urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, warc)}>"), ("WARC-Date", iso(DATE)), ("Content-Type", "application/warc-fields")], info))
             for r in batch.to_pylist():
-                block, kind = r["block"], "revisit" if r["revisit"] else "response"
-                fields = [("WARC-Type", kind), ("WARC-Record-ID", r["record_id"]), ("WARC-Target-URI", r["url"]), ("WARC-Date", iso(r["date"])), ("WARC-IP-Address", r["ip"]), ("WARC-Payload-Digest", f"sha1:{r['payload_digest']}"), ("Content-Type", "application/http; msgtype=response")]
-                if r["revisit"]:
-                    block = split_http(block)[1]
-                    fields += [("WARC-Profile", REVISIT_PROFILE), ("WARC-Refers-To", r["_record_id"]), ("WARC-Refers-To-Target-URI", r["_url"]), ("WARC-Refers-To-Date", iso(r["_date"])), ("X-Refers-To-Page-Id", "" if r["_page_id"] is None else str(r["_page_id"]))]
-                out.append(warc_record([*fields, ("WARC-Block-Digest", f"sha1:{sha1(block)}")], block))
-            yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary())], ["value"])
+                data = record(r)
+                if size and size + len(data) > chunk:
+                    yield value()
+                    chunks += 1
+                    held, size = [info] if chunks % file_chunks == 0 else [], 0
+                held.append(data)
+                size += len(data)
+        if size:
+            yield value()
 
     records = joined.select("page_id", "url", "ip", "date", "payload_digest", "record_id", "block", revisit.alias("revisit"), "_page_id", "_url", "_date", "_record_id")
-    records.mapInArrow(run, "value binary").select(F.col("value").cast("string")).write.option("compression", "gzip").option("lineSep", "\r\n\r\n").text(warc)
+    values = records.mapInArrow(run, "value binary").select(F.col("value").cast("string"))
+    values.write.option("compression", "gzip").option("lineSep", RECORD_END.decode()).option("maxRecordsPerFile", file_chunks).text(warc)
 
 
 def read_warc(spark: SparkSession, path: str) -> DataFrame:
