@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+import weakref
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from pyspark.sql.window import Window
@@ -19,22 +20,38 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_dir(spark: SparkSession) -> str:
     """A new folder that the driver and every executor can reach.
 
-    The cluster names the parent in spark.checkpoint.dir. Where it is unset, a local session gets a
-    temporary folder and a cluster session gets one in the warehouse.
+    The cluster names the parent in spark.checkpoint.dir. A local session without it gets a temporary folder; on a
+    cluster it has to be set.
     """
     parent = spark.conf.get("spark.checkpoint.dir", None)
     if not parent:
-        local = spark.sparkContext.master.startswith("local") and "cluster" not in spark.sparkContext.master
-        parent = f"file://{tempfile.mkdtemp(prefix='spark-')}" if local else spark.conf.get("spark.sql.warehouse.dir")
+        if not spark.sparkContext.master.startswith("local") or "cluster" in spark.sparkContext.master:
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors reach")
+        parent = f"file://{tempfile.mkdtemp(prefix='spark-')}"
     return f"{parent.rstrip('/')}/corpusops-{uuid.uuid4().hex}"
 
 
+#: Folder of each table that `stored` wrote and that is still referred to.
+_folders: weakref.WeakKeyDictionary = weakref.WeakKeyDictionary()
+
+
 def stored(df: DataFrame) -> DataFrame:
     """df written as a table in the shared folder and read again: its lineage ends there, so a lost
-    executor costs nothing before it and nothing is computed twice."""
+    executor costs nothing before it and nothing is computed twice. What reads it must not outlive the
+    folder, which `discard` or the owner of spark.checkpoint.dir removes."""
     path = shared_dir(df.sparkSession)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    _folders[out] = path
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Removes the folders of stored tables that nothing still to be computed reads."""
+    for df in tables:
+        if path := _folders.pop(df, None):
+            where = df.sparkSession._jvm.org.apache.hadoop.fs.Path(path)
+            where.getFileSystem(df.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(where, True)
 
 
 def row_print(doc_id: Column, text: Column) -> Column:

@@ -38,7 +38,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from corpusops.llm.common import WORD, row_print, stored, table
+from corpusops.llm.common import WORD, discard, row_print, stored, table
 
 WORDS = 5
 BANDS, ROWS = 40, 5
@@ -163,11 +163,13 @@ def components(links: DataFrame) -> DataFrame:
     state = None
     while True:
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u != v")
+        # stored, so that both sides of the join are dealt for it alone and Spark may split the rows of a hot u
+        low = stored(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")))
+        large = both.join(same_shape(low), "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u != v")
         small = large.join(large.groupBy("u").agg(F.min("v").alias("m")), "u")
         pairs = small.select(F.inline(F.array(F.struct(F.col("u"), F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))))
-        edges = stored(pairs.where("u != v").distinct())
+        done, edges = edges, stored(pairs.where("u != v").distinct())
+        discard(done, low)
         before, state = state, edges.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("u", "v"))).first()
         if state == before or not state[0]:
             break
