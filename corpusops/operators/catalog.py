@@ -1,34 +1,50 @@
 """Lookups and scored searches over entity tables (courses, people, programs) for tables of questions.
 
-A question table is small beside the catalogue in these jobs, yet its size is not assumed: scored searches
-explode a question into its terms, and only field values that contain a term meet the question."""
+A term that a field holds is found by way of its first three characters: field values are exploded into their
+distinct runs of up to three characters, and term and value meet in an equi-join on one of them. So neither
+side is broadcast whole, and no value is compared with a term that shares no run with it."""
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Callable, Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql.window import Window
 
 from corpusops.operators.ranking import top_k
 
 
+def words(text: Column, least: int = 1) -> Column:
+    """White-space separated words in lower case, of at least `least` characters."""
+    return F.filter(F.split(F.lower(text), r"\s+"), lambda t: F.length(t) >= least)
+
+
 def terms(text: Column, least: int = 1) -> Column:
-    """Distinct white-space separated words in lower case, of at least `least` characters."""
-    return F.array_distinct(F.filter(F.split(F.lower(text), r"\s+"), lambda t: F.length(t) >= least))
+    """Distinct words."""
+    return F.array_distinct(words(text, least))
 
 
 def field_text(fields: Sequence[str]) -> Column:
     return F.lower(F.concat_ws(" ", *fields))
 
 
+def holding(values: DataFrame, parts: DataFrame, value: str = "value", term: str = "term") -> DataFrame:
+    """(value, term) of the distinct values and terms for which the value contains the term; an empty term is in
+    every value."""
+    at = F.sequence(F.lit(1), F.greatest(F.length(value), F.lit(1)))
+    runs = F.flatten(F.transform(at, lambda i: F.transform(F.array(F.lit(1), F.lit(2), F.lit(3)), lambda n: F.substring(F.col(value), i, n))))
+    cut = values.select(value, F.explode(F.array_distinct(F.concat(F.array(F.lit("")), runs))).alias("_run"))
+    asked = parts.select(term, F.substring(term, 1, 3).alias("_run"))
+    return cut.join(asked, "_run").where(F.contains(value, term)).select(value, term)
+
+
 def match_any_term(questions: DataFrame, catalog: DataFrame, key: str, fields: Sequence[str], limit: int, least: int = 1) -> DataFrame:
     """(query_id, key, rank, n_found): rows of which some term is a substring of the fields, in key order; a
-    question without terms finds all. n_found counts before the limit. Each distinct term passes over the
-    catalogue's distinct field texts once."""
+    question without terms finds all. n_found counts before the limit. Each distinct term meets the catalogue's
+    distinct field texts once."""
     asked = questions.select("query_id", F.explode_outer(terms(F.col("text"), least)).alias("term")).withColumn("term", F.coalesce("term", F.lit("")))
     texts = catalog.select(key, field_text(fields).alias("_text"))
-    values = texts.select("_text").distinct()
-    hits = values.join(asked.select("term").distinct(), F.contains("_text", "term"))
+    hits = holding(texts.select("_text").distinct(), asked.select("term").distinct(), "_text")
     found = texts.join(hits, "_text").join(asked, "term").select("query_id", key).distinct()
     counted = found.groupBy("query_id").agg(F.count(F.lit(1)).alias("n_found"))
     return top_k(found, ["query_id"], [F.asc(key)], limit).join(counted, "query_id")
@@ -43,19 +59,48 @@ def match_all_terms(catalog: DataFrame, field: str, keywords: Sequence[str], gro
     return catalog.where(held if group is None else held & group)
 
 
-def field_weighted_score(questions: DataFrame, catalog: DataFrame, key: str, weights: Mapping[str, int], limit: int) -> DataFrame:
-    """(query_id, key, score, rank): for each field and term the weight if the term is a substring, and half
-    of it (rounded down) more if it is a whole word. Terms meet the distinct values of a field only."""
-    asked = questions.select("query_id", F.explode(terms(F.col("text"))).alias("term"))
+def field_points(questions: DataFrame, catalog: DataFrame, key: str, weights: Mapping[str, int]) -> DataFrame:
+    """(query_id, key, points), one row per field with points: for each word of the question the weight if the field
+    holds it, and half of the weight (rounded down) more if it is a whole word there."""
+    asked = questions.select("query_id", F.explode(words(F.col("text"))).alias("term")).groupBy("query_id", "term").agg(F.count(F.lit(1)).alias("n"))
     every = None
     for field, weight in weights.items():
-        low = catalog.select(F.lower(F.col(field).cast("string")).alias("value")).distinct()
+        rows = catalog.select(key, F.lower(F.col(field).cast("string")).alias("value"))
         word = F.regexp_like(F.col("value"), F.concat(F.lit(r"\b\Q"), F.col("term"), F.lit(r"\E\b")))
         points = F.lit(weight) + F.when(word, weight // 2).otherwise(0)
-        hits = low.join(asked.select("term").distinct(), F.contains("value", "term")).select("term", "value", points.alias("points"))
-        part = hits.join(asked, "term").groupBy("query_id", "value").agg(F.sum("points").alias("points"))
-        part = part.join(catalog.select(key, F.lower(F.col(field).cast("string")).alias("value")), "value").select("query_id", key, "points")
+        hits = holding(rows.select("value").distinct(), asked.select("term").distinct()).select("term", "value", points.alias("points"))
+        part = hits.join(asked, "term").groupBy("query_id", "value").agg(F.sum(F.col("points") * F.col("n")).alias("points")).join(rows, "value").select("query_id", key, "points")
         every = part if every is None else every.unionByName(part)
+    return every
+
+
+# What in a question asks for a level, and the points of each.
+LEVEL_CUES = (("undergraduate", "undergraduate", 5), ("graduate", "graduate", 5), ("graduate", "grad ", 5), ("undergraduate", "undergrad", 5))
+
+
+def level_points(questions: DataFrame, catalog: DataFrame, key: str, level: str, limit: int, cues: Sequence[tuple[str, str, int]] = LEVEL_CUES) -> tuple[DataFrame, DataFrame]:
+    """(query_id, level, points) of the levels that questions ask for; and (query_id, key) of each such level's first
+    `limit` rows: those that have these points alone and may still be among a question's best."""
+    low = F.lower("text")
+    asked = questions.select("query_id", F.inline(F.array(*[F.struct(F.lit(name).alias("_level"), F.when(low.contains(cue), n).otherwise(0).alias("points")) for name, cue, n in cues])))
+    asked = asked.groupBy("query_id", "_level").agg(F.sum("points").alias("points")).where("points > 0")
+    first = top_k(catalog.select(key, F.lower(level).alias("_level")), ["_level"], [F.asc(key)], limit).select(key, "_level")
+    return asked, asked.join(first, "_level").select("query_id", key)
+
+
+def field_weighted_score(questions: DataFrame, catalog: DataFrame, key: str, weights: Mapping[str, int], limit: int, credits: str | None = None, level: str | None = None) -> DataFrame:
+    """(query_id, key, score, rank): field_points, five more for each word that is the row's number of credits, and
+    the points of the row's level if the question asks for it."""
+    every = field_points(questions, catalog, key, weights)
+    if credits:
+        numbers = questions.select("query_id", F.explode(words(F.col("text"))).alias("term")).where(F.col("term").rlike("^[0-9]+$"))
+        rows = catalog.where(F.col(credits) != 0).select(key, F.col(credits).cast("long").alias("_credits"))
+        same = numbers.withColumn("_credits", F.col("term").try_cast("long")).join(rows, "_credits")
+        every = every.unionByName(same.select("query_id", key, F.lit(5).cast("long").alias("points")))
+    if level:
+        asked, first = level_points(questions, catalog, key, level, limit)
+        found = every.select("query_id", key).unionByName(first).distinct().join(catalog.select(key, F.lower(level).alias("_level")), key)
+        every = every.unionByName(found.join(asked, ["query_id", "_level"]).select("query_id", key, "points"))
     scored = every.groupBy("query_id", key).agg(F.sum("points").alias("score"))
     return top_k(scored, ["query_id"], [F.desc("score"), F.asc(key)], limit)
 
@@ -74,31 +119,100 @@ def lookup_group(catalog: DataFrame, keys: Sequence[str], order: str, limit: int
     return top_k(catalog, list(keys), [F.asc(order)], limit)
 
 
-def staged(questions: DataFrame, stages: Sequence) -> DataFrame:
-    """Answers of the first stage that answers a question. A stage is a function of the open questions to rows
-    with query_id; it adds its number."""
-    out, open_ = None, questions
+def staged(questions: DataFrame, stages: Sequence[Callable[[DataFrame], DataFrame]]) -> DataFrame:
+    """Answers of the first stage that answers a question, and its number. A stage is a function of questions to rows
+    with query_id; each is asked once."""
+    every = None
     for i, stage in enumerate(stages):
-        rows = stage(open_).withColumn("stage", F.lit(i))
-        out = rows if out is None else out.unionByName(rows)
-        open_ = open_.join(rows.select("query_id").distinct(), "query_id", "left_anti")
-    return out
+        rows = stage(questions).withColumn("stage", F.lit(i))
+        every = rows if every is None else every.unionByName(rows)
+    first = F.min("stage").over(Window.partitionBy("query_id"))
+    return every.withColumn("_first", first).where("stage = _first").drop("_first")
+
+
+def search_catalog(questions: DataFrame, catalog: DataFrame, key: str, code: str, subject: str, weights: Mapping[str, int], limit: int, credits: str | None = None, level: str | None = None) -> DataFrame:
+    """(query_id, key, rank, stage): the row of a course code, else the first rows of a subject, else the best scored,
+    else the best scored by the question as it was put. questions: (query_id, text, original); those of an
+    empty text have no answer."""
+    open_ = questions.where(F.trim("text") != "").withColumn("text", F.trim("text"))
+    named = open_.withColumn("_code", F.regexp_replace(F.upper(F.regexp_extract("text", r"(?i)^([a-z]{2,4}\s+[0-9]{3,4})$", 1)), r"\s+", " "))
+    alone = open_.withColumn("_subject", F.upper(F.regexp_extract("text", r"(?i)^([a-z]{2,4})$", 1)))
+    coded = catalog.groupBy(F.col(code).alias("_code")).agg(F.max(key).alias(key))  # of repeated codes the last row counts
+    listed = top_k(catalog.select(key, F.upper(subject).alias("_subject")), ["_subject"], [F.asc(key)], limit)
+    scored = lambda q: field_weighted_score(q, catalog, key, weights, limit, credits, level).select("query_id", key, "rank")
+    again = open_.where(F.lower("text") != F.lower(F.trim("original"))).select("query_id", F.col("original").alias("text"))
+    return staged(questions, [
+        lambda q: named.join(coded, "_code").select("query_id", key, F.lit(1).alias("rank")),
+        lambda q: alone.join(listed, "_subject").select("query_id", key, "rank"),
+        lambda q: scored(open_.select("query_id", "text")),
+        lambda q: scored(again),
+    ])
+
+
+# Words of a question, the program level or the part of a name that they ask for, and the points.
+LEVEL_WORDS = {"bachelors": ("bachelor", "undergraduate"), "masters": ("master",), "doctoral": ("doctor",), "certificate": ("cert",)}
+LEVEL_TOKENS = {"bachelors": ("bs",), "masters": ("ms", "masters"), "doctoral": ("phd",)}
+SUBJECT_CUES = (("computer science", ("computer science",), ("cs",)), ("electrical", ("electrical",), ("ee",)), ("cyber", ("cyber",), ()), ("applied computing", ("applied computing",), ()))
+
+
+def search_programs(questions: DataFrame, programs: DataFrame, aliases: DataFrame, key: str, limit: int = 5) -> DataFrame:
+    """(query_id, key, rank, stage): the program of that name, else the one it is an alias of, else the first whose
+    name holds the text, else the best by points: five for each word of three characters in the name, three for the
+    level that is asked for, four for a subject in both, one for each word of four characters in the outcomes.
+
+    programs: (key, name, level, outcomes); aliases: (alias, name)."""
+    asked = questions.withColumn("_q", F.lower(F.trim("text"))).where("_q != ''")
+    rows = programs.select(key, F.lower("name").alias("_name"), F.lower("level").alias("_level"), F.lower("outcomes").alias("_outcomes"))
+    exact = lambda q: asked.join(rows, F.col("_q") == F.col("_name")).groupBy("query_id").agg(F.max(key).alias(key))
+    other = aliases.select(F.lower("alias").alias("_q"), F.lower("name").alias("_name")).distinct()
+    by_alias = lambda q: asked.join(other, "_q").join(rows, "_name").groupBy("query_id").agg(F.max(key).alias(key))
+    held = holding(rows.select("_name").distinct(), asked.select("_q").distinct(), "_name", "_q")
+    partial = lambda q: asked.join(held, "_q").join(rows, "_name").groupBy("query_id").agg(F.min(key).alias(key))
+    one = lambda f: lambda q: f(q).select("query_id", key, F.lit(1).alias("rank"))
+    tokens = F.regexp_extract_all("_q", F.lit("[a-z0-9]+"), F.lit(0))
+
+    def points(column: str, least: int, n: int) -> DataFrame:
+        parts = asked.select("query_id", F.explode(tokens).alias("term")).where(F.length("term") >= least).groupBy("query_id", "term").agg(F.count(F.lit(1)).alias("n"))
+        hits = holding(rows.select(column).distinct(), parts.select("term").distinct(), column)
+        return parts.join(hits, "term").join(rows, column).select("query_id", key, (F.col("n") * n).alias("points"))
+
+    any_of = lambda subs, toks: F.greatest(F.lit(False), *[F.col("_q").contains(x) for x in subs], *[F.array_contains(tokens, x) for x in toks])
+    levels = asked.select("query_id", F.explode(F.array_compact(F.array(*[F.when(any_of(subs, LEVEL_TOKENS.get(level, ())), level) for level, subs in LEVEL_WORDS.items()]))).alias("_level"))
+    subjects = asked.select("query_id", F.explode(F.array_compact(F.array(*[F.when(any_of(subs, toks), part) for part, subs, toks in SUBJECT_CUES]))).alias("_part"))
+    taught = rows.select(key, F.explode(F.array_compact(F.array(*[F.when(F.col("_name").contains(part), part) for part, *_ in SUBJECT_CUES]))).alias("_part"))
+    # rows with points for their level alone: the first of each level are enough
+    first = top_k(rows, ["_level"], [F.asc(key)], limit).select(key, "_level")
+    counted = points("_name", 3, 5).unionByName(points("_outcomes", 4, 1)).unionByName(subjects.join(taught, "_part").select("query_id", key, F.lit(4).cast("long").alias("points")))
+    found = counted.select("query_id", key).unionByName(levels.join(first, "_level").select("query_id", key)).distinct().join(rows.select(key, "_level"), key)
+    counted = counted.unionByName(found.join(levels, ["query_id", "_level"]).select("query_id", key, F.lit(3).cast("long").alias("points")))
+    scored = lambda q: top_k(counted.groupBy("query_id", key).agg(F.sum("points").alias("score")), ["query_id"], [F.desc("score"), F.asc(key)], limit).select("query_id", key, "rank")
+    return staged(questions, [one(exact), one(by_alias), one(partial), scored])
 
 
 def keyword_length_score(questions: DataFrame, keywords: DataFrame, limit: int) -> DataFrame:
     """keywords: (name, keyword, special). (query_id, name, score, rank): the summed length of the keywords that
     a question holds; special names come first."""
-    met = questions.join(keywords, F.contains(F.lower("text"), F.col("keyword")))
+    asked = questions.select("query_id", F.lower("text").alias("_text"))
+    held = holding(asked.select("_text").distinct(), keywords.select("keyword").distinct(), "_text", "keyword")
+    met = asked.join(held, "_text").join(keywords, "keyword")
     scored = met.groupBy("query_id", "name").agg(F.sum(F.length("keyword")).alias("score"), F.max("special").alias("special"))
     return top_k(scored, ["query_id"], [F.desc("special"), F.desc("score"), F.asc("name")], limit)
 
 
-def trigger_lookup(questions: DataFrame, triggers: DataFrame, otherwise: str) -> DataFrame:
+def trigger_lookup(questions: DataFrame, triggers: DataFrame, otherwise: str, named: DataFrame | None = None) -> DataFrame:
     """triggers: (trigger_no, trigger, target). (query_id, target, position): the distinct targets of the
-    triggers that a question holds, in trigger order; `otherwise` if it holds none."""
-    met = questions.join(triggers, F.contains(F.lower("text"), F.col("trigger")), "left")
-    first = met.groupBy("query_id", F.coalesce("target", F.lit(otherwise)).alias("target")).agg(F.min(F.coalesce("trigger_no", F.lit(-1))).alias("trigger_no"))
-    return top_k(first, ["query_id"], [F.asc("trigger_no")], 1_000_000, "position").select("query_id", "target", "position")
+    triggers that a question holds, in trigger order; else those of `named` (position, target) of whose target the
+    question holds a word of over three characters; else `otherwise`."""
+    asked = questions.select("query_id", F.lower("text").alias("_text"))
+    met = holding(asked.select("_text").distinct(), triggers.select("trigger").distinct(), "_text", "trigger")
+    by_trigger = lambda q: asked.join(met, "_text").join(triggers, "trigger").groupBy("query_id", "target").agg(F.min("trigger_no").alias("no"))
+    nothing = lambda q: q.select("query_id", F.lit(otherwise).alias("target"), F.lit(0).alias("no"))
+    stages = [by_trigger, nothing]
+    if named is not None:
+        parts = named.select("position", "target", F.explode(terms(F.col("target"), 4)).alias("term"))
+        words_of = asked.select("query_id", F.explode(terms(F.col("_text"), 4)).alias("term"))
+        stages.insert(1, lambda q: words_of.join(parts, "term").groupBy("query_id", "target").agg(F.min("position").alias("no")))
+    return top_k(staged(questions, stages), ["query_id"], [F.asc("no"), F.asc("target")], 1_000_000, "position").select("query_id", "target", "position")
 
 
 def substring_filter(catalog: DataFrame, column: str, value: str) -> DataFrame:
@@ -107,7 +221,12 @@ def substring_filter(catalog: DataFrame, column: str, value: str) -> DataFrame:
 
 def affinity_rank(rows: DataFrame, topic: Column, group: str, affinity: Mapping[str, Sequence[str]], position: str) -> DataFrame:
     """Adds place: rows whose group is preferred for the topic first, in input order within both halves."""
-    from pyspark.sql.window import Window
-
     preferred = F.greatest(*[(topic == t) & F.col(group).isin(list(groups)) for t, groups in affinity.items()], F.lit(False))
     return rows.withColumn("preferred", preferred).withColumn("place", F.row_number().over(Window.partitionBy("topic").orderBy(F.desc("preferred"), position)))
+
+
+def retry_prefixed(questions: DataFrame, prefix: str, search: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """Rows of search(questions) and their stage; questions that it doesn't answer and that lack the prefix's word are
+    searched again with the prefix."""
+    again = lambda q: search(q.where(~F.lower("text").contains(prefix)).withColumn("text", F.concat(F.lit(f"{prefix} "), "text")))
+    return staged(questions, [search, again])

@@ -42,13 +42,42 @@ def sql_points(field: str, weight: int) -> str:
     return f"(CASE WHEN contains(lower({field}), term) THEN {weight} + CASE WHEN regexp_matches(lower({field}), '\\b' || regexp_escape(term) || '\\b') THEN {weight // 2} ELSE 0 END ELSE 0 END)"
 
 
-WEIGHTED = ASK + f""", s AS (SELECT query_id, p_partkey, CAST(sum({sql_points('p_name', 8)} + {sql_points('p_brand', 6)} + {sql_points('p_type', 4)}) AS BIGINT) AS score FROM t, part GROUP BY ALL),
-  r AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, p_partkey) AS INT) AS rank FROM s WHERE score > 0)"""
+#: Parts as courses: the code is of the brand's number, the size the credits, and even keys are graduate courses.
+COURSES = "c AS (SELECT p_partkey, p_name, p_brand, p_type, p_size, 'BR ' || (100 + TRY_CAST(replace(p_brand, 'Brand#', '') AS INT)) AS code, CASE WHEN p_partkey % 2 = 0 THEN 'graduate' ELSE 'undergraduate' END AS level FROM part)"
 
 
-@query("field_weighted_score", WEIGHTED + " SELECT query_id, p_partkey, score, rank FROM r WHERE rank <= 15")
+def courses(spark: SparkSession, sf: str) -> DataFrame:
+    number = F.replace("p_brand", F.lit("Brand#"), F.lit("")).try_cast("int")
+    level = F.when(F.col("p_partkey") % 2 == 0, "graduate").otherwise("undergraduate")
+    return part(spark, sf).withColumns({"code": F.concat(F.lit("BR "), (number + 100).cast("string")), "level": level})
+
+
+#: A question for each brand: its least type and name, a number of credits, and for some a level.
+PUT = "SELECT min(p_partkey) AS query_id, min(p_type) || ' ' || p_brand || ' ' || min(p_size) || CASE min(p_partkey) % 4 WHEN 0 THEN ' grad courses' WHEN 1 THEN ' undergraduate' WHEN 2 THEN ' graduate' ELSE '' END AS text FROM part GROUP BY p_brand"
+
+
+def put(spark: SparkSession, sf: str) -> DataFrame:
+    rows = part(spark, sf).groupBy("p_brand").agg(F.min("p_partkey").alias("query_id"), F.min("p_type").alias("t"), F.min("p_size").alias("s"))
+    level = F.element_at(F.array(*map(F.lit, [" grad courses", " undergraduate", " graduate", ""])), (F.col("query_id") % 4 + 1).cast("int"))
+    return rows.select("query_id", F.concat(F.concat_ws(" ", "t", "p_brand", F.col("s").cast("string")), level).alias("text"))
+
+
+def sql_scored(q: str = "q", k: int = 15) -> str:
+    """Tables t, s and r: the scored search of questions q."""
+    fields = " + ".join(sql_points(f, w) for f, w in FIELDS.items())
+    return f"""t AS (SELECT query_id, text, unnest(string_split(lower(text), ' ')) AS term FROM {q}),
+  s AS (SELECT query_id, p_partkey, CAST(sum({fields} + CASE WHEN regexp_matches(term, '^[0-9]+$') AND term = p_size::VARCHAR THEN 5 ELSE 0 END)
+      + max(CASE WHEN level = 'undergraduate' THEN 5 * contains(lower(text), 'undergraduate')::INT + 5 * contains(lower(text), 'undergrad')::INT ELSE 5 * contains(lower(text), 'graduate')::INT + 5 * contains(lower(text), 'grad ')::INT END) AS BIGINT) AS score FROM t, c WHERE term <> '' GROUP BY ALL),
+  r AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, p_partkey) AS INT) AS rank FROM s WHERE score > 0 QUALIFY rank <= {k})"""
+
+
+FIELDS = {"p_name": 8, "p_brand": 6, "p_type": 4}
+
+
+@query("field_weighted_score", f"WITH {COURSES}, q AS ({PUT}), {sql_scored()} SELECT query_id, p_partkey, score, rank FROM r")
 def _(spark, sf):
-    return L.field_weighted_score(type_questions(spark, sf), part(spark, sf), "p_partkey", {"p_name": 8, "p_brand": 6, "p_type": 4}, 15).select("query_id", "p_partkey", "score", "rank")
+    found = L.field_weighted_score(put(spark, sf), courses(spark, sf), "p_partkey", FIELDS, 15, "p_size", "level")
+    return found.select("query_id", "p_partkey", "score", "rank")
 
 
 def coded(spark: SparkSession, sf: str) -> DataFrame:
@@ -67,30 +96,50 @@ def _(spark, sf):
     return L.lookup_group(part(spark, sf), ["p_brand", "p_type"], "p_partkey", 5).select("p_brand", "p_type", "p_partkey", "rank")
 
 
-@query("search_catalog", """WITH q AS (SELECT DISTINCT p_size AS query_id FROM part), c AS (SELECT regexp_extract(p_brand, '([0-9]+)', 1)::INT AS n, max(p_partkey) AS p_partkey FROM part GROUP BY 1),
-  a AS (SELECT query_id, p_partkey, 0 AS stage FROM q JOIN c ON n = query_id),
-  b AS (SELECT query_id, p_partkey, 1 AS stage FROM (SELECT query_id, p_partkey, row_number() OVER (PARTITION BY query_id ORDER BY p_partkey) AS r FROM q JOIN part ON p_size = query_id WHERE query_id NOT IN (SELECT query_id FROM a)) WHERE r <= 3)
-  SELECT * FROM a UNION ALL SELECT * FROM b""")
-def _(spark, sf):
-    """By code first; questions that no code answers go to the parts of their size."""
-    parts, codes = part(spark, sf), coded(spark, sf)
-    asked = parts.select(F.col("p_size").alias("query_id")).distinct().withColumn("text", F.concat(F.lit("brand"), F.col("query_id").cast("string")))
-    by_size = lambda q: R.top_k(q.join(parts, F.col("query_id") == F.col("p_size")), ["query_id"], [F.asc("p_partkey")], 3).select("query_id", "p_partkey")
-    return L.staged(asked, [lambda q: L.lookup_code(q, codes, "code", "p_partkey").select("query_id", "p_partkey"), by_size])
+#: Codes that exist and don't, subjects, scored questions, and texts that only the question as it was put answers.
+MIXED = """SELECT query_id, CASE query_id % 5 WHEN 0 THEN 'br ' || (100 + query_id % 60) WHEN 1 THEN CASE WHEN query_id % 2 = 0 THEN 'BR' ELSE 'ZZ' END WHEN 2 THEN 'zzzz qqqq' ELSE text END AS text, text AS original FROM q"""
 
 
-@query("search_programs", """WITH q AS (SELECT DISTINCT p_type AS text, dense_rank() OVER (ORDER BY p_type) AS query_id FROM part),
-  a AS (SELECT query_id, min(p_partkey) AS p_partkey, 0 AS stage FROM q JOIN part ON lower(p_name) = lower(text) GROUP BY ALL),
-  b AS (SELECT query_id, min(p_partkey) AS p_partkey, 1 AS stage FROM q JOIN part ON contains(lower(p_name || ' ' || p_type), lower(text)) WHERE query_id NOT IN (SELECT query_id FROM a) GROUP BY ALL) SELECT query_id, p_partkey, stage FROM a UNION ALL SELECT * FROM b""")
+@query("search_catalog", f"""WITH {COURSES}, q AS ({PUT}), m AS ({MIXED}), k AS (SELECT code, max(p_partkey) AS p_partkey FROM c GROUP BY code),
+  a AS (SELECT query_id, p_partkey, 1 AS rank, 0 AS stage FROM m JOIN k ON upper(text) = code AND regexp_matches(text, '^[A-Za-z]+ [0-9]+$')),
+  b AS (SELECT query_id, p_partkey, CAST(row_number() OVER (PARTITION BY query_id ORDER BY p_partkey) AS INT) AS rank, 1 AS stage FROM m JOIN c ON upper(text) = 'BR' WHERE code IS NOT NULL QUALIFY rank <= 5),
+  m1 AS (SELECT query_id, text FROM m), m2 AS (SELECT query_id, original AS text FROM m WHERE lower(text) <> lower(original)),
+  x AS (WITH {sql_scored('m1', 5)} SELECT query_id, p_partkey, rank, 2 AS stage FROM r), y AS (WITH {sql_scored('m2', 5)} SELECT query_id, p_partkey, rank, 3 AS stage FROM r),
+  u AS (SELECT * FROM a UNION ALL SELECT * FROM b UNION ALL SELECT * FROM x UNION ALL SELECT * FROM y)
+  SELECT query_id, p_partkey, rank, stage FROM u QUALIFY stage = min(stage) OVER (PARTITION BY query_id)""")
 def _(spark, sf):
-    """An exact name first, else the first row that holds the text."""
-    from pyspark.sql.window import Window
-
-    parts = part(spark, sf).select("p_partkey", F.lower("p_name").alias("name"), F.lower(F.concat_ws(" ", "p_name", "p_type")).alias("both"))
-    asked = part(spark, sf).select("p_type").distinct().select(F.col("p_type").alias("text"), F.dense_rank().over(Window.orderBy("p_type")).alias("query_id"))  # one row per type
-    exact = lambda q: q.join(parts, F.lower("text") == F.col("name")).groupBy("query_id").agg(F.min("p_partkey").alias("p_partkey"))
-    partial = lambda q: q.join(parts, F.contains("both", F.lower("text"))).groupBy("query_id").agg(F.min("p_partkey").alias("p_partkey"))
-    return L.staged(asked, [exact, partial]).select(F.col("query_id").cast("long").alias("query_id"), "p_partkey", "stage")
+    """By code, by subject, by score, and by score of the question as it was put."""
+    text = F.expr("CASE query_id % 5 WHEN 0 THEN concat('br ', 100 + query_id % 60) WHEN 1 THEN CASE WHEN query_id % 2 = 0 THEN 'BR' ELSE 'ZZ' END WHEN 2 THEN 'zzzz qqqq' ELSE text END")
+    asked = put(spark, sf).select("query_id", text.alias("text"), F.col("text").alias("original"))
+    rows = courses(spark, sf).withColumn("subject", F.when(F.col("code").isNotNull(), "BR"))
+    return L.search_catalog(asked, rows, "p_partkey", "code", "subject", FIELDS, 5, "p_size", "level").select("query_id", "p_partkey", "rank", "stage")
+
+
+#: Parts as programs; each name has as alias its words with dashes.
+PROGRAMS = """p AS (SELECT p_partkey, lower(p_name || ' ' || p_partkey % 50) AS name, CASE p_size % 4 WHEN 0 THEN 'bachelors' WHEN 1 THEN 'masters' WHEN 2 THEN 'doctoral' ELSE 'certificate' END AS level, lower(p_type || ' ' || p_brand) AS outcomes FROM part)"""
+WANTED = """q AS (SELECT p_partkey AS query_id, CASE p_partkey % 5 WHEN 0 THEN p_name || ' ' || p_partkey % 50 WHEN 1 THEN replace(p_name, ' ', '-') || '-' || p_partkey % 50 WHEN 2 THEN p_name WHEN 3 THEN 'a phd or ' || p_name || '?' ELSE 'MS with ' || p_type || ' outcomes' END AS text FROM part)"""
+
+
+@query("search_programs", f"""WITH {PROGRAMS}, {WANTED}, w AS (SELECT query_id, lower(text) AS l FROM q), names AS (SELECT name, max(p_partkey) AS last, min(p_partkey) AS first FROM p GROUP BY name),
+  a AS (SELECT query_id, last AS p_partkey, 1 AS rank, 0 AS stage FROM w JOIN names ON name = l), b AS (SELECT query_id, last AS p_partkey, 1 AS rank, 1 AS stage FROM w JOIN names ON replace(name, ' ', '-') = l),
+  d AS (SELECT DISTINCT l FROM w), h AS (SELECT l, min(first) AS p_partkey FROM d JOIN names ON contains(name, l) GROUP BY l), c AS (SELECT query_id, p_partkey, 1 AS rank, 2 AS stage FROM w JOIN h USING (l)),
+  o AS (SELECT l FROM d WHERE l NOT IN (SELECT l FROM h) AND l NOT IN (SELECT replace(name, ' ', '-') FROM names)),
+  t AS (SELECT l, unnest(regexp_extract_all(l, '[a-z0-9]+')) AS term FROM o), e AS (SELECT DISTINCT name, level, outcomes FROM p),
+  f AS (SELECT l, name, level, outcomes, sum(CASE WHEN length(term) >= 3 AND contains(name, term) THEN 5 ELSE 0 END + CASE WHEN length(term) > 3 AND contains(outcomes, term) THEN 1 ELSE 0 END)
+      + max(CASE WHEN level = 'masters' AND list_contains(regexp_extract_all(l, '[a-z0-9]+'), 'ms') OR level = 'doctoral' AND list_contains(regexp_extract_all(l, '[a-z0-9]+'), 'phd') THEN 3 ELSE 0 END) AS score FROM t, e GROUP BY ALL),
+  g AS (SELECT l, p_partkey, CAST(row_number() OVER (PARTITION BY l ORDER BY score DESC, p_partkey) AS INT) AS rank FROM f JOIN p USING (name, level, outcomes) WHERE score > 0 QUALIFY rank <= 3),
+  u AS (SELECT * FROM a UNION ALL SELECT * FROM b UNION ALL SELECT * FROM c UNION ALL SELECT query_id, p_partkey, rank, 3 FROM w JOIN g USING (l))
+  SELECT query_id, p_partkey, rank, stage FROM u QUALIFY stage = min(stage) OVER (PARTITION BY query_id)""")
+def _(spark, sf):
+    """An exact name, an alias, a part of a name, or points. Each part puts a question."""
+    key = F.col("p_partkey")
+    name = F.concat_ws(" ", "p_name", (key % 50).cast("string"))
+    level = F.element_at(F.array(*map(F.lit, ["bachelors", "masters", "doctoral", "certificate"])), F.col("p_size") % 4 + 1)
+    programs = part(spark, sf).select("p_partkey", name.alias("name"), level.alias("level"), F.concat_ws(" ", "p_type", "p_brand").alias("outcomes"))
+    aliases = programs.select(F.replace("name", F.lit(" "), F.lit("-")).alias("alias"), "name")
+    text = F.when(key % 5 == 0, name).when(key % 5 == 1, F.replace(name, F.lit(" "), F.lit("-"))).when(key % 5 == 2, F.col("p_name")).when(key % 5 == 3, F.concat(F.lit("a phd or "), "p_name", F.lit("?"))).otherwise(F.concat(F.lit("MS with "), "p_type", F.lit(" outcomes")))
+    asked = part(spark, sf).select(key.alias("query_id"), text.alias("text"))
+    return L.search_programs(asked, programs, aliases, "p_partkey", 3).select("query_id", "p_partkey", "rank", "stage")
 
 
 KEYS = [("economy", "the"), ("economy", "and"), ("promo", "tion"), ("standard", "ing"), ("standard", "erha")]
@@ -103,11 +152,16 @@ def _(spark, sf):
     return L.keyword_length_score(read(spark, sf, "benchmark").select(F.col("item_id").alias("query_id"), "text"), keys, 2).select("query_id", "name", "score", "rank")
 
 
-@query("trigger_lookup", """WITH k(no, trigger, target) AS (VALUES (0, 'zz', 'rare'), (1, 'erha', 'office'), (2, 'tion', 'chair'), (3, 'tien', 'office')), m AS (SELECT item_id AS query_id, coalesce(target, 'everyone') AS target, min(coalesce(no, -1)) AS no FROM benchmark LEFT JOIN k ON contains(lower(text), trigger) GROUP BY ALL)
-  SELECT query_id, target, CAST(row_number() OVER (PARTITION BY query_id ORDER BY no) AS INT) AS position FROM m""")
+@query("trigger_lookup", """WITH k(no, trigger, target) AS (VALUES (0, 'zz', 'rare'), (1, 'erha', 'office'), (2, 'tion', 'chair'), (3, 'tien', 'office')),
+  m AS (SELECT item_id AS query_id, target, min(no) AS no FROM benchmark JOIN k ON contains(lower(text), trigger) GROUP BY ALL), w AS (SELECT DISTINCT item_id AS query_id, unnest(regexp_split_to_array(lower(text), '\\s+')) AS term FROM benchmark WHERE item_id NOT IN (SELECT query_id FROM m)),
+  n(no, target) AS (VALUES (0, 'that house'), (1, 'from here')), f AS (SELECT query_id, target, min(no) AS no FROM w JOIN n ON list_contains(string_split(target, ' '), term) GROUP BY ALL),
+  u AS (SELECT * FROM m UNION ALL SELECT * FROM f UNION ALL SELECT item_id, 'everyone', 0 FROM benchmark WHERE item_id NOT IN (SELECT query_id FROM m UNION ALL SELECT query_id FROM f))
+  SELECT query_id, target, CAST(row_number() OVER (PARTITION BY query_id ORDER BY no, target) AS INT) AS position FROM u""")
 def _(spark, sf):
+    """Triggers, then words of the targets, then all."""
     triggers = spark.createDataFrame([(0, "zz", "rare"), (1, "erha", "office"), (2, "tion", "chair"), (3, "tien", "office")], "trigger_no int, trigger string, target string")
-    return L.trigger_lookup(read(spark, sf, "benchmark").select(F.col("item_id").alias("query_id"), "text"), triggers, "everyone")
+    named = spark.createDataFrame([(0, "that house"), (1, "from here")], "position int, target string")
+    return L.trigger_lookup(read(spark, sf, "benchmark").select(F.col("item_id").alias("query_id"), "text"), triggers, "everyone", named)
 
 
 @query("substring_filter", "SELECT s_suppkey, s_name, n_name FROM supplier JOIN nation ON s_nationkey = n_nationkey WHERE contains(lower(n_name), 'an') OR contains(lower(s_name), '7')")
@@ -132,12 +186,13 @@ def _(spark, sf):
     return R.top_k(people, ["r_name"], [F.asc("s_suppkey")], 10, "place").select("s_suppkey", "place")
 
 
-@query("retry_prefixed", """WITH a AS (SELECT item_id, count(*) FILTER (contains(lower(p_name), string_split(lower(text), ' ')[1])) AS n FROM benchmark, part GROUP BY ALL)
-  SELECT item_id AS query_id, CASE WHEN n = 0 AND NOT contains(lower(text), 'campus') THEN 'campus ' || text ELSE text END AS text FROM benchmark JOIN a USING (item_id)""")
+@query("retry_prefixed", """WITH t AS (SELECT DISTINCT item_id, unnest(regexp_split_to_array(lower(text), '\\s+')) AS term FROM benchmark WHERE item_id % 2 = 0 UNION ALL SELECT item_id, 'q' || item_id FROM benchmark WHERE item_id % 2 = 1),
+  h AS (SELECT DISTINCT item_id, p_partkey, 0 AS stage FROM t JOIN part ON term <> '' AND contains(lower(p_name), term)),
+  g AS (SELECT * FROM h UNION ALL SELECT item_id, p_partkey, 1 FROM benchmark, part WHERE contains(lower(p_name), 'plate') AND NOT contains(lower(text), 'plate') AND item_id NOT IN (SELECT item_id FROM h))
+  SELECT item_id AS query_id, p_partkey, CAST(row_number() OVER (PARTITION BY item_id ORDER BY p_partkey) AS INT) AS rank, stage FROM g QUALIFY rank <= 3""")
 def _(spark, sf):
-    """Questions whose first word finds no part are asked again with a prefix."""
-    asked = read(spark, sf, "benchmark").select(F.col("item_id").alias("query_id"), "text")
-    first = asked.withColumn("text", F.get(F.split(F.lower("text"), " "), 0))
-    found = L.match_any_term(first, part(spark, sf), "p_partkey", ["p_name"], 1).select("query_id").distinct()
-    open_ = asked.join(found, "query_id", "left_anti").withColumn("text", F.when(F.lower("text").contains("campus"), F.col("text")).otherwise(F.concat(F.lit("campus "), "text")))
-    return asked.join(found, "query_id", "left_semi").unionByName(open_)
+    """Questions of which no word is in a part's name, as of all odd ones here, are asked again with a prefix that is
+    a word of names."""
+    odd = F.col("item_id") % 2 == 1
+    asked = read(spark, sf, "benchmark").select(F.col("item_id").alias("query_id"), F.when(odd, F.concat(F.lit("q"), F.col("item_id").cast("string"))).otherwise(F.col("text")).alias("text"))
+    return L.retry_prefixed(asked, "plate", lambda q: L.match_any_term(q, part(spark, sf), "p_partkey", ["p_name"], 3).select("query_id", "p_partkey", "rank"))
