@@ -9,7 +9,7 @@ from pyspark.sql import Column, functions as F
 # Words that carry no weight in lexical scoring.
 STOPWORDS = (
     "the a an is are was were be been being have has had do does did will would could should may might "
-    "can shall to of in for on with at by from as into through during before after above below between "
+    "can shall to of in for on with at by from as into through during before above below between "
     "and but or not no nor so if then than too very just about up out that this it its i me my we our "
     "you your he she they them what which who whom how when where"
 ).split()
@@ -71,6 +71,12 @@ def bound(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.element_at(F.transform(F.array(value), body), 1)
 
 
+def starts(pairs: Column) -> Column:
+    """The places of an array that isn't null where a pair is taken, left to right: none that the one before uses up."""
+    places = F.filter(F.transform(pairs, lambda p, i: F.when(p.isNotNull(), i)), lambda i: i.isNotNull())
+    return F.aggregate(places, F.array().cast("array<int>"), lambda done, i: F.when(F.array_contains(done, i - 1), done).otherwise(F.array_append(done, i)))
+
+
 def expand_phrases(tokens: Column, forms: dict[str, str]) -> Column:
     """expand_tokens where keys may have two words; read left to right, a two-word key is taken before its
     first word. Only the places where one could start are folded over, as one may use up the next."""
@@ -80,10 +86,6 @@ def expand_phrases(tokens: Column, forms: dict[str, str]) -> Column:
         two = F.zip_with(ts, F.slice(ts, 2, 1_000_000), lambda a, b: F.when(b.isNotNull(), F.try_element_at(table, F.concat_ws(" ", a, b))))
         return bound(two, lambda pairs: bound(starts(pairs), lambda at: F.transform(ts, lambda t, i: one(pairs, at, t, i))))
 
-    def starts(pairs: Column) -> Column:
-        places = F.filter(F.transform(pairs, lambda p, i: F.when(p.isNotNull(), i)), lambda i: i.isNotNull())
-        return F.aggregate(places, F.array().cast("array<int>"), lambda done, i: F.when(F.array_contains(done, i - 1), done).otherwise(F.array_append(done, i)))
-
     def one(pairs: Column, at: Column, t: Column, i: Column) -> Column:
         return F.when(F.array_contains(at, i - 1), None).when(F.array_contains(at, i), F.get(pairs, i)).otherwise(F.coalesce(F.try_element_at(table, t), t))
 
@@ -128,25 +130,6 @@ def lcs_ratio(a: Column, b: Column) -> Column:
     return F.when((F.length(a) > 0) & (F.length(b) > 0), 200.0 * lcs / (F.length(a) + F.length(b))).otherwise(F.lit(0.0))
 
 
-def detect_codes(tokens: Column, codes: Sequence[str]) -> Column:
-    """Course codes of a token array, left to right: AB123 as "AB 123", a known subject with the number
-    after it, or a known subject alone. Subjects are matched in upper case."""
-    known, number = strings(codes), "^[0-9]{3,4}$"
-
-    def one(ts: Column, token: Column, i: Column) -> Column:
-        up = F.upper(token)
-        joined = F.regexp_extract(up, "^([A-Z]{2,5})([0-9]{3,4})$", 1)
-        after = F.get(ts, i + 1)
-        alone = F.array_contains(known, up)
-        return (
-            F.when((joined != "") & F.array_contains(known, joined), F.concat_ws(" ", joined, F.regexp_extract(up, "^([A-Z]{2,5})([0-9]{3,4})$", 2)))
-            .when(alone & F.coalesce(after.rlike(number), F.lit(False)), F.concat_ws(" ", up, after))
-            .when(alone, up)
-        )
-
-    return F.array_distinct(F.array_compact(bound(tokens, lambda ts: F.transform(ts, lambda t, i: one(ts, t, i)))))
-
-
 def truncate(text: Column, n: int, marker: str = "...") -> Column:
     return F.when(F.length(text) > n, F.concat(F.substring(text, 1, n), F.lit(marker))).otherwise(text)
 

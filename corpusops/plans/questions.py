@@ -50,23 +50,67 @@ def named(spark: SparkSession, sf: str) -> DataFrame:
     return read(spark, sf, "part").select("p_partkey", text.alias("text"))
 
 
-@query("detect_codes", f"""WITH n AS ({NAMES}), t AS (SELECT p_partkey, string_split(text, ' ') AS w FROM n),
-  e AS (SELECT p_partkey, i, upper(w[i]) AS u, w[i + 1] AS nxt FROM (SELECT p_partkey, w, unnest(range(1, len(w) + 1)) AS i FROM t)),
-  c AS (SELECT p_partkey, i, CASE WHEN regexp_extract(u, '^([A-Z]{{2,5}})([0-9]{{3,4}})$', 1) <> '' AND list_contains({sql_list(CODES)}, regexp_extract(u, '^([A-Z]{{2,5}})([0-9]{{3,4}})$', 1)) THEN regexp_replace(u, '^([A-Z]{{2,5}})([0-9]{{3,4}})$', '\\1 \\2')
-    WHEN list_contains({sql_list(CODES)}, u) AND coalesce(regexp_matches(nxt, '^[0-9]{{3,4}}$'), false) THEN u || ' ' || nxt WHEN list_contains({sql_list(CODES)}, u) THEN u END AS code FROM e)
-  SELECT p_partkey, coalesce(string_agg(code, '|' ORDER BY i), '') AS codes FROM (SELECT p_partkey, code, min(i) AS i FROM c GROUP BY ALL) GROUP BY p_partkey""")
+#: Parts as questions with codes: joined, apart, alone, and misspelt.
+SPOKEN = "SELECT p_partkey AS query_id, CASE p_partkey % 4 WHEN 0 THEN 'eecs' || (p_size + 100) || ' now' WHEN 1 THEN 'cs ' || (p_size + 200) || ' and math' WHEN 2 THEN p_name || ' phys' ELSE 'mth or phy 101 ' || p_size END AS text FROM part"
+
+
+def spoken(spark: SparkSession, sf: str) -> DataFrame:
+    k, size = F.col("p_partkey"), F.col("p_size")
+    text = F.when(k % 4 == 0, F.concat(F.lit("eecs"), (size + 100).cast("string"), F.lit(" now"))).when(k % 4 == 1, F.concat(F.lit("cs "), (size + 200).cast("string"), F.lit(" and math"))).when(k % 4 == 2, F.concat("p_name", F.lit(" phys"))).otherwise(F.concat(F.lit("mth or phy 101 "), size.cast("string")))
+    return read(spark, sf, "part").select(k.alias("query_id"), text.alias("text"))
+
+
+def sql_like(name: str, words: str, known: str, least: int) -> str:
+    """Tables name_l and name (word, best): for each of words(word) the most similar of known(known). The longest common
+    subsequence is counted in the bits of a number, one letter of the word a step."""
+    return f"""{name}_l(word, known, i, v) AS (SELECT word, known, 1, (1::BIGINT << length(known)) - 1 FROM {words}, {known} WHERE 200 * least(length(word), length(known)) >= {least} * (length(word) + length(known))
+    UNION ALL SELECT word, known, i + 1, ((v + (v & m)) | (v - (v & m))) & ((1::BIGINT << length(known)) - 1) FROM (SELECT *, CAST(list_sum(list_transform(range(1, length(known) + 1), lambda j: CASE WHEN known[j] = word[i] THEN 1::BIGINT << (j - 1) ELSE 0 END)) AS BIGINT) AS m FROM {name}_l WHERE i <= length(word))),
+  {name} AS (SELECT word, min_by(known, (-lcs, known)) AS best FROM (SELECT word, known, 200.0 * (length(known) - bit_count(v)) / (length(word) + length(known)) AS lcs FROM {name}_l WHERE i = length(word) + 1) WHERE lcs >= {least} GROUP BY word)"""
+
+
+def sql_codes(source: str, out: str) -> str:
+    """Table out (query_id, i, token, code list) of the tokens source (query_id, i, w)."""
+    return f"""{out}_x AS (SELECT *, upper(w) AS u, list_contains({sql_list(CODES)}, upper(w)) AS known, lead(w) OVER o AS nxt, lag(w) OVER o AS prev FROM {source} WINDOW o AS (PARTITION BY query_id ORDER BY i)),
+  {out}_w AS (SELECT DISTINCT u AS word FROM {out}_x WHERE NOT known AND regexp_matches(w, '^[a-zA-Z]{{2,4}}$')), {out}_k AS (SELECT unnest({sql_list(CODES)}) AS known), {sql_like(out + '_b', out + '_w', out + '_k', 80)},
+  {out}_c AS (SELECT query_id, i, w, CASE WHEN regexp_matches(u, '^[A-Z]{{2,4}}[0-9]{{3,4}}$') THEN [regexp_replace(u, '^([A-Z]+)([0-9]+)$', '\\1 \\2')] WHEN known AND coalesce(regexp_matches(nxt, '^[0-9]+$'), false) THEN [u, u || ' ' || nxt] WHEN known THEN [u]
+    WHEN best IS NOT NULL AND regexp_matches(w, '^[a-zA-Z]{{2,4}}$') THEN [best] ELSE [] END AS code FROM {out}_x LEFT JOIN {out}_b ON word = u WHERE NOT (regexp_matches(w, '^[0-9]+$') AND coalesce(list_contains({sql_list(CODES)}, upper(prev)), false))),
+  {out} AS (SELECT query_id, i, CASE WHEN len(code) > 0 THEN code[-1] ELSE w END AS token, code FROM {out}_c)"""
+
+
+def sql_typos(source: str, known: str, out: str) -> str:
+    """Table out (query_id, i, token, original) of source (query_id, i, token), protected words being 'the' and 'and'."""
+    upper = "token = upper(token) AND upper(token) <> lower(token)"
+    return f"""{out}_o AS (SELECT *, lower(token) NOT IN ('the', 'and') AND NOT ({upper}) AND NOT regexp_matches(token, '^[0-9]+$') AND length(token) > 2 AND lower(token) NOT IN (SELECT known FROM {known}) AS open FROM {source}),
+  {out}_w AS (SELECT DISTINCT lower(token) AS word FROM {out}_o WHERE open), {sql_like(out + '_b', out + '_w', known, 85)},
+  {out} AS (SELECT query_id, i, coalesce(best, token) AS token, CASE WHEN best IS NOT NULL THEN token END AS original FROM {out}_o LEFT JOIN {out}_b ON open AND word = lower(token))"""
+
+
+@query("detect_codes", f"""WITH RECURSIVE n AS ({SPOKEN}), t AS (SELECT query_id, unnest(string_split(text, ' ')) AS w, generate_subscripts(string_split(text, ' '), 1) AS i FROM n), {sql_codes('t', 'c')}
+  SELECT query_id, string_agg(token, ' ' ORDER BY i) AS processed, array_to_string(flatten(list(code ORDER BY i)), '|') AS codes FROM c GROUP BY query_id""")
 def _(spark, sf):
-    return named(spark, sf).select("p_partkey", F.array_join(T.detect_codes(F.split("text", " "), CODES), "|").alias("codes"))
+    """Codes, the misspelt ones too, and the question with them."""
+    asked = spoken(spark, sf).select("query_id", F.split("text", " ").alias("tokens"))
+    found = F2.detect_codes(asked, spark.createDataFrame([(c,) for c in CODES], "subject string"))
+    return found.select("query_id", F.array_join("tokens", " ").alias("processed"), F.array_join("codes", "|").alias("codes"))
+
+
+#: Words of parts' names with two letters swapped, and words that are no business of the speller.
+TYPED = "SELECT p_partkey AS query_id, list_transform(string_split(p_name, ' '), lambda w: CASE WHEN p_partkey % 2 = 0 THEN w[2] || w[1] || w[3:] ELSE w[1:3] || w[5] || w[4] || w[6:] END) || ['the', 'CS', '12', upper(p_type)] AS words FROM part"
+
 
+def part_words(spark: SparkSession, sf: str) -> DataFrame:
+    return read(spark, sf, "part").select(F.explode(F.split(F.lower("p_name"), " ")).alias("word")).distinct()
 
-@query("correct_typos")
+
+@query("correct_typos", f"""WITH RECURSIVE y AS ({TYPED}), t AS (SELECT query_id, unnest(words) AS token, generate_subscripts(words, 1) AS i FROM y), k AS (SELECT DISTINCT unnest(string_split(lower(p_name), ' ')) AS known FROM part), {sql_typos('t', 'k', 'c')}
+  SELECT query_id, string_agg(token, ' ' ORDER BY i) AS processed, coalesce(string_agg(original, '|' ORDER BY i), '') AS corrected FROM c GROUP BY query_id""")
 def _(spark, sf):
-    """Words of part names with their first two letters swapped, corrected by the names' own words. Each
-    distinct unknown word is compared once, with the vocabulary words of nearly its length."""
-    words = read(spark, sf, "part").select(F.explode(F.split(F.lower("p_name"), " ")).alias("word"))
-    vocabulary = words.distinct()
-    typos = words.select(F.concat(F.substring("word", 2, 1), F.substring("word", 1, 1), F.substring("word", 3, 100)).alias("word"))
-    return F2.correct(typos, vocabulary, "word", 60.0)
+    """Misspelt words of part names, corrected by the names' own words."""
+    swapped = lambda w: F.when(F.col("p_partkey") % 2 == 0, F.concat(F.substring(w, 2, 1), F.substring(w, 1, 1), F.substring(w, 3, 100))).otherwise(F.concat(F.substring(w, 1, 3), F.substring(w, 5, 1), F.substring(w, 4, 1), F.substring(w, 6, 100)))
+    tokens = F.concat(F.transform(F.split("p_name", " "), swapped), F.array(F.lit("the"), F.lit("CS"), F.lit("12"), F.upper("p_type")))
+    asked = read(spark, sf, "part").select(F.col("p_partkey").alias("query_id"), tokens.alias("tokens"))
+    done = F2.correct_typos(asked, part_words(spark, sf), ["the", "and"])
+    return done.select("query_id", F.array_join("tokens", " ").alias("processed"), F.array_join(F.col("corrections.original"), "|").alias("corrected"))
 
 
 @query("needs_cleaning", f"""SELECT conv_id, turn, contains(lower(text), '  ') OR contains(text, '???') OR contains(text, '!!!') OR len(list_intersect(regexp_extract_all(lower(text), '[a-z0-9'']+'), {sql_list(T.MESSY_TOKENS)})) > 0 AS messy FROM conversations""")
@@ -92,9 +136,16 @@ def _(spark, sf):
 FILLER = ["tell me about", "the", "and", "of", "is", "that", "der", "die", "und", "la", "les", "de"]
 
 
-@query("topic_of")
+ASCII = "(SELECT conv_id, turn, regexp_replace(text, '[^\\x00-\\x7F]', 'x', 'g') AS text FROM conversations)"
+
+
+@query("topic_of", f"""WITH r AS (SELECT conv_id, turn, text, trim(regexp_replace(regexp_replace(lower(text), '\\b({"|".join(sorted(FILLER, key=lambda p: (-len(p), p)))})\\b', ' ', 'g'), '\\s+', ' ', 'g')) AS rest FROM {ASCII}),
+  e AS (SELECT *, array_to_string(list_transform(string_split(regexp_replace(rest, '^[^a-z]+|[^a-z]+$', '', 'g'), ' '), lambda w: upper(w[1]) || w[2:]), ' ') AS named, regexp_extract(text, '\\b([A-Z]{{2,4}}) ?([0-9]{{3}})\\b', 1) AS subject FROM r)
+  SELECT conv_id, turn, CASE WHEN subject <> '' THEN subject || ' ' || regexp_extract(text, '\\b([A-Z]{{2,4}}) ?([0-9]{{3}})\\b', 2) WHEN length(named) >= 3 THEN named END AS topic FROM e""")
 def _(spark, sf):
-    return turns(spark, sf).select("conv_id", "turn", T.topic_of(F.col("text"), FILLER).alias("topic"))
+    """Letters beyond ASCII are another letter here, as word boundaries of the SQL know ASCII only."""
+    said = turns(spark, sf).withColumn("text", F.regexp_replace("text", "[^\\x00-\\x7F]", "x"))
+    return said.select("conv_id", "turn", T.topic_of(F.col("text"), FILLER).alias("topic"))
 
 
 @query("expand_abbreviations", f"SELECT doc_id, md5(array_to_string(list_transform({WORDS}, lambda w: CASE w WHEN 'the' THEN 'der' WHEN 'and' THEN 'und' WHEN 'of' THEN 'von' WHEN 'to' THEN 'zu' ELSE w END), ' ')) AS expanded FROM documents")
@@ -103,12 +154,22 @@ def _(spark, sf):
     return docs(spark, sf).select("doc_id", F.md5(F.concat_ws(" ", T.expand_tokens(tokens, {k: v for k, v in SYNONYMS.items() if " " not in k}))).alias("expanded"))
 
 
-@query("expand_synonyms", f"""SELECT conv_id, turn, regexp_replace(replace(' ' || replace(array_to_string({WORDS}, ' '), ' ', '  ') || ' ', ' of  the ', ' vom '), ' (the|and|of|to) ', ' <\\1> ', 'g') AS marked FROM conversations""")
+def sql_synonyms(source: str, out: str) -> str:
+    """Table out (query_id, i, token, original) of source (query_id, i, token): "of the" before single words."""
+    stays = "length(token) <= 5 AND token = upper(token) AND upper(token) <> lower(token)"
+    single = "CASE lower(token) WHEN 'the' THEN 'der' WHEN 'and' THEN 'und' WHEN 'of' THEN 'von' WHEN 'to' THEN 'zu' END"
+    return f"""{out}_s AS (SELECT *, {stays} AS stays, NOT ({stays}) AND lower(token) = 'of' AND lower(lead(token) OVER o) = 'the' AS pair FROM {source} WINDOW o AS (PARTITION BY query_id ORDER BY i)),
+  {out}_p AS (SELECT *, coalesce(lag(pair) OVER (PARTITION BY query_id ORDER BY i), false) AS taken FROM {out}_s),
+  {out} AS (SELECT query_id, i, CASE WHEN pair THEN 'vom' WHEN stays THEN token ELSE coalesce({single}, token) END AS token, CASE WHEN pair THEN 'of the' WHEN NOT stays AND {single} IS NOT NULL THEN lower(token) END AS original FROM {out}_p WHERE NOT taken)"""
+
+
+@query("expand_synonyms", f"""WITH t AS (SELECT conv_id * 1000 + turn AS query_id, unnest(string_split(text, ' ')) AS token, generate_subscripts(string_split(text, ' '), 1) AS i FROM conversations), {sql_synonyms('t', 'c')}
+  SELECT query_id, md5(string_agg(token, ' ' ORDER BY i)) AS expanded, md5(coalesce(string_agg(original, '|' ORDER BY i), '')) AS corrected FROM c GROUP BY query_id""")
 def _(spark, sf):
-    """Two-word keys first; here checked by a marked text in which each single key is bracketed."""
-    words = F.regexp_extract_all(F.lower("text"), F.lit("[a-z]+"), F.lit(0))
-    marks = {"of the": "vom", "the": "<the>", "and": "<and>", "of": "<of>", "to": "<to>"}
-    return turns(spark, sf).select("conv_id", "turn", F.concat(F.lit(" "), F.array_join(T.expand_phrases(words, marks), "  "), F.lit(" ")).alias("marked"))
+    """Two-word keys first; upper-case words stay."""
+    e = F2.expand(F.split("text", " "), SYNONYMS, CODES)
+    done = turns(spark, sf).select((F.col("conv_id") * 1000 + F.col("turn")).alias("query_id"), e.alias("e"))
+    return done.select("query_id", F.md5(F.array_join("e.tokens", " ")).alias("expanded"), F.md5(F.array_join(F.col("e.corrections.original"), "|")).alias("corrected"))
 
 
 @query("bidirectional_aliases", "SELECT p_partkey, CASE lower(p_type) WHEN 'economy' THEN 'economy|eco' WHEN 'eco' THEN 'eco|economy' WHEN 'standard' THEN 'standard|std' ELSE lower(p_type) END AS terms FROM part")
@@ -119,30 +180,51 @@ def _(spark, sf):
 PRE = r"trim(lower(regexp_replace(regexp_replace(text, '[^\p{L}\p{N}_\s-]', ' ', 'g'), '\s+', ' ', 'g')))"
 
 
-@query("preprocess", f"""WITH p AS (SELECT item_id AS query_id, {PRE} AS normal FROM benchmark), w AS (SELECT query_id, normal, CASE WHEN normal = '' THEN [] ELSE string_split(normal, ' ') END AS words FROM p)
-  SELECT query_id, normal, array_to_string(list_transform(words, lambda w: CASE w WHEN 'the' THEN 'der' WHEN 'and' THEN 'und' WHEN 'of' THEN 'von' WHEN 'to' THEN 'zu' ELSE w END), ' ') AS processed,
-    CAST(len(list_filter(words, lambda w: w IN ('the', 'and', 'of', 'to'))) AS INT) AS n_corrections FROM w""")
+#: The text of each benchmark item and a misspelt part name and code.
+PUT = "SELECT item_id AS query_id, text, text || ' ' || coalesce(p_name[1:3] || p_name[5] || p_name[4] || p_name[6:], '') || ' mth 12' || item_id % 10 AS typed FROM benchmark LEFT JOIN part ON p_partkey = item_id"
+PREPARED = f"""WITH RECURSIVE q AS ({PUT}), n AS (SELECT query_id, text, typed, {PRE.replace('text', 'typed')} AS normal FROM q), t AS (SELECT query_id, unnest(string_split(normal, ' ')) AS w, generate_subscripts(string_split(normal, ' '), 1) AS i FROM n WHERE normal <> ''),
+  {sql_codes('t', 'c')}, {sql_synonyms('c', 's')}, s2 AS (SELECT query_id, i, unnest(CASE WHEN original IS NULL THEN [token] ELSE string_split(token, ' ') END) AS token FROM s), k AS (SELECT DISTINCT unnest(string_split(lower(p_name), ' ')) AS known FROM part), {sql_typos('s2', 'k', 'y')},
+  done AS (SELECT query_id, string_agg(token, ' ' ORDER BY i) AS processed, string_agg(original, '|' ORDER BY i) AS typos FROM y GROUP BY query_id), syn AS (SELECT query_id, string_agg(original, '|' ORDER BY i) AS synonyms FROM s GROUP BY query_id),
+  cod AS (SELECT query_id, array_to_string(flatten(list(code ORDER BY i)), '|') AS codes FROM c GROUP BY query_id)"""
+
+
+def put(spark: SparkSession, sf: str) -> DataFrame:
+    swapped = F.concat(F.substring("p_name", 1, 3), F.substring("p_name", 5, 1), F.substring("p_name", 4, 1), F.substring("p_name", 6, 100))
+    rows = read(spark, sf, "benchmark").join(read(spark, sf, "part"), F.col("p_partkey") == F.col("item_id"), "left")
+    typed = F.concat("text", F.lit(" "), F.coalesce(swapped, F.lit("")), F.lit(" mth 12"), (F.col("item_id") % 10).cast("string"))
+    return rows.select(F.col("item_id").alias("query_id"), F.col("text").alias("said"), typed.alias("text"))
+
+
+def prepared(spark: SparkSession, sf: str) -> DataFrame:
+    return F2.preprocess(put(spark, sf).select("query_id", "text"), SYNONYMS, CODES, part_words(spark, sf), ["the", "and"])
+
+
+@query("preprocess", PREPARED + " SELECT n.query_id, normal, processed, codes, concat_ws('|', synonyms, typos) AS corrected FROM n JOIN done USING (query_id) JOIN syn USING (query_id) JOIN cod USING (query_id)")
 def _(spark, sf):
-    asked = read(spark, sf, "benchmark").select(F.col("item_id").alias("query_id"), "text")
-    return F2.preprocess(asked, {k: v for k, v in SYNONYMS.items() if " " not in k}, CODES).select("query_id", "normal", "processed", "n_corrections")
+    """Normal form, codes, synonyms and spelling of every question."""
+    return prepared(spark, sf).select("query_id", "normal", "processed", F.array_join("codes", "|").alias("codes"), F.array_join(F.col("corrections.original"), "|").alias("corrected"))
 
 
-@query("clean_hybrid", f"""WITH p AS (SELECT item_id AS query_id, text, {PRE} AS normal, contains(lower(text), ' the ') AS messy FROM benchmark), w AS (SELECT *, string_split(normal, ' ') AS words FROM p)
-  SELECT query_id, CASE WHEN messy AND len(list_intersect(words, ['the', 'and', 'of', 'to'])) > 0 THEN array_to_string(list_transform(words, lambda w: CASE w WHEN 'the' THEN 'der' WHEN 'and' THEN 'und' WHEN 'of' THEN 'von' WHEN 'to' THEN 'zu' ELSE w END), ' ') ELSE text END AS cleaned FROM w""")
+@query("clean_hybrid", PREPARED + """, m AS (SELECT query_id, typed, contains(lower(typed), '  ') OR contains(typed, '???') OR contains(typed, '!!!') OR contains(typed, 'and') AS messy FROM n)
+  SELECT query_id, CASE WHEN messy AND (synonyms IS NOT NULL OR typos IS NOT NULL) THEN processed ELSE typed END AS cleaned FROM m JOIN done USING (query_id) JOIN syn USING (query_id)""")
 def _(spark, sf):
-    asked = read(spark, sf, "benchmark").select(F.col("item_id").alias("query_id"), "text")
-    done = F2.preprocess(asked, {k: v for k, v in SYNONYMS.items() if " " not in k}, CODES)
-    messy = F.lower("text").contains(" the ")
-    return done.select("query_id", F.when(messy & (F.col("n_corrections") > 0), F.col("processed")).otherwise(F.col("text")).alias("cleaned"))
+    """Preprocessed where a question needs cleaning (here also with "and" in it) and something was corrected."""
+    text = F.col("original")
+    messy = T.needs_cleaning(text, ["zzz"]) | text.contains("and")
+    return prepared(spark, sf).select("query_id", F.when(messy & (F.size("corrections") > 0), F.col("processed")).otherwise(text).alias("cleaned"))
+
+
+STRUCTURE, FORMS, LIGHT = ["and", "un"], {"re": "regarding", "th": "the"}, ["and"]
 
 
-@query("department_and_topic", """WITH t AS (SELECT conv_id, turn, lower(text) AS l FROM conversations)
+@query("department_and_topic", """WITH t AS (SELECT conv_id, turn, lower(text) AS l FROM conversations),
+  r AS (SELECT *, trim(regexp_replace(replace(replace(replace(replace(replace(l, 'tion', ' '), 'ing', ' '), 'the', ' '), 'and', ' '), 'un', ' '), '\\s+', ' ', 'g')) AS rest FROM t)
   SELECT conv_id, turn, CASE WHEN contains(l, 'tion') OR contains(l, 'ing') THEN 'english' WHEN contains(l, 'the') THEN 'general' END AS department,
-    CASE WHEN length(r) >= 3 THEN r END AS topic FROM (SELECT *, trim(regexp_replace(replace(replace(replace(l, 'tion', ''), 'ing', ''), 'the', ''), '\\s+', ' ', 'g')) AS r FROM t)""")
+    md5(CASE WHEN length(x) >= 3 THEN x ELSE trim(regexp_replace(replace(l, 'and', ' '), '\\s+', ' ', 'g')) END) AS topic FROM (SELECT *, array_to_string(list_transform(string_split(rest, ' '), lambda w: CASE w WHEN 're' THEN 'regarding' WHEN 'th' THEN 'the' ELSE w END), ' ') AS x FROM r)""")
 def _(spark, sf):
     rows = turns(spark, sf)
-    department, topic = F2.department_and_topic(F.col("text"), {"english": ["tion", "ing"], "general": ["the"]})
-    return rows.select("conv_id", "turn", department.alias("department"), topic.alias("topic"))
+    department, topic = F2.department_and_topic(F.col("text"), {"english": ["tion", "ing"], "general": ["the"]}, STRUCTURE, FORMS, LIGHT)
+    return rows.select("conv_id", "turn", department.alias("department"), F.md5(topic).alias("topic"))
 
 
 # --- rules ----------------------------------------------------------------------------------------------
