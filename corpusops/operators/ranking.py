@@ -42,3 +42,9 @@ def stable_key(fields: list[str], content: str) -> Column:
     """`field:value` of the first field that isn't empty, else the SHA-1 of the content."""
     named = [F.when(F.coalesce(F.col(f).cast("string"), F.lit("")) != "", F.concat(F.lit(f"{f}:"), F.col(f).cast("string"))) for f in fields]
     return F.coalesce(*named, F.concat(F.lit("sha1:"), F.sha1(F.coalesce(F.col(content), F.lit("")))))
+
+
+def merge_sources(found: DataFrame, kinds: list[str], key: str, k: int) -> DataFrame:
+    """Adds score, the first of the kinds that a row has, and rank: the k best rows of each question whatever their
+    source; nothing is removed as repeated."""
+    return top_k(found.withColumn("score", F.coalesce(*kinds)), ["query_id"], [F.desc("score"), F.asc(key)], k)

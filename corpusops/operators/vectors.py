@@ -119,6 +119,11 @@ def meet(batches: Iterator[pa.RecordBatch], k: int, metric: str) -> Iterator[pa.
                 yield from block.best(batch.slice(lo, hi - lo))
 
 
+def verified(first: DataFrame, texts: DataFrame, name: str, text: str) -> DataFrame:
+    """Rows of first (vec_id, name, ...) whose vector's text (vec_id, text) holds the name, in any case."""
+    return first.join(texts, "vec_id").where(F.contains(F.lower(text), F.lower(name)))
+
+
 def centroids(rows: DataFrame, label: str, vector: str) -> DataFrame:
     """(label, centroid): the mean vector of each label."""
     flat = rows.select(label, F.posexplode(vector).alias("i", "x")).groupBy(label, "i").agg(F.avg(F.col("x").cast("double")).alias("x"))

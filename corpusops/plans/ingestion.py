@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from corpusops.functions import rules as C
-from corpusops.operators import catalog as K, lexical as L, ranking as R, vectors as V
-from corpusops.plans.questions import DOMAINS, sql_word
+from corpusops.functions import decompose as Q, rules as C
+from corpusops.operators import ranking as R, routing as W
+from corpusops.plans.questions import INTENTS, SEED, sql_intent, sql_score, sql_word
 from corpusops.plans.registry import query, read
 from corpusops.plans.retrieval import IDF, documents, questions, sql_tokens
 from corpusops.sources import files as S, html as H
@@ -88,49 +88,118 @@ def _(spark, sf):
 
 # --- routing --------------------------------------------------------------------------------------------
 
-BASE = f"""WITH d AS (SELECT doc_id, source, lang, {sql_tokens('text')} AS tokens FROM documents), p AS (SELECT lang, doc_id, len(tokens) AS length, unnest(tokens) AS term FROM d), t AS (SELECT lang, doc_id, length, term, count(*) AS tf FROM p GROUP BY ALL),
-  f AS (SELECT lang, term, count(*) AS df FROM t GROUP BY ALL), s AS (SELECT lang, count(*) AS n_docs, avg(len(tokens)) AS mean_length FROM d GROUP BY lang),
-  q AS (SELECT query_id, term, count(*) AS qtf FROM (SELECT item_id AS query_id, unnest({sql_tokens('text')}) AS term FROM benchmark) GROUP BY ALL),
-  b AS (SELECT query_id, t.lang, doc_id, round(sum(qtf * {IDF} * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * length / mean_length))), 6) AS score FROM t JOIN f USING (lang, term) JOIN s USING (lang) JOIN q USING (term) GROUP BY ALL)"""
 LANGS = {"en": ["the", "and"], "de": ["der", "und"], "fr": ["les", "une"], "es": ["que", "una"]}
-FLAGS = " UNION ALL ".join(f"SELECT item_id AS query_id, '{d}' AS lang FROM benchmark WHERE {sql_word('text', w)}" for d, w in LANGS.items())
+#: Tables v (vectors), c (documents), and BM25's by language and over all.
+CORPUS = f"""v AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS v FROM embeddings), c AS (SELECT doc_id, lang, text, v FROM documents LEFT JOIN v ON vec_id = doc_id),
+  d AS (SELECT doc_id, lang, {sql_tokens('text')} AS tokens FROM documents), p AS (SELECT lang, doc_id, len(tokens) AS length, unnest(tokens) AS term FROM d), t AS (SELECT lang, doc_id, length, term, count(*) AS tf FROM p GROUP BY ALL),
+  f AS (SELECT lang, term, count(*) AS df FROM t GROUP BY ALL), s AS (SELECT lang, count(*) AS n_docs, avg(len(tokens)) AS mean_length FROM d GROUP BY lang),
+  fa AS (SELECT term, count(*) AS df FROM t GROUP BY ALL), sa AS (SELECT count(*) AS n_docs, avg(len(tokens)) AS mean_length FROM d)"""
+
+
+def sql_hybrid(q: str, out: str, most: int, by_lang: bool) -> str:
+    """Table out (query_id, doc_id, score, rank) of q (query_id, text, vid, n[, lang])."""
+    lang, using = (" AND c.lang = q.lang", "JOIN f USING (lang, term) JOIN s USING (lang)") if by_lang else ("", "JOIN fa USING (term) CROSS JOIN sa")
+    own, on = (", lang", "lang, term") if by_lang else ("", "term")
+    return f"""{out}_n AS (SELECT query_id, doc_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY distance, doc_id) AS INT) AS rank, distance FROM (SELECT query_id, doc_id, round(1 - list_dot_product(a.v, c.v) / sqrt(list_dot_product(a.v, a.v) * list_dot_product(c.v, c.v)), 6) AS distance FROM {q} q JOIN v a ON a.vec_id = q.vid JOIN c ON c.v IS NOT NULL{lang}) QUALIFY rank <= {most}),
+  {out}_q AS (SELECT query_id{own}, term, count(*) AS qtf FROM (SELECT query_id{own}, unnest({sql_tokens('text')}) AS term FROM {q}) GROUP BY ALL),
+  {out}_b AS (SELECT query_id, doc_id, round(sum(qtf * {IDF} * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * length / mean_length))), 6) AS score FROM t {using} JOIN {out}_q USING ({on}) GROUP BY ALL),
+  {out}_w AS (SELECT query_id, doc_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS INT) AS rank FROM {out}_b WHERE score > 0 QUALIFY rank <= {most}),
+  {out}_u AS (SELECT query_id, doc_id, 0 AS list, rank, 0.6::DOUBLE / (60 + rank) AS share FROM {out}_n WHERE 1 - distance >= 0.25 UNION ALL SELECT query_id, doc_id, 1, rank, 0.4::DOUBLE / (60 + rank) FROM {out}_w),
+  {out}_g AS (SELECT query_id, doc_id, round(sum(share), 9) AS score, min(list * 1000 + rank) AS first FROM {out}_u GROUP BY ALL),
+  {out} AS (SELECT query_id, doc_id, score, rank FROM (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, first) AS INT) AS rank FROM {out}_g) JOIN {q} USING (query_id) WHERE rank <= least({most}, n))"""
+
+
+def sql_fan_out(q: str, out: str) -> str:
+    """Table out (query_id, lang, doc_id, score, rank) of q (query_id, text, vid)."""
+    flags = " UNION ALL ".join(f"SELECT query_id, '{d}' AS lang, {i} AS no, text, vid FROM {q} WHERE {sql_word('text', w)}" for i, (d, w) in enumerate(LANGS.items()))
+    n = "CASE WHEN regexp_matches(lower(text), '\\ball\\b') THEN 6 WHEN lang IN ('en', 'de') THEN 2 ELSE 3 END"
+    return f"""{out}_a AS (SELECT *, query_id * 4 + no AS ask, {n} AS n FROM ({flags})), {out}_i AS (SELECT ask AS query_id, lang, text, vid, n FROM {out}_a), {sql_hybrid(out + '_i', out + '_h', 6, True)},
+  {out}_f AS (SELECT a.query_id, lang, doc_id, score, rank FROM {out}_h h JOIN {out}_a a ON a.ask = h.query_id),
+  {out}_o AS (SELECT query_id, text, vid, coalesce((SELECT max(n) FROM {out}_a a WHERE a.query_id = {q}.query_id), 6) AS n FROM {q} WHERE query_id NOT IN (SELECT query_id FROM {out}_f)), {sql_hybrid(out + '_o', out + '_r', 6, False)},
+  {out} AS (SELECT * FROM {out}_f UNION ALL SELECT query_id, NULL, doc_id, score, rank FROM {out}_r)"""
+
 
+def corpus(spark: SparkSession, sf: str) -> DataFrame:
+    vectors = read(spark, sf, "embeddings").select("vec_id", "embedding")
+    return documents(spark, sf).join(vectors, F.col("doc_id") == F.col("vec_id"), "left").select("doc_id", "lang", "text", "embedding")
 
-@query("fan_out_domains", BASE + f", g AS ({FLAGS}), r AS (SELECT query_id, lang, doc_id, score, CAST(row_number() OVER (PARTITION BY query_id, lang ORDER BY score DESC, doc_id) AS INT) AS rank FROM b JOIN g USING (query_id, lang) WHERE score > 0) SELECT * FROM r WHERE rank <= 3")
+
+def with_vectors(spark: SparkSession, sf: str, asked: DataFrame, vid: Column) -> DataFrame:
+    """Questions with the vector of an id; the tables have none of questions."""
+    vectors = read(spark, sf, "embeddings").select(F.col("vec_id").alias("_vid"), F.col("embedding").alias("query"))
+    return asked.join(vectors, vid == F.col("_vid"), "left").drop("_vid")
+
+
+def active_domains(asked: DataFrame) -> DataFrame:
+    """The languages of which a question has a word, two results each of the first two, three of the others, and six of
+    any for a complete list."""
+    flagged = asked.select("query_id", "text", F.explode(C.domain_flags(F.col("text"), LANGS)).alias("lang"))
+    n = F.when(C.scope_of(F.col("text"), [r"\ball\b"]) == "complete_list", 6).when(F.col("lang").isin("en", "de"), 2).otherwise(3)
+    return flagged.select("query_id", "lang", n.alias("n"))
+
+
+@query("fan_out_domains", f"WITH {CORPUS}, q AS (SELECT item_id AS query_id, text, item_id AS vid FROM benchmark), {sql_fan_out('q', 'x')} SELECT * FROM x")
 def _(spark, sf):
-    """Each domain that a question names (here languages) is searched with its own statistics."""
-    asked = questions(spark, sf)
-    active = asked.select("query_id", F.explode(C.domain_flags(F.col("text"), LANGS)).alias("lang"))
-    scored = L.bm25(asked, documents(spark, sf), "doc_id", "text", ["lang"]).withColumn("score", F.round("score", 6))
-    return R.top_k(scored.join(active, ["query_id", "lang"]), ["query_id", "lang"], [F.desc("score"), F.asc("doc_id")], 3).select("query_id", "lang", "doc_id", "score", "rank")
+    """Each domain that a question names (here a language) is searched by words and vectors; a question that names none
+    is asked of everything."""
+    asked = with_vectors(spark, sf, questions(spark, sf), F.col("query_id"))
+    return W.fan_out(asked, corpus(spark, sf), active_domains(asked), "lang", 6).select("query_id", "lang", "doc_id", "score", "rank")
+
+
+#: Benchmark texts, every third as a question about two things in it.
+COMPOUND = "SELECT item_id AS query_id, CASE WHEN item_id % 3 = 0 THEN 'tell me about ' || w[2] || ' ' || w[3] || ', ' || w[5] || ' ' || w[6] || '?' ELSE text END AS text FROM (SELECT item_id, text, string_split(trim(regexp_replace(regexp_replace(text, '[^A-Za-z]', ' ', 'g'), ' +', ' ', 'g')), ' ') AS w FROM benchmark)"
+SUBS = "SELECT query_id * 10 AS query_id, text, query_id AS vid FROM m WHERE query_id % 3 <> 0 UNION ALL SELECT query_id * 10 + i, string_split(text[15:length(text) - 1], ', ')[i + 1], query_id FROM m, range(2) r(i) WHERE query_id % 3 = 0"
+ROUTED_BY = {"article": ("en", 3, 6), "german": ("de", 3, 6), "romance": ("fr", 2, 4)}
 
 
-@query("route", BASE + """, i AS (SELECT item_id AS query_id, CASE WHEN contains(lower(text), 'the') THEN 'en' WHEN contains(lower(text), 'der') THEN 'de' ELSE 'general' END AS intent, contains(lower(text), 'all') AS every FROM benchmark),
-  x(intent, lang, n_top, n_all) AS (VALUES ('en', 'en', 3, 6), ('de', 'de', 3, 6), ('general', 'fr', 2, 4)),
-  r AS (SELECT query_id, intent, doc_id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank, CASE WHEN every THEN n_all ELSE n_top END AS n FROM i JOIN x USING (intent) JOIN b USING (query_id, lang) WHERE score > 0)
-  SELECT query_id, intent, doc_id, score, CAST(rank AS INT) AS rank FROM r WHERE rank <= n""")
+@query("route", f"""WITH {CORPUS}, m AS ({COMPOUND}), sub AS ({SUBS}), k AS (SELECT query_id, text, vid, {sql_score(text="x")} AS s FROM (SELECT *, regexp_replace(text, '[^\\x00-\\x7F]', 'x', 'g') AS x FROM sub)),
+  i AS (SELECT query_id, text, vid, {sql_intent()} AS intent FROM k), b(intent, lang, n_top, n_all) AS (VALUES {", ".join(f"('{i}', '{x}', {n}, {k})" for i, (x, n, k) in ROUTED_BY.items())}),
+  a AS (SELECT query_id, text, vid, lang, CASE WHEN regexp_matches(lower(text), '\\ball\\b') THEN n_all ELSE n_top END AS n FROM i JOIN b USING (intent)), {sql_hybrid('a', 'y', 6, True)},
+  o AS (SELECT query_id, text, vid FROM sub WHERE query_id NOT IN (SELECT query_id FROM y)), {sql_fan_out('o', 'x')},
+  z AS (SELECT query_id, doc_id, max(score) AS score FROM x GROUP BY ALL), e AS (SELECT query_id, 'source' AS strategy, doc_id, score, rank FROM y UNION ALL SELECT query_id, 'fan_out', doc_id, score, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS INT) AS rank FROM z QUALIFY rank <= 6),
+  l AS (SELECT CAST(floor(e.query_id / 10) AS BIGINT) AS query_id, e.query_id % 10 AS sub_no, strategy, doc_id, score, rank, left(c.text, 100) AS head FROM e JOIN c USING (doc_id))
+  SELECT query_id, sub_no, strategy, doc_id, score, rank FROM l QUALIFY head = '' OR row_number() OVER (PARTITION BY query_id, head ORDER BY sub_no, rank) = 1""")
 def _(spark, sf):
-    """A routing table sends each intent to its source with its size; all questions are answered in one job."""
-    asked = questions(spark, sf)
-    intent = C.first_keyword_type(F.col("text"), {"en": ["the"], "de": ["der"]})
-    routes = spark.createDataFrame([("en", "en", 3, 6), ("de", "de", 3, 6), ("general", "fr", 2, 4)], "intent string, lang string, n_top int, n_all int")
-    sent = asked.select("query_id", intent.alias("intent"), F.lower("text").contains("all").alias("every")).join(routes, "intent").withColumn("n", F.when(F.col("every"), F.col("n_all")).otherwise(F.col("n_top")))
-    scored = L.bm25(asked, documents(spark, sf), "doc_id", "text", ["lang"]).withColumn("score", F.round("score", 6))
-    ranked = R.top_k(scored.join(sent, ["query_id", "lang"]), ["query_id"], [F.desc("score"), F.asc("doc_id")], 6)
-    return ranked.where("rank <= n").select("query_id", "intent", "doc_id", "score", "rank")
-
-
-@query("strategy_people", """WITH q AS (SELECT n_nationkey AS query_id, n_name, n_nationkey % 3 AS kind FROM nation),
-  a AS (SELECT query_id, s_suppkey, 'name' AS strategy FROM q JOIN supplier ON contains(s_name, CAST(query_id AS VARCHAR)) WHERE kind = 0),
-  b AS (SELECT query_id, s_suppkey, 'department' FROM q JOIN supplier ON s_nationkey = query_id WHERE kind = 1),
-  c AS (SELECT query_id, s_suppkey, 'vector' FROM (SELECT query_id, s_suppkey, row_number() OVER (PARTITION BY query_id ORDER BY round((s_acctbal - query_id * 300) * (s_acctbal - query_id * 300), 6), s_suppkey) AS r FROM q, supplier WHERE kind = 2) WHERE r <= 3)
-  SELECT * FROM a UNION ALL SELECT * FROM b UNION ALL SELECT * FROM c""")
+    """Compound questions are taken apart, every part is classified and routed, and the parts' results are one list, the
+    first of equal beginnings kept."""
+    words = F.split(F.trim(F.regexp_replace(F.regexp_replace("text", "[^A-Za-z]", " "), " +", " ")), " ")
+    w = lambda i: F.get(words, i)
+    about = F.concat(F.lit("tell me about "), w(1), F.lit(" "), w(2), F.lit(", "), w(4), F.lit(" "), w(5), F.lit("?"))
+    put = questions(spark, sf).withColumn("text", F.when(F.col("query_id") % 3 == 0, about).otherwise(F.col("text")))
+    parts = Q.decompose(put).select((F.col("query_id") * 10 + F.col("sub_no")).alias("query_id"), "text", F.col("query_id").alias("vid"))
+    plain = F.regexp_replace("text", "[^\\x00-\\x7F]", "x")
+    asked = with_vectors(spark, sf, parts, F.col("vid")).withColumns({"intent": C.score_intents(plain, INTENTS, SEED)["intent"], "scope": C.scope_of(F.col("text"), [r"\ball\b"])})
+    table = spark.createDataFrame([(i, *x) for i, x in ROUTED_BY.items()], "intent string, lang string, n_top int, n_all int")
+    docs = corpus(spark, sf)
+    found = W.route(asked, docs, table, active_domains(asked), "lang", 6).join(docs.select("doc_id", F.substring("text", 1, 100).alias("head")), "doc_id")
+    whole = found.select(F.floor(F.col("query_id") / 10).alias("query_id"), (F.col("query_id") % 10).alias("sub_no"), "strategy", "doc_id", "score", "rank", "head")
+    return R.keep_first(whole, [F.col("query_id"), F.col("head")], [F.asc("sub_no"), F.asc("rank")]).select("query_id", "sub_no", "strategy", "doc_id", "score", "rank")
+
+
+#: Suppliers as staff, of whom documents tell the research; a question for each nation and kind.
+STAFF = "p AS (SELECT s_suppkey AS person, s_name AS name, n_name AS department, coalesce(text, '') AS research, CAST(embedding AS DOUBLE[]) AS v FROM supplier JOIN nation ON s_nationkey = n_nationkey LEFT JOIN documents ON doc_id = s_suppkey LEFT JOIN embeddings ON vec_id = s_suppkey)"
+WANTED = """q AS (SELECT n_nationkey AS query_id, CASE WHEN n_nationkey % 4 = 0 THEN CAST(n_nationkey AS VARCHAR) END AS name, CASE WHEN n_nationkey % 4 IN (1, 2) THEN n_name END AS department, CASE WHEN n_nationkey % 4 >= 2 THEN lower(regexp_replace(text[1:40], '[^A-Za-z]', ' ', 'g')) END AS topic, n_nationkey % 4 = 1 AS complete, n_nationkey AS vid
+  FROM nation LEFT JOIN benchmark ON item_id = n_nationkey)"""
+
+
+@query("strategy_people", f"""WITH {STAFF}, {WANTED}, o AS (SELECT * FROM q WHERE query_id % 4 >= 2),
+  a AS (SELECT query_id, person, 'name' AS strategy, 1.0::DOUBLE AS score FROM q JOIN p ON contains(lower(p.name), q.name)), b AS (SELECT query_id, person, 'department', 1.0::DOUBLE FROM q JOIN p USING (department) WHERE complete),
+  n AS (SELECT query_id, person, 'vector', 1 - distance FROM (SELECT query_id, person, round(1 - list_dot_product(e.v, p.v) / sqrt(list_dot_product(e.v, e.v) * list_dot_product(p.v, p.v)), 6) AS distance FROM o JOIN (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS v FROM embeddings) e ON e.vec_id = vid JOIN p ON p.v IS NOT NULL AND (o.department IS NULL OR o.department = p.department)) QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY distance, person) <= 3),
+  w AS (SELECT DISTINCT query_id, department, unnest(list_filter(regexp_split_to_array(topic, '[\\s/]+'), lambda t: length(t) > 2)) AS word FROM o),
+  h AS (SELECT DISTINCT query_id, person FROM w JOIN p ON contains(lower(research), word) AND (w.department IS NULL OR w.department = p.department)), m AS (SELECT query_id, person, 'supplement', 0.5::DOUBLE FROM h QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY person) <= 10),
+  u AS (SELECT * FROM a UNION ALL SELECT * FROM b UNION ALL SELECT * FROM n UNION ALL SELECT * FROM m),
+  k AS (SELECT u.*, research FROM u JOIN p USING (person) QUALIFY row_number() OVER (PARTITION BY query_id, lower(name) ORDER BY strategy = 'supplement', score DESC, person) = 1),
+  r AS (SELECT query_id, person, strategy, round(score, 6) AS score, CASE WHEN topic IS NOT NULL THEN round(len(list_intersect(list_distinct(regexp_split_to_array(topic, '[\\s/]+')), regexp_split_to_array(lower(research), '[^a-z]+'))) / len(list_distinct(regexp_split_to_array(topic, '[\\s/]+')))::DOUBLE, 6) END AS share, complete FROM k JOIN q USING (query_id))
+  SELECT query_id, person, strategy, score, CAST(row_number() OVER (PARTITION BY query_id ORDER BY share DESC NULLS LAST, score DESC, person) AS INT) AS rank FROM r QUALIFY rank <= CASE WHEN complete THEN 8 ELSE 3 END""")
 def _(spark, sf):
-    """By name, by department, or by nearness (here of balances): branches of one job."""
-    asked = read(spark, sf, "nation").select(F.col("n_nationkey").alias("query_id"), (F.col("n_nationkey") % 3).alias("kind"))
-    people = read(spark, sf, "supplier")
-    by_name = asked.where("kind = 0").join(people, F.contains("s_name", F.col("query_id").cast("string"))).select("query_id", "s_suppkey", F.lit("name").alias("strategy"))
-    by_group = asked.where("kind = 1").join(people, F.col("query_id") == F.col("s_nationkey")).select("query_id", "s_suppkey", F.lit("department").alias("strategy"))
-    points = people.select(F.col("s_suppkey").alias("vec_id"), F.array("s_acctbal").alias("embedding"))
-    near = V.knn(asked.where("kind = 2").select("query_id", F.array(F.col("query_id") * 300.0).alias("query")), points, 3, "l2").withColumnRenamed("vec_id", "s_suppkey")
-    return by_name.unionByName(by_group).unionByName(near.select("query_id", "s_suppkey", F.lit("vector").alias("strategy")))
+    """By name, by department, or by vector and words."""
+    people = read(spark, sf, "supplier").join(read(spark, sf, "nation"), F.col("s_nationkey") == F.col("n_nationkey"))
+    told = documents(spark, sf).select("doc_id", F.col("text").alias("research"))
+    vectors = read(spark, sf, "embeddings").select("vec_id", "embedding")
+    staff = people.join(told, F.col("doc_id") == F.col("s_suppkey"), "left").join(vectors, F.col("vec_id") == F.col("s_suppkey"), "left")
+    staff = staff.select(F.col("s_suppkey").cast("long").alias("person"), F.col("s_name").alias("name"), F.col("n_name").alias("department"), F.coalesce("research", F.lit("")).alias("research"), "embedding")
+    k = F.col("n_nationkey")
+    topic = F.when(k % 4 >= 2, F.lower(F.regexp_replace(F.substring("text", 1, 40), "[^A-Za-z]", " ")))
+    asked = read(spark, sf, "nation").join(read(spark, sf, "benchmark"), F.col("item_id") == k, "left")
+    asked = asked.select(k.cast("long").alias("query_id"), F.when(k % 4 == 0, k.cast("string")).alias("name"), F.when((k % 4).isin(1, 2), F.col("n_name")).alias("department"), topic.alias("topic"), (k % 4 == 1).alias("complete"))
+    return W.people(with_vectors(spark, sf, asked, F.col("query_id")), staff, 3, 8)

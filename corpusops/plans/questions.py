@@ -415,16 +415,7 @@ def _(spark, sf):
     return Q.merge_sub_results(rows).select("query_id", "n_results", "context", "sources")
 
 
-@query("sub_query_fanout", f"""WITH s AS (SELECT item_id * 10 + i AS query_id, string_split(text, '. ')[i + 1] AS text FROM (SELECT *, unnest([0, 1]) AS i FROM benchmark) WHERE string_split(text, '. ')[i + 1] IS NOT NULL)
-  SELECT query_id, CAST(len({sql_tokens('text')}) AS INT) AS n_tokens FROM s""")
-def _(spark, sf):
-    """Sub-questions are exploded before retrieval; here the first two sentences."""
-    parts = F.slice(F.split("text", r"\. "), 1, 2)
-    subs = read(spark, sf, "benchmark").select("item_id", F.posexplode(parts).alias("i", "text"))
-    return subs.select((F.col("item_id") * 10 + F.col("i")).alias("query_id"), F.size(T.tokenize(F.col("text"))).alias("n_tokens"))
-
-
-@query("sub_query_search", f"""{TOKENS} s AS (SELECT item_id, generate_subscripts(parts, 1) - 1 AS sub_no, unnest(parts) AS text FROM (SELECT item_id, string_split(text, '. ') AS parts FROM benchmark)),
+@query("sub_query_fanout", f"""{TOKENS} s AS (SELECT item_id, generate_subscripts(parts, 1) - 1 AS sub_no, unnest(parts) AS text FROM (SELECT item_id, string_split(text, '. ') AS parts FROM benchmark)),
   q AS (SELECT item_id, sub_no, term, count(*) AS qtf FROM (SELECT item_id, sub_no, unnest({sql_tokens('text')}) AS term FROM s) GROUP BY ALL),
   p AS (SELECT doc_id, len(tokens) AS length, unnest(tokens) AS term FROM d), t AS (SELECT doc_id, length, term, count(*) AS tf FROM p GROUP BY ALL), f AS (SELECT term, count(*) AS df FROM t GROUP BY ALL),
   b AS (SELECT item_id, sub_no, doc_id, round(sum(qtf * {IDF} * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * length / mean_length))), 6) AS score

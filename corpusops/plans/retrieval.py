@@ -7,7 +7,7 @@ from pyspark.sql.window import Window
 
 from corpusops.functions import text as T
 from corpusops.operators import evaluation as E, lexical as L, ranking as R, rerank as R2, vectors as V
-from corpusops.plans.registry import ORACLE, query, read
+from corpusops.plans.registry import query, read
 from corpusops.sources.files import spread
 
 STOP = ", ".join(f"'{w}'" for w in T.STOPWORDS)
@@ -145,12 +145,15 @@ def _(spark, sf):
     return V.knn(asked.drop("label"), rows, 3).select("query_id", "vec_id", F.round(V.distance_to_score(d), 6).alias("cosine_score"), F.round(V.distance_to_score(d, "inverse"), 6).alias("inverse_score"))
 
 
-@query("verified_top1", knn_sql("q.vec_id <> c.vec_id", 1) + " SELECT query_id, vec_id, distance FROM knn JOIN documents d ON d.doc_id = knn.vec_id WHERE contains(lower(d.text), 'the')")
+@query("verified_top1", knn_sql("q.vec_id <> c.vec_id", 1) + """, n AS (SELECT doc_id, lower(regexp_extract(text, '[A-Za-z]+')) AS name, lower(text) AS text FROM documents)
+  SELECT knn.query_id, vec_id, distance FROM knn JOIN n a ON a.doc_id = query_id JOIN n b ON b.doc_id = vec_id WHERE contains(b.text, a.name)""")
 def _(spark, sf):
-    """The nearest other vector counts only if its document has the asked word."""
+    """The nearest other vector counts only if the asked name (the first word of the question's document) is in the found
+    document."""
     asked, rows = vectors(spark, sf)
     first = R.top_k(V.knn(asked.drop("label"), rows, 2).where("query_id != vec_id"), ["query_id"], [F.asc("rank")], 1, "place")
-    return first.join(documents(spark, sf), F.col("vec_id") == F.col("doc_id")).where(F.lower("text").contains("the")).select("query_id", "vec_id", "distance")
+    names = documents(spark, sf).select(F.col("doc_id").alias("query_id"), F.lower(F.regexp_extract("text", "[A-Za-z]+", 0)).alias("name"))
+    return V.verified(first.join(names, "query_id"), documents(spark, sf).select(F.col("doc_id").alias("vec_id"), "text"), "name", "text").select("query_id", "vec_id", "distance")
 
 
 @query("centroid_intent", """WITH e AS (SELECT label, vec_id, unnest(embedding)::DOUBLE AS x, generate_subscripts(embedding, 1) AS i FROM embeddings),
@@ -198,13 +201,13 @@ def _(spark, sf):
     return R.top_k(fused, ["query_id"], [F.desc("score"), F.asc("first_list"), F.asc("first_rank")], 5).select("query_id", "key", "score", "rank")
 
 
-def hybrid(spark: SparkSession, sf: str, question: Column) -> DataFrame:
-    """Vectors and documents of one id stand for each other; question is made of the document's text."""
+def hybrid(spark: SparkSession, sf: str) -> DataFrame:
+    """Vectors and documents of one id stand for each other; a document's whole text is the question."""
     asked, rows = vectors(spark, sf)
     docs = documents(spark, sf)
     near = V.knn(asked.drop("label"), rows, 11).where("query_id != vec_id")
     near = R.top_k(near, ["query_id"], [F.asc("rank")], 10, "place").where(V.distance_to_score(F.col("distance")) >= 0.25).select("query_id", F.col("vec_id").alias("key"), F.col("place").alias("rank"))
-    said = docs.join(asked.select("query_id"), F.col("doc_id") == F.col("query_id")).select("query_id", question.alias("text"))
+    said = docs.join(asked.select("query_id"), F.col("doc_id") == F.col("query_id")).select("query_id", "text")
     words = L.search(said, docs, "doc_id", "text", 10).select("query_id", F.col("doc_id").alias("key"), "rank")
     fused = R.reciprocal_rank_fusion([near, words], [0.6, 0.4]).withColumn("score", F.round("score", 9))
     return R.top_k(fused, ["query_id"], [F.desc("score"), F.asc("first_list"), F.asc("first_rank")], 5).select("query_id", "key", "score", "rank")
@@ -213,7 +216,7 @@ def hybrid(spark: SparkSession, sf: str, question: Column) -> DataFrame:
 @query("hybrid_search", knn_sql("q.vec_id <> c.vec_id", 10) + f""", h AS (SELECT query_id, vec_id, rank FROM knn WHERE 1 - distance >= 0.25),
   d AS (SELECT doc_id, {sql_tokens('text')} AS tokens FROM documents), p AS (SELECT doc_id, len(tokens) AS length, unnest(tokens) AS term FROM d),
   t AS (SELECT doc_id, length, term, count(*) AS tf FROM p GROUP BY ALL), f AS (SELECT term, count(*) AS df FROM t GROUP BY ALL),
-  q AS (SELECT query_id, term, count(*) AS qtf FROM (SELECT doc_id AS query_id, unnest({sql_tokens('left(text, 200)')}) AS term FROM documents JOIN v ON doc_id = vec_id WHERE vec_id % 100 = 0) GROUP BY ALL),
+  q AS (SELECT query_id, term, count(*) AS qtf FROM (SELECT doc_id AS query_id, unnest({sql_tokens('text')}) AS term FROM documents JOIN v ON doc_id = vec_id WHERE vec_id % 100 = 0) GROUP BY ALL),
   b AS (SELECT query_id, doc_id, round(sum(qtf * {IDF} * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * length / mean_length))), 6) AS score
         FROM t JOIN f USING (term) CROSS JOIN (SELECT count(*) AS n_docs, avg(len(tokens)) AS mean_length FROM d) s JOIN q USING (term) GROUP BY ALL),
   l AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank FROM b WHERE score > 0),
@@ -221,14 +224,7 @@ def hybrid(spark: SparkSession, sf: str, question: Column) -> DataFrame:
   g AS (SELECT query_id, key, round(sum(share), 9) AS score, min(list * 1000 + rank) AS first FROM u GROUP BY ALL)
   SELECT query_id, key, score, rank FROM (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, first) AS INT) AS rank FROM g) WHERE rank <= 5""")
 def _(spark, sf):
-    """The first 200 characters are the question."""
-    return hybrid(spark, sf, F.substring("text", 1, 200))
-
-
-@query("hybrid_search_whole", ORACLE["hybrid_search"].replace("left(text, 200)", "text"))
-def _(spark, sf):
-    """hybrid_search with the whole text as the question."""
-    return hybrid(spark, sf, F.col("text"))
+    return hybrid(spark, sf)
 
 
 @query("stable_key", "SELECT page_id, CASE WHEN url <> '' AND page_id % 2 = 0 THEN 'url:' || url ELSE 'sha1:' || sha1(html) END AS key FROM pages")
@@ -237,10 +233,14 @@ def _(spark, sf):
     return rows.select("page_id", R.stable_key(["id", "url"], "html").alias("key"))
 
 
-@query("multi_source", bm25_sql("source", 3) + " SELECT query_id, source, doc_id, score, rank FROM (SELECT query_id, source, doc_id, score, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS INT) AS rank FROM bm25) WHERE rank <= 10")
+@query("multi_source", bm25_sql("source", 3) + """, m AS (SELECT query_id, source, doc_id, CASE WHEN doc_id % 3 = 0 THEN round(score * 2, 6) END AS hybrid, CASE WHEN doc_id % 3 = 1 THEN round(score * 3, 6) END AS relevance, score AS bm25 FROM bm25)
+  SELECT query_id, source, doc_id, score, rank FROM (SELECT query_id, source, doc_id, coalesce(hybrid, relevance, bm25) AS score, CAST(row_number() OVER (PARTITION BY query_id ORDER BY coalesce(hybrid, relevance, bm25) DESC, doc_id) AS INT) AS rank FROM m) WHERE rank <= 10""")
 def _(spark, sf):
+    """Results of several sources by the first score that each has; some have other kinds of scores."""
     found = L.search(questions(spark, sf), documents(spark, sf), "doc_id", "text", 3, ["source"]).drop("rank")
-    return R.top_k(found, ["query_id"], [F.desc("score"), F.asc("doc_id")], 10).select("query_id", "source", "doc_id", "score", "rank")
+    some = lambda i, n: F.when(F.col("doc_id") % 3 == i, F.round(F.col("score") * n, 6))
+    kinds = found.select("query_id", "source", "doc_id", some(0, 2).alias("hybrid"), some(1, 3).alias("relevance"), F.col("score").alias("bm25"))
+    return R.merge_sources(kinds, ["hybrid", "relevance", "bm25"], "doc_id", 10).select("query_id", "source", "doc_id", "score", "rank")
 
 
 @query("supplement", "SELECT p_partkey, p_name, CAST(1.0 AS DOUBLE) AS score FROM part WHERE p_size < 20 UNION ALL SELECT p_partkey, p_name, CAST(0.5 AS DOUBLE) FROM part WHERE p_retailprice > 1500 AND lower(p_name) NOT IN (SELECT lower(p_name) FROM part WHERE p_size < 20)")
@@ -270,55 +270,51 @@ def _(spark, sf):
 
 # --- evaluation ---------------------------------------------------------------------------------------
 
-# A hit is a document that a label calls good; the labels of documents are judgements.
-JUDGED = bm25_sql(k=5) + ", j AS (SELECT b.query_id, b.rank, coalesce(l.quality = 1, false) AS hit FROM bm25 b LEFT JOIN labels l ON l.doc_id = b.doc_id)"
+# Expected of a question's results are its two longest words; the first three of five documents are results, all
+# five are its context.
+JUDGED = bm25_sql(k=5) + f""", w AS (SELECT query_id, list(term ORDER BY place) AS tokens FROM (SELECT query_id, term, row_number() OVER (PARTITION BY query_id ORDER BY length(term) DESC, term) AS place FROM q) WHERE place <= 2 GROUP BY query_id),
+  e AS (SELECT b.query_id, b.rank, len(list_filter(tokens, lambda x: contains(lower(text), x))) > 0 AS hit FROM bm25 b JOIN documents USING (doc_id) JOIN w USING (query_id)),
+  j AS (SELECT * FROM e WHERE rank <= 3), x AS (SELECT query_id, bool_or(hit) AS context FROM e GROUP BY query_id)"""
 
 
-def judged(spark: SparkSession, sf: str) -> DataFrame:
-    ranked = L.search(questions(spark, sf), documents(spark, sf), "doc_id", "text", 5)
-    labels = read(spark, sf, "labels").select("doc_id", (F.col("quality") == 1).alias("good"))
-    return ranked.join(labels, "doc_id", "left").select("query_id", "rank", F.coalesce("good", F.lit(False)).alias("hit"))
+def judged(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
+    """Results and contexts of every question, judged by the question's longest words."""
+    asked, docs = questions(spark, sf), documents(spark, sf)
+    ranked = L.search(asked, docs, "doc_id", "text", 5).join(docs.select("doc_id", "text"), "doc_id")
+    sized = F.array_sort(F.transform(F.array_distinct(T.tokenize(F.col("text"))), lambda t: F.struct((-F.length(t)).alias("n"), t.alias("t"))))
+    expected = asked.select("query_id", F.transform(F.slice(sized, 1, 2), lambda x: x["t"]).alias("tokens"))
+    every = E.judge(ranked.select("query_id", "rank", "text"), expected, "text").select("query_id", "rank", "hit")
+    return every.where("rank <= 3"), every.select("query_id", "hit")
 
 
-@query("hit_rate", JUDGED + " SELECT query_id, bool_or(hit) AS hit FROM j GROUP BY query_id")
+@query("hit_rate", JUDGED + " SELECT query_id, coalesce(bool_or(hit), false) OR any_value(context) AS hit FROM j JOIN x USING (query_id) GROUP BY query_id")
 def _(spark, sf):
-    return E.hit(judged(spark, sf))
+    return E.hit(*judged(spark, sf))
 
 
 @query("precision_at_k", JUDGED + " SELECT query_id, round(avg(CASE WHEN hit THEN 1.0 ELSE 0.0 END), 6) AS p_at_k FROM j WHERE rank <= 3 GROUP BY query_id")
 def _(spark, sf):
-    return E.precision_at_k(judged(spark, sf), 3)
-
-
-@query("mrr", JUDGED + " SELECT query_id, round(coalesce(1.0 / min(CASE WHEN hit THEN rank END), 0), 6) AS mrr FROM j GROUP BY query_id")
-def _(spark, sf):
-    return E.reciprocal_rank(judged(spark, sf))
+    return E.precision_at_k(judged(spark, sf)[0], 3)
 
 
-@query("ndcg_at_5", JUDGED + """, g AS (SELECT query_id, sum(CASE WHEN hit THEN 1 / log2(rank + 1) ELSE 0 END) AS dcg, count(*) FILTER (hit) AS hits FROM j GROUP BY query_id)
-  SELECT query_id, round(CASE WHEN hits = 0 THEN 0 ELSE dcg / list_sum(list_transform(range(1, hits + 1), lambda i: 1 / log2(i + 1))) END, 6) AS ndcg FROM g""")
+@query("mrr", JUDGED + " SELECT query_id, round(coalesce(1.0 / min(CASE WHEN hit THEN rank END), CASE WHEN any_value(context) THEN 1.0 / (count(*) + 1) ELSE 0 END), 6) AS mrr FROM j JOIN x USING (query_id) GROUP BY query_id")
 def _(spark, sf):
-    return E.ndcg_at_k(judged(spark, sf), 5)
+    return E.reciprocal_rank(*judged(spark, sf))
 
 
-@query("precision_recall_f1", bm25_sql(k=5) + """, x AS (SELECT item_id AS query_id, doc_id FROM benchmark JOIN documents ON documents.doc_id % 40 = benchmark.item_id % 40 WHERE documents.doc_id < 400),
-  c AS (SELECT query_id, count(*) AS found FROM bm25 GROUP BY 1), e AS (SELECT query_id, count(*) AS wanted FROM x GROUP BY 1), m AS (SELECT query_id, count(*) AS n_both FROM bm25 JOIN x USING (query_id, doc_id) GROUP BY 1),
-  pr AS (SELECT query_id, coalesce(n_both, 0) AS n_both, coalesce(found, 0) AS found, coalesce(wanted, 0) AS wanted FROM c FULL JOIN e USING (query_id) LEFT JOIN m USING (query_id)),
-  s AS (SELECT query_id, CASE WHEN found = 0 THEN 0 ELSE n_both / found::DOUBLE END AS p, CASE WHEN wanted = 0 THEN 1 ELSE n_both / wanted::DOUBLE END AS r FROM pr)
-  SELECT query_id, round(p, 6) AS precision, round(r, 6) AS recall, round(CASE WHEN p + r = 0 THEN 0 ELSE 2 * p * r / (p + r) END, 6) AS f1 FROM s""")
+@query("ndcg_at_5", JUDGED + """, g AS (SELECT query_id, sum(CASE WHEN hit THEN 1 / log2(rank + 1) ELSE 0 END) AS dcg, count(*) FILTER (hit) AS hits, any_value(context) AS context FROM j JOIN x USING (query_id) GROUP BY query_id)
+  SELECT query_id, round(CASE WHEN hits = 0 THEN CASE WHEN context THEN 0.5 ELSE 0 END ELSE dcg / list_sum(list_transform(range(1, hits + 1), lambda i: 1 / log2(i + 1))) END, 6) AS ndcg FROM g""")
 def _(spark, sf):
-    found = L.search(questions(spark, sf), documents(spark, sf), "doc_id", "text", 5).select("query_id", F.col("doc_id").alias("key"))
-    wanted = questions(spark, sf).join(documents(spark, sf).where("doc_id < 400"), F.col("doc_id") % 40 == F.col("query_id") % 40).select("query_id", F.col("doc_id").alias("key"))
-    return E.precision_recall_f1(found, wanted)
+    return E.ndcg_at_k(*judged(spark, sf), 5)
 
 
-@query("precision_recall_f1_all", bm25_sql(k=5) + """, w AS (SELECT doc_id % 40 AS part, count(DISTINCT doc_id) AS wanted FROM documents GROUP BY 1),
+@query("precision_recall_f1", bm25_sql(k=5) + """, w AS (SELECT doc_id % 40 AS part, count(DISTINCT doc_id) AS wanted FROM documents GROUP BY 1),
   c AS (SELECT query_id, count(*) AS found, count(*) FILTER (doc_id % 40 = query_id % 40) AS n_both FROM bm25 GROUP BY 1),
   pr AS (SELECT query_id, coalesce(n_both, 0) AS n_both, coalesce(found, 0) AS found, coalesce(wanted, 0) AS wanted FROM c FULL JOIN (SELECT item_id AS query_id, wanted FROM benchmark JOIN w ON part = item_id % 40) USING (query_id)),
   s AS (SELECT query_id, CASE WHEN found = 0 THEN 0 ELSE n_both / found::DOUBLE END AS p, CASE WHEN wanted = 0 THEN 1 ELSE n_both / wanted::DOUBLE END AS r FROM pr)
   SELECT query_id, round(p, 6) AS precision, round(r, 6) AS recall, round(CASE WHEN p + r = 0 THEN 0 ELSE 2 * p * r / (p + r) END, 6) AS f1 FROM s""")
 def _(spark, sf):
-    """precision_recall_f1 judged by all documents, which are counted before they meet the questions."""
+    """A question wants the documents whose id has its remainder by 40; they are counted before they meet it."""
     asked, docs = questions(spark, sf), documents(spark, sf)
     found = L.search(asked, docs, "doc_id", "text", 5).select("query_id", (F.col("doc_id") % 40 == F.col("query_id") % 40).alias("hit"))
     counts = docs.groupBy((F.col("doc_id") % 40).alias("part")).agg(F.count_distinct("doc_id").alias("w"))
@@ -341,8 +337,9 @@ SCORES = """WITH s AS (SELECT d.doc_id, d.lang AS difficulty, d.source AS domain
 def scores(spark: SparkSession, sf: str) -> DataFrame:
     """Four judge scores derived from labels and lengths, and their composite."""
     rows = documents(spark, sf).join(read(spark, sf, "labels"), "doc_id")
-    four = [F.col("quality").cast("double"), 1.0 - F.col("toxic"), F.least(F.lit(1.0), F.col("n_chars") / 3000.0), (F.col("doc_id") % 5) / 4.0]
-    return rows.select("doc_id", F.col("lang").alias("difficulty"), F.col("source").alias("domain"), F.round(E.composite(four), 6).alias("composite"), E.entity_check(F.col("text"), F.lit("[0-9]")).alias("entity"))
+    four = {"quality_score": F.col("quality").cast("double"), "safety": 1.0 - F.col("toxic"), "length_score": F.least(F.lit(1.0), F.col("n_chars") / 3000.0), "grounding": (F.col("doc_id") % 5) / 4.0}
+    judged = rows.select("doc_id", F.col("lang").alias("difficulty"), F.col("source").alias("domain"), *[c.alias(n) for n, c in four.items()], F.round(E.composite([*four.values()]), 6).alias("composite"), E.entity_check(F.col("text"), F.lit("[0-9]")).alias("entity"))
+    return judged
 
 
 GRADE = "CASE WHEN composite >= 0.85 THEN 'PASS' WHEN composite >= 0.65 THEN 'PARTIAL' ELSE 'FAIL' END"
@@ -367,16 +364,25 @@ def _(spark, sf):
     return E.rollup(scores(spark, sf))
 
 
+@query("rollup_evaluators", """WITH s AS (SELECT quality::DOUBLE AS quality_score, 1.0::DOUBLE - toxic AS safety, least(1.0, n_chars / 3000.0)::DOUBLE AS length_score, (d.doc_id % 5) / 4.0::DOUBLE AS grounding FROM documents d JOIN labels l ON l.doc_id = d.doc_id),
+  u AS (UNPIVOT s ON quality_score, safety, length_score, grounding INTO NAME evaluator VALUE score) SELECT evaluator, count(*) AS n, round(avg(score), 6) AS mean FROM u GROUP BY evaluator""")
+def _(spark, sf):
+    return E.rollup_evaluators(scores(spark, sf), ["quality_score", "safety", "length_score", "grounding"])
+
+
 @query("failures", SCORES + " SELECT doc_id, difficulty, composite FROM s WHERE composite < 0.65 OR difficulty = 'de' AND composite < 0.85")
 def _(spark, sf):
     return E.failures(scores(spark, sf), ["de"]).select("doc_id", "difficulty", "composite")
 
 
-@query("answer_heuristics", """WITH a AS (SELECT conv_id, turn, contains(lower(text), 'the') AS has, contains(lower(text), 'not') AS deflects, length(text) > 50 AND length(text) < 2000 AS fits FROM conversations WHERE role = 'assistant')
+@query("answer_heuristics", """WITH t AS (SELECT *, nullif(regexp_extract(lower(lag(text) OVER (PARTITION BY conv_id ORDER BY turn)), '[a-z]{4,}'), '') AS word FROM conversations),
+  a AS (SELECT conv_id, coalesce(contains(lower(text), word), false) AS has, contains(lower(text), 'not') OR contains(lower(text), 'un') AS deflects, length(text) > 50 AND length(text) < 2000 AS fits FROM t WHERE role = 'assistant')
   SELECT conv_id, count(*) AS n, round(avg(has::INT), 6) AS expected_rate, round(avg((deflects AND has)::INT), 6) AS deflection_rate, round(avg(fits::INT), 6) AS length_rate FROM a GROUP BY conv_id""")
 def _(spark, sf):
-    answers = read(spark, sf, "conversations").where("role = 'assistant'")
-    return E.answer_heuristics(answers, ["conv_id"], F.col("text"), ["the"], ["not"])
+    """Expected of an answer is the first word of four letters of the turn before it."""
+    before = F.lag("text").over(Window.partitionBy("conv_id").orderBy("turn"))
+    rows = read(spark, sf, "conversations").withColumn("word", F.nullif(F.regexp_extract(F.lower(before), "[a-z]{4,}", 0), F.lit("")))
+    return E.answer_heuristics(rows.where("role = 'assistant'"), ["conv_id"], F.col("text"), F.array("word"), ["not", "un"])
 
 
 @query("latency_sla", "SELECT event_id, value, CASE event_type WHEN 'click' THEN 20.0 WHEN 'view' THEN 50.0 ELSE 100.0 END::DOUBLE AS bound, value <= CASE event_type WHEN 'click' THEN 20.0 WHEN 'view' THEN 50.0 ELSE 100.0 END AS ok FROM events")
@@ -385,8 +391,9 @@ def _(spark, sf):
     return E.within_bound(read(spark, sf, "events"), bounds, "event_type", "value").select("event_id", "value", "bound", "ok")
 
 
-@query("paraphrase_consistency", JUDGED + ", h AS (SELECT query_id, bool_or(hit) AS hit FROM j GROUP BY query_id) SELECT a.query_id, a.hit AND b.hit AS both_hit FROM h a JOIN h b ON b.query_id = a.query_id + 1 WHERE a.query_id % 2 = 0")
+@query("paraphrase_consistency", JUDGED + ", h AS (SELECT query_id, coalesce(bool_or(hit), false) OR any_value(context) AS hit FROM j JOIN x USING (query_id) GROUP BY query_id) SELECT a.query_id, a.hit AND b.hit AS both_hit FROM h a JOIN h b ON b.query_id = a.query_id + 1 WHERE a.query_id % 2 = 0")
 def _(spark, sf):
-    hits = E.hit(judged(spark, sf))
+    """Neighbouring questions stand for two ways to put one."""
+    hits = E.hit(*judged(spark, sf))
     pairs = questions(spark, sf).where("query_id % 2 = 0").select(F.col("query_id").alias("canonical"), (F.col("query_id") + 1).alias("paraphrase"))
     return E.consistent(hits, pairs).select(F.col("canonical").alias("query_id"), F.col("both").alias("both_hit"))
