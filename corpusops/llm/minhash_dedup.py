@@ -156,12 +156,18 @@ def located(docs: DataFrame, *more: str) -> DataFrame:
     return docs.select(doc_id.alias("doc_id"), F.coalesce(doc_id, F.xxhash64("text")).alias("locator"), F.col("text").cast("string").alias("text"), *more)
 
 
+def are_stars(edges: DataFrame) -> bool:
+    """Whether every node of (u, v) either has one v or is one: then each v is the root of its component."""
+    ends = edges.select(F.inline(F.array(F.struct(F.col("u").alias("node"), F.lit(1).alias("child"), F.lit(0).alias("parent")), F.struct(F.col("v").alias("node"), F.lit(0).alias("child"), F.lit(1).alias("parent")))))
+    nodes = ends.groupBy("node").agg(F.sum("child").alias("child"), F.max("parent").alias("parent"))
+    return not nodes.agg(F.max((F.col("child") + F.col("parent") > 1) & (F.col("child") > 0))).first()[0]
+
+
 def components(links: DataFrame) -> DataFrame:
     """(node, root) of every node of links (u, v); root is the component's smallest node. Each round
-    hangs all larger neighbours of a node on its smallest one, then all smaller ones."""
+    hangs all larger neighbours of a node on its smallest one, then all smaller ones, until only stars are left."""
     edges = stored(links.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).where("u != v").distinct())
-    state = None
-    while True:
+    while not are_stars(edges):
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         # stored, so that both sides of the join are dealt for it alone and Spark may split the rows of a hot u
         low = stored(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")))
@@ -170,9 +176,6 @@ def components(links: DataFrame) -> DataFrame:
         pairs = small.select(F.inline(F.array(F.struct(F.col("u"), F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))))
         done, edges = edges, stored(pairs.where("u != v").distinct())
         discard(done, low)
-        before, state = state, edges.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("u", "v"))).first()
-        if state == before or not state[0]:
-            break
     return edges.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(edges.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())
 
 
