@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.window import Window, WindowSpec
 
+from corpusops.operators.ranking import top_k
+
 
 def in_order() -> WindowSpec:
     return Window.partitionBy("conv_id").orderBy("turn")
@@ -69,3 +71,11 @@ def combine_clarification(turns: DataFrame, before: list[str], after: list[str])
     users = turns.where("role = 'user'")
     vague = F.lower(F.trim(F.lag("text").over(in_order())))
     return users.withColumn("combined", F.when(vague.isin(before), F.concat_ws(" ", "text", vague)).when(vague.isin(after), F.concat_ws(" ", vague, "text")).otherwise(F.col("text")))
+
+
+def listing(conversations: DataFrame, messages: DataFrame, owner: Column, most: int) -> DataFrame:
+    """(user_id, conv_id, title, updated, place, n_messages): an owner's newest conversations, with the number of their
+    messages. conversations: (user_id, conv_id, title, updated); messages: (conv_id, ...)."""
+    own = top_k(conversations.where(owner), ["user_id"], [F.desc("updated"), F.asc("conv_id")], most, "place")
+    counts = messages.groupBy("conv_id").agg(F.count(F.lit(1)).alias("n_messages"))
+    return own.join(counts, "conv_id", "left").select("user_id", "conv_id", "title", "updated", "place", F.coalesce("n_messages", F.lit(0)).alias("n_messages"))

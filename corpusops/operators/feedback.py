@@ -8,6 +8,8 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.window import Window
 
+from corpusops.operators.catalog import holding
+
 
 def up() -> Column:
     return F.col("rating") == "up"
@@ -61,15 +63,33 @@ def preference_pairs(rows: DataFrame, order: str, newest: int | None = None, min
     return out.where((F.col("votes") >= min_votes) & F.col("chosen").isNotNull() & F.col("rejected").isNotNull()).drop("votes")
 
 
+def newest(rows: DataFrame, ts: str, tie: str, now: Column, days: int = 30, most: int = 500) -> DataFrame:
+    """The newest ratings of the last days, a bounded report on current problems."""
+    return rows.where((F.col(ts) >= now - F.expr(f"INTERVAL {days} DAYS")) & (F.col(ts) <= now)).orderBy(F.desc(ts), tie).limit(most)
+
+
 def approval_by_type(rows: DataFrame, kind: Column, order: str, least: int = 3, below: float = 70.0) -> DataFrame:
-    """Types with enough ratings and an approval under the limit, and three examples in order."""
-    typed = rows.withColumn("type", kind).withColumn("_n", F.row_number().over(Window.partitionBy("type", "rating").orderBy(order)))
+    """Types with enough ratings and an approval under the limit, and three examples in order; what isn't up is down."""
+    typed = rows.withColumn("type", kind).withColumn("_n", F.row_number().over(Window.partitionBy("type", up()).orderBy(order)))
     example = F.when(~up() & (F.col("_n") <= 3), F.struct(order, "query"))
     out = typed.groupBy("type").agg(F.count(F.lit(1)).alias("n"), F.count_if(up()).alias("up"), F.array_sort(F.collect_list(example)).alias("examples"))
     scored = out.withColumn("approval", approval(F.col("up"), F.col("n"))).where((F.col("n") >= least) & (F.col("approval") < below))
     return scored.select("type", "n", "approval", F.array_join(F.transform("examples", lambda x: x["query"]), "|").alias("examples"))
 
 
+def overall_approval(rows: DataFrame) -> DataFrame:
+    n = F.count(F.lit(1))
+    return rows.agg(n.alias("n"), approval(F.count_if(up()), n).alias("approval"))
+
+
+def optimizer_stats(rows: DataFrame, lessons_: DataFrame, problems: DataFrame, patterns: DataFrame) -> DataFrame:
+    """One row: ratings and approval, and how many lessons, problem types and patterns (patterns: a comma-separated
+    column of that name) there are."""
+    count = lambda df, name: df.agg(F.count(F.lit(1)).alias(name))
+    listed = patterns.agg(F.coalesce(F.sum(F.size(F.filter(F.split("patterns", ","), lambda x: x != ""))), F.lit(0)).alias("n_patterns"))
+    return overall_approval(rows).crossJoin(count(lessons_, "n_lessons")).crossJoin(count(problems, "n_problems")).crossJoin(listed)  # one row each
+
+
 def lessons(rows: DataFrame, families: Mapping[str, tuple[str, str]], least: int = 2) -> DataFrame:
     """(family, n, lesson): the lesson of each family of phrases that enough negative comments have."""
     counted = rows.where(~up()).agg(*[F.count_if(F.lower("comment").rlike(p)).alias(f) for f, (p, _) in families.items()])
@@ -92,11 +112,14 @@ def success_patterns(rows: DataFrame, cue: str) -> DataFrame:
 
 
 def similar_failure(questions: DataFrame, failures: DataFrame) -> DataFrame:
-    """(query_id, example): the first commented failure of the question's type of which one of the first three words
-    occurs in the question. failures: (type, failure_no, query, comment)."""
-    words = failures.where("comment IS NOT NULL").select("type", "failure_no", F.col("query").alias("example"), F.explode(F.array_distinct(F.slice(F.split(F.lower("query"), " "), 1, 3))).alias("word"))
-    asked = questions.select("query_id", "type", F.explode(F.array_distinct(F.split(F.lower("text"), " "))).alias("word"))
-    return asked.join(words, ["type", "word"]).groupBy("query_id").agg(F.min_by("example", "failure_no").alias("example"))
+    """(query_id, example, comment): of the failures of the question's type with a comment, the first of which one of the
+    first three words is in the question, as a word or in one. questions: (query_id, type, text); failures: (type,
+    failure_no, query, comment)."""
+    words = failures.where("comment != ''").select("type", "failure_no", F.col("query").alias("example"), "comment", F.explode(F.array_distinct(F.slice(F.split(F.lower("query"), " "), 1, 3))).alias("word")).where("word != ''")
+    asked = questions.select("query_id", "type", F.lower("text").alias("_text"))
+    held = holding(asked.select("_text").distinct(), words.select("word").distinct(), "_text", "word")
+    met = asked.join(held, "_text").join(words, ["type", "word"])
+    return met.groupBy("query_id").agg(F.min_by(F.struct("example", "comment"), "failure_no").alias("x")).select("query_id", "x.*")
 
 
 def annotate(questions: DataFrame, learnt: DataFrame, problem_types: Sequence[str], base: str) -> DataFrame:

@@ -68,8 +68,9 @@ def offered_load(requests: DataFrame, key: str, ts: str, limits=LIMITS) -> DataF
 
 
 def budget(admitted: DataFrame, ts: str, tie: str, cost: Column, most: float) -> DataFrame:
-    """Adds spent (the day's cost up to and with the request) and within. Days are summed hour by hour first, so a
-    busy day is not one task's."""
+    """Adds spent (the day's cost up to and with the request) and within, to requests that `admit` let in. cost: the
+    actual cost where it is known, else the estimate. Days are summed minute by minute first, so a busy day is not
+    one task's."""
     day, hour = F.to_date(ts).alias("day"), F.hour(ts).alias("hour")
     rows = admitted.select("*", day, hour, F.minute(ts).alias("minute"), cost.alias("_cost"))
     minutes = rows.groupBy("day", "hour", "minute").agg(F.sum("_cost").alias("_sum"))

@@ -47,11 +47,16 @@ def _(spark, sf):
     return M.history(turns(spark, sf)).select("conv_id", "turn", F.md5("history").alias("history"))
 
 
-@query("conversation_list", "SELECT user_id, event_id, ts, CAST(place AS INT) AS place FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id) AS place FROM events) WHERE place <= 5")
-def _(spark, sf):
-    from corpusops.operators.ranking import top_k
+OWNED = "WITH c AS (SELECT conv_id % 20 AS user_id, conv_id, left(min_by(text, turn), 50) AS title, max(turn) AS updated FROM conversations GROUP BY conv_id)"
+
 
-    return top_k(read(spark, sf, "events"), ["user_id"], [F.desc("ts"), F.asc("event_id")], 5, "place").select("user_id", "event_id", "ts", "place")
+@query("conversation_list", OWNED + """, k AS (SELECT *, CAST(row_number() OVER (PARTITION BY user_id ORDER BY updated DESC, conv_id) AS INT) AS place FROM c WHERE user_id < 15 QUALIFY place <= 3)
+  SELECT user_id, k.conv_id, title, updated, place, count(*) AS n_messages FROM k JOIN conversations USING (conv_id) GROUP BY ALL""")
+def _(spark, sf):
+    """Conversations belong to the users of their number by 20, of whom those from 15 on are not asked for."""
+    rows = turns(spark, sf)
+    own = rows.groupBy("conv_id").agg(F.substring(F.min_by("text", "turn"), 1, 50).alias("title"), F.max("turn").alias("updated")).withColumn("user_id", F.col("conv_id") % 20)
+    return M.listing(own, rows, F.col("user_id") < 15, 3)
 
 
 @query("session_summary", "SELECT conv_id, count(*) AS n_turns, min(turn) AS first_turn, max(turn) AS last_turn, left(max_by(text, turn), 100) AS preview FROM conversations GROUP BY conv_id")
@@ -59,13 +64,19 @@ def _(spark, sf):
     return M.summary(turns(spark, sf))
 
 
-@query("carry_state", """WITH s AS (SELECT *, CASE WHEN contains(text, 'zz') THEN '' WHEN role = 'user' THEN left(text, 40) END AS v FROM conversations)
-  SELECT conv_id, turn, nullif(last_value(v IGNORE NULLS) OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), '') AS last_query,
-    coalesce(lag(role = 'assistant' AND contains(text, '?')) OVER (PARTITION BY conv_id ORDER BY turn), false) AS asked FROM s""")
+@query("carry_state", """WITH s AS (SELECT *, CASE WHEN contains(text, 'zz') THEN '' WHEN role = 'user' THEN text END AS q, CASE WHEN contains(text, 'zz') THEN '' WHEN role = 'assistant' THEN text END AS c, CASE WHEN role = 'assistant' AND contains(text, '?') THEN text WHEN role = 'user' THEN '' END AS p FROM conversations),
+  h AS (SELECT conv_id, turn, nullif(last_value(q IGNORE NULLS) OVER w, '') AS q, nullif(last_value(c IGNORE NULLS) OVER w, '') AS c, nullif(last_value(p IGNORE NULLS) OVER w, '') AS p, coalesce(lag(role = 'assistant' AND contains(text, '?')) OVER (PARTITION BY conv_id ORDER BY turn), false) AS asked FROM s WINDOW w AS (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING))
+  SELECT conv_id, turn, md5(q) AS last_query, md5(c) AS recent_context, md5(p) AS pending, asked FROM h""")
 def _(spark, sf):
-    value = F.when(F.col("text").contains("zz"), "").when(F.col("role") == "user", F.substring("text", 1, 40))
-    asked = F.coalesce(F.lag((F.col("role") == "assistant") & F.col("text").contains("?")).over(M.in_order()), F.lit(False))
-    return M.carry(turns(spark, sf), "last_query", value).select("conv_id", "turn", "last_query", asked.alias("asked"))
+    """The last question, the last answer, and a question of the assistant's that the user has not answered; "zz" clears
+    the first two."""
+    text, cleared = F.col("text"), F.when(F.col("text").contains("zz"), "")
+    puts = (F.col("role") == "assistant") & text.contains("?")
+    out = turns(spark, sf).withColumn("asked", F.coalesce(F.lag(puts).over(M.in_order()), F.lit(False)))
+    out = M.carry(out, "last_query", F.coalesce(cleared, F.when(F.col("role") == "user", text)))
+    out = M.carry(out, "recent_context", F.coalesce(cleared, F.when(F.col("role") == "assistant", text)))
+    out = M.carry(out, "pending", F.when(puts, text).when(F.col("role") == "user", ""))
+    return out.select("conv_id", "turn", *[F.md5(c).alias(c) for c in ("last_query", "recent_context", "pending")], "asked")
 
 
 @query("apply_ttl", f"SELECT event_id, user_id FROM events WHERE user_id IN (SELECT user_id FROM events WHERE event_type = 'purchase' GROUP BY user_id HAVING max(ts) >= TIMESTAMP '{NOW}' - INTERVAL 5 DAYS) AND event_type = 'purchase'")
@@ -142,15 +153,16 @@ def _(spark, sf):
     return B.preference_pairs(rated(spark, sf), "event_id")
 
 
-@query("approval_by_type", TEXTS + """, t AS (SELECT *, CASE WHEN contains(lower(response), 'tion') THEN 'english' WHEN contains(lower(response), 'ung') THEN 'german' ELSE 'general' END AS type FROM f),
-  r AS (SELECT *, row_number() OVER (PARTITION BY type, rating ORDER BY doc_id) AS n FROM t)
-  SELECT type, count(*) AS n, round(100.0 * count(*) FILTER (rating = 'up') / count(*), 1)::DOUBLE AS approval, coalesce(string_agg(query, '|' ORDER BY doc_id) FILTER (rating = 'down' AND n <= 3), '') AS examples FROM r GROUP BY type HAVING count(*) >= 3 AND approval < 90""")
+@query("approval_by_type", RATED + f""", k AS (SELECT *, CASE WHEN contains(query, '7') THEN 'sevens' WHEN contains(query, '3') OR contains(query, '5') THEN 'odd' ELSE 'general' END AS type FROM f WHERE created_at >= TIMESTAMP '{NOW}' - INTERVAL 30 DAYS AND created_at <= TIMESTAMP '{NOW}' ORDER BY created_at DESC, event_id LIMIT 500),
+  r AS (SELECT *, row_number() OVER (PARTITION BY type, rating ORDER BY event_id) AS n FROM k)
+  SELECT type, count(*) AS n, round(100.0 * count(*) FILTER (rating = 'up') / count(*), 1)::DOUBLE AS approval, coalesce(string_agg(query, '|' ORDER BY event_id) FILTER (rating = 'down' AND n <= 3), '') AS examples FROM r GROUP BY type HAVING count(*) >= 3 AND approval < 70""")
 def _(spark, sf):
-    kind = C.first_keyword_type(F.col("response"), {"english": ["tion"], "german": ["ung"]})
-    return B.approval_by_type(judged_texts(spark, sf), kind, "doc_id", 3, 90.0)
+    """Problem types among the newest 500 ratings of 30 days."""
+    recent = B.newest(rated(spark, sf), "created_at", "event_id", now())
+    return B.approval_by_type(recent, C.first_keyword_type(F.col("query"), {"sevens": ["7"], "odd": ["3", "5"]}), "event_id")
 
 
-FAMILIES = {"wrong": ("tion|ung", "check facts"), "short": ("zz", "say more"), "old": ("erha", "use new data")}
+FAMILIES = {"wrong": ("tion|ung", "check facts"), "short": ("zz", "say more"), "old": ("erha", "use new data"), "off": ("the|der", "stay on the topic"), "unclear": ("[?]{3}|qqq", "say it plainly")}
 
 
 @query("lessons", TEXTS + ", c AS (" + " UNION ALL ".join(f"SELECT '{f}' AS family, count(*) FILTER (regexp_matches(lower(comment), '{p}')) AS n, '{t}' AS lesson FROM f WHERE rating = 'down'" for f, (p, t) in FAMILIES.items()) + ") SELECT * FROM c WHERE n >= 2")
@@ -168,18 +180,35 @@ def _(spark, sf):
     return B.success_patterns(judged_texts(spark, sf), "The|Der")
 
 
-@query("overall_approval", TEXTS + " SELECT source, count(*) AS n, round(100.0 * count(*) FILTER (rating = 'up') / count(*), 1)::DOUBLE AS approval FROM f GROUP BY source")
+@query("overall_approval", TEXTS + " SELECT count(*) AS n, round(100.0 * count(*) FILTER (rating = 'up') / count(*), 1)::DOUBLE AS approval FROM f")
 def _(spark, sf):
-    n = F.count(F.lit(1))
-    return judged_texts(spark, sf).groupBy("source").agg(n.alias("n"), B.approval(F.count_if(B.up()), n).alias("approval"))
+    return B.overall_approval(judged_texts(spark, sf))
 
 
-@query("similar_failure", """WITH f AS (SELECT 'a' AS type, doc_id AS failure_no, left(text, 60) AS query FROM documents JOIN labels USING (doc_id) WHERE quality = 0), w AS (SELECT type, failure_no, query AS example, unnest(string_split(lower(query), ' ')[1:3]) AS word FROM f),
-  q AS (SELECT item_id AS query_id, unnest(string_split(lower(text), ' ')) AS word FROM benchmark) SELECT query_id, min_by(example, failure_no) AS example FROM q JOIN w USING (word) GROUP BY query_id""")
+@query("optimizer_stats", TEXTS + ", c AS (" + " UNION ALL ".join(f"SELECT count(*) FILTER (regexp_matches(lower(comment), '{p}')) AS n FROM f WHERE rating = 'down'" for p, _ in FAMILIES.values()) + """),
+  t AS (SELECT CASE WHEN contains(lower(response), 'tion') THEN 'english' WHEN contains(lower(response), 'ung') THEN 'german' ELSE 'general' END AS type, count(*) AS n, 100.0 * count(*) FILTER (rating = 'up') / count(*) AS approval FROM f GROUP BY 1),
+  u AS (SELECT avg(regexp_matches(response, '[0-9]')::INT) AS digits, avg(regexp_matches(response, 'The|Der')::INT) AS cues, avg(length(response)) AS mean_length FROM f WHERE rating = 'up')
+  SELECT (SELECT count(*) FROM f) AS n, (SELECT round(100.0 * count(*) FILTER (rating = 'up') / count(*), 1)::DOUBLE FROM f) AS approval, (SELECT count(*) FROM c WHERE n >= 2) AS n_lessons, (SELECT count(*) FROM t WHERE n >= 3 AND approval < 70) AS n_problems,
+    CAST((digits > 0.7)::INT + (cues > 0.5)::INT + (mean_length > 100 AND mean_length < 500)::INT AS BIGINT) AS n_patterns FROM u""")
 def _(spark, sf):
+    rows = judged_texts(spark, sf)
+    problems = B.approval_by_type(rows, C.first_keyword_type(F.col("response"), {"english": ["tion"], "german": ["ung"]}), "doc_id")
+    return B.optimizer_stats(rows, B.lessons(rows, FAMILIES), problems, B.success_patterns(rows, "The|Der"))
+
+
+TYPED = "CASE WHEN contains(lower({0}), 'tion') THEN 'english' WHEN contains(lower({0}), 'ung') THEN 'german' ELSE 'general' END"
+
+
+@query("similar_failure", f"""WITH f AS (SELECT {TYPED.format('text')} AS type, doc_id AS failure_no, text AS query, CASE WHEN doc_id % 3 > 0 THEN 'bad ' || doc_id END AS comment FROM documents JOIN labels USING (doc_id) WHERE quality = 0),
+  w AS (SELECT type, failure_no, query AS example, comment, unnest(string_split(lower(query), ' ')[1:3]) AS word FROM f WHERE comment IS NOT NULL), q AS (SELECT item_id AS query_id, {TYPED.format('text')} AS type, lower(text) AS text FROM benchmark)
+  SELECT query_id, md5(min_by(example, failure_no)) AS example, min_by(comment, failure_no) AS comment FROM q JOIN w ON q.type = w.type AND contains(q.text, word) WHERE word <> '' GROUP BY query_id""")
+def _(spark, sf):
+    """Bad documents are the failures, of which every third has no comment."""
+    kind = lambda c: C.first_keyword_type(F.col(c), {"english": ["tion"], "german": ["ung"]})
     bad = read(spark, sf, "documents").join(read(spark, sf, "labels"), "doc_id").where("quality = 0")
-    failures = bad.select(F.lit("a").alias("type"), F.col("doc_id").alias("failure_no"), F.substring("text", 1, 60).alias("query"), F.lit("bad").alias("comment"))
-    return B.similar_failure(read(spark, sf, "benchmark").select(F.col("item_id").alias("query_id"), "text", F.lit("a").alias("type")), failures)
+    failures = bad.select(kind("text").alias("type"), F.col("doc_id").alias("failure_no"), F.col("text").alias("query"), F.when(F.col("doc_id") % 3 > 0, F.concat(F.lit("bad "), F.col("doc_id").cast("string"))).alias("comment"))
+    asked = read(spark, sf, "benchmark").select(F.col("item_id").alias("query_id"), "text", kind("text").alias("type"))
+    return B.similar_failure(asked, failures).select("query_id", F.md5("example").alias("example"), "comment")
 
 
 @query("annotate_prompt", "SELECT conv_id, turn, 'Be helpful.' || chr(10) || 'Lessons: check facts; use new data' || chr(10) || 'Patterns: digits' || CASE WHEN contains(lower(text), 'tion') THEN chr(10) || 'Careful with english' ELSE '' END AS prompt FROM conversations")
@@ -195,7 +224,14 @@ def _(spark, sf):
 FEW = (("hour", 3600, 1), ("day", 86_400, 2), ("week", 604_800, 8))
 
 
-@query("admit")
+#: Which requests are let in, decided one after the other: a request joins its key's admitted ones if no window is full.
+ADMITTED = """WITH RECURSIVE n AS (SELECT event_id, user_id, value, ts, epoch_us(ts) AS t, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS i FROM events),
+  a(user_id, i, event_id, kept, reason) AS (SELECT user_id, 1::BIGINT, event_id, [t], NULL::VARCHAR FROM n WHERE i = 1
+    UNION ALL SELECT user_id, i, event_id, CASE WHEN why IS NULL THEN list_append(kept, t) ELSE kept END, why FROM (SELECT n.user_id, n.i, n.event_id, n.t, a.kept, CASE
+      """ + " ".join(f"WHEN len(list_filter(a.kept, lambda x: x > n.t - {s * 1_000_000})) >= {m} THEN '{k}'" for k, s, m in FEW) + """ END AS why FROM a JOIN n ON n.user_id = a.user_id AND n.i = a.i + 1))"""
+
+
+@query("admit", ADMITTED + " SELECT event_id, user_id, reason IS NULL AS allowed, reason FROM a")
 def _(spark, sf):
     return R.admit(events(spark, sf).select("event_id", "user_id", "ts"), "user_id", "ts", "event_id", FEW).select("event_id", "user_id", "allowed", "reason")
 
@@ -205,9 +241,13 @@ def _(spark, sf):
     return R.offered_load(events(spark, sf), "user_id", "ts", FEW).select("event_id", *[f"last_{n}" for n, _, _ in FEW])
 
 
-@query("budget_gate", "SELECT event_id, round(sum(value) OVER w, 6) AS spent, round(sum(value) OVER w, 6) <= 1000 AS within FROM events WINDOW w AS (PARTITION BY ts::DATE ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING)")
+@query("budget_gate", ADMITTED + """, c AS (SELECT event_id, ts, CASE WHEN event_id % 2 = 0 THEN value ELSE 25.0 END AS cost FROM a JOIN n USING (event_id) WHERE reason IS NULL)
+  SELECT event_id, round(sum(cost) OVER w, 6) AS spent, round(sum(cost) OVER w, 6) <= 1000 AS within FROM c WINDOW w AS (PARTITION BY ts::DATE ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING)""")
 def _(spark, sf):
-    return R.budget(events(spark, sf), "ts", "event_id", F.col("value"), 1000.0).select("event_id", "spent", "within")
+    """Of the requests that are let in, even ones have told their cost, the others are estimated at 25."""
+    let_in = R.admit(events(spark, sf).select("event_id", "user_id", "ts", "value"), "user_id", "ts", "event_id", FEW).where("allowed")
+    actual = F.when(F.col("event_id") % 2 == 0, F.col("value"))
+    return R.budget(let_in, "ts", "event_id", F.coalesce(actual, F.lit(25.0)), 1000.0).select("event_id", "spent", "within")
 
 
 @query("remaining", "SELECT user_id, " + ", ".join(f"greatest({m} - count(*) FILTER (ts > TIMESTAMP '{NOW}' - INTERVAL {s} SECONDS AND ts <= TIMESTAMP '{NOW}'), 0) AS left_{n}" for n, s, m in FEW) + " FROM events GROUP BY user_id")
