@@ -21,7 +21,7 @@ chunk), so a pivot of a million partners is sent once per chunk and pairs are ne
 
 A pair of similarity 0.75 shares no bucket with probability (1 - 0.75 ** ROWS) ** BANDS = 2e-5.
 
-Defined results: a null text has no words; documents without words have size 0, are their own
+Defined results: texts of any length are read whole. A null text has no words; documents without words have size 0, are their own
 component and kept. Repeated rows are vertices of one print; every row whose doc_id equals the component's
 is kept. A null doc_id is never smallest, takes its component's id, and is not kept; a component of null
 ids alone has a null id. `keep_one` leaves exactly one row of a component, of null ids and of repeated ids
