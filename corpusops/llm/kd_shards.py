@@ -5,10 +5,12 @@ floor(k / 2) and ceil(k / 2) shards along its widest metadata dimension (the ran
 node over its range in the table) at the weighted quantile of its bytes that matches. All nodes of a
 level are split together. The quantile is exact: histograms of at most BINS bins a node narrow it down
 level by level, first on the dimension, then, inside one value, on the CRC-32 of the text, and last on
-doc_id and the row. So equal texts stay together unless their group is heavier than `snap` of a shard.
+doc_id and the row. So equal texts of one node that are equal in its dimension are cut apart only where they are
+heavier than `snap` of a shard; copies of different source or language may come to different shards.
 The driver sees one row per node and pass, which number of shards bounds; documents are never collected.
 
-Defined results: a null text counts as no bytes (size 8). Null dimensions sort first. Repeated rows are
+Defined results: a null text counts as no bytes (size 8). Very long texts are one document of their shard, which
+then is as heavy as it must be. Null dimensions sort first. Repeated rows are
 separate documents. With fewer documents than shards some shards stay empty. An empty table gives no rows.
 Only the columns doc_id, text, lang and source are read.
 """

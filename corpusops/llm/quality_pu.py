@@ -6,16 +6,20 @@ its label unseen. With the class prior p, the risk of a scorer g under the logis
     p * R_pos(g) + max(0, R_unl_as_neg(g) - p * R_pos_as_neg(g)),
 
 where the second part estimates the risk on negatives and is kept from going below zero: a step that
-finds it below goes up the gradient of that part alone. p is estimated from the labels of the training
-fold, with one positive and one negative added. The scorer is linear in features of the whole text.
+finds it below goes up the gradient of that part alone. p is the share of good ones among the labelled
+documents of the training fold, with one positive and one negative added: labels cover documents of all kinds,
+so this share is that of the unlabelled text too. Labelled negatives are used for this number only and are
+unlabelled text in the fit. The scorer is linear in features of the whole text.
 
 The fit takes at most `positives` labelled and `unlabelled` other rows, the ones with the smallest hash
 of their id; beyond these bounds more rows hardly change some hundred weights. Every document is
 scored, by its features alone: labels, lang, source and doc_id are not inputs.
 
-Defined results: null and empty texts are scored, as texts without bytes. A doc_id labelled more than
+Defined results: null and empty texts are scored, as texts without bytes. Texts of any length are scored whole.
+Empty tables give no rows. A doc_id labelled more than
 once is a positive if any of its labels is 1. Labels that are null, or of no document, are left out.
-Repeated rows are scored alike. Without any positive the score is the prior for all. A null doc_id
+Repeated rows are scored alike; of a repeated doc_id the least
+text is fitted. Without any positive the score is the prior for all. A null doc_id
 hashes as an empty string. Only doc_id and text are read, of labels doc_id and quality.
 """
 
@@ -86,6 +90,17 @@ class Scorer:
         return sigmoid(np.clip((x - self.mean) / self.scale, -6, 6) @ self.weights + self.bias)
 
 
+def step(w: np.ndarray, a: np.ndarray, b: np.ndarray, prior: float) -> tuple[float, float, np.ndarray]:
+    """At weights w, positives a and unlabelled rows b: the risk on positives, that on negatives, and the gradient to go
+    down: of both or, where the second is below zero, of that one alone, upwards."""
+    za, zb = a @ w, b @ w
+    # d/dw of the logistic losses: log(1 + e^-z) as a positive, log(1 + e^z) as a negative
+    as_pos = -(sigmoid(-za) @ a) / len(a)
+    negative = (sigmoid(zb) @ b) / len(b) - prior * (sigmoid(za) @ a) / len(a)
+    on_pos, rest = prior * np.logaddexp(0, -za).mean(), np.logaddexp(0, zb).mean() - prior * np.logaddexp(0, za).mean()
+    return on_pos, rest, prior * as_pos + negative if rest >= 0 else -negative
+
+
 def fit(pos: np.ndarray, unl: np.ndarray, prior: float, steps: int = 1500, rate: float = 0.02, decay: float = 2e-3, seed: int = 0) -> Scorer:
     """Minimises the non-negative risk by Adam over mini-batches."""
     both = np.concatenate([pos, unl]).astype(np.float64)
@@ -99,14 +114,7 @@ def fit(pos: np.ndarray, unl: np.ndarray, prior: float, steps: int = 1500, rate:
     w[-1] = np.log(prior / (1 - prior))
     kept, total = np.zeros_like(w), 0
     for t in range(1, steps + 1):
-        a, b = p[rng.integers(0, len(p), 1024)], u[rng.integers(0, len(u), 2048)]
-        za, zb = a @ w, b @ w
-        # d/dw of the logistic losses: log(1 + e^-z) as a positive, log(1 + e^z) as a negative
-        as_pos = -(sigmoid(-za) @ a) / len(a)
-        unl_neg, pos_neg = (sigmoid(zb) @ b) / len(b), (sigmoid(za) @ a) / len(a)
-        rest = np.logaddexp(0, zb).mean() - prior * np.logaddexp(0, za).mean()
-        negative = unl_neg - prior * pos_neg
-        g = prior * as_pos + negative if rest >= 0 else -negative
+        *_, g = step(w, p[rng.integers(0, len(p), 1024)], u[rng.integers(0, len(u), 2048)], prior)
         g = g + decay * np.append(w[:-1], 0)
         m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
         w = w - rate / np.sqrt(1 + t / 200) * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.999**t)) + 1e-8)
@@ -138,8 +146,10 @@ def train(docs: DataFrame, labels: DataFrame, positives: int = 8000, unlabelled:
             raw = [features(t.as_py() or "").tobytes() for t in batch.column(0)]
             yield pa.RecordBatch.from_arrays([pa.array(raw, pa.binary()), batch.column(1), batch.column(2)], ["x", "trusted", "other"])
 
-    # at most positives + unlabelled ids are broadcast, and as many feature vectors come back
-    sample = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("text", "trusted", "other").mapInArrow(run, "x binary, trusted int, other boolean").toPandas()
+    # at most positives + unlabelled ids are broadcast, and as many feature vectors come back, one of each id
+    met = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")
+    met = met.groupBy("doc_id", "trusted", "other").agg(F.min("text").alias("text")).select("text", "trusted", "other")
+    sample = met.mapInArrow(run, "x binary, trusted int, other boolean").toPandas()
     x = np.frombuffer(b"".join(sample["x"]), np.float32).reshape(-1, N_FEATURES)
     order = np.lexsort(x.T[::-1])  # rows come in any order; the fit must not depend on it
     x, sample = x[order], sample.iloc[order]

@@ -153,7 +153,7 @@ def test_nearest_neighbours(spark):
     v[100:160] = v[100]
     rows = [(i, x.tolist(), 0) for i, x in enumerate(v)] + [(2000, None, 0), (2001, [0.0] * 16, 0), (2002, [float("nan")] * 16, 0), (2003, [None] * 16, 0), (2004, [1.0], 0), (None, v[0].tolist(), 0), (7, v[8].tolist(), 0)]
     df = spark.createDataFrame(rows, "vec_id long, embedding array<float>, rank int")
-    got = ann.nearest(df, F.col("vec_id") % 50 == 0, leaf=64, queries_a_task=5).collect()
+    got = ann.nearest(df, F.col("vec_id") % 50 == 0, leaf=64).collect()
     every, ids = np.vstack([v, v[8:9]]).astype(float), np.append(np.arange(900), 7)
     hit = total = 0
     for q in range(0, 900, 50):
@@ -164,6 +164,10 @@ def test_nearest_neighbours(spark):
         assert [r for r, *_ in mine] == list(range(1, 11))
         hit, total = hit + len({i for _, i, _ in mine} & set(ids[best].tolist())), total + 10
     assert hit / total >= 0.95
+    crowd = df.where("vec_id < 900").unionByName(spark.createDataFrame([(5000 + i, v[100].tolist(), 0) for i in range(600)], df.schema))
+    same = ann.nearest(crowd, F.col("vec_id").isin(100, 5100), leaf=64).collect()
+    for q in (100, 5100):
+        assert [(r.vec_id, r.score) for r in sorted((r for r in same if r.query_id == q), key=lambda r: r.rank)] == [(i, 0.0) for i in range(100, 111) if i != q][:10]
     ties = [r.vec_id for r in sorted((r for r in got if r.query_id == 100), key=lambda r: r.rank)]
     assert ties == list(range(101, 111))
     assert ann.nearest(df.where("false"), F.col("vec_id") % 50 == 0).count() == 0
@@ -221,6 +225,21 @@ def test_arc_and_warc_round_trip(spark):
     assert arc.read_warc(spark, w).count() == 0
 
 
+def test_warc_files_are_cut_by_bytes(spark):
+    """Each file starts with its own description and holds few small chunks; nothing is lost at the cuts."""
+    rows = [(i, f"http://a/{i}", f"{i} " * (i % 50), "", "") for i in range(300)]
+    a, w = shared_dir(spark), shared_dir(spark)
+    arc.write_arc(spark.createDataFrame(rows, PAGES).repartition(2), a)
+    arc.convert(spark, a, w, chunk=3000, file_chunks=4)
+    files = spark.read.format("binaryFile").load(w).collect()
+    assert len(files) > 10
+    for f in files:
+        kinds = [fields["WARC-Type"] for fields, _ in arc.warc_records(gzip.GzipFile(fileobj=io.BytesIO(f.content)))]
+        assert kinds[0] == "warcinfo" and kinds.count("warcinfo") == 1 and len(kinds) > 1
+        assert len(gzip.decompress(f.content)) < 4 * (3000 + 1500)
+    assert sorted(r.page_id for r in arc.read_warc(spark, w).collect()) == list(range(300))
+
+
 @pytest.mark.parametrize("version", [1, 2])
 def test_arc_versions(version):
     body = arc.http_block(5, b"hello")
@@ -252,6 +271,45 @@ def test_kd_shards(spark, docs, none):
     assert kd_shards.kd_shards(none, 24).count() == 0
 
 
+def brute_shards(rows, shards, snap):
+    """The tree by sorting: rows are (id, size, source code, language code, crc)."""
+    spans = [max(1, max(r[k] for r in rows) - min(r[k] for r in rows)) for k in (1, 2, 3)]
+    allowed = snap * sum(r[1] for r in rows) / shards
+    out = {}
+
+    def split(part, first, k):
+        if k == 1 or not part:
+            out.update({r[0]: first for r in part})
+            return
+        wide = [(max(r[d] for r in part) - min(r[d] for r in part)) / s for d, s in zip((1, 2, 3), spans)]
+        dim = 1 + wide.index(max(wide))
+        part = sorted(part, key=lambda r: (r[dim], r[4], r[0]))
+        goal, below = sum(r[1] for r in part) * (k // 2) / k, 0
+        for i, r in enumerate(part):
+            if below + r[1] >= goal:
+                break
+            below += r[1]
+        same = [j for j, x in enumerate(part) if (x[dim], x[4]) == (r[dim], r[4])]
+        heavy = sum(part[j][1] for j in same)
+        lo, hi = (same[0], same[-1] + 1) if heavy <= allowed else (i, i + 1)
+        before = sum(x[1] for x in part[:lo])
+        cut = hi if before + sum(x[1] for x in part[lo:hi]) - goal <= goal - before else lo
+        split(part[:cut], first, k // 2)
+        split(part[cut:], first + k // 2, k - k // 2)
+
+    split(rows, 0, shards)
+    return out
+
+
+@pytest.mark.parametrize("shards", [5, 24])
+def test_kd_shards_equal_a_tree_by_sorting(spark, shards):
+    rng = random.Random(3)
+    rows = [(i, "same text" if i % 7 == 0 else words(1 + rng.randrange(80), i), rng.choice(["en", "de", None]), f"s{rng.randrange(6)}", 0) for i in range(700)]
+    got = {r.doc_id: r.shard for r in kd_shards.kd_shards(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long"), shards, snap=0.05).collect()}
+    code = lambda x: -1 if x is None else zlib.crc32(x.encode())
+    assert got == brute_shards([(i, len(t.encode()) + 8, code(s), code(x), zlib.crc32(t.encode())) for i, t, x, s, _ in rows], shards, 0.05)
+
+
 def test_packed_ids(spark, docs, none):
     lib = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
     path = shared_dir(spark)
@@ -347,6 +405,36 @@ def test_rank_bpe(docs, none):
     assert rank_bpe.encoded_digests(none).count() == 0 and rank_bpe.encoded(docs).count() == len(edge_rows())
 
 
+def test_quality_features_against_a_plain_restatement():
+    text = "The cat SAT. the cat sat!\n\nThe end \u00e9 42\nThe end \u00e9 42"
+    raw = text.encode()
+    got, words = quality_pu.features(text), raw.split()
+    share = lambda test: sum(test(x) for x in raw) / len(raw)
+    assert got[:5] == pytest.approx([share(lambda x: 97 <= x <= 122), share(lambda x: 65 <= x <= 90), share(lambda x: 48 <= x <= 57), share(lambda x: x == 32), share(lambda x: x == 10)])
+    assert got[5 + quality_pu.SIGNS.index(ord("."))] == pytest.approx((1 / len(raw)) ** 0.5)
+    stats = got[5 + len(quality_pu.SIGNS) :]
+    pairs = list(zip(words, words[1:]))
+    assert stats[:4] == pytest.approx([len(set(words)) / len(words), len(set(pairs)) / len(pairs), sum(a == b for a, b in pairs) / len(words), np.log(1 + len(words))])
+    assert stats[9:12] == pytest.approx([2 / 3 + 0, np.log(len(raw) / 3), 2 / len(words)], abs=0.4)
+    assert len(got) == quality_pu.N_FEATURES and quality_pu.features("")[-1] == 1 and not quality_pu.features("")[:-1].any()
+
+
+@pytest.mark.parametrize("prior", [0.2, 0.95])
+def test_risk_gradient_equals_differences(prior):
+    """prior 0.95 takes the risk on negatives below zero, where the step goes up that risk alone."""
+    rng = np.random.default_rng(4)
+    a, b, w = rng.normal(1, 1, (60, 4)), rng.normal(-0.5, 1, (80, 4)), rng.normal(0, 1, 4)
+    loss = lambda z: np.log1p(np.exp(z))
+    on_pos = lambda w: prior * loss(-(a @ w)).mean()
+    rest = lambda w: loss(b @ w).mean() - prior * loss(a @ w).mean()
+    p, r, g = quality_pu.step(w, a, b, prior)
+    assert (p, r) == (pytest.approx(on_pos(w)), pytest.approx(rest(w)))
+    target = (lambda w: on_pos(w) + rest(w)) if r >= 0 else (lambda w: -rest(w))
+    diff = [(target(w + 1e-6 * e) - target(w - 1e-6 * e)) / 2e-6 for e in np.eye(4)]
+    assert g == pytest.approx(diff, abs=1e-6)
+    assert (r < 0) == (prior == 0.95)
+
+
 def test_quality_classifier_on_held_out_labels(spark):
     d = "/root/testdata/sf0.01"
     got = quality_pu.op1_quality_pu(spark, d)
