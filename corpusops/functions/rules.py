@@ -91,6 +91,11 @@ def first_keyword_type(text: Column, types: Mapping[str, Sequence[str]], otherwi
     return F.coalesce(*[F.when(any_substring(text, words), F.lit(name)) for name, words in types.items()], F.lit(otherwise))
 
 
+def canonical(text: Column, names: Mapping[str, Sequence[str]]) -> Column:
+    """The first name with a keyword in the text, else null."""
+    return F.coalesce(*[F.when(any_substring(text, words), F.lit(name)) for name, words in names.items()])
+
+
 def keyword_intent(text: Column, types: Mapping[str, Sequence[str]], code: str = r"\b[A-Z]{2,4} ?[0-9]{3}\b") -> Column:
     """(intent, confidence): the first type with a keyword at 0.8, a course code at 0.9, else nothing."""
     named = F.coalesce(*[F.when(any_substring(text, words), F.lit(name)) for name, words in types.items()])

@@ -26,6 +26,17 @@ def render_result(source: Column, fields: Sequence[tuple[str, Column, int]], fal
     return F.concat(F.lit("[Source: "), source, F.lit("]\n"), F.when(any_ == "", fallback).otherwise(any_))
 
 
+def render_by_intent(intent: Column, source: Column, blocks: Mapping[str, Sequence[tuple[str, Column, int]]], fallback: Column) -> Column:
+    """render_result with the fields of the intent; the content where the intent has none."""
+    plain = F.concat(F.lit("[Source: "), source, F.lit("]\n"), fallback)
+    return F.coalesce(*[F.when(intent == name, render_result(source, fields, fallback)) for name, fields in blocks.items()], plain)
+
+
+def listed(values: Column, most: int = 5) -> Column:
+    """The first values of a list as text."""
+    return F.array_join(F.slice(values, 1, most), ", ")
+
+
 def build_context(results: DataFrame, most: int = 4000, marker: str = "[...additional results omitted]") -> DataFrame:
     """(query_id, context): blocks in rank order without repeated names, joined by blank lines, cut. results:
     (query_id, rank, name, block), at most some tens of rows a question."""

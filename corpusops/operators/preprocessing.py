@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.window import Window
 
 from corpusops.functions import text as T
+from corpusops.operators.catalog import holding
 
 
 def correct(words: DataFrame, vocabulary: DataFrame, column: str, least: float = 85.0, shortest: int = 3) -> DataFrame:
@@ -18,9 +19,10 @@ def correct(words: DataFrame, vocabulary: DataFrame, column: str, least: float =
     vocabularies that are small lists, as each word meets all of them whose length allows the similarity."""
     known = vocabulary.select(F.col(column).alias("known")).distinct()
     unknown = words.select(F.col(column).alias("word")).distinct().join(known, F.col("word") == F.col("known"), "left_anti").where(F.length("word") >= shortest)
-    if least >= 80:  # so like, two words have two letters in a row in common
-        pairs = lambda c: F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.length(c) - 1, F.lit(1))), lambda i: F.substring(F.col(c), i, F.lit(2))))
-        met = unknown.select("word", F.explode(pairs("word")).alias("_two")).join(known.select("known", F.explode(pairs("known")).alias("_two")), "_two").select("word", "known").distinct()
+    if least >= 80:  # so like, two words have two letters in a row in common or, if they are short, a letter
+        cut = lambda c, n: F.transform(F.sequence(F.lit(1), F.greatest(F.length(c) - n + 1, F.lit(1))), lambda i: F.substring(F.col(c), i, F.lit(n)))
+        runs = lambda c: F.explode(F.array_distinct(F.when(F.length(c) <= 3, F.concat(cut(c, 1), cut(c, 2))).otherwise(cut(c, 2)))).alias("_run")
+        met = unknown.select("word", runs("word")).join(known.select("known", runs("known")), "_run").select("word", "known").distinct()
     else:
         met = unknown.crossJoin(known)
     n, m = F.length("word"), F.length("known")
@@ -128,3 +130,12 @@ def department_and_topic(text: Column, keywords: Mapping[str, Sequence[str]], st
     if forms:
         rest = F.array_join(T.expand_tokens(F.split(rest, " "), dict(forms)), " ")
     return department, F.when(F.length(rest) >= 3, rest).otherwise(squeezed(without(light)))
+
+
+def alias_key(questions: DataFrame, aliases: DataFrame) -> DataFrame:
+    """Adds the key of the first alias, by length and then by key, that a question's text holds; null without one.
+    aliases: (alias, key)."""
+    low = F.lower("text")
+    held = holding(questions.select(low.alias("_low")).distinct(), aliases.select(F.lower("alias").alias("_alias")).distinct(), "_low", "_alias")
+    best = held.join(aliases.withColumn("_alias", F.lower("alias")), "_alias").groupBy("_low").agg(F.min(F.struct((-F.length("alias")).alias("n"), "key")).alias("best"))
+    return questions.withColumn("_low", low).join(best.select("_low", "best.key"), "_low", "left").drop("_low")

@@ -6,8 +6,10 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from corpusops.functions import rules as C, text as T
 from corpusops.operators import context as X, documents as D, lexical as L, relations as G
+from corpusops.operators.embedding import embed, hashed_tfidf, letter_shares
 from corpusops.plans.registry import query, read
 from corpusops.plans.retrieval import bm25_sql, documents, questions
+from corpusops.sources import html as H
 
 
 def part(spark: SparkSession, sf: str) -> DataFrame:
@@ -36,11 +38,11 @@ def _(spark, sf):
     return part(spark, sf).select("p_partkey", D.yes_no(F.when(F.col("p_size") != 3, F.col("p_size") > 25)).alias("large"))
 
 
-@query("first_nonempty", "SELECT conv_id, coalesce(string_agg(left(text, 30), '; ' ORDER BY turn) FILTER (role = 'system'), string_agg(left(text, 30), '; ' ORDER BY turn) FILTER (role = 'user')) AS text FROM conversations GROUP BY conv_id")
+@query("first_nonempty", "SELECT conv_id, md5(coalesce(string_agg(text, '; ' ORDER BY turn) FILTER (role = 'system'), string_agg(text, '; ' ORDER BY turn) FILTER (role = 'user'))) AS text FROM conversations GROUP BY conv_id")
 def _(spark, sf):
-    of = lambda role: F.transform(F.array_sort(F.collect_list(F.when(F.col("role") == role, F.struct("turn", F.substring("text", 1, 30).alias("t"))))), lambda x: x["t"])
+    of = lambda role: F.transform(F.array_sort(F.collect_list(F.when(F.col("role") == role, F.struct("turn", "text")))), lambda x: x["text"])
     lists = read(spark, sf, "conversations").groupBy("conv_id").agg(of("system").alias("a"), of("user").alias("b"))
-    return lists.select("conv_id", D.first_nonempty([F.col("a"), F.col("b")]).alias("text"))
+    return lists.select("conv_id", F.md5(D.first_nonempty([F.col("a"), F.col("b")])).alias("text"))
 
 
 @query("join_pairs", "SELECT l_orderkey, string_agg(l_linenumber || ': ' || l_shipmode2, '; ' ORDER BY l_linenumber, l_shipmode2) AS lines FROM (SELECT l_orderkey, l_linenumber, l_returnflag || l_linestatus AS l_shipmode2 FROM lineitem) GROUP BY l_orderkey")
@@ -120,12 +122,12 @@ def _(spark, sf):
     return documents(spark, sf).select("doc_id", T.truncate_at_newline(F.col("text"), 400).alias("text"))
 
 
-@query("map_sections", """WITH m AS (SELECT source, lang, string_agg('- ' || doc_id, chr(10) ORDER BY doc_id) AS items FROM documents WHERE n_chars > 3000 GROUP BY ALL)
-  SELECT source, string_agg('The ' || upper(lang[1]) || lang[2:] || chr(10) || items, chr(10) ORDER BY lang) AS text FROM m GROUP BY source""")
+@query("map_sections", """WITH m AS (SELECT source, lang, string_agg('- ' || doc_id, chr(10) ORDER BY doc_id) AS items FROM documents GROUP BY ALL)
+  SELECT source, md5(string_agg('The ' || upper(lang[1]) || lang[2:] || chr(10) || items, chr(10) ORDER BY lang)) AS text FROM m GROUP BY source""")
 def _(spark, sf):
-    lists = documents(spark, sf).where("n_chars > 3000").groupBy("source", "lang").agg(F.array_sort(F.collect_list("doc_id")).cast("array<string>").alias("items"))
+    lists = documents(spark, sf).groupBy("source", "lang").agg(F.array_sort(F.collect_list("doc_id")).cast("array<string>").alias("items"))
     maps = lists.groupBy("source").agg(F.map_from_entries(F.collect_list(F.struct(F.concat(F.lit("the_"), "lang"), "items"))).alias("sections"))
-    return maps.select("source", D.map_sections(F.col("sections")).alias("text"))
+    return maps.select("source", F.md5(D.map_sections(F.col("sections"))).alias("text"))
 
 
 @query("scalarize_metadata", "SELECT doc_id, 'doc_id=' || doc_id || ';lang=' || lang || ';source=' || CASE WHEN doc_id % 7 = 0 THEN 'None' ELSE source END || ';n_chars=' || n_chars AS metadata FROM documents")
@@ -247,19 +249,28 @@ def _(spark, sf):
     return read(spark, sf, "conversations").select("conv_id", "turn", F.array_join(fields, ",").alias("fields"))
 
 
-BLOCK = "'[Source: ' || source || ']' || chr(10) || 'Lang: ' || lang || chr(10) || 'Text: ' || left(text, 200)"
+#: Texts by language as results of three intents: courses have a code and a page, people a list of topics.
+CODE = "upper(source) || ' ' || doc_id"
+BLOCK = f"""'[Source: ' || source || ']' || chr(10) || CASE lang WHEN 'en' THEN 'Code: ' || {CODE} || chr(10) || CASE WHEN text <> '' THEN 'Text: ' || left(text, 600) || chr(10) ELSE '' END || 'URL: https://courses.example.org/' || lower(source) || '/' || doc_id
+  WHEN 'de' THEN concat_ws(chr(10), 'Name: ' || doc_id, 'Topics: ' || left(nullif(array_to_string(string_split(text, ' ')[1:5], ', '), ''), 200)) ELSE left(text, 400) END"""
 
 
 def rendered(spark: SparkSession, sf: str) -> DataFrame:
     docs = documents(spark, sf)
     ranked = L.search(questions(spark, sf), docs, "doc_id", "text", 5).join(docs, "doc_id")
-    block = X.render_result(F.col("source"), [("Lang", F.col("lang"), 50), ("Text", F.col("text"), 200)], F.col("text"))
+    number, source, text = F.col("doc_id").cast("string"), F.col("source"), F.col("text")
+    page = F.concat_ws("/", F.lit("https://courses.example.org"), F.lower(source), number)
+    blocks = {
+        "en": [("Code", F.concat_ws(" ", F.upper(source), number), 50), ("Text", text, 600), ("URL", page, 200)],
+        "de": [("Name", number, 50), ("Topics", X.listed(F.split(text, " ")), 200)],
+    }
+    block = X.render_by_intent(F.col("lang"), source, blocks, F.substring(text, 1, 400))
     return ranked.select("query_id", "rank", "doc_id", "source", "lang", block.alias("block"))
 
 
-@query("render_result", bm25_sql() + f" SELECT query_id, b.rank, doc_id, {BLOCK} AS block FROM bm25 b JOIN documents USING (doc_id)")
+@query("render_result", bm25_sql() + f" SELECT query_id, b.rank, doc_id, md5({BLOCK}) AS block FROM bm25 b JOIN documents USING (doc_id)")
 def _(spark, sf):
-    return rendered(spark, sf).select("query_id", "rank", "doc_id", "block")
+    return rendered(spark, sf).select("query_id", "rank", "doc_id", F.md5("block").alias("block"))
 
 
 @query("build_context", bm25_sql() + f""", rr AS (SELECT query_id, b.rank, source, {BLOCK} AS block FROM bm25 b JOIN documents USING (doc_id)), k AS (SELECT *, row_number() OVER (PARTITION BY query_id, source ORDER BY rank) AS n FROM rr),
@@ -275,15 +286,15 @@ def _(spark, sf):
     return joined.select("p_brand", X.filter_blocks(F.col("context"), "Department", "eco").alias("context"))
 
 
-@query("sectioned_context", bm25_sql() + """, rr AS (SELECT query_id, lang, min(bm25.rank) OVER (PARTITION BY query_id, lang) AS no, bm25.rank AS rank, left(text, 40) AS t FROM bm25 JOIN documents USING (doc_id)),
-  s AS (SELECT query_id, lang, no, '=== ' || upper(lang) || ' INFORMATION ===' || chr(10) || string_agg(t, chr(10) ORDER BY rank) AS body FROM rr GROUP BY query_id, lang, no) SELECT query_id, string_agg(body, chr(10) || chr(10) ORDER BY no) AS context FROM s GROUP BY query_id""")
+@query("sectioned_context", bm25_sql() + """, rr AS (SELECT query_id, lang, min(bm25.rank) OVER (PARTITION BY query_id, lang) AS no, bm25.rank AS rank, text AS t FROM bm25 JOIN documents USING (doc_id)),
+  s AS (SELECT query_id, lang, no, '=== ' || upper(lang) || ' INFORMATION ===' || chr(10) || string_agg(t, chr(10) ORDER BY rank) AS body FROM rr GROUP BY query_id, lang, no) SELECT query_id, md5(string_agg(body, chr(10) || chr(10) ORDER BY no)) AS context FROM s GROUP BY query_id""")
 def _(spark, sf):
     from pyspark.sql.window import Window
 
     docs = documents(spark, sf)
     ranked = L.search(questions(spark, sf), docs, "doc_id", "text", 5).join(docs, "doc_id")
-    rows = ranked.select("query_id", "lang", "rank", F.substring("text", 1, 40).alias("t"), F.min("rank").over(Window.partitionBy("query_id", "lang")).alias("no"))
-    return X.sectioned_context(rows, "query_id", "lang", "no", "rank", "t")
+    rows = ranked.select("query_id", "lang", "rank", F.col("text").alias("t"), F.min("rank").over(Window.partitionBy("query_id", "lang")).alias("no"))
+    return X.sectioned_context(rows, "query_id", "lang", "no", "rank", "t").select("query_id", F.md5("context").alias("context"))
 
 
 @query("mentions", "SELECT doc_id, array_to_string(list_distinct_first, '|') AS emails FROM (SELECT doc_id, list_transform(list_sort(list_transform(list_distinct(m), lambda x: [lpad(list_position(m, x)::VARCHAR, 9, '0'), x]))[1:3], lambda y: y[2]) AS list_distinct_first FROM (SELECT doc_id, regexp_extract_all(text, '[A-Za-z0-9._]+@[A-Za-z0-9.]+') AS m FROM documents))")
@@ -292,16 +303,24 @@ def _(spark, sf):
     return documents(spark, sf).select("doc_id", F.array_join(found, "|").alias("emails"))
 
 
-@query("contact_fields", r"SELECT doc_id, nullif(regexp_extract(text, '[A-Za-z0-9._]+@[A-Za-z0-9.]+'), '') AS email, nullif(regexp_extract(text, '[0-9]{3}-[0-9]{3}-[0-9]{4}'), '') AS phone FROM documents")
+@query("contact_fields", r"""WITH t AS (SELECT doc_id, CASE doc_id % 5 WHEN 0 THEN text || ' <a href="mailto:desk' || doc_id || '@x.org">desk</a>' WHEN 1 THEN text || ' Visit 12B Main Hall.' ELSE text END AS text FROM documents)
+  SELECT doc_id, coalesce(nullif(regexp_extract(text, '(?i)mailto:([A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+)', 1), ''), nullif(regexp_extract(text, '[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}'), '')) AS email, nullif(regexp_extract(text, '[0-9]{3}-[0-9]{3}-[0-9]{4}'), '') AS phone,
+    nullif(regexp_extract(text, '\b([0-9]{2,4}[A-Z]?) ([A-Z][a-z]+ (?:Hall|Building|Center))', 1), '') AS room, nullif(regexp_extract(text, '\b([0-9]{2,4}[A-Z]?) ([A-Z][a-z]+ (?:Hall|Building|Center))', 2), '') AS building FROM t""")
 def _(spark, sf):
-    first = lambda p: F.nullif(F.regexp_extract("text", p, 0), F.lit(""))
-    return documents(spark, sf).select("doc_id", first("[A-Za-z0-9._]+@[A-Za-z0-9.]+").alias("email"), first("[0-9]{3}-[0-9]{3}-[0-9]{4}").alias("phone"))
+    """Some documents get a mail link, others a room."""
+    number = F.col("doc_id").cast("string")
+    text = F.when(F.col("doc_id") % 5 == 0, F.concat("text", F.lit(' <a href="mailto:desk'), number, F.lit('@x.org">desk</a>'))).when(F.col("doc_id") % 5 == 1, F.concat("text", F.lit(" Visit 12B Main Hall."))).otherwise(F.col("text"))
+    return documents(spark, sf).select("doc_id", H.contacts(text).alias("c")).select("doc_id", "c.*")
 
 
-@query("outcome_items", "SELECT doc_id, CAST(len(list_filter(string_split(text, chr(10)), lambda x: length(x) > 15 AND NOT contains(lower(x), 'licen'))) AS INT) AS n_items FROM documents")
+@query("outcome_items", r"""WITH t AS (SELECT doc_id, CASE WHEN doc_id % 2 = 0 THEN '- ' || replace(text, chr(10), chr(10) || '- ') ELSE text END AS text FROM documents), l AS (SELECT doc_id, list_transform(string_split(text, chr(10)), lambda x: trim(x)) AS lines FROM t),
+  b AS (SELECT doc_id, lines, list_filter(list_transform(list_filter(lines, lambda x: regexp_matches(x, '^[-*\x{2022}] ')), lambda x: trim(x[2:])), lambda x: length(x) > 20) AS bulleted FROM l),
+  i AS (SELECT doc_id, CASE WHEN len(bulleted) > 0 THEN bulleted ELSE list_filter(lines, lambda x: length(x) > 15 AND NOT contains(lower(x), 'licen') AND NOT contains(lower(x), 'home')) END AS items FROM b)
+  SELECT doc_id, CAST(generate_subscripts(items, 1) - 1 AS INT) AS item_no, md5(unnest(items)) AS item FROM i""")
 def _(spark, sf):
-    items = F.filter(F.split("text", "\n"), lambda x: (F.length(x) > 15) & ~F.lower(x).contains("licen"))
-    return documents(spark, sf).select("doc_id", F.size(items).alias("n_items"))
+    """Lines of every second document get bullets; licence lines introduce nothing."""
+    text = F.when(F.col("doc_id") % 2 == 0, F.concat(F.lit("- "), F.replace("text", F.lit("\n"), F.lit("\n- ")))).otherwise(F.col("text"))
+    return documents(spark, sf).select("doc_id", F.posexplode(H.outcome_items(text, ["licen", "home"])).alias("item_no", "item")).select("doc_id", "item_no", F.md5("item").alias("item"))
 
 
 @query("page_kind", "SELECT page_id, CASE WHEN contains(url, 'course') THEN 'courses' WHEN contains(url, '1') THEN 'plan' WHEN contains(url, '2') THEN 'requirements' ELSE 'generic' END AS kind FROM pages")
@@ -322,10 +341,18 @@ def _(spark, sf):
     return G.course_buckets(rows, "p_brand", "header", "body")
 
 
-@query("embed")
+LETTERS = "list_transform(range(97, 123), lambda i: (length({0}) - length(replace({0}, chr(i::INT), '')))::DOUBLE)"
+
+
+@query("embed", f"WITH c AS (SELECT doc_id, {LETTERS.format('lower(text)')} AS c FROM documents), n AS (SELECT *, sqrt(list_sum(list_transform(c, lambda x: x * x))) AS size FROM c) SELECT doc_id, round(CASE WHEN size > 0 THEN c[1] / size ELSE 0 END, 5) AS first, round(CASE WHEN size > 0 THEN list_sum(c) / size ELSE 0 END, 4) AS total FROM n")
 def _(spark, sf):
-    """Hashed TF-IDF vectors of all documents, as text."""
-    from corpusops.operators.embedding import hashed_tfidf
+    """Vectors of all documents by a batch function; of each the first component and the sum."""
+    v = embed(documents(spark, sf), "doc_id", "text", letter_shares)
+    return v.select("doc_id", F.round(F.get("embedding", F.lit(0)).cast("double"), 5).alias("first"), F.round(F.aggregate("embedding", F.lit(0.0), lambda s, x: s + x), 4).alias("total"))
 
+
+@query("hashed_tfidf")
+def _(spark, sf):
+    """Hashed TF-IDF vectors of all documents, as text."""
     vectors = hashed_tfidf(documents(spark, sf), "doc_id", "text")
     return vectors.select("doc_id", F.array_join(F.transform("embedding", lambda x: F.round(x, 4).cast("string")), ",").alias("embedding"))

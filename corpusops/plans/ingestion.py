@@ -5,11 +5,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from corpusops.functions import decompose as Q, rules as C
-from corpusops.operators import ranking as R, routing as W
+from corpusops.operators import ranking as R, relations as G, routing as W
+from corpusops.plans.activity import events
 from corpusops.plans.questions import INTENTS, SEED, sql_intent, sql_score, sql_word
 from corpusops.plans.registry import query, read
 from corpusops.plans.retrieval import IDF, documents, questions, sql_tokens
 from corpusops.sources import files as S, html as H
+from corpusops.streaming import admission as A
 
 
 @query("flatten_keyed_groups", "SELECT CAST(n_nationkey AS VARCHAR) AS key, n_name AS group_name, s_suppkey FROM supplier JOIN nation ON s_nationkey = n_nationkey")
@@ -49,12 +51,84 @@ def _(spark, sf):
     return S.jsonp(read(spark, sf, "events").select("event_id", wrapped.alias("raw")), "raw", "kind string, owner long")
 
 
+@query("wrapped_json", "SELECT 'PT ' || p_partkey AS course_code, p_name AS title, p_size::VARCHAR AS credits FROM part")
+def _(spark, sf):
+    """Parts as courses in JSON files of the form {"brand": ..., "courses": [...]}, at most a thousand in a file, and read back."""
+    course = F.struct(F.concat(F.lit("PT "), F.col("p_partkey").cast("string")).alias("course_code"), F.col("p_name").alias("title"), F.col("p_size").cast("string").alias("credits"))
+    files = read(spark, sf, "part").groupBy("p_brand", F.floor(F.col("p_partkey") / 1000).alias("part")).agg(F.collect_list(course).alias("courses"))
+    path = S.shared_folder(spark, "wrapped")
+    files.select(F.to_json(F.struct(F.col("p_brand").alias("brand"), "courses")).alias("value"), F.col("p_brand").alias("of"), "part").write.partitionBy("of", "part").text(path)
+    return S.read_wrapped_json(spark, path, "courses").select("course_code", "title", "credits")
+
+
+@query("transit_feed", """SELECT c_custkey::VARCHAR AS route_id, '#' || CASE WHEN c_nationkey % 2 = 0 THEN '00FF00' ELSE 'FF0000' END AS route_color, count(o_orderkey) AS n_trips, count(o_orderkey) FILTER (o_orderkey % 2 = 1) AS n_monday FROM customer LEFT JOIN orders ON o_custkey = c_custkey GROUP BY ALL""")
+def _(spark, sf):
+    """Customers and orders written as the four files of a feed, read back, and joined."""
+    path = S.shared_folder(spark, "feed")
+    routes, orders = read(spark, sf, "customer"), read(spark, sf, "orders")
+    color = F.when(F.col("c_nationkey") % 2 == 0, "00FF00").otherwise("FF0000")
+    days = [F.when(F.col("o_orderkey") % (i + 2) == 1, "1").otherwise("0").alias(d) for i, d in enumerate(G.DAYS)]
+    made = {
+        "routes": routes.select(F.col("c_custkey").alias("route_id"), F.col("c_custkey").alias("route_short_name"), F.col("c_name").alias("route_long_name"), F.lit("d").alias("route_desc"), color.alias("route_color"), F.lit("u").alias("route_url")),
+        "calendar": orders.select(F.col("o_orderkey").alias("service_id"), *days, F.lit("20240101").alias("start_date"), F.lit("20241231").alias("end_date")),
+        "trips": orders.select(F.col("o_custkey").alias("route_id"), F.col("o_orderkey").alias("service_id")),
+        "stops": read(spark, sf, "nation").select(F.col("n_nationkey").alias("stop_id"), F.col("n_name").alias("stop_name"), F.lit("38.9").alias("stop_lat"), F.lit("-95.2").alias("stop_lon")),
+    }
+    for name, rows in made.items():
+        rows.write.option("header", True).csv(f"{path}/{name}.txt")
+    feed = S.read_gtfs(spark, path)
+    trips = feed["trips"].join(feed["calendar"], "service_id")
+    counts = trips.groupBy("route_id").agg(F.count(F.lit(1)).alias("n_trips"), F.count_if("monday").alias("n_monday"))
+    zero = lambda c: F.coalesce(c, F.lit(0)).alias(c)
+    return feed["routes"].join(counts, "route_id", "left").select("route_id", "route_color", zero("n_trips"), zero("n_monday"))
+
+
+@query("rebuild_corpus", "SELECT source, count(*) AS n FROM documents WHERE lang <> 'en' GROUP BY source")
+def _(spark, sf):
+    """A corpus is built, built anew from other documents, and left alone by a third build that must not replace it."""
+    path = S.shared_folder(spark, "corpus")
+    docs = documents(spark, sf)
+    S.rebuild_corpus(docs, path)
+    S.rebuild_corpus(docs.where("lang <> 'en'"), path)
+    S.rebuild_corpus(docs, path, replace=False)
+    return spark.read.parquet(path).groupBy("source").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("stream_counts", "SELECT CAST(date_trunc('hour', ts) AS VARCHAR) AS start, event_type, count(*) AS n FROM events GROUP BY ALL")
+def _(spark, sf):
+    """Events counted by hour and type on a stream."""
+    path = S.shared_folder(spark, "stream")
+    rows = events(spark, sf).select("event_type", "ts")
+    rows.write.parquet(f"{path}/in")
+    counts = A.stream_counts(spark.readStream.schema(rows.schema).parquet(f"{path}/in"), "ts", "event_type")
+    write = lambda df, _: df.write.mode("overwrite").parquet(f"{path}/out")
+    counts.writeStream.outputMode("complete").foreachBatch(write).option("checkpointLocation", f"{path}/state").trigger(availableNow=True).start().awaitTermination(600)
+    return spark.read.schema(counts.schema).parquet(f"{path}/out").select(F.col("start").cast("string").alias("start"), "event_type", "n")
+
+
 # --- pages ----------------------------------------------------------------------------------------------
 
+#: Lines of a piece of a page: what stands between tags, entities resolved, runs of white space one space.
+ENTITIES = [("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&copy;", "\u00a9"), ("&middot;", "\u00b7"), ("&nbsp;", " "), ("&#39;", "''"), ("&#x27;", "''"), ("&amp;", "&")]
+
+
+def sql_lines(html: str) -> str:
+    text = f"regexp_replace({html}, '(?s)<!--.*?-->', '', 'g')"
+    parts = f"regexp_split_to_array({text}, '<[^>]*>')"
+    entity = "x"
+    for a, b in ENTITIES:
+        entity = f"replace({entity}, '{a}', '{b}')"
+    return f"list_filter(list_transform({parts}, lambda x: trim(regexp_replace({entity}, '\\s+', ' ', 'g'))), lambda x: x <> '')"
 
-@query("main_text")
+
+ARTICLE = "regexp_extract(html, '(?s)<article>(.*?)</article>', 1)"
+PAGE = "regexp_replace(regexp_replace(html, '(?s)<(script|style|nav|header|footer|aside|form)\\b.*?</\\1>', '', 'g'), '(?s)<head>.*?</head>', '', 'g')"
+
+
+@query("main_text", f"SELECT page_id, md5(array_to_string({sql_lines(ARTICLE)}, chr(10))) AS text FROM pages")
 def _(spark, sf):
-    return H.extract(read(spark, sf, "pages"), "page_id", "html", lambda h: [{"text": H.main_text(h)}], "text string").select("page_id", "text")
+    found = H.extract(read(spark, sf, "pages"), "page_id", "html", lambda h: [{"text": H.main_text(h)}], "text string")
+    return found.select("page_id", F.md5("text").alias("text"))
 
 
 @query("heading_sections")
@@ -62,14 +136,20 @@ def _(spark, sf):
     return H.extract(read(spark, sf, "pages"), "page_id", "html", lambda h: [{"heading": a, "body": b} for a, b in H.heading_sections(h)], "heading string, body string")
 
 
-@query("outbound_links", "SELECT DISTINCT page_id, unnest(list_filter(regexp_extract_all(html, 'href=[\"'']([^\"'']+)[\"'']', 1), lambda h: regexp_matches(h, '^(https?:)?/'))) AS href FROM pages")
+LINK = r"""(?is)<a\s[^>]*href=["'']([^"'']+)["''][^>]*>(.*?)</a>"""
+
+
+@query("outbound_links", f"""WITH l AS (SELECT page_id, url, regexp_extract_all(html, '{LINK}', 1) AS h, regexp_extract_all(html, '{LINK}', 2) AS x FROM pages),
+  u AS (SELECT page_id, url, unnest(h) AS h, unnest(x) AS x, generate_subscripts(h, 1) - 1 AS place FROM l),
+  a AS (SELECT page_id, CAST(place AS INT) AS place, trim(regexp_replace(regexp_replace(x, '<[^>]*>', ' ', 'g'), '\\s+', ' ', 'g')) AS text, CASE WHEN starts_with(h, '//') THEN regexp_extract(url, '^(https?:)', 1) || h WHEN starts_with(h, '/') THEN regexp_extract(url, '^(https?://[^/]+)', 1) || h ELSE h END AS href FROM u)
+  SELECT page_id, place, text, href FROM a WHERE regexp_matches(href, '^https?://') QUALIFY row_number() OVER (PARTITION BY page_id, href ORDER BY place) = 1""")
 def _(spark, sf):
-    return H.outbound_links(read(spark, sf, "pages"), "page_id", "html", "^(https?:)?/")
+    return H.outbound_links(read(spark, sf, "pages"), "page_id", "html", "url")
 
 
 @query("person_profile")
 def _(spark, sf):
-    return H.extract(read(spark, sf, "pages"), "page_id", "html", lambda h: [p] if (p := H.person(h)) else [], "name string, title string, email string, phone string, research string, biography string")
+    return H.extract(read(spark, sf, "pages"), "page_id", "html", lambda h: [p] if (p := H.person(h)) else [], "name string, title string, email string, phone string, office string, research string, biography string")
 
 
 @query("people_cards")
@@ -78,6 +158,26 @@ def _(spark, sf):
     return R.keep_first(found, [F.lower("email")], [F.asc("page_id"), F.asc("item_no")])
 
 
+@query("program_plan", "SELECT p_partkey AS page_id, CASE no WHEN 0 THEN 'First Year' ELSE 'Second Year ' || p_size END AS year, CASE no WHEN 0 THEN p_name ELSE p_type END AS fall, CASE no WHEN 0 THEN p_brand ELSE p_name END AS spring FROM part, range(2) r(no)")
+def _(spark, sf):
+    """Parts as pages with a plan of two years."""
+    page = F.expr("concat('<main><table><tr><th>First Year</th></tr><tr><td>', p_name, '</td><td>3</td><td>', p_brand, '</td></tr><tr><th>Second Year ', p_size, '</th></tr><tr><td>', p_type, '</td><td>3</td><td>', p_name, '</td></tr><tr><td>short</td></tr></table></main>')")
+    pages = read(spark, sf, "part").select(F.col("p_partkey").alias("page_id"), page.alias("html"))
+    return H.extract(pages, "page_id", "html", H.plan_rows, "year string, fall string, spring string").select("page_id", "year", "fall", "spring")
+
+
+@query("section_rows", """SELECT l_orderkey AS page_id, CAST(row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_quantity) - 1 AS INT) AS item_no, l_partkey::VARCHAR AS class_number,
+  CASE WHEN l_quantity < 10 THEN 'open' WHEN l_quantity < 20 THEN 'full' WHEN l_quantity < 30 THEN 'unopened' ELSE 'unknown' END AS seats_status, CASE WHEN l_linenumber % 2 = 0 THEN CAST(l_suppkey AS INT) END AS enrolled, CASE WHEN l_linenumber % 2 = 0 THEN 'MWF' END AS days FROM lineitem""")
+def _(spark, sf):
+    """Orders as pages of class sections; every second section has a row of notes."""
+    seats = F.expr("CASE WHEN l_quantity < 10 THEN cast(1 + cast(l_quantity AS INT) AS STRING) WHEN l_quantity < 20 THEN 'Full' WHEN l_quantity < 30 THEN 'Unopened' ELSE '?' END")
+    notes = F.when(F.col("l_linenumber") % 2 == 0, F.concat(F.lit("<tr><td>"), F.col("l_suppkey").cast("string"), F.lit(" students enrolled out of 300 MWF 10:00 - 10:50 AM</td></tr>"))).otherwise("")
+    row = F.concat(F.lit("<tr><td>LEC</td><td>Lee</td><td>"), F.col("l_partkey").cast("string"), F.lit("</td><td>"), seats, F.lit("</td></tr>"), notes)
+    pages = read(spark, sf, "lineitem").groupBy(F.col("l_orderkey").alias("page_id")).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("l_linenumber", "l_partkey", "l_suppkey", "l_quantity", row.alias("row")))), lambda x: x["row"]), "").alias("rows"))
+    found = H.extract(pages.select("page_id", F.concat(F.lit("<table>"), "rows", F.lit("</table>")).alias("html")), "page_id", "html", H.section_rows, "class_number string, seats_status string, enrolled int, days string")
+    return found.select("page_id", "item_no", "class_number", "seats_status", "enrolled", "days")
+
+
 @query("leaders_by_role", "SELECT role, max_by(p_name, p_partkey) AS name, max(p_partkey) AS p_partkey FROM (SELECT *, CASE WHEN contains(lower(p_type), 'eco') THEN 'chair' WHEN contains(lower(p_type), 'pro') THEN 'director' END AS role FROM part) WHERE role IS NOT NULL GROUP BY role")
 def _(spark, sf):
     """The last match of each role counts."""

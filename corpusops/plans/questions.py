@@ -8,6 +8,7 @@ from pyspark.sql.window import Window
 
 from corpusops.functions import decompose as Q, rules as C, text as T
 from corpusops.operators import lexical as L, preprocessing as F2
+from corpusops.operators.embedding import intent_by_anchors, letter_shares
 from corpusops.plans.registry import query, read
 from corpusops.plans.retrieval import IDF, TOKENS, documents, sql_tokens
 
@@ -139,9 +140,12 @@ FILLER = ["tell me about", "the", "and", "of", "is", "that", "der", "die", "und"
 ASCII = "(SELECT conv_id, turn, regexp_replace(text, '[^\\x00-\\x7F]', 'x', 'g') AS text FROM conversations)"
 
 
-@query("topic_of", f"""WITH r AS (SELECT conv_id, turn, text, trim(regexp_replace(regexp_replace(lower(text), '\\b({"|".join(sorted(FILLER, key=lambda p: (-len(p), p)))})\\b', ' ', 'g'), '\\s+', ' ', 'g')) AS rest FROM {ASCII}),
-  e AS (SELECT *, array_to_string(list_transform(string_split(regexp_replace(rest, '^[^a-z]+|[^a-z]+$', '', 'g'), ' '), lambda w: upper(w[1]) || w[2:]), ' ') AS named, regexp_extract(text, '\\b([A-Z]{{2,4}}) ?([0-9]{{3}})\\b', 1) AS subject FROM r)
-  SELECT conv_id, turn, CASE WHEN subject <> '' THEN subject || ' ' || regexp_extract(text, '\\b([A-Z]{{2,4}}) ?([0-9]{{3}})\\b', 2) WHEN length(named) >= 3 THEN named END AS topic FROM e""")
+TOPICS = f"""WITH r AS (SELECT conv_id, turn, text, trim(regexp_replace(regexp_replace(lower(text), '\\b({"|".join(sorted(FILLER, key=lambda p: (-len(p), p)))})\\b', ' ', 'g'), '\\s+', ' ', 'g')) AS rest FROM {ASCII}),
+  e AS (SELECT *, array_to_string(list_transform(string_split(regexp_replace(rest, '^[^a-z]+|[^a-z]+$', '', 'g'), ' '), lambda w: upper(w[1]) || w[2:]), ' ') AS named, regexp_extract(text, '\\b([A-Z]{{2,4}}) ?([0-9]{{3}})\\b', 1) AS subject FROM r),
+  topics AS (SELECT conv_id, turn, text, CASE WHEN subject <> '' THEN subject || ' ' || regexp_extract(text, '\\b([A-Z]{{2,4}}) ?([0-9]{{3}})\\b', 2) WHEN length(named) >= 3 THEN named END AS topic FROM e)"""
+
+
+@query("topic_of", TOPICS + " SELECT conv_id, turn, topic FROM topics")
 def _(spark, sf):
     """Letters beyond ASCII are another letter here, as word boundaries of the SQL know ASCII only."""
     said = turns(spark, sf).withColumn("text", F.regexp_replace("text", "[^\\x00-\\x7F]", "x"))
@@ -343,28 +347,36 @@ def _(spark, sf):
     return docs(spark, sf).select("doc_id", domain.alias("domain"), (domain != own).alias("mismatch"))
 
 
-@query("department_of", "SELECT c_custkey, n_name AS department FROM customer JOIN nation ON c_nationkey = n_nationkey")
+@query("department_of", """WITH q AS (SELECT c_custkey, 'who is in ' || lower(n_name) || '?' AS text, n_nationkey FROM customer JOIN nation ON c_nationkey = n_nationkey)
+  SELECT c_custkey, CASE WHEN contains(text, 'an') THEN 'Department of An' WHEN contains(text, 'ia') OR contains(text, 'ru') THEN 'School of Ia' END AS department, n_nationkey AS key FROM q""")
 def _(spark, sf):
-    """Alias (here a nation's key) to canonical name, by a join on the alias table."""
-    alias = read(spark, sf, "nation").select("n_nationkey", F.col("n_name").alias("department"))
-    return read(spark, sf, "customer").join(alias, F.col("c_nationkey") == F.col("n_nationkey")).select("c_custkey", "department")
+    """The canonical name by keyword, and the key of the alias (a nation's name) in the question."""
+    nations = read(spark, sf, "nation")
+    asked = read(spark, sf, "customer").join(nations, F.col("c_nationkey") == F.col("n_nationkey")).select("c_custkey", F.concat(F.lit("who is in "), F.lower("n_name"), F.lit("?")).alias("text"))
+    aliases = nations.select(F.lower("n_name").alias("alias"), F.col("n_nationkey").alias("key"))
+    found = F2.alias_key(asked, aliases)
+    return found.select("c_custkey", C.canonical(F.col("text"), {"Department of An": ["an"], "School of Ia": ["ia", "ru"]}).alias("department"), "key")
 
 
-@query("detect_intent")
-def _(spark, sf):
-    """Nearest centroid of labelled vectors, else keywords; only where the turn has a topic. Turns and vectors
-    share ids here."""
-    from corpusops.operators import vectors as V
+ANCHORS = [("english", "the and that this with"), ("english", "tion ing over under"), ("german", "der die und nicht auch"), ("german", "sch ung keit heit"), ("spanish", "que los una para"), ("french", "les une dans pour eau")]
+SHARES = "list_transform(range(97, 123), lambda i: (length({0}) - length(replace({0}, chr(i::INT), '')))::DOUBLE)"
 
-    rows = read(spark, sf, "embeddings")
-    middle = V.centroids(rows, "label", "embedding")
-    dot = lambda a, b: F.aggregate(F.zip_with(a, b, lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
-    e = F.col("embedding").cast("array<double>")
-    met = rows.crossJoin(F.broadcast(middle.withColumnRenamed("label", "intent"))).select("vec_id", "intent", (dot(e, F.col("centroid")) / F.sqrt(dot(e, e) * dot(F.col("centroid"), F.col("centroid")))).alias("score"))  # one row per label
-    best = met.groupBy("vec_id").agg(F.max_by("intent", "score").alias("intent"), F.max("score").alias("score")).where("score >= 0.45")
-    said = turns(spark, sf).withColumn("topic", T.topic_of(F.col("text"), FILLER)).where("topic IS NOT NULL")
+
+@query("detect_intent", TOPICS + f""",
+  u AS (SELECT conv_id, turn, {SHARES.format('lower(text)')} AS v FROM conversations), w(intent, phrase) AS (VALUES {", ".join(f"('{i}', '{x}')" for i, x in ANCHORS)}), z AS (SELECT intent, {SHARES.format('phrase')} AS v FROM w), y AS (SELECT intent, list_transform(v, lambda x: x / sqrt(list_sum(list_transform(v, lambda y: y * y)))) AS v FROM z),
+  m AS (SELECT intent, list(x ORDER BY i) AS c FROM (SELECT intent, i, avg(x) AS x FROM (SELECT intent, unnest(v) AS x, generate_subscripts(v, 1) AS i FROM y) GROUP BY ALL) GROUP BY intent),
+  s AS (SELECT conv_id, turn, intent, round(CASE WHEN list_dot_product(v, v) > 0 THEN list_dot_product(v, c) / sqrt(list_dot_product(v, v) * list_dot_product(c, c)) ELSE 0 END, 6) AS score FROM u, m), b AS (SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY conv_id, turn ORDER BY score DESC, intent DESC) = 1),
+  k AS (SELECT conv_id, turn, topic, CASE WHEN contains(lower(text), 'tion') THEN 'action' WHEN contains(lower(text), 'ung') THEN 'noun' WHEN regexp_matches(text, '\\b[A-Z]{{2,4}} ?[0-9]{{3}}\\b') THEN 'course' END AS word FROM topics WHERE topic IS NOT NULL)
+  SELECT conv_id, turn, topic, CASE WHEN score >= 0.9 THEN intent ELSE word END AS intent FROM k JOIN b USING (conv_id, turn)""")
+def _(spark, sf):
+    """The intent of the nearest anchor phrases, else by keyword, of turns that have a topic."""
+    said = turns(spark, sf).withColumn("id", F.col("conv_id") * 1000 + F.col("turn"))
+    anchors = spark.createDataFrame(ANCHORS, "intent string, phrase string")
+    near = intent_by_anchors(said, "id", "text", anchors, letter_shares, 0.9).withColumnRenamed("intent", "anchor")
+    plain = said.withColumn("text", F.regexp_replace("text", "[^\\x00-\\x7F]", "x"))
+    told = plain.withColumn("topic", T.topic_of(F.col("text"), FILLER)).where("topic IS NOT NULL")
     words = C.keyword_intent(F.col("text"), {"action": ["tion"], "noun": ["ung"]})
-    return said.join(best, F.col("conv_id") == F.col("vec_id"), "left").select("conv_id", "turn", "topic", F.coalesce(F.col("intent").cast("string"), words["intent"]).alias("intent"))
+    return told.join(near, "id", "left").select("conv_id", "turn", "topic", F.coalesce("anchor", words["intent"]).alias("intent"))
 
 
 # --- decomposition --------------------------------------------------------------------------------------
@@ -393,9 +405,10 @@ def _(spark, sf):
     return Q.decompose(asked(spark, sf)).select("query_id", "sub_no", "text")
 
 
-@query("question_parts", """SELECT p_partkey AS query_id, CASE p_partkey % 2 WHEN 0 THEN 'credits' ELSE 'information' END AS part, CASE p_partkey % 2 WHEN 0 THEN 'credits' ELSE 'information' END AS type FROM part""")
+@query("question_parts", """WITH q AS (SELECT p_partkey AS query_id, CASE p_partkey % 4 WHEN 0 THEN 'compare CS ' || (p_size + 100) || ' and MATH 200 credits?' WHEN 1 THEN 'CS ' || (p_size + 100) || ' vs MATH 200?' WHEN 2 THEN 'who teaches CS ' || (p_size + 100) || ' ' || p_name ELSE p_name || ' schedule of CS ' || (p_size + 100) END AS text, p_name FROM part)
+  SELECT query_id, CASE query_id % 4 WHEN 0 THEN 'credits' WHEN 1 THEN 'information' WHEN 2 THEN 'who teaches ' || p_name ELSE p_name || ' schedule of' END AS part, CASE query_id % 4 WHEN 0 THEN 'credits' WHEN 1 THEN 'information' WHEN 2 THEN 'instructor' ELSE 'schedule' END AS type FROM q""")
 def _(spark, sf):
-    text = F.expr("CASE p_partkey % 2 WHEN 0 THEN concat('compare CS ', p_size + 100, ' and MATH 200 credits?') ELSE concat('CS ', p_size + 100, ' vs MATH 200?') END")
+    text = F.expr("CASE p_partkey % 4 WHEN 0 THEN concat('compare CS ', p_size + 100, ' and MATH 200 credits?') WHEN 1 THEN concat('CS ', p_size + 100, ' vs MATH 200?') WHEN 2 THEN concat('who teaches CS ', p_size + 100, ' ', p_name) ELSE concat(p_name, ' schedule of CS ', p_size + 100) END")
     return read(spark, sf, "part").select(F.col("p_partkey").alias("query_id"), Q.question_part(text).alias("part"), Q.question_type(text).alias("type"))
 
 

@@ -5,11 +5,12 @@ A page is read into a light list of events once; each extractor is a small funct
 from __future__ import annotations
 
 import re
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterator, Sequence
 from html.parser import HTMLParser
 
 import pandas as pd
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql.window import Window
 
 SKIPPED = {"script", "style", "nav", "header", "footer", "aside", "form"}
 VOID = {"br", "img", "hr", "meta", "link", "input", "area", "base", "col", "source", "wbr"}
@@ -67,8 +68,26 @@ def heading_sections(html: str) -> list[tuple[str, str]]:
     return [(h, "\n".join(body)) for h, body in out if body]
 
 
+def next_text(events: list, at: int) -> str:
+    return next((value for kind, _, value, _ in events[at:] if kind == "text"), "")
+
+
+#: A room: a number and a building; what looks like one but isn't.
+OFFICE = re.compile(r"\b\d{2,4}[A-Z]? [A-Z][a-z]+ (?:Hall|Building|Center)\b")
+NO_OFFICE = ("suite", "box", "street", "avenue")
+
+
+def office_of(sections: dict[str, str], whole: str) -> str | None:
+    """The first line under a heading on the office, else the first room in the text that no denied word is in."""
+    named = next((b for h, b in sections.items() if "office" in h.lower() or "location" in h.lower()), None)
+    if named:
+        return named.split("\n")[0]
+    return next((m[0] for m in OFFICE.finditer(whole) if not any(x in m[0].lower() for x in NO_OFFICE)), None)
+
+
 def person(html: str) -> dict | None:
-    """Name (h1), title, e-mail, phone, research topics and biography of a profile page; None without a name."""
+    """Name (h1), title (the first element of class "title", else up to three list items), e-mail, phone, office,
+    research topics and biography of a profile page; None without a name."""
     events = Reader(html).events
     found = texts(events)
     name = next((t for _, t, path in found if "h1" in path), None)
@@ -80,9 +99,9 @@ def person(html: str) -> dict | None:
     research = next((b for h, b in sections.items() if "research" in h.lower()), "")
     items = [x for line in research.split("\n") for x in re.split(r"\s*[,;]\s*", line) if x]
     bio = next((b for h, b in sections.items() if "bio" in h.lower()), None) or next((t for tag, t, _ in found if tag == "p" and len(t) > 200), None)
-    titles = [t for tag, t, _ in found if tag == "li"][:3]
+    titles = [next_text(events, i) for i, (kind, _, x, _) in enumerate(events) if kind == "start" and "title" in (x.get("class") or "").split()][:1] or [t for tag, t, _ in found if tag == "li"][:3]
     email, phone = EMAIL.search(whole), PHONE.search(whole.replace("+1-", ""))
-    return {"name": name, "title": "; ".join(titles) or None, "email": mail or (email and email[0]), "phone": phone and phone[0], "research": "; ".join(items) or None, "biography": bio}
+    return {"name": name, "title": "; ".join(titles) or None, "email": mail or (email and email[0]), "phone": phone and phone[0], "office": office_of(sections, whole), "research": "; ".join(items) or None, "biography": bio}
 
 
 def cards(html: str) -> list[dict]:
@@ -130,10 +149,17 @@ def extract(pages: DataFrame, key: str, html: str, job: Callable[[str], list[dic
     return pages.select(key, html).mapInPandas(run, f"{key} {pages.schema[key].dataType.simpleString()}, item_no int, {schema}")
 
 
-def outbound_links(pages: DataFrame, key: str, html: str, pattern: str = "^https?://") -> DataFrame:
-    """(key, href): distinct links that match, by expressions alone."""
-    hrefs = F.array_distinct(F.filter(F.regexp_extract_all(html, F.lit("href=[\"']([^\"']+)[\"']"), F.lit(1)), lambda h: h.rlike(pattern)))
-    return pages.select(key, F.explode(hrefs).alias("href"))
+def outbound_links(pages: DataFrame, key: str, html: str, url: str, pattern: str = "^https?://") -> DataFrame:
+    """(key, place, text, href): links in order, made absolute by the page's url, the first of each href kept, as far as
+    they match; by expressions alone."""
+    link = F.lit(r"(?is)<a\s[^>]*href=[\"']([^\"']+)[\"'][^>]*>(.*?)</a>")
+    found = pages.select(key, url, F.posexplode(F.arrays_zip(F.regexp_extract_all(html, link, F.lit(1)).alias("href"), F.regexp_extract_all(html, link, F.lit(2)).alias("inner"))).alias("place", "a"))
+    root = F.regexp_extract(url, "^(https?://[^/]+)", 1)
+    scheme = F.regexp_extract(url, "^(https?:)", 1)
+    href = F.when(F.col("a.href").startswith("//"), F.concat(scheme, F.col("a.href"))).when(F.col("a.href").startswith("/"), F.concat(root, F.col("a.href"))).otherwise(F.col("a.href"))
+    text = F.trim(F.regexp_replace(F.regexp_replace("a.inner", "<[^>]*>", " "), r"\s+", " "))
+    rows = found.select(key, "place", text.alias("text"), href.alias("href")).where(F.col("href").rlike(pattern))
+    return rows.withColumn("_n", F.row_number().over(Window.partitionBy(key, "href").orderBy("place"))).where("_n = 1").drop("_n")
 
 
 def plan_rows(html: str) -> list[dict]:
@@ -161,3 +187,20 @@ def section_rows(html: str) -> list[dict]:
             out[-1] |= {"enrolled": int(n[1]), "most": int(n[2])} if n else {}
             out[-1] |= {"days": when[1], "time": when[2]} if when else {}
     return out
+
+
+def contacts(text: Column, buildings: str = r"[A-Z][a-z]+ (?:Hall|Building|Center)") -> Column:
+    """(email, phone, room, building) of a text or page: the address of a mailto link before any other."""
+    first = lambda p, i=0: F.nullif(F.regexp_extract(text, p, i), F.lit(""))
+    room = rf"\b([0-9]{{2,4}}[A-Z]?) ({buildings})"
+    email = F.coalesce(first(r"(?i)mailto:([A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+)", 1), first(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}"))
+    return F.struct(email.alias("email"), first(r"[0-9]{3}-[0-9]{3}-[0-9]{4}").alias("phone"), first(room, 1).alias("room"), first(room, 2).alias("building"))
+
+
+def outcome_items(text: Column, skip: Sequence[str] = ("learning outcomes", "will be able to", "back to", "home")) -> Column:
+    """Items of a list of outcomes: bulleted lines of over twenty characters or, without any, lines of over fifteen that
+    neither introduce the list nor lead elsewhere."""
+    lines = F.transform(F.split(text, "\n"), F.trim)
+    bulleted = F.filter(F.transform(F.filter(lines, lambda x: x.rlike("^[-*\u2022] ")), lambda x: F.trim(F.substring(x, 2, 1_000_000))), lambda x: F.length(x) > 20)
+    plain = F.filter(lines, lambda x: (F.length(x) > 15) & ~F.greatest(*[F.lower(x).contains(w) for w in skip], F.lit(False)))
+    return F.when(F.size(bulleted) > 0, bulleted).otherwise(plain)

@@ -8,6 +8,7 @@ from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F
+from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from corpusops.operators.limits import LIMITS, Gate
@@ -39,3 +40,8 @@ def stream_counts(requests: DataFrame, ts: str, by: str, every: str = "1 hour",
     """Requests per window and group; rows later than the watermark are left out by Spark."""
     timed = requests.withColumn("_at", F.col(ts).cast("timestamp")).withWatermark("_at", late)
     return timed.groupBy(F.window("_at", every).alias("w"), by).agg(F.count(F.lit(1)).alias("n")).select(F.col("w.start").alias("start"), by, "n")
+
+
+def late_rows(query: StreamingQuery) -> int:
+    """Rows that a query's stateful operators left out so far because they were later than the watermark."""
+    return sum(op["numRowsDroppedByWatermark"] for p in query.recentProgress for op in p["stateOperators"])
