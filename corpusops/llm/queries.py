@@ -2,7 +2,21 @@
 
 from __future__ import annotations
 
-from corpusops.llm import arc_to_warc, exact_dedup, kd_shards, minhash_dedup, packed_ids, quality_pu, rank_bpe, source_mix, stable_ann, token_counts
+from corpusops.llm import (
+    arc_to_warc,
+    exact_dedup,
+    kd_shards,
+    minhash_dedup,
+    multiset_print,
+    packed_ids,
+    quality_pu,
+    rank_bpe,
+    source_mix,
+    stable_ann,
+    term_at_a_time,
+    token_counts,
+    token_links,
+)
 
 QUERIES = {
     "op1_quality_pu": quality_pu.op1_quality_pu,
@@ -15,6 +29,9 @@ QUERIES = {
     "op8_token_counts": token_counts.op8_token_counts,
     "op9_rank_bpe": rank_bpe.op9_rank_bpe,
     "op10_exact_dedup": exact_dedup.op10_exact_dedup,
+    "op11_multiset_print": multiset_print.op11_multiset_print,
+    "op12_token_links": token_links.op12_token_links,
+    "op13_term_at_a_time": term_at_a_time.op13_term_at_a_time,
 }
 
 ORACLE = {
@@ -22,4 +39,5 @@ ORACLE = {
     "op4_source_mix": source_mix.ORACLE,
     "op5_arc_to_warc": arc_to_warc.ORACLE,
     "op10_exact_dedup": exact_dedup.ORACLE,
+    "op13_term_at_a_time": term_at_a_time.ORACLE,
 }
