@@ -6,6 +6,8 @@ import tempfile
 import uuid
 import weakref
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from pyspark.sql.window import Window
 
@@ -54,9 +56,19 @@ def discard(*tables: DataFrame) -> None:
             where.getFileSystem(df.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(where, True)
 
 
-def row_print(doc_id: Column, text: Column) -> Column:
-    """128 bits that tell rows of different ids or texts apart; never null, whatever is null in the row."""
-    return F.unhex(F.md5(F.concat(F.coalesce(doc_id.cast("string"), F.lit("")), F.coalesce(F.concat(F.lit(" "), text.cast("string")), F.lit("")))))
+def fresh(df: DataFrame, name: str) -> str:
+    """The name, or one made of it that no column of df has, in whatever case."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
+def row_print(docs: DataFrame) -> Column:
+    """128 bits of all columns of a row, never null: rows of equal prints are equal."""
+    others = [F.col(f"`{c}`") for c in docs.columns if c not in ("doc_id", "text")]
+    parts = [docs["doc_id"].cast("string"), docs["text"].cast("string"), F.to_json(F.struct(*others)) if others else None]
+    return F.unhex(F.md5(F.concat(*[F.concat(F.coalesce(F.octet_length(p), F.lit(-1)).cast("string"), F.lit(" "), F.coalesce(p, F.lit(""))) for p in parts if p is not None])))
 
 
 def word_count(text: Column) -> Column:
@@ -81,3 +93,25 @@ def running(df: DataFrame, by: list[str], bucket: str, order: list[Column], sums
     own = df.select("*", *[F.coalesce(F.sum(F.coalesce(c, F.lit(0))).over(inside), F.lit(0)).alias(f"_own_{n}") for n, c in sums.items()])
     out = own.join(starts, keys)
     return out.select(*[out[c] for c in df.columns], *[(F.col(f"_before_{n}") + F.col(f"_own_{n}")).alias(n) for n in sums])
+
+
+def range_keys(ids: pa.Array, prints: pa.Array) -> np.ndarray:
+    """Keys of 17 bytes whose order as bytes is that of (null id first, id, print)."""
+    out = np.empty((len(ids), 17), np.uint8)
+    out[:, 0] = ids.is_valid().to_numpy(zero_copy_only=False)
+    for column, values in ((1, ids.fill_null(0)), (9, prints)):
+        out[:, column : column + 8] = (values.to_numpy().view(np.uint64) ^ np.uint64(1 << 63)).astype(">u8").view(np.uint8).reshape(-1, 8)
+    return out.view("S17").ravel()
+
+
+def range_starts(rows: DataFrame, ranges: int) -> np.ndarray:
+    """The first key of each of at most `ranges` ranges of equal size, by the columns id and print (longs, print never null);
+    one row a range comes to the driver. Rows of one id are parted by print."""
+    key = F.struct(F.col("id").isNotNull().alias("some"), "id", "print")
+    firsts = rows.select("id", "print").repartitionByRange(ranges, "id", "print").groupBy(F.spark_partition_id().alias("p")).agg(F.min(key).alias("k")).select("k.*").collect()
+    return np.unique(range_keys(pa.array([r.id for r in firsts], pa.int64()), pa.array([r.print for r in firsts], pa.int64())))
+
+
+def range_of(starts: np.ndarray, keys: np.ndarray) -> np.ndarray:
+    """The range that each key is in."""
+    return np.maximum(np.searchsorted(starts, keys, side="right") - 1, 0)

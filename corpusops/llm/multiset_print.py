@@ -28,7 +28,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from corpusops.llm.common import table
+from corpusops.llm.common import range_keys, range_of, range_starts, table
 
 STRONG, SOFT, GRAM = 16, 256, 8
 _MIX = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)]  # odd multipliers
@@ -116,39 +116,22 @@ def half_replaced(text: str, after: str) -> tuple[str, list[str], list[str]]:
 # --- jobs -------------------------------------------------------------------------------------------
 
 
-def sort_keys(null: np.ndarray, ids: np.ndarray, prints: np.ndarray) -> np.ndarray:
-    """Keys of 17 bytes whose order as bytes is that of (null first, id, print)."""
-    out = np.empty((len(ids), 17), np.uint8)
-    out[:, 0] = ~null
-    for column, values in ((1, ids), (9, prints)):
-        out[:, column : column + 8] = (values.astype(np.int64).view(np.uint64) ^ np.uint64(1 << 63)).astype(">u8").view(np.uint8).reshape(-1, 8)
-    return out.view("S17").ravel()
-
-
-def key_columns(batch: pa.RecordBatch) -> np.ndarray:
-    ids = batch.column(0)
-    return sort_keys(ids.is_null().to_numpy(zero_copy_only=False), ids.fill_null(0).to_numpy(), batch.column(1).to_numpy())
-
-
 def with_next(docs: DataFrame, ranges: int | None = None) -> DataFrame:
     """(part int, head boolean, id long, print long, text string), a partition of which holds whole parts in
     ascending order; each part ends with the first row of the next part, marked as head (the last one with the
     first row of all), so that every other row is followed by the row after it."""
     rows = docs.select(F.col("doc_id").cast("long").alias("id"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("print"), F.coalesce("text", F.lit("")).alias("text"))
     ranges = ranges or int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    key = F.struct(F.col("id").isNotNull().alias("some"), "id", "print")
-    firsts = rows.select("id", "print").repartitionByRange(ranges, "id", "print").groupBy(F.spark_partition_id().alias("p")).agg(F.min(key).alias("k")).select("k.*").collect()  # a row a range
-    null, ids, prints = np.array([not r.some for r in firsts], bool), np.array([r.id or 0 for r in firsts], np.int64), np.array([r.print for r in firsts], np.int64)
-    heads = np.unique(sort_keys(null, ids, prints))
+    starts = range_starts(rows, ranges)
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if not batch.num_rows:
                 continue
-            keys = key_columns(batch)
-            part = np.maximum(np.searchsorted(heads, keys, side="right") - 1, 0)
-            first = np.flatnonzero(heads[part] == keys)
-            for at, to, head in ((batch, part, False), (batch.take(pa.array(first)), (part[first] - 1) % max(1, len(heads)), True)):
+            keys = range_keys(batch.column(0), batch.column(1))
+            part = range_of(starts, keys)
+            first = np.flatnonzero(starts[part] == keys)
+            for at, to, head in ((batch, part, False), (batch.take(pa.array(first)), (part[first] - 1) % len(starts), True)):
                 if at.num_rows:
                     yield pa.RecordBatch.from_arrays([pa.array(to, pa.int32()), pa.array([head] * at.num_rows), *at.columns], ["part", "head", "id", "print", "text"])
 

@@ -8,12 +8,13 @@ feed. `bits` is the least that holds every id of the vocabulary. `block_offsets`
 of them is unpacked alone, by numpy and without a loop over ids.
 
 Files are written by Spark's own writer in the shared folder and read by its binary reader, so any file
-system that Spark reaches will do. Documents are dealt to files by ranges of doc_id that hold equal
-numbers of documents; the order of files is that of their names.
+system that Spark reaches will do. Documents are dealt to tasks by ranges of (doc_id, hash of the text), so the
+rows of one doc_id may be dealt to several, and a task starts a new file after some blocks. The order of files
+is that of the numbers in their names.
 
 Defined results: a null text is empty; an empty document holds the end id alone. Texts of any length are
-encoded whole. Null doc_ids come first, documents with the same doc_id follow one another by their ids'
-bytes. Only doc_id and text are read. An empty table gives no rows.
+encoded whole. Null doc_ids come first, documents with the same doc_id follow one another by a hash of their
+texts. Only doc_id and text are read. An empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -29,11 +30,11 @@ import numpy as np
 import public_tokenizers
 import pyarrow as pa
 import regex
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from pyspark.sql.window import Window
 from tokenizers import Tokenizer
 
-from corpusops.llm.common import shared_dir, stored, table
+from corpusops.llm.common import range_keys, range_of, range_starts, shared_dir, stored, table
 from corpusops.llm.token_counts import PLAIN, byte_letters
 
 VOCABULARY = public_tokenizers.path("byte_bpe_50k.json")
@@ -202,33 +203,30 @@ def read_block(data: bytes, body: int, head: dict) -> tuple[np.ndarray, np.ndarr
 # --- jobs -------------------------------------------------------------------------------------------
 
 
-def write_packed(docs: DataFrame, path: str, vocabulary: str = VOCABULARY, end_id: int = 0, file_docs: int = 4096, block_ids: int = 65_536) -> None:
+def write_packed(docs: DataFrame, path: str, vocabulary: str = VOCABULARY, end_id: int = 0, ranges: int | None = None, block_ids: int = 65_536, file_blocks: int = 256) -> None:
     """Encodes docs and writes the files to path. Texts are encoded where they are read; only packed ids
-    are shuffled, once, to the file of their document."""
+    are shuffled, once, to the range of their document. A file ends after file_blocks blocks."""
     lib_size = Tokenizer.from_file(vocabulary).get_vocab_size()
     bits = bits_for(max(lib_size, end_id + 1))
     width = "<u2" if bits <= 16 else "<u4"
-    keys = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("id"))
-    count = keys.count()
-    files = max(1, -(-count // file_docs))
-    # files - 1 limits: a file holds about file_docs documents, so they take a thousandth of the ids
-    limits = np.array(sorted(set(keys.agg(F.percentile_approx("id", [i / files for i in range(1, files)], 20 * files)).first()[0] or [])) if files > 1 else [], np.int64)
+    ranges = ranges or int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    texts = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("id"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("print"), "text")
+    starts = range_starts(texts, ranges)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoder(vocabulary, width)
         for batch in batches:
             for lo in range(0, batch.num_rows, 500):
                 part = batch.slice(lo, 500)
-                ids = part.column(0)
-                to = np.searchsorted(limits, ids.to_numpy(zero_copy_only=False), side="left")
-                packed = enc.encode([t or "" for t in part.column(1).to_pylist()], end_id)
-                yield pa.RecordBatch.from_arrays([pa.array(to, pa.int32()), ids, pa.array(packed, pa.binary())], ["file", "id", "ids"])
+                to = range_of(starts, range_keys(part.column(0), part.column(1)))
+                packed = enc.encode([t or "" for t in part.column(2).to_pylist()], end_id)
+                yield pa.RecordBatch.from_arrays([pa.array(to, pa.int32()), part.column(0), part.column(1), pa.array(packed, pa.binary())], ["file", "id", "print", "ids"])
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         first, held, doc_ids, ids = 0, 0, [], []
         out = lambda: pa.RecordBatch.from_arrays([pa.array([block(first, doc_ids, ids, bits)], pa.binary())], ["value"])
         for batch in batches:
-            for doc_id, raw in zip(batch.column(1).to_pylist(), batch.column(2), strict=True):
+            for doc_id, raw in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
                 doc_ids.append(doc_id)
                 ids.append(np.frombuffer(raw.as_buffer(), width))
                 held += len(ids[-1])
@@ -238,10 +236,16 @@ def write_packed(docs: DataFrame, path: str, vocabulary: str = VOCABULARY, end_i
         if doc_ids:
             yield out()
 
-    texts = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("id"), "text")
-    dealt = texts.mapInArrow(run, "file int, id long, ids binary").repartitionById(files, F.col("file"))
-    blocks = dealt.sortWithinPartitions("id", "ids").mapInArrow(write, "value binary")
-    blocks.select(F.col("value").cast("string")).write.option("lineSep", "\n").text(path)
+    dealt = texts.mapInArrow(run, "file int, id long, print long, ids binary").repartitionById(ranges, F.col("file"))
+    blocks = dealt.sortWithinPartitions("id", "print", "ids").select("id", "ids").mapInArrow(write, "value binary")
+    blocks.select(F.col("value").cast("string")).write.option("lineSep", "\n").option("maxRecordsPerFile", file_blocks).text(path)
+
+
+def file_number(path: Column) -> Column:
+    """A number in the order of files: that of the task, then that of the file among the task's. Spark's names hold both, with leading
+    zeros to five and three digits and without from there on."""
+    at = lambda group: F.regexp_extract(path, r"part-(\d+)-.*-c(\d+)[^/]*$", group).cast("long")
+    return at(1) * (1 << 31) + at(2)
 
 
 def read_packed(spark: SparkSession, path: str) -> DataFrame:
@@ -257,11 +261,11 @@ def read_packed(spark: SparkSession, path: str) -> DataFrame:
                     ends = np.cumsum(sizes)
                     raw = memoryview(ids.astype("<u4").tobytes())
                     crcs = [zlib.crc32(raw[4 * (e - n) : 4 * e]) for e, n in zip(ends.tolist(), sizes.tolist(), strict=True)]
-                    yield pa.RecordBatch.from_arrays([pa.array([name] * len(sizes), pa.string()), pa.array(doc_ids), pa.array(start + ends - sizes), pa.array(sizes), pa.array(crcs, pa.int64())], ["file", "doc_id", "local", "n_tokens", "ids_crc32"])
+                    yield pa.RecordBatch.from_arrays([pa.array([name] * len(sizes), pa.int64()), pa.array(doc_ids), pa.array(start + ends - sizes), pa.array(sizes), pa.array(crcs, pa.int64())], ["file", "doc_id", "local", "n_tokens", "ids_crc32"])
                     start += int(ends[-1])
 
     files = spark.read.format("binaryFile").load(path)
-    rows = stored(files.select(F.regexp_extract("path", r"part-(\d+)", 1).alias("file"), "content").mapInArrow(run, "file string, doc_id long, local long, n_tokens long, ids_crc32 long"))
+    rows = stored(files.select(file_number(F.col("path")).alias("file"), "content").mapInArrow(run, "file long, doc_id long, local long, n_tokens long, ids_crc32 long"))
     # one row per file
     sizes = rows.groupBy("file").agg(F.sum("n_tokens").alias("n")).select("file", F.coalesce(F.sum("n").over(Window.orderBy("file").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before"))
     doc_id = F.when(F.col("doc_id") != NO_ID, F.col("doc_id")).alias("doc_id")

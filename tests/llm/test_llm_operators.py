@@ -313,7 +313,7 @@ def test_kd_shards_equal_a_tree_by_sorting(spark, shards):
 def test_packed_ids(spark, docs, none):
     lib = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
     path = shared_dir(spark)
-    packed_ids.write_packed(docs, path, file_docs=4, block_ids=50)
+    packed_ids.write_packed(docs, path, ranges=4, block_ids=50, file_blocks=2)
     got = sorted(packed_ids.read_packed(spark, path).collect(), key=lambda r: r.start)
     rows = sorted(edge_rows(), key=lambda r: (r[0] is not None, r[0] or 0))
     assert [r.doc_id for r in got] == [r[0] for r in rows]
@@ -328,6 +328,27 @@ def test_packed_ids(spark, docs, none):
     assert packed_ids.read_packed(spark, path).count() == 0
 
 
+def test_packed_ids_where_a_third_of_the_ids_are_null(spark):
+    lib = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    rows = [(None if i % 3 == 0 else 7 if i % 3 == 1 and i < 150 else i, words(1 + i % 40, i)) for i in range(600)]
+    df, path = spark.createDataFrame(rows, "doc_id long, text string").repartition(5), shared_dir(spark)
+    packed_ids.write_packed(df, path, ranges=8, block_ids=500, file_blocks=1)
+    files = spark.read.format("binaryFile").load(path).select("path", "length").collect()
+    assert len({f.path.split("part-")[1][:5] for f in files}) >= 6 and max(f.length for f in files) < 5000  # nulls are in more than one task
+    got = sorted(packed_ids.read_packed(spark, path).collect(), key=lambda r: r.start)
+    assert [r.doc_id for r in got] == sorted([r[0] for r in rows], key=lambda i: (i is not None, i or 0))
+    assert [r.start for r in got] == [0, *itertools.accumulate(r.n_tokens for r in got)][:-1]
+    assert sorted((str(r.doc_id), r.ids_crc32) for r in got) == sorted((str(i), zlib.crc32(np.array([*lib.encode(t, add_special_tokens=False).ids, 0], "<u4").tobytes())) for i, t in rows)
+
+
+def test_files_are_ordered_by_number(spark):
+    """From 100,000 tasks and 1,000 files a task on, names no longer sort as their numbers."""
+    names = [f"file:/x/part-{task:05d}-5c1f-9-c{n:03d}.txt" for task in (0, 7, 99_999, 100_000, 1_000_001) for n in (0, 999, 1000)]
+    df = spark.createDataFrame([(i, n) for i, n in enumerate(names)], "i int, path string")
+    assert [r.i for r in df.orderBy(packed_ids.file_number(F.col("path"))).collect()] == list(range(len(names)))
+    assert names != sorted(names)
+
+
 @pytest.mark.parametrize("bits", [1, 3, 8, 13, 16, 17])
 def test_packing_round_trip_and_random_access(bits):
     ids = np.random.default_rng(bits).integers(0, 2**bits, 1001).astype(np.uint32)
