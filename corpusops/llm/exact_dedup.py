@@ -18,7 +18,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from corpusops.llm.common import row_print, stored, table
+from corpusops.llm.common import fresh, row_print, stored, table
 
 
 def normalised(text: Column) -> Column:
@@ -71,10 +71,12 @@ def exact_dedup(docs: DataFrame, fan_in: int = 16) -> DataFrame:
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
-    """Exactly one row of docs for each group of equal texts, whether ids are null or repeated."""
-    rows = docs.withColumn("_row", row_print(F.col("doc_id"), F.col("text")))
-    kept = tree_merge(stored(digest_rows(rows, "_row")), ties=("_row",)).select("_row")
-    return rows.join(kept, "_row", "left_semi").dropDuplicates(["_row"]).select(*docs.columns)
+    """Exactly one row of docs for each group of equal texts, whether ids are null or repeated; among rows of one
+    id that tie, that of the least print of all columns."""
+    row = fresh(docs, "_row")
+    rows = docs.withColumn(row, row_print(docs))
+    kept = tree_merge(stored(digest_rows(rows, row)), ties=(row,)).select(row)
+    return rows.join(kept, row, "left_semi").dropDuplicates([row]).select(*[rows[f"`{c}`"] for c in docs.columns])
 
 
 def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -38,7 +38,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from corpusops.llm.common import WORD, discard, row_print, stored, table
+from corpusops.llm.common import WORD, discard, fresh, row_print, stored, table
 
 WORDS = 5
 BANDS, ROWS = 40, 5
@@ -344,15 +344,16 @@ def near_duplicates(docs: DataFrame, percent: int = 75, miss: float = 1e-5) -> D
 
 
 def keep_one(docs: DataFrame, percent: int = 75, miss: float = 1e-5) -> DataFrame:
-    """Exactly one row of docs for each component, the one of its smallest doc_id (null after all others),
-    and every row without words."""
-    rows = docs.withColumn("_row", row_print(F.col("doc_id"), F.col("text")))
-    signed, roots = rooted(rows, percent, miss, "_row")
-    row = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "_row")
+    """Exactly one row of docs for each component, the one of its smallest doc_id (null after all others; of rows of one id, that
+    of the least print of all columns), and every row without words."""
+    name = fresh(docs, "_row")
+    rows = docs.withColumn(name, row_print(docs))
+    signed, roots = rooted(rows, percent, miss, name)
+    row = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", name)
     best = signed.where("print IS NOT NULL").groupBy("print").agg(F.min(row).alias("row"))
-    kept = best.join(same_shape(roots), "print").groupBy("root").agg(F.min("row").alias("row")).select("row._row")
+    kept = best.join(same_shape(roots), "print").groupBy("root").agg(F.min("row").alias("row")).select(F.col("row")[name].alias(name))
     wordless = ~F.coalesce(F.col("text").cast("string").rlike(WORD), F.lit(False))
-    return rows.join(kept, "_row", "left_semi").dropDuplicates(["_row"]).unionByName(rows.where(wordless)).select(*docs.columns)
+    return rows.join(kept, name, "left_semi").dropDuplicates([name]).unionByName(rows.where(wordless)).select(*[f"`{c}`" for c in docs.columns])
 
 
 def op2_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -20,7 +20,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.window import Window
 
-from corpusops.llm.common import running, stored, table, word_count
+from corpusops.llm.common import fresh, running, stored, table, word_count
 
 #: 1 / phi in units of 1 / UNIT, and the mask of a half of their bits.
 UNIT, GOLDEN, HALF = 2**40, 679_535_556_991, 2**20 - 1
@@ -94,9 +94,10 @@ def source_mix(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), share: flo
 def mixed(docs: DataFrame, **options) -> DataFrame:
     """The documents of the mix: a document is there as often as the mix takes its words, to the
     nearest whole number, with the columns of docs. Rows that share a doc_id get the mean of their shares."""
-    copies = source_mix(docs, **options).groupBy(F.col("doc_id").alias("_id")).agg(F.round(F.sum("taken") / F.nullif(F.sum("size"), F.lit(0))).cast("int").alias("_copies"))
-    taken = docs.join(copies, docs["doc_id"].eqNullSafe(copies["_id"])).where("_copies > 0")
-    return taken.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies")))).select(*[docs[c] for c in docs.columns])
+    same, times, copy = (fresh(docs, n) for n in ("_id", "_copies", "_copy"))
+    copies = source_mix(docs, **options).groupBy(F.col("doc_id").alias(same)).agg(F.round(F.sum("taken") / F.nullif(F.sum("size"), F.lit(0))).cast("int").alias(times))
+    taken = docs.join(copies, docs["doc_id"].eqNullSafe(copies[same])).where(copies[times] > 0)
+    return taken.withColumn(copy, F.explode(F.sequence(F.lit(1), copies[times]))).select(*[docs[f"`{c}`"] for c in docs.columns])
 
 
 def op4_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:

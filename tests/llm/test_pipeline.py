@@ -69,3 +69,25 @@ def test_dedup_stages_keep_one_row_of_null_and_repeated_ids(spark):
         got = [(r.doc_id, r.text.split()[0].lower()[:2]) for r in near.collect() if bare(r.text)]
         assert sorted(got, key=lambda x: x[1]) == [(None, "t1"), (None, "t2"), (3, "t3"), (4, "t4"), (2, "t5"), (6, "t6")]
     assert sum(not bare(r.text) for r in corpus_pipeline.near(spark, docs, SF).collect()) == 2
+
+
+def test_stages_with_clashing_names_do_the_same(spark):
+    """Columns named as the stages' own helpers come through unchanged and change nothing."""
+    docs = spark.read.parquet(f"{SF}/documents.parquet").limit(120)
+    names = ["_row", "_ROW_", "_copy", "_copies", "_id", "_place", "print", "run", "node", "root", "size", "n_shingles", "times"]
+    more = docs.selectExpr("*", *[f"doc_id * {k} AS `{n}`" for k, n in enumerate(names, 2)])
+    for _, stage in corpus_pipeline.STAGES[1:4]:
+        got, want = stage(spark, more, SF), stage(spark, docs, SF)
+        assert got.columns == more.columns
+        rows = got.collect()
+        assert sorted(map(str, got.select(docs.columns).collect())) == sorted(map(str, want.collect()))
+        for r in rows:
+            assert [r[n] for n in names] == [r.doc_id * k for k in range(2, 2 + len(names))]
+
+
+def test_the_kept_row_does_not_depend_on_the_order_of_rows(spark):
+    text = " ".join(f"w{i}" for i in range(40))
+    rows = [(1, text, lang) for lang in ("en", "de", None, "fr")] + [(None, text + " x", "it"), (None, text + " x", "es")]
+    for stage in (corpus_pipeline.exact, corpus_pipeline.near):
+        kept = {str(sorted(map(str, stage(spark, spark.createDataFrame(order, "doc_id long, text string, lang string").repartition(n), SF).collect()))) for order in (rows, rows[::-1]) for n in (1, 3)}
+        assert len(kept) == 1
