@@ -1,8 +1,6 @@
 """Lookups and scored searches over entity tables (courses, people, programs) for tables of questions.
 
-A term that a field holds is found by way of its first three characters: field values are exploded into their
-distinct runs of up to three characters, and term and value meet in an equi-join on one of them. So neither
-side is broadcast whole, and no value is compared with a term that shares no run with it."""
+Terms that fields and texts hold are found by `phrases.occurring`: each value is read once for all terms."""
 
 from __future__ import annotations
 
@@ -11,6 +9,7 @@ from collections.abc import Callable, Mapping, Sequence
 from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.window import Window
 
+from corpusops.operators.phrases import occurring
 from corpusops.operators.ranking import top_k
 
 
@@ -31,11 +30,7 @@ def field_text(fields: Sequence[str]) -> Column:
 def holding(values: DataFrame, parts: DataFrame, value: str = "value", term: str = "term") -> DataFrame:
     """(value, term) of the distinct values and terms for which the value contains the term; an empty term is in
     every value."""
-    at = F.sequence(F.lit(1), F.greatest(F.length(value), F.lit(1)))
-    runs = F.flatten(F.transform(at, lambda i: F.transform(F.array(F.lit(1), F.lit(2), F.lit(3)), lambda n: F.substring(F.col(value), i, n))))
-    cut = values.select(value, F.explode(F.array_distinct(F.concat(F.array(F.lit("")), runs))).alias("_run"))
-    asked = parts.select(term, F.substring(term, 1, 3).alias("_run"))
-    return cut.join(asked, "_run").where(F.contains(value, term)).select(value, term)
+    return occurring(values, parts, value, term, [value])
 
 
 def match_any_term(questions: DataFrame, catalog: DataFrame, key: str, fields: Sequence[str], limit: int, least: int = 1) -> DataFrame:
@@ -63,15 +58,13 @@ def field_points(questions: DataFrame, catalog: DataFrame, key: str, weights: Ma
     """(query_id, key, points), one row per field with points: for each word of the question the weight if the field
     holds it, and half of the weight (rounded down) more if it is a whole word there."""
     asked = questions.select("query_id", F.explode(words(F.col("text"))).alias("term")).groupBy("query_id", "term").agg(F.count(F.lit(1)).alias("n"))
-    every = None
-    for field, weight in weights.items():
-        rows = catalog.select(key, F.lower(F.col(field).cast("string")).alias("value"))
-        word = F.regexp_like(F.col("value"), F.concat(F.lit(r"\b\Q"), F.col("term"), F.lit(r"\E\b")))
-        points = F.lit(weight) + F.when(word, weight // 2).otherwise(0)
-        hits = holding(rows.select("value").distinct(), asked.select("term").distinct()).select("term", "value", points.alias("points"))
-        part = hits.join(asked, "term").groupBy("query_id", "value").agg(F.sum(F.col("points") * F.col("n")).alias("points")).join(rows, "value").select("query_id", key, "points")
-        every = part if every is None else every.unionByName(part)
-    return every
+    fields = F.array(*[F.struct(F.lit(weight).alias("weight"), F.lower(F.col(field).cast("string")).alias("value")) for field, weight in weights.items()])
+    rows = catalog.select(key, F.inline(fields))
+    word = F.regexp_like(F.col("value"), F.concat(F.lit(r"\b\Q"), F.col("term"), F.lit(r"\E\b")))
+    points = F.col("weight") + F.when(word, F.floor(F.col("weight") / 2)).otherwise(0)
+    hits = occurring(rows.select("weight", "value").distinct(), asked, "value").select("term", "weight", "value", points.alias("points"))
+    summed = hits.join(asked, "term").groupBy("query_id", "weight", "value").agg(F.sum(F.col("points") * F.col("n")).alias("points"))
+    return summed.join(rows, ["weight", "value"]).select("query_id", key, "points")
 
 
 # What in a question asks for a level, and the points of each.
@@ -149,18 +142,16 @@ def search_catalog(questions: DataFrame, catalog: DataFrame, key: str, code: str
     ])
 
 
-# Words of a question, the program level or the part of a name that they ask for, and the points.
-LEVEL_WORDS = {"bachelors": ("bachelor", "undergraduate"), "masters": ("master",), "doctoral": ("doctor",), "certificate": ("cert",)}
-LEVEL_TOKENS = {"bachelors": ("bs",), "masters": ("ms", "masters"), "doctoral": ("phd",)}
-SUBJECT_CUES = (("computer science", ("computer science",), ("cs",)), ("electrical", ("electrical",), ("ee",)), ("cyber", ("cyber",), ()), ("applied computing", ("applied computing",), ()))
+#: Levels of programs, each with what asks for it in a question (parts of the text, whole words), and the same for parts of names.
+Cues = Mapping[str, tuple[Sequence[str], Sequence[str]]]
 
 
-def search_programs(questions: DataFrame, programs: DataFrame, aliases: DataFrame, key: str, limit: int = 5) -> DataFrame:
+def search_programs(questions: DataFrame, programs: DataFrame, aliases: DataFrame, key: str, limit: int = 5, levels: Cues | None = None, subjects: Cues | None = None) -> DataFrame:
     """(query_id, key, rank, stage): the program of that name, else the one it is an alias of, else the first whose
     name holds the text, else the best by points: five for each word of three characters in the name, three for the
     level that is asked for, four for a subject in both, one for each word of four characters in the outcomes.
 
-    programs: (key, name, level, outcomes); aliases: (alias, name)."""
+    programs: (key, name, level, outcomes); aliases: (alias, name); levels and subjects: cues of each level and of each part of a name."""
     asked = questions.withColumn("_q", F.lower(F.trim("text"))).where("_q != ''")
     rows = programs.select(key, F.lower("name").alias("_name"), F.lower("level").alias("_level"), F.lower("outcomes").alias("_outcomes"))
     exact = lambda q: asked.join(rows, F.col("_q") == F.col("_name")).groupBy("query_id").agg(F.max(key).alias(key))
@@ -177,25 +168,32 @@ def search_programs(questions: DataFrame, programs: DataFrame, aliases: DataFram
         return parts.join(hits, "term").join(rows, column).select("query_id", key, (F.col("n") * n).alias("points"))
 
     any_of = lambda subs, toks: F.greatest(F.lit(False), *[F.col("_q").contains(x) for x in subs], *[F.array_contains(tokens, x) for x in toks])
-    levels = asked.select("query_id", F.explode(F.array_compact(F.array(*[F.when(any_of(subs, LEVEL_TOKENS.get(level, ())), level) for level, subs in LEVEL_WORDS.items()]))).alias("_level"))
-    subjects = asked.select("query_id", F.explode(F.array_compact(F.array(*[F.when(any_of(subs, toks), part) for part, subs, toks in SUBJECT_CUES]))).alias("_part"))
-    taught = rows.select(key, F.explode(F.array_compact(F.array(*[F.when(F.col("_name").contains(part), part) for part, *_ in SUBJECT_CUES]))).alias("_part"))
+    of = lambda names: F.explode(F.array_compact(F.array(F.lit(None).cast("string"), *names)))
+    wanted = lambda cues: of([F.when(any_of(*found), name) for name, found in (cues or {}).items()])
+    levels_of, parts_of = asked.select("query_id", wanted(levels).alias("_level")), asked.select("query_id", wanted(subjects).alias("_part"))
+    taught = rows.select(key, of([F.when(F.col("_name").contains(part), part) for part in subjects or {}]).alias("_part"))
     # rows with points for their level alone: the first of each level are enough
     first = top_k(rows, ["_level"], [F.asc(key)], limit).select(key, "_level")
-    counted = points("_name", 3, 5).unionByName(points("_outcomes", 4, 1)).unionByName(subjects.join(taught, "_part").select("query_id", key, F.lit(4).cast("long").alias("points")))
-    found = counted.select("query_id", key).unionByName(levels.join(first, "_level").select("query_id", key)).distinct().join(rows.select(key, "_level"), key)
-    counted = counted.unionByName(found.join(levels, ["query_id", "_level"]).select("query_id", key, F.lit(3).cast("long").alias("points")))
+    counted = points("_name", 3, 5).unionByName(points("_outcomes", 4, 1)).unionByName(parts_of.join(taught, "_part").select("query_id", key, F.lit(4).cast("long").alias("points")))
+    found = counted.select("query_id", key).unionByName(levels_of.join(first, "_level").select("query_id", key)).distinct().join(rows.select(key, "_level"), key)
+    counted = counted.unionByName(found.join(levels_of, ["query_id", "_level"]).select("query_id", key, F.lit(3).cast("long").alias("points")))
     scored = lambda q: top_k(counted.groupBy("query_id", key).agg(F.sum("points").alias("score")), ["query_id"], [F.desc("score"), F.asc(key)], limit).select("query_id", key, "rank")
     return staged(questions, [one(exact), one(by_alias), one(partial), scored])
 
 
-def keyword_length_score(questions: DataFrame, keywords: DataFrame, limit: int) -> DataFrame:
+def keyword_length_score(questions: DataFrame, keywords: DataFrame, limit: int, overviews: DataFrame | None = None) -> DataFrame:
     """keywords: (name, keyword, special). (query_id, name, score, rank): the summed length of the keywords that
-    a question holds; special names come first."""
+    a question holds; special names come first. overviews: (name, overview); each word of the question of over four characters
+    that an overview holds adds one to its name, which needs no keyword then."""
     asked = questions.select("query_id", F.lower("text").alias("_text"))
-    held = holding(asked.select("_text").distinct(), keywords.select("keyword").distinct(), "_text", "keyword")
-    met = asked.join(held, "_text").join(keywords, "keyword")
+    met = occurring(asked, keywords, "_text", "keyword", ["query_id"]).join(keywords, "keyword")
     scored = met.groupBy("query_id", "name").agg(F.sum(F.length("keyword")).alias("score"), F.max("special").alias("special"))
+    if overviews is not None:
+        said = asked.select("query_id", F.explode(words(F.col("_text"), 5)).alias("term")).groupBy("query_id", "term").agg(F.count(F.lit(1)).alias("score"))
+        held = occurring(overviews.select("name", F.lower("overview").alias("_overview")), said, "_overview", "term", ["name"])
+        marked = keywords.groupBy("name").agg(F.max("special").alias("special"))
+        more = said.join(held, "term").join(marked, "name", "left").select("query_id", "name", "score", F.coalesce("special", F.lit(False)).alias("special"))
+        scored = scored.unionByName(more).groupBy("query_id", "name").agg(F.sum("score").alias("score"), F.max("special").alias("special"))
     return top_k(scored, ["query_id"], [F.desc("special"), F.desc("score"), F.asc("name")], limit)
 
 
@@ -204,8 +202,8 @@ def trigger_lookup(questions: DataFrame, triggers: DataFrame, otherwise: str, na
     triggers that a question holds, in trigger order; else those of `named` (position, target) of whose target the
     question holds a word of over three characters; else `otherwise`."""
     asked = questions.select("query_id", F.lower("text").alias("_text"))
-    met = holding(asked.select("_text").distinct(), triggers.select("trigger").distinct(), "_text", "trigger")
-    by_trigger = lambda q: asked.join(met, "_text").join(triggers, "trigger").groupBy("query_id", "target").agg(F.min("trigger_no").alias("no"))
+    met = occurring(asked, triggers, "_text", "trigger", ["query_id"])
+    by_trigger = lambda q: met.join(triggers, "trigger").groupBy("query_id", "target").agg(F.min("trigger_no").alias("no"))
     nothing = lambda q: q.select("query_id", F.lit(otherwise).alias("target"), F.lit(0).alias("no"))
     stages = [by_trigger, nothing]
     if named is not None:

@@ -4,11 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Observation, functions as F
 from pyspark.sql.window import Window
 
 from corpusops.functions.text import humanize_key
-from corpusops.sources.files import row_index
+from corpusops.sources.files import row_index, stored
 
 
 def render_template(fields: Sequence[tuple[str, Column, str | None]], sep: str = "\n") -> Column:
@@ -88,20 +88,63 @@ def flatten_tree(tree: Column, schema, skip: Sequence[str] = (), category: str =
     return out
 
 
+def flatten_json(df: DataFrame, keys: Sequence[str], json: str, skip: Sequence[str] = ()) -> DataFrame:
+    """(keys, category, item, value) of JSON of any depth: a row for each field of an object that is no container, the
+    category being the nearest container's key. Items of a list have the list's category; items that are no
+    container, and fields named in skip with all below them, give nothing.
+
+    Texts are parsed to VARIANT once. A round opens all containers by one level; those inside them are stored for the next round, and
+    there are as many rounds as levels. Malformed and null texts give nothing."""
+    rows = df.select(*keys, F.lit("").alias("_category"), F.try_parse_json(json).alias("_tree")).where("_tree IS NOT NULL")
+    open_ = rows.where(_container(F.col("_tree")))
+    done = None
+    while True:
+        inside = open_.lateralJoin(df.sparkSession.tvf.variant_explode(F.col("_tree").outer()))
+        inside = inside.where(F.col("key").isNull() | ~F.col("key").isin(list(skip)) if skip else F.lit(True))
+        level = stored(inside.select(*keys, F.coalesce("key", "_category").alias("_below"), "_category", "key", "value", _container(F.col("value")).alias("_open")), "tree")
+        found = level.where("key IS NOT NULL AND NOT _open").select(*keys, F.col("_category").alias("category"), F.col("key").alias("item"), F.col("value").cast("string").alias("value"))
+        done = found if done is None else done.unionByName(found)
+        deeper = level.where("_open")
+        if deeper.isEmpty():
+            return done
+        open_ = deeper.select(*keys, F.col("_below").alias("_category"), F.col("value").alias("_tree"))
+
+
+def _container(tree: Column) -> Column:
+    return F.coalesce(F.schema_of_variant(tree).rlike("^(OBJECT|ARRAY)"), F.lit(False))
+
+
+def _reason(name: str, invalid: Sequence[str]) -> Column:
+    """Why a row of that name is dropped; null if it stays."""
+    marked = F.greatest(*[F.col(name).contains(x) for x in invalid], F.lit(False))
+    return F.when(F.coalesce(F.trim(name), F.lit("")) == "", "no name").when(marked, "invalid name")
+
+
 def searchable_text(df: DataFrame, name: str, fields: Sequence[str], invalid: Sequence[str] = ("Sign-On", "SSO")) -> DataFrame:
     """Adds text; rows without a name, or with an invalid mark in it, go."""
-    marked = F.greatest(*[F.col(name).contains(x) for x in invalid], F.lit(False))
-    return df.where((F.coalesce(F.trim(name), F.lit("")) != "") & ~marked).withColumn("searchable_text", F.concat_ws(" ", *fields))
+    return df.where(_reason(name, invalid).isNull()).withColumn("searchable_text", F.concat_ws(" ", *fields))
+
+
+def searchable_text_counted(df: DataFrame, name: str, fields: Sequence[str], invalid: Sequence[str] = ("Sign-On", "SSO")) -> tuple[DataFrame, Observation]:
+    """searchable_text, and an observation of how many rows it has seen, kept and dropped for each reason (`seen`, `no_name`, `invalid_name`).
+    The counts are taken by the action that writes or collects the rows, without a pass of their own."""
+    counted, reason = Observation(), _reason(name, invalid)
+    seen = df.observe(counted, F.count(F.lit(1)).alias("seen"), *[F.count_if(reason == r).alias(r.replace(" ", "_")) for r in ("no name", "invalid name")])
+    return searchable_text(seen, name, fields, invalid), counted
 
 
 def text_or_fallback(columns: Sequence[str], template: Column) -> Column:
     return F.coalesce(*[F.nullif(F.trim(c), F.lit("")) for c in columns], template)
 
 
-def map_sections(sections: Column) -> Column:
-    """A map of lists as text: the key in title case as heading, then its items as bullets."""
+def map_sections(sections: Column, labels: Sequence[tuple[str, str]] | None = None) -> Column:
+    """A map as text: the key in title case as heading, then its items. Of a map of lists these are bullets; of a map of structs, for
+    which labels (field, label) are given, lines "Label: value" without the fields that are null or empty. Entries without
+    items keep their heading."""
+    bullets = lambda v: F.array_join(F.transform(v, lambda x: F.concat(F.lit("- "), x)), "\n")
+    lines = lambda v: render_template([(label, v[field], None) for field, label in labels])
     entries = F.array_sort(F.map_entries(sections))
-    return F.array_join(F.transform(entries, lambda e: F.concat(humanize_key(e["key"]), F.lit("\n"), F.array_join(F.transform(e["value"], lambda x: F.concat(F.lit("- "), x)), "\n"))), "\n")
+    return F.array_join(F.transform(entries, lambda e: F.concat_ws("\n", humanize_key(e["key"]), F.nullif((lines if labels else bullets)(e["value"]), F.lit("")))), "\n")
 
 
 def scalarize_metadata(df: DataFrame, drop: Sequence[str]) -> Column:
@@ -120,6 +163,4 @@ def ensure_unique_ids(df: DataFrame, id_col: str, order: str) -> DataFrame:
 
 def dropped_names(df: DataFrame, name: str, invalid: Sequence[str] = ("Sign-On", "SSO")) -> DataFrame:
     """(reason, n): how many rows searchable_text drops, and why."""
-    marked = F.greatest(*[F.col(name).contains(x) for x in invalid], F.lit(False))
-    reason = F.when(F.coalesce(F.trim(name), F.lit("")) == "", "no name").when(marked, "invalid name")
-    return df.select(reason.alias("reason")).where("reason IS NOT NULL").groupBy("reason").agg(F.count(F.lit(1)).alias("n"))
+    return df.select(_reason(name, invalid).alias("reason")).where("reason IS NOT NULL").groupBy("reason").agg(F.count(F.lit(1)).alias("n"))

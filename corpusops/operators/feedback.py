@@ -8,7 +8,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.window import Window
 
-from corpusops.operators.catalog import holding
+from corpusops.operators.phrases import occurring
 
 
 def up() -> Column:
@@ -117,8 +117,7 @@ def similar_failure(questions: DataFrame, failures: DataFrame) -> DataFrame:
     failure_no, query, comment)."""
     words = failures.where("comment != ''").select("type", "failure_no", F.col("query").alias("example"), "comment", F.explode(F.array_distinct(F.slice(F.split(F.lower("query"), " "), 1, 3))).alias("word")).where("word != ''")
     asked = questions.select("query_id", "type", F.lower("text").alias("_text"))
-    held = holding(asked.select("_text").distinct(), words.select("word").distinct(), "_text", "word")
-    met = asked.join(held, "_text").join(words, ["type", "word"])
+    met = occurring(asked, words, "_text", "word", ["query_id", "type"]).join(words, ["type", "word"])
     return met.groupBy("query_id").agg(F.min_by(F.struct("example", "comment"), "failure_no").alias("x")).select("query_id", "x.*")
 
 

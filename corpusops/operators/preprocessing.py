@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.window import Window
 
 from corpusops.functions import text as T
-from corpusops.operators.catalog import holding
+from corpusops.operators.phrases import occurring
 
 
 def correct(words: DataFrame, vocabulary: DataFrame, column: str, least: float = 85.0, shortest: int = 3) -> DataFrame:
@@ -135,7 +135,7 @@ def department_and_topic(text: Column, keywords: Mapping[str, Sequence[str]], st
 def alias_key(questions: DataFrame, aliases: DataFrame) -> DataFrame:
     """Adds the key of the first alias, by length and then by key, that a question's text holds; null without one.
     aliases: (alias, key)."""
-    low = F.lower("text")
-    held = holding(questions.select(low.alias("_low")).distinct(), aliases.select(F.lower("alias").alias("_alias")).distinct(), "_low", "_alias")
-    best = held.join(aliases.withColumn("_alias", F.lower("alias")), "_alias").groupBy("_low").agg(F.min(F.struct((-F.length("alias")).alias("n"), "key")).alias("best"))
-    return questions.withColumn("_low", low).join(best.select("_low", "best.key"), "_low", "left").drop("_low")
+    named = questions.select(F.lower("text").alias("_low")).distinct().select("_low", F.md5("_low").alias("_id"))
+    held = occurring(named, aliases.select(F.lower("alias").alias("_alias")), "_low", "_alias", ["_id"])
+    best = held.join(aliases.withColumn("_alias", F.lower("alias")), "_alias").groupBy("_id").agg(F.min(F.struct((-F.length("alias")).alias("n"), "key")).alias("best"))
+    return questions.withColumn("_id", F.md5(F.lower("text"))).join(best.select("_id", "best.key"), "_id", "left").drop("_id")

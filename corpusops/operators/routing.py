@@ -3,9 +3,14 @@ found. All questions of a table are answered by the same jobs."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from collections.abc import Callable, Mapping, Sequence
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame, functions as F
 
 from corpusops.operators import lexical as L, ranking as R, vectors as V
+from corpusops.operators.phrases import occurring
+from corpusops.operators.rerank import rerank
 from corpusops.sources.files import stored
 
 
@@ -62,6 +67,49 @@ def route(questions: DataFrame, corpus: DataFrame, table: DataFrame, active: Dat
     return first.unionByName(merged.select("query_id", F.lit("fan_out").alias("strategy"), "doc_id", "score", "rank"))
 
 
+Strategy = Callable[[DataFrame], DataFrame]
+
+
+def dispatch(questions: DataFrame, chains: Mapping[str, Sequence[str]], strategies: Mapping[str, Strategy], otherwise: str) -> DataFrame:
+    """(query_id, strategy, key, score, rank): each question by the strategies that chains names for its intent, one after the other until
+    one of them answers it; questions that none answers, and those of other intents, go to the strategy `otherwise`.
+
+    questions: (query_id, intent, ...); a strategy is a function of questions to (query_id, key string, score, rank). It is asked once a
+    place in the chains, of all questions that come to it there; what it finds is stored, and only the rest goes on."""
+    named = lambda name, asked: strategies[name](asked).select("query_id", F.lit(name).alias("strategy"), "key", F.col("score").cast("double").alias("score"), F.col("rank").cast("int").alias("rank"))
+    open_, every = questions, None
+    for place in range(max(map(len, chains.values()), default=0)):
+        here: dict[str, list[str]] = {}
+        for intent, names in chains.items():
+            if len(names) > place:
+                here.setdefault(names[place], []).append(intent)
+        found = stored(reduce(DataFrame.unionByName, [named(name, open_.where(F.col("intent").isin(intents))) for name, intents in here.items()]), "answered")
+        every = found if every is None else every.unionByName(found)
+        open_ = open_.join(found.select("query_id").distinct(), "query_id", "left_anti")
+    rest = named(otherwise, open_)
+    return rest if every is None else every.unionByName(rest)
+
+
+def two_sources(questions: DataFrame, corpus: DataFrame, domain: str, domains: Sequence[str], each: int, most: int, scorer: Callable[[Column, Column], Column]) -> DataFrame:
+    """(query_id, doc_id, score, rank): the `each` best of every domain, in one list by the scorer of question and passage, then by
+    the order of domains and ranks; `most` stay. questions: (query_id, text, query vector)."""
+    named = F.explode(F.array(*[F.struct(F.lit(i).alias("_no"), F.lit(d).alias(domain)) for i, d in enumerate(domains)])).alias("_d")
+    asked = questions.select("query_id", "text", "query", named).select((F.col("query_id") * len(domains) + F.col("_d._no")).alias("query_id"), "text", "query", F.lit(each).alias("n"), f"_d.{domain}")
+    found = hybrid(asked, corpus, each, [domain]).select(F.floor(F.col("query_id") / len(domains)).alias("query_id"), ((F.col("query_id") % len(domains)) * each + F.col("rank")).cast("int").alias("rank"), "doc_id")
+    passages = found.join(corpus.select("doc_id", F.col("text").alias("passage")), "doc_id").join(questions.select("query_id", F.col("text").alias("question")), "query_id")
+    return rerank(passages, scorer, most=len(domains) * each).where(F.col("rank") <= most).select("query_id", "doc_id", F.col("rerank_score").alias("score"), "rank")
+
+
+def people_on(questions: DataFrame, staff: DataFrame, most: int, within: bool) -> DataFrame:
+    """(query_id, key, score, rank): people whose research holds the question's topic, one of each name, the first by number; of
+    the question's department only if `within`, where questions without one find nobody. questions: (query_id, department, topic)."""
+    asked = questions.where(F.length("topic") > 0).select("query_id", "department", "topic")
+    held = staff_holding(asked, staff, "topic", "research")
+    held = held.where(F.col("department") == F.col("of")) if within else held
+    named = R.keep_first(held.join(staff.select("person", "name"), "person"), [F.col("query_id"), F.lower("name")], [F.asc("person")])
+    return R.top_k(named, ["query_id"], [F.asc("person")], most).select("query_id", F.col("person").cast("string").alias("key"), F.lit(1.0).alias("score"), "rank")
+
+
 def people(questions: DataFrame, staff: DataFrame, few: int, many: int) -> DataFrame:
     """(query_id, person, strategy, score, rank) of questions (query_id, name, department, topic, complete, query).
 
@@ -94,9 +142,6 @@ def people(questions: DataFrame, staff: DataFrame, few: int, many: int) -> DataF
 
 def staff_holding(asked: DataFrame, staff: DataFrame, term: str, field: str) -> DataFrame:
     """asked (query_id, term, ...) with the person, and the person's department as `of`, whose field holds the term."""
-    from corpusops.operators.catalog import holding
-
     rows = staff.select("person", F.col("department").alias("of"), F.lower(field).alias("_value"))
     low = asked.withColumn("_term", F.lower(term))
-    hits = holding(rows.select("_value").distinct(), low.select("_term").distinct(), "_value", "_term")
-    return low.join(hits, "_term").join(rows, "_value").drop("_term", "_value")
+    return low.join(occurring(rows, low, "_value", "_term", ["person", "of"]), "_term").drop("_term")

@@ -139,7 +139,9 @@ def _(spark, sf):
     aliases = programs.select(F.replace("name", F.lit(" "), F.lit("-")).alias("alias"), "name")
     text = F.when(key % 5 == 0, name).when(key % 5 == 1, F.replace(name, F.lit(" "), F.lit("-"))).when(key % 5 == 2, F.col("p_name")).when(key % 5 == 3, F.concat(F.lit("a phd or "), "p_name", F.lit("?"))).otherwise(F.concat(F.lit("MS with "), "p_type", F.lit(" outcomes")))
     asked = part(spark, sf).select(key.alias("query_id"), text.alias("text"))
-    return L.search_programs(asked, programs, aliases, "p_partkey", 3).select("query_id", "p_partkey", "rank", "stage")
+    levels = {"doctoral": ((), ("phd",)), "masters": ((), ("ms",))}
+    subjects = {"steel": (("steel",), ())}
+    return L.search_programs(asked, programs, aliases, "p_partkey", 3, levels, subjects).select("query_id", "p_partkey", "rank", "stage")
 
 
 KEYS = [("economy", "the"), ("economy", "and"), ("promo", "tion"), ("standard", "ing"), ("standard", "erha")]
@@ -152,6 +154,18 @@ def _(spark, sf):
     return L.keyword_length_score(read(spark, sf, "benchmark").select(F.col("item_id").alias("query_id"), "text"), keys, 2).select("query_id", "name", "score", "rank")
 
 
+@query("keyword_overview_score", "WITH k(name, keyword) AS (VALUES " + ", ".join(f"('{n}', '{k}')" for n, k in KEYS) + """), o(name, overview) AS (SELECT 'document ' || doc_id, lower(text) FROM documents),
+  t AS (SELECT item_id AS query_id, unnest(regexp_split_to_array(lower(text), '\\s+')) AS term FROM benchmark), c AS (SELECT query_id, term, count(*) AS n FROM t WHERE length(term) > 4 GROUP BY ALL),
+  e AS (SELECT item_id AS query_id, name, length(keyword) AS points, name = 'promo' AS special FROM benchmark JOIN k ON contains(lower(text), keyword) UNION ALL SELECT query_id, name, n, false FROM c JOIN o ON contains(overview, term)),
+  s AS (SELECT query_id, name, CAST(sum(points) AS BIGINT) AS score, max(special) AS special FROM e GROUP BY ALL)
+  SELECT query_id, name, score, CAST(row_number() OVER (PARTITION BY query_id ORDER BY special DESC, score DESC, name) AS INT) AS rank FROM s QUALIFY rank <= 3""")
+def _(spark, sf):
+    """Points for keywords and for words of an overview; every document is the overview of something."""
+    keys = spark.createDataFrame([(n, k, n == "promo") for n, k in KEYS], "name string, keyword string, special boolean")
+    overviews = read(spark, sf, "documents").select(F.concat(F.lit("document "), F.col("doc_id").cast("string")).alias("name"), F.col("text").alias("overview"))
+    return L.keyword_length_score(read(spark, sf, "benchmark").select(F.col("item_id").alias("query_id"), "text"), keys, 3, overviews).select("query_id", "name", "score", "rank")
+
+
 @query("trigger_lookup", """WITH k(no, trigger, target) AS (VALUES (0, 'zz', 'rare'), (1, 'erha', 'office'), (2, 'tion', 'chair'), (3, 'tien', 'office')),
   m AS (SELECT item_id AS query_id, target, min(no) AS no FROM benchmark JOIN k ON contains(lower(text), trigger) GROUP BY ALL), w AS (SELECT DISTINCT item_id AS query_id, unnest(regexp_split_to_array(lower(text), '\\s+')) AS term FROM benchmark WHERE item_id NOT IN (SELECT query_id FROM m)),
   n(no, target) AS (VALUES (0, 'that house'), (1, 'from here')), f AS (SELECT query_id, target, min(no) AS no FROM w JOIN n ON list_contains(string_split(target, ' '), term) GROUP BY ALL),

@@ -8,8 +8,9 @@ from corpusops.functions import rules as C, text as T
 from corpusops.operators import context as X, documents as D, lexical as L, relations as G
 from corpusops.operators.embedding import embed, hashed_tfidf, letter_shares
 from corpusops.plans.registry import query, read
-from corpusops.plans.retrieval import bm25_sql, documents, questions
+from corpusops.plans.retrieval import bm25_sql, documents, questions, standing
 from corpusops.sources import html as H
+from corpusops.sources.files import stored
 
 
 def part(spark: SparkSession, sf: str) -> DataFrame:
@@ -89,6 +90,20 @@ def _(spark, sf):
     return rows.select("p_partkey", F.inline(F.array(*D.flatten_tree(F.col("tree"), rows.schema["tree"].dataType, ("source",)))))
 
 
+#: Trees of different depth: objects in objects, lists of objects and of lists, and items that are no container.
+TREE = """CASE WHEN event_id % 4 = 0 THEN props
+  WHEN event_id % 4 = 1 THEN '{"source": {"k": 1}, "plan": [{"name": "' || event_type || '", "user": ' || user_id || '}, 7, [{"deep": {"id": ' || event_id || ', "none": null}}]], "sizes": [1, 2]}'
+  WHEN event_id % 4 = 2 THEN '{"a": {"b": {"c": {"d": [{"e": true, "source": 3}, {"e": ' || user_id || '}]}}}, "top": "' || event_type || '"}' ELSE 'no json' END"""
+
+
+@query("flatten_json", f"""WITH t AS (SELECT event_id, user_id, event_type, event_id % 4 AS m, props FROM events)
+  SELECT event_id, '' AS category, 'k' AS item, props::JSON->>'k' AS value FROM t WHERE m = 0 UNION ALL SELECT event_id, 'plan', 'name', event_type FROM t WHERE m = 1 UNION ALL SELECT event_id, 'plan', 'user', user_id::VARCHAR FROM t WHERE m = 1
+  UNION ALL SELECT event_id, 'deep', 'id', event_id::VARCHAR FROM t WHERE m = 1 UNION ALL SELECT event_id, 'deep', 'none', NULL FROM t WHERE m = 1
+  UNION ALL SELECT event_id, '', 'top', event_type FROM t WHERE m = 2 UNION ALL SELECT event_id, 'd', 'e', 'true' FROM t WHERE m = 2 UNION ALL SELECT event_id, 'd', 'e', user_id::VARCHAR FROM t WHERE m = 2""")
+def _(spark, sf):
+    return D.flatten_json(read(spark, sf, "events").select("event_id", F.expr(TREE).alias("tree")), ["event_id"], "tree", ["source"])
+
+
 @query("searchable_text", "SELECT s_suppkey, s_name || ' ' || s_nationkey AS searchable_text FROM supplier WHERE NOT contains(s_name, '9')")
 def _(spark, sf):
     return D.searchable_text(read(spark, sf, "supplier"), "s_name", ["s_name", "s_nationkey"], ["9"]).select("s_suppkey", "searchable_text")
@@ -101,6 +116,16 @@ def _(spark, sf):
     return D.dropped_names(rows, "name", ["9"])
 
 
+@query("dropped_on_write", "SELECT count(*) AS seen, count(*) FILTER (contains(s_name, '9')) AS invalid_name, count(*) FILTER (contains(s_name, '00') AND NOT contains(s_name, '9')) AS no_name, count(*) FILTER (NOT contains(s_name, '9') AND NOT contains(s_name, '00')) AS written FROM supplier")
+def _(spark, sf):
+    """What is dropped, counted by the write of what stays."""
+    rows = read(spark, sf, "supplier").withColumn("name", F.when(F.col("s_name").contains("00") & ~F.col("s_name").contains("9"), " ").otherwise(F.col("s_name")))
+    kept, counted = D.searchable_text_counted(rows, "name", ["name"], ["9"])
+    written = stored(kept, "searchable")
+    counts = counted.get
+    return written.agg(*[F.lit(counts[n]).alias(n) for n in ("seen", "no_name", "invalid_name")], F.count(F.lit(1)).alias("written"))
+
+
 @query("text_or_fallback", "SELECT page_id, coalesce(CASE WHEN page_id % 3 = 0 THEN url END, 'page ' || page_id) AS text FROM pages")
 def _(spark, sf):
     rows = read(spark, sf, "pages").withColumn("a", F.when(F.col("page_id") % 3 == 0, F.col("url")).otherwise("  "))
@@ -130,6 +155,16 @@ def _(spark, sf):
     return maps.select("source", F.md5(D.map_sections(F.col("sections"))).alias("text"))
 
 
+@query("map_sections_labels", """WITH o AS (SELECT s_nationkey, s_suppkey, s_name, CASE WHEN s_suppkey % 3 > 0 THEN CAST(s_suppkey AS VARCHAR) ELSE '' END AS code FROM supplier)
+  SELECT s_nationkey, md5(string_agg('Of ' || lpad(s_suppkey::VARCHAR, 9, '0') || chr(10) || 'Name: ' || s_name || CASE WHEN code <> '' THEN chr(10) || 'Code: ' || code ELSE '' END, chr(10) ORDER BY s_suppkey)) AS text FROM o GROUP BY s_nationkey""")
+def _(spark, sf):
+    """A nation's suppliers as a map of structs; every third has no code."""
+    rows = read(spark, sf, "supplier").withColumn("code", F.when(F.col("s_suppkey") % 3 > 0, F.col("s_suppkey").cast("string")).otherwise(""))
+    entry = F.struct(F.concat(F.lit("of_"), F.lpad(F.col("s_suppkey").cast("string"), 9, "0")).alias("key"), F.struct("s_name", "code").alias("value"))
+    maps = rows.groupBy("s_nationkey").agg(F.map_from_entries(F.collect_list(entry)).alias("sections"))
+    return maps.select("s_nationkey", F.md5(D.map_sections(F.col("sections"), [("s_name", "Name"), ("code", "Code")])).alias("text"))
+
+
 @query("scalarize_metadata", "SELECT doc_id, 'doc_id=' || doc_id || ';lang=' || lang || ';source=' || CASE WHEN doc_id % 7 = 0 THEN 'None' ELSE source END || ';n_chars=' || n_chars AS metadata FROM documents")
 def _(spark, sf):
     rows = documents(spark, sf).withColumn("source", F.when(F.col("doc_id") % 7 != 0, F.col("source")))
@@ -257,7 +292,7 @@ BLOCK = f"""'[Source: ' || source || ']' || chr(10) || CASE lang WHEN 'en' THEN
 
 def rendered(spark: SparkSession, sf: str) -> DataFrame:
     docs = documents(spark, sf)
-    ranked = L.search(questions(spark, sf), docs, "doc_id", "text", 5).join(docs, "doc_id")
+    ranked = standing(spark, sf).search(questions(spark, sf), 5).join(docs, "doc_id")
     number, source, text = F.col("doc_id").cast("string"), F.col("source"), F.col("text")
     page = F.concat_ws("/", F.lit("https://courses.example.org"), F.lower(source), number)
     blocks = {
@@ -292,7 +327,7 @@ def _(spark, sf):
     from pyspark.sql.window import Window
 
     docs = documents(spark, sf)
-    ranked = L.search(questions(spark, sf), docs, "doc_id", "text", 5).join(docs, "doc_id")
+    ranked = standing(spark, sf).search(questions(spark, sf), 5).join(docs, "doc_id")
     rows = ranked.select("query_id", "lang", "rank", F.col("text").alias("t"), F.min("rank").over(Window.partitionBy("query_id", "lang")).alias("no"))
     return X.sectioned_context(rows, "query_id", "lang", "no", "rank", "t").select("query_id", F.md5("context").alias("context"))
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from corpusops.functions import decompose as Q, rules as C
-from corpusops.operators import ranking as R, relations as G, routing as W
+from corpusops.operators import catalog as L, ranking as R, relations as G, rerank as R2, routing as W
 from corpusops.plans.activity import events
 from corpusops.plans.questions import INTENTS, SEED, sql_intent, sql_score, sql_word
 from corpusops.plans.registry import query, read
@@ -91,7 +91,44 @@ def _(spark, sf):
     S.rebuild_corpus(docs, path)
     S.rebuild_corpus(docs.where("lang <> 'en'"), path)
     S.rebuild_corpus(docs, path, replace=False)
-    return spark.read.parquet(path).groupBy("source").agg(F.count(F.lit(1)).alias("n"))
+    return S.Corpus(spark, path).read().groupBy("source").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("upsert_corpus", """SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN 2 ELSE 1 END AS made_in, md5(CASE WHEN doc_id % 3 = 0 THEN text || '!' ELSE text END) AS text FROM documents WHERE doc_id % 5 <> 0
+  UNION ALL SELECT doc_id, 2, md5(text) FROM documents WHERE doc_id % 5 = 0 AND doc_id % 3 <> 0 UNION ALL SELECT doc_id, 2, md5(text || '!') FROM documents WHERE doc_id % 15 = 0""")
+def _(spark, sf):
+    """All documents but every fifth, then all of them, of which every third has changed: what is new or has changed is made anew."""
+    corpus, docs = S.Corpus(spark, S.shared_folder(spark, "corpus")), read(spark, sf, "documents").select("doc_id", "text")
+    corpus.upsert(docs.where("doc_id % 5 <> 0"), "doc_id", ["text"], lambda rows: rows.withColumn("made_in", F.lit(1)))
+    later = docs.withColumn("text", F.when(F.col("doc_id") % 3 == 0, F.concat("text", F.lit("!"))).otherwise(F.col("text")))
+    corpus.upsert(later, "doc_id", ["text"], lambda rows: rows.withColumn("made_in", F.lit(2)))
+    return corpus.read().select("doc_id", "made_in", F.md5("text").alias("text"))
+
+
+@query("latest_file", "SELECT event_id, user_id, event_type FROM events WHERE ts::DATE = (SELECT max(ts)::DATE FROM events)")
+def _(spark, sf):
+    """Events in a folder a day, of which the newest is read."""
+    path = S.shared_folder(spark, "snapshots")
+    rows = read(spark, sf, "events").select("event_id", "user_id", "event_type", F.date_format("ts", "yyyyMMdd").alias("day"))
+    rows.repartition("day").write.partitionBy("day").json(path)
+    day = lambda p: F.element_at(F.split(p, "/"), -2)
+    return S.latest_file(spark, path, "event_id long, user_id long, event_type string", day).drop("file_name")
+
+
+@query("export_files", """WITH n AS (SELECT event_id, user_id, event_type FROM events ORDER BY ts DESC, event_id DESC LIMIT 500)
+  SELECT 'csv' AS fmt, event_id, user_id, CASE WHEN event_id % 3 = 0 THEN 'a "b", ' || chr(10) || event_type WHEN event_id % 3 = 1 THEN event_type END AS note FROM n
+  UNION ALL SELECT 'json', event_id, user_id, CASE WHEN event_id % 3 = 0 THEN 'a "b", ' || chr(10) || event_type WHEN event_id % 3 = 1 THEN event_type END FROM n""")
+def _(spark, sf):
+    """The newest events as CSV and as JSON lines, with quotes, commas, line feeds and nulls in a column, and read back."""
+    path = S.shared_folder(spark, "export")
+    note = F.when(F.col("event_id") % 3 == 0, F.concat(F.lit('a "b", \n'), "event_type")).when(F.col("event_id") % 3 == 1, F.col("event_type"))
+    rows = read(spark, sf, "events").select("event_id", "user_id", note.alias("note"), "ts")
+    schema, out = "event_id long, user_id long, note string, ts timestamp", None
+    for fmt in ("csv", "json"):
+        S.export_newest(rows, "ts", "event_id", 500, f"{path}/{fmt}", fmt)
+        back = spark.read.schema(schema).option("header", True).option("multiLine", fmt == "csv").option("escape", '"').format(fmt).load(f"{path}/{fmt}").select(F.lit(fmt).alias("fmt"), "event_id", "user_id", "note")
+        out = back if out is None else out.unionByName(back)
+    return out
 
 
 @query("stream_counts", "SELECT CAST(date_trunc('hour', ts) AS VARCHAR) AS start, event_type, count(*) AS n FROM events GROUP BY ALL")
@@ -276,6 +313,73 @@ def _(spark, sf):
     return R.keep_first(whole, [F.col("query_id"), F.col("head")], [F.asc("sub_no"), F.asc("rank")]).select("query_id", "sub_no", "strategy", "doc_id", "score", "rank")
 
 
+#: Every intent with the strategies that are tried for it, in order; six kinds of question, by number.
+CHAINS = {"course": ["code", "source"], "money": ["two_sources"], "office": ["trigger", "source"], "people": ["people_in_department", "people"], "program": ["program"]}
+KINDS = ["course", "money", "office", "people", "program", "general"]
+TRIGGERS = [(0, "zz", "rare"), (1, "erha", "office"), (2, "tien", "office"), (3, "ung", "chair")]
+
+
+@query("route_all", f"""WITH {CORPUS}, w AS (SELECT item_id, text, string_split(trim(regexp_replace(regexp_replace(text, '[^A-Za-z]', ' ', 'g'), ' +', ' ', 'g')), ' ') AS w FROM benchmark),
+  q AS (SELECT item_id AS query_id, item_id % 6 AS kind, CASE item_id % 6 WHEN 0 THEN 'PT ' || item_id * 7 || ' ' || text WHEN 4 THEN coalesce(p_name, text) ELSE text END AS text, item_id AS vid, lower(w[2]) AS topic, n_name AS department
+    FROM w LEFT JOIN part ON p_partkey = item_id * 3 LEFT JOIN nation ON n_nationkey = item_id % 25),
+  code AS (SELECT query_id, 'code' AS strategy, p_partkey::VARCHAR AS key, 1.0::DOUBLE AS score, 1 AS rank FROM q JOIN part ON p_partkey = query_id * 7 WHERE kind = 0),
+  k(no, trigger, target) AS (VALUES {", ".join(f"({n}, '{t}', '{x}')" for n, t, x in TRIGGERS)}), m AS (SELECT query_id, target, min(no) AS no FROM q JOIN k ON contains(lower(text), trigger) WHERE kind = 2 GROUP BY ALL),
+  trig AS (SELECT query_id, 'trigger', target, 1.0::DOUBLE, CAST(row_number() OVER (PARTITION BY query_id ORDER BY no, target) AS INT) FROM m),
+  pr AS (SELECT query_id, 'program', p_partkey::VARCHAR, 1.0::DOUBLE, 1 FROM q JOIN (SELECT p_name, max(p_partkey) AS p_partkey FROM part GROUP BY p_name) p ON lower(p_name) = lower(trim(q.text)) WHERE kind = 4),
+  st AS (SELECT s_suppkey AS person, s_name AS name, n_name AS of, lower(coalesce(text, '')) AS research FROM supplier JOIN nation ON s_nationkey = n_nationkey LEFT JOIN documents ON doc_id = s_suppkey),
+  hp AS (SELECT query_id, person, name, department = of AS own FROM q JOIN st ON contains(research, topic) WHERE kind = 3 AND length(topic) > 0),
+  pd AS (SELECT query_id, 'people_in_department', person::VARCHAR, 1.0::DOUBLE, CAST(row_number() OVER (PARTITION BY query_id ORDER BY person) AS INT) AS rank FROM (SELECT query_id, min(person) AS person FROM hp WHERE own GROUP BY query_id, lower(name)) QUALIFY rank <= 3),
+  pa AS (SELECT query_id, 'people', person::VARCHAR, 1.0::DOUBLE, CAST(row_number() OVER (PARTITION BY query_id ORDER BY person) AS INT) AS rank FROM (SELECT query_id, min(person) AS person FROM hp WHERE query_id NOT IN (SELECT query_id FROM pd) GROUP BY query_id, lower(name)) QUALIFY rank <= 3),
+  a AS (SELECT query_id, text, vid, 'en' AS lang, 3 AS n FROM q WHERE kind = 0 AND query_id NOT IN (SELECT query_id FROM code) OR kind = 2 AND query_id NOT IN (SELECT query_id FROM trig)), {sql_hybrid('a', 'y', 3, True)},
+  b AS (SELECT query_id * 2 + no AS query_id, text, vid, CASE no WHEN 0 THEN 'en' ELSE 'fr' END AS lang, 3 AS n FROM q, range(2) r(no) WHERE kind = 1), {sql_hybrid('b', 'z', 3, True)},
+  zz AS (SELECT CAST(floor(z.query_id / 2) AS BIGINT) AS query_id, (z.query_id % 2) * 3 + rank AS before, z.doc_id FROM z),
+  zs AS (SELECT zz.*, round(len(list_distinct(list_intersect({sql_tokens('q.text')}, {sql_tokens('left(c.text, 800)')}))) / greatest(1, len(list_distinct({sql_tokens('q.text')})))::DOUBLE, 6) AS score FROM zz JOIN q USING (query_id) JOIN c USING (doc_id)),
+  two AS (SELECT query_id, 'two_sources', doc_id::VARCHAR, score, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, before) AS INT) AS rank FROM zs QUALIFY rank <= 4),
+  e AS (SELECT * FROM code UNION ALL SELECT * FROM trig UNION ALL SELECT * FROM pr UNION ALL SELECT * FROM pd UNION ALL SELECT * FROM pa UNION ALL SELECT query_id, 'source', doc_id::VARCHAR, score, rank FROM y UNION ALL SELECT * FROM two),
+  o AS (SELECT query_id, text, vid FROM q WHERE query_id NOT IN (SELECT query_id FROM e)), {sql_fan_out('o', 'x')},
+  g AS (SELECT query_id, doc_id, max(score) AS score FROM x GROUP BY ALL)
+  SELECT * FROM e UNION ALL SELECT query_id, 'fan_out', doc_id::VARCHAR, score, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS INT) AS rank FROM g QUALIFY rank <= 6""")
+def _(spark, sf):
+    """One router over all strategies: a course code or else the courses' source; two sources in one re-ranked list; offices by trigger or
+    else by source; people of a department or else of all; programs by name; and everything else, with all that stays unanswered, fanned
+    out over the domains that it names."""
+    words = F.split(F.trim(F.regexp_replace(F.regexp_replace("text", "[^A-Za-z]", " "), " +", " ")), " ")
+    parts, nations = read(spark, sf, "part"), read(spark, sf, "nation")
+    kind = F.element_at(F.array(*map(F.lit, KINDS)), (F.col("query_id") % 6 + 1).cast("int"))
+    put = questions(spark, sf).withColumns({"intent": kind, "topic": F.lower(F.get(words, 1))})
+    put = put.join(parts.select("p_partkey", "p_name"), F.col("p_partkey") == F.col("query_id") * 3, "left").join(nations.select("n_nationkey", F.col("n_name").alias("department")), F.col("n_nationkey") == F.col("query_id") % 25, "left")
+    text = F.when(F.col("intent") == "course", F.concat(F.lit("PT "), (F.col("query_id") * 7).cast("string"), F.lit(" "), "text")).when(F.col("intent") == "program", F.coalesce("p_name", "text")).otherwise(F.col("text"))
+    asked = with_vectors(spark, sf, put.withColumn("text", text).drop("p_partkey", "p_name", "n_nationkey"), F.col("query_id"))
+    docs = corpus(spark, sf)
+    staff = read(spark, sf, "supplier").join(nations, F.col("s_nationkey") == F.col("n_nationkey")).join(docs, F.col("doc_id") == F.col("s_suppkey"), "left")
+    staff = staff.select(F.col("s_suppkey").alias("person"), F.col("s_name").alias("name"), F.col("n_name").alias("department"), F.coalesce("text", F.lit("")).alias("research"))
+    catalog = parts.select("p_partkey", F.concat(F.lit("PT "), F.col("p_partkey").cast("string")).alias("code"))
+    triggers = spark.createDataFrame(TRIGGERS, "trigger_no int, trigger string, target string")
+    one = lambda df: df.select("query_id", F.col("p_partkey").cast("string").alias("key"), F.lit(1.0).alias("score"), F.lit(1).alias("rank"))
+    by_document = lambda df: df.withColumn("key", F.col("doc_id").cast("string"))
+    names = parts.groupBy(F.lower("p_name").alias("_name")).agg(F.max("p_partkey").alias("p_partkey"))
+
+    def fan_out(q: DataFrame) -> DataFrame:
+        found = W.fan_out(q.select("query_id", "text", "query"), docs, active_domains(q), "lang", 6)
+        return by_document(R.top_k(found.groupBy("query_id", "doc_id").agg(F.max("score").alias("score")), ["query_id"], [F.desc("score"), F.asc("doc_id")], 6))
+
+    def trigger(q: DataFrame) -> DataFrame:
+        found = L.trigger_lookup(q.select("query_id", "text"), triggers, "").where("target != ''")
+        return found.select("query_id", F.col("target").alias("key"), F.lit(1.0).alias("score"), F.col("position").alias("rank"))
+
+    strategies = {
+        "code": lambda q: one(L.lookup_code(q.select("query_id", "text"), catalog, "code", "p_partkey")),
+        "source": lambda q: by_document(W.hybrid(q.select("query_id", "text", "query", F.lit("en").alias("lang"), F.lit(3).alias("n")), docs, 3, ["lang"])),
+        "two_sources": lambda q: by_document(W.two_sources(q.select("query_id", "text", "query"), docs, "lang", ["en", "fr"], 3, 4, R2.overlap_score)),
+        "trigger": trigger,
+        "people_in_department": lambda q: W.people_on(q, staff, 3, True),
+        "people": lambda q: W.people_on(q, staff, 3, False),
+        "program": lambda q: one(q.join(names, F.lower(F.trim("text")) == F.col("_name"))),
+        "fan_out": fan_out,
+    }
+    return W.dispatch(asked, CHAINS, strategies, "fan_out")
+
+
 #: Suppliers as staff, of whom documents tell the research; a question for each nation and kind.
 STAFF = "p AS (SELECT s_suppkey AS person, s_name AS name, n_name AS department, coalesce(text, '') AS research, CAST(embedding AS DOUBLE[]) AS v FROM supplier JOIN nation ON s_nationkey = n_nationkey LEFT JOIN documents ON doc_id = s_suppkey LEFT JOIN embeddings ON vec_id = s_suppkey)"
 WANTED = """q AS (SELECT n_nationkey AS query_id, CASE WHEN n_nationkey % 4 = 0 THEN CAST(n_nationkey AS VARCHAR) END AS name, CASE WHEN n_nationkey % 4 IN (1, 2) THEN n_name END AS department, CASE WHEN n_nationkey % 4 >= 2 THEN lower(regexp_replace(text[1:40], '[^A-Za-z]', ' ', 'g')) END AS topic, n_nationkey % 4 = 1 AS complete, n_nationkey AS vid

@@ -7,10 +7,10 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.window import Window
 
 from corpusops.functions import decompose as Q, rules as C, text as T
-from corpusops.operators import lexical as L, preprocessing as F2
+from corpusops.operators import lexical as L, preprocessing as F2, rule_tables as RT
 from corpusops.operators.embedding import intent_by_anchors, letter_shares
 from corpusops.plans.registry import query, read
-from corpusops.plans.retrieval import IDF, TOKENS, documents, sql_tokens
+from corpusops.plans.retrieval import IDF, TOKENS, documents, sql_tokens, standing
 
 CODES = ["AB", "CS", "MATH", "PHYS", "BRAND"]
 SYNONYMS = {"the": "der", "and": "und", "of": "von", "of the": "vom", "to": "zu"}
@@ -268,6 +268,13 @@ def _(spark, sf):
     return turns(spark, sf).select("conv_id", "turn", C.score_intents(F.col("text"), INTENTS, SEED).alias("c")).select("conv_id", "turn", "c.intent", "c.score", "c.confidence")
 
 
+@query("score_intents_table", SCORED + " SELECT conv_id, turn, intent, score, confidence FROM i")
+def _(spark, sf):
+    """The same rules as a table."""
+    rules = spark.createDataFrame([(intent, i, p) for i, (intent, patterns) in enumerate(INTENTS.items()) for p in patterns], "intent string, place int, pattern string")
+    return RT.intents_by_table(turns(spark, sf), rules, ["conv_id", "turn"], seed=SEED)
+
+
 @query("override_intents", SCORED + " SELECT conv_id, turn, CASE WHEN regexp_matches(lower(text), '^the\\b') THEN 'opening' WHEN regexp_matches(lower(text), 'zz') THEN 'rare' ELSE intent END AS intent, CASE WHEN regexp_matches(lower(text), '^the\\b|zz') THEN 0.9 ELSE confidence END::DOUBLE AS confidence FROM i")
 def _(spark, sf):
     c = C.override_intent(F.col("text"), [(r"^the\b", "opening"), ("zz", "rare")], C.score_intents(F.col("text"), INTENTS, SEED))
@@ -275,10 +282,11 @@ def _(spark, sf):
 
 
 @query("faculty_entities", f"""SELECT conv_id, turn, CASE WHEN regexp_matches(lower(text), '\\b(the|this)\\b') THEN 'english' WHEN regexp_matches(lower(text), '\\b(der|und)\\b') THEN 'german' END AS department,
+  CASE WHEN regexp_matches(lower(text), '\\b(on|of)\\b') THEN 'position' WHEN regexp_matches(lower(text), '\\b(is|are|que)\\b') THEN 'being' END AS research_area,
   nullif(regexp_extract(text, '\\b([A-Z][a-z]+(?: [A-Z][a-z]+)*)''s\\b', 1), '') AS name FROM {PLAIN}""")
 def _(spark, sf):
     text = F.col("text")
-    return turns(spark, sf).select("conv_id", "turn", C.first_alias(text, {"english": ["the", "this"], "german": ["der", "und"]}).alias("department"), C.person_name(text).alias("name"))
+    return turns(spark, sf).select("conv_id", "turn", C.first_alias(text, {"english": ["the", "this"], "german": ["der", "und"]}).alias("department"), C.first_alias(text, {"position": ["on", "of"], "being": ["is", "are", "que"]}).alias("research_area"), C.person_name(text).alias("name"))
 
 
 @query("course_entities", f"""WITH n AS ({NAMES}), u AS (SELECT p_partkey, upper(text) || CASE WHEN p_partkey % 5 = 0 THEN ' undergrad 3 credit' WHEN p_partkey % 5 = 1 THEN ' Grad' ELSE '' END AS t FROM n),
@@ -428,6 +436,15 @@ def _(spark, sf):
     return Q.merge_sub_results(rows).select("query_id", "n_results", "context", "sources")
 
 
+@query("merged_results", """WITH r AS (SELECT l_orderkey AS query_id, l_linenumber AS sub_no, l_partkey * 100000 + l_suppkey AS rank, l_returnflag || l_linestatus AS content, l_returnflag AS source FROM lineitem),
+  k AS (SELECT *, row_number() OVER (PARTITION BY query_id, content ORDER BY sub_no, rank) AS again FROM r)
+  SELECT query_id, sub_no, rank, content, source, CAST(row_number() OVER (PARTITION BY query_id ORDER BY sub_no, rank) AS INT) AS place FROM k WHERE again = 1""")
+def _(spark, sf):
+    """The results of all sub-questions as one list, the first of equal contents kept."""
+    rows = read(spark, sf, "lineitem").selectExpr("l_orderkey AS query_id", "l_linenumber AS sub_no", "l_partkey * 100000 + l_suppkey AS rank", "concat(l_returnflag, l_linestatus) AS content", "l_returnflag AS source")
+    return Q.merged_results(rows)
+
+
 @query("sub_query_fanout", f"""{TOKENS} s AS (SELECT item_id, generate_subscripts(parts, 1) - 1 AS sub_no, unnest(parts) AS text FROM (SELECT item_id, string_split(text, '. ') AS parts FROM benchmark)),
   q AS (SELECT item_id, sub_no, term, count(*) AS qtf FROM (SELECT item_id, sub_no, unnest({sql_tokens('text')}) AS term FROM s) GROUP BY ALL),
   p AS (SELECT doc_id, len(tokens) AS length, unnest(tokens) AS term FROM d), t AS (SELECT doc_id, length, term, count(*) AS tf FROM p GROUP BY ALL), f AS (SELECT term, count(*) AS df FROM t GROUP BY ALL),
@@ -443,7 +460,7 @@ def _(spark, sf):
     """Every sentence of a question is a sub-question; one search answers all of them, and the results are
     merged by question."""
     parts = read(spark, sf, "benchmark").select("item_id", F.posexplode(F.split("text", r"\. ")).alias("sub_no", "text"))
-    found = L.search(parts.select(F.struct("item_id", "sub_no").alias("query_id"), "text"), docs(spark, sf), "doc_id", "text", 5)
+    found = standing(spark, sf).search(parts.select(F.struct("item_id", "sub_no").alias("query_id"), "text"), 5)
     results = found.join(docs(spark, sf).select("doc_id", "text", "source"), "doc_id")
     results = results.select("query_id.item_id", "query_id.sub_no", "rank", F.col("text").alias("content"), "source", F.col("text").alias("context"))
     return Q.merge_sub_results(results.withColumnRenamed("item_id", "query_id")).select("query_id", "n_results", F.md5("context").alias("context"), "sources")

@@ -7,8 +7,9 @@ from pyspark.sql.window import Window
 
 from corpusops.functions import text as T
 from corpusops.operators import evaluation as E, lexical as L, ranking as R, rerank as R2, vectors as V
+from corpusops.operators.standing import Index
 from corpusops.plans.registry import query, read
-from corpusops.sources.files import spread
+from corpusops.sources.files import exists, shared_folder, spread
 
 STOP = ", ".join(f"'{w}'" for w in T.STOPWORDS)
 
@@ -27,6 +28,21 @@ def documents(spark: SparkSession, sf: str) -> DataFrame:
 
 # --- lexical ------------------------------------------------------------------------------------------
 
+#: Paths of this application's standing indexes, by what their documents were when they were built.
+_standing: dict[tuple, str] = {}
+
+
+def standing(spark: SparkSession, sf: str, by: list[str] | None = None) -> Index:
+    """The index over the documents of a folder, built when it is first asked for, and again when their files change or it is gone."""
+    files = spark.read.format("binaryFile").load(f"{sf}/documents.parquet")
+    state = files.agg(F.count("path"), F.sum("length"), F.max("modificationTime")).first()
+    name = (spark.sparkContext.applicationId, sf, tuple(by or ()), tuple(state))
+    if name not in _standing or not exists(spark, _standing[name]):
+        _standing[name] = shared_folder(spark, "index")
+        return Index.build(documents(spark, sf), "doc_id", "text", _standing[name], by)
+    return Index(spark, _standing[name], "doc_id", by)
+
+
 TOKENS = f"WITH d AS (SELECT doc_id, source, text, {sql_tokens('text')} AS tokens FROM documents),"
 
 
@@ -68,12 +84,28 @@ def bm25_sql(by: str = "", k: int = 5) -> str:
 
 @query("bm25_top5", bm25_sql() + " SELECT * FROM bm25")
 def _(spark, sf):
+    return standing(spark, sf).search(questions(spark, sf), 5).select("query_id", "doc_id", "score", "rank")
+
+
+@query("bm25_scan", bm25_sql() + " SELECT * FROM bm25")
+def _(spark, sf):
+    """The same without an index, in one pass over the documents."""
     return L.search(questions(spark, sf), documents(spark, sf), "doc_id", "text", 5).select("query_id", "doc_id", "score", "rank")
 
 
+@query("bm25_blocks", f"""{TOKENS} p AS (SELECT DISTINCT doc_id, unnest(tokens) AS term FROM d), q AS (SELECT DISTINCT item_id AS query_id, unnest({sql_tokens('text')}) AS term FROM benchmark)
+  SELECT query_id, count(DISTINCT p.term) AS n_terms, true AS some_opened, true AS no_more_than_there_are FROM q JOIN p USING (term) GROUP BY query_id""")
+def _(spark, sf):
+    """Blocks of the index that belong to a question's terms, and how many of them its search opens, held against the terms found in the documents."""
+    index, asked = standing(spark, sf), questions(spark, sf)
+    blocks = index.skipped(asked, 5)
+    terms = index.terms(asked).groupBy("query_id").agg(F.count(F.lit(1)).alias("n_terms"))
+    return blocks.join(terms, "query_id").select("query_id", "n_terms", (F.col("n_opened") > 0).alias("some_opened"), (F.col("n_opened") <= F.col("n_blocks")).alias("no_more_than_there_are"))
+
+
 @query("bm25_by_source", bm25_sql("source", 3) + " SELECT * FROM bm25")
 def _(spark, sf):
-    return L.search(questions(spark, sf), documents(spark, sf), "doc_id", "text", 3, ["source"]).select("query_id", "source", "doc_id", "score", "rank")
+    return standing(spark, sf, ["source"]).search(questions(spark, sf), 3).select("query_id", "source", "doc_id", "score", "rank")
 
 
 @query("top_k_parts", "SELECT p_brand, p_partkey, p_retailprice, CAST(rank AS INT) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY p_brand ORDER BY p_retailprice DESC, p_partkey) AS rank FROM part) WHERE rank <= 10")
@@ -181,7 +213,7 @@ def lists(spark: SparkSession, sf: str) -> DataFrame:
     asked = questions(spark, sf)
     long_ = F.concat_ws(" ", F.filter(T.tokenize(F.col("text")), lambda t: F.length(t) > 5))
     both = asked.select("query_id", F.inline(F.array(F.struct(F.lit(0).alias("list"), "text"), F.struct(F.lit(1).alias("list"), long_.alias("text")))))
-    found = L.search(both.select(F.struct("query_id", "list").alias("query_id"), "text"), documents(spark, sf), "doc_id", "text", 10)
+    found = standing(spark, sf).search(both.select(F.struct("query_id", "list").alias("query_id"), "text"), 10)
     return found.select("query_id.query_id", "query_id.list", F.col("doc_id").alias("key"), "rank")
 
 
@@ -208,7 +240,7 @@ def hybrid(spark: SparkSession, sf: str) -> DataFrame:
     near = V.knn(asked.drop("label"), rows, 11).where("query_id != vec_id")
     near = R.top_k(near, ["query_id"], [F.asc("rank")], 10, "place").where(V.distance_to_score(F.col("distance")) >= 0.25).select("query_id", F.col("vec_id").alias("key"), F.col("place").alias("rank"))
     said = docs.join(asked.select("query_id"), F.col("doc_id") == F.col("query_id")).select("query_id", "text")
-    words = L.search(said, docs, "doc_id", "text", 10).select("query_id", F.col("doc_id").alias("key"), "rank")
+    words = standing(spark, sf).search(said, 10).select("query_id", F.col("doc_id").alias("key"), "rank")
     fused = R.reciprocal_rank_fusion([near, words], [0.6, 0.4]).withColumn("score", F.round("score", 9))
     return R.top_k(fused, ["query_id"], [F.desc("score"), F.asc("first_list"), F.asc("first_rank")], 5).select("query_id", "key", "score", "rank")
 
@@ -237,7 +269,7 @@ def _(spark, sf):
   SELECT query_id, source, doc_id, score, rank FROM (SELECT query_id, source, doc_id, coalesce(hybrid, relevance, bm25) AS score, CAST(row_number() OVER (PARTITION BY query_id ORDER BY coalesce(hybrid, relevance, bm25) DESC, doc_id) AS INT) AS rank FROM m) WHERE rank <= 10""")
 def _(spark, sf):
     """Results of several sources by the first score that each has; some have other kinds of scores."""
-    found = L.search(questions(spark, sf), documents(spark, sf), "doc_id", "text", 3, ["source"]).drop("rank")
+    found = standing(spark, sf, ["source"]).search(questions(spark, sf), 3).drop("rank")
     some = lambda i, n: F.when(F.col("doc_id") % 3 == i, F.round(F.col("score") * n, 6))
     kinds = found.select("query_id", "source", "doc_id", some(0, 2).alias("hybrid"), some(1, 3).alias("relevance"), F.col("score").alias("bm25"))
     return R.merge_sources(kinds, ["hybrid", "relevance", "bm25"], "doc_id", 10).select("query_id", "source", "doc_id", "score", "rank")
@@ -259,13 +291,26 @@ def _(spark, sf):
 OVERLAP = f"list_unique(list_intersect({sql_tokens('q.text')}, {sql_tokens('left(d2.text, 800)')})) / greatest(1, list_unique({sql_tokens('q.text')}))::DOUBLE"
 
 
-@query("rerank", bm25_sql(k=20) + f""", s AS (SELECT b.query_id, b.doc_id, b.rank, round({OVERLAP}, 6) AS rerank_score FROM bm25 b JOIN benchmark q ON q.item_id = b.query_id JOIN documents d2 ON d2.doc_id = b.doc_id)
-  SELECT query_id, doc_id, rerank_score, CAST(row_number() OVER (PARTITION BY query_id ORDER BY rerank_score DESC, rank) AS INT) AS rank FROM s""")
-def _(spark, sf):
+RERANKED = bm25_sql(k=20) + f""", s AS (SELECT b.query_id, b.doc_id, b.rank, round({OVERLAP}, 6) AS rerank_score FROM bm25 b JOIN benchmark q ON q.item_id = b.query_id JOIN documents d2 ON d2.doc_id = b.doc_id)
+  SELECT query_id, doc_id, rerank_score, CAST(row_number() OVER (PARTITION BY query_id ORDER BY rerank_score DESC, rank) AS INT) AS rank FROM s"""
+
+
+def passages(spark: SparkSession, sf: str) -> DataFrame:
+    """The twenty best documents of every question, with both texts."""
     asked, docs = questions(spark, sf), documents(spark, sf)
-    ranked = L.search(asked, docs, "doc_id", "text", 20)
-    passages = ranked.join(docs.select("doc_id", F.col("text").alias("passage")), "doc_id").join(asked.withColumnRenamed("text", "question"), "query_id")
-    return R2.rerank(passages, R2.overlap_score, 20, 800).select("query_id", "doc_id", "rerank_score", "rank")
+    ranked = standing(spark, sf).search(asked, 20)
+    return ranked.join(docs.select("doc_id", F.col("text").alias("passage")), "doc_id").join(asked.withColumnRenamed("text", "question"), "query_id")
+
+
+@query("rerank", RERANKED)
+def _(spark, sf):
+    return R2.rerank(passages(spark, sf), R2.overlap_score, 20, 800).select("query_id", "doc_id", "rerank_score", "rank")
+
+
+@query("rerank_batched", RERANKED)
+def _(spark, sf):
+    """The same by a model that scores batches of pairs of all questions and is loaded once a worker."""
+    return R2.rerank(passages(spark, sf), R2.batch_scorer("overlap", R2.OverlapModel), 20, 800).select("query_id", "doc_id", "rerank_score", "rank")
 
 
 # --- evaluation ---------------------------------------------------------------------------------------
@@ -280,7 +325,7 @@ JUDGED = bm25_sql(k=5) + f""", w AS (SELECT query_id, list(term ORDER BY place)
 def judged(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
     """Results and contexts of every question, judged by the question's longest words."""
     asked, docs = questions(spark, sf), documents(spark, sf)
-    ranked = L.search(asked, docs, "doc_id", "text", 5).join(docs.select("doc_id", "text"), "doc_id")
+    ranked = standing(spark, sf).search(asked, 5).join(docs.select("doc_id", "text"), "doc_id")
     sized = F.array_sort(F.transform(F.array_distinct(T.tokenize(F.col("text"))), lambda t: F.struct((-F.length(t)).alias("n"), t.alias("t"))))
     expected = asked.select("query_id", F.transform(F.slice(sized, 1, 2), lambda x: x["t"]).alias("tokens"))
     every = E.judge(ranked.select("query_id", "rank", "text"), expected, "text").select("query_id", "rank", "hit")
@@ -316,7 +361,7 @@ def _(spark, sf):
 def _(spark, sf):
     """A question wants the documents whose id has its remainder by 40; they are counted before they meet it."""
     asked, docs = questions(spark, sf), documents(spark, sf)
-    found = L.search(asked, docs, "doc_id", "text", 5).select("query_id", (F.col("doc_id") % 40 == F.col("query_id") % 40).alias("hit"))
+    found = standing(spark, sf).search(asked, 5).select("query_id", (F.col("doc_id") % 40 == F.col("query_id") % 40).alias("hit"))
     counts = docs.groupBy((F.col("doc_id") % 40).alias("part")).agg(F.count_distinct("doc_id").alias("w"))
     wanted = asked.join(F.broadcast(counts), F.col("query_id") % 40 == F.col("part")).select("query_id", "w")  # 40 rows
     return E.precision_recall_f1_counts(found, wanted)

@@ -2,5 +2,5 @@
 
 from __future__ import annotations
 
-from corpusops.plans import activity, catalogs, corpus, ingestion, questions, retrieval  # noqa: F401  importing registers
+from corpusops.plans import activity, catalogs, corpus, ingestion, questions, retrieval, streams  # noqa: F401  importing registers
 from corpusops.plans.registry import ORACLE, QUERIES  # noqa: F401

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 from pyspark.sql.window import Window
@@ -38,6 +39,18 @@ def shared_folder(spark: SparkSession, name: str) -> str:
         parent = tempfile.mkdtemp(prefix="spark-")
     return f"{parent.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
+
+def file_system(spark: SparkSession, path: str):
+    """Hadoop's path and the file system that it is in."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return where, where.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf())
+
+
+def exists(spark: SparkSession, path: str) -> bool:
+    where, files = file_system(spark, path)
+    return files.exists(where)
+
+
 def stored(df: DataFrame, name: str = "stored") -> DataFrame:
     """df written to a shared folder and read again, so that what depends on how rows are dealt stays as it is."""
     path = shared_folder(df.sparkSession, name)
@@ -83,9 +96,19 @@ def latest_snapshot(df: DataFrame, snapshot: Column) -> DataFrame:
     return named.join(F.broadcast(last), F.col("_snapshot") == F.col("_last"), "left_semi").drop("_snapshot")  # one row
 
 
-def latest_file(spark: SparkSession, path: str, schema: str) -> DataFrame:
-    rows = spark.read.schema(schema).json(path)
-    return latest_snapshot(rows.select("*", F.col("_metadata.file_name").alias("file_name")), F.col("file_name"))
+def latest_path(spark: SparkSession, path: str, order: Callable[[Column], Column] | None = None) -> str | None:
+    """The file with the greatest name below path (folder or glob), or the greatest `order` of its path; None without files. The listing
+    is a table of paths: no file is opened."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path).select("path")
+    by = order or (lambda p: F.element_at(F.split(p, "/"), -1))
+    return files.agg(F.max_by("path", F.struct(by(F.col("path")), "path"))).first()[0]
+
+
+def latest_file(spark: SparkSession, path: str, schema: str, order: Callable[[Column], Column] | None = None) -> DataFrame:
+    """The rows of that JSON file, with its name; no other file is read."""
+    last = latest_path(spark, path, order)
+    rows = spark.read.schema(schema).json(last) if last else spark.createDataFrame([], schema)
+    return rows.withColumn("file_name", F.lit(last.rsplit("/", 1)[1] if last else None))
 
 
 def read_gtfs(spark: SparkSession, path: str) -> dict[str, DataFrame]:
@@ -112,9 +135,64 @@ def group_manifest(df: DataFrame, key: str) -> DataFrame:
     return groups.select(key, "n", F.count(F.lit(1)).over(every).alias("n_groups"), F.sum("n").over(every).alias("n_rows"))  # one row per group
 
 
+class Corpus:
+    """A table in versions: version n lies in the folder n of path and counts once the file n of path/_commits is there, which is
+    created last and never replaced. Readers take the newest version that counts, so a run that fails midway, or is still on
+    its way, changes nothing for them; of two runs that write the same version one fails at the commit."""
+
+    def __init__(self, spark: SparkSession, path: str):
+        self.spark, self.path = spark, path.rstrip("/")
+        self._hadoop, self._fs = spark._jvm.org.apache.hadoop.fs.Path, file_system(spark, self.path)[1]
+
+    def versions(self) -> list[int]:
+        commits = self._hadoop(f"{self.path}/_commits")
+        return sorted(int(f.getPath().getName()) for f in self._fs.listStatus(commits)) if self._fs.exists(commits) else []
+
+    def read(self, version: int | None = None) -> DataFrame:
+        """The newest version, or one that is still there."""
+        versions = self.versions()
+        if not versions or version is not None and version not in versions:
+            raise FileNotFoundError(f"{self.path} has no such version")
+        return self.spark.read.parquet(f"{self.path}/{versions[-1] if version is None else version}")
+
+    def rebuild(self, df: DataFrame, replace: bool = True, keep: int = 2) -> None:
+        """Makes df the newest version, unless there is one and it must not be replaced. The `keep` newest versions stay."""
+        versions = self.versions()
+        if versions and not replace:
+            return
+        new = versions[-1] + 1 if versions else 1
+        df.write.mode("overwrite").parquet(f"{self.path}/{new}")  # what a failed run left there counts for nothing
+        self._fs.create(self._hadoop(f"{self.path}/_commits/{new}"), False).close()
+        for old in versions[: max(0, len(versions) + 1 - keep)]:
+            self._fs.delete(self._hadoop(f"{self.path}/_commits/{old}"), False)
+            self._fs.delete(self._hadoop(f"{self.path}/{old}"), True)
+
+    def upsert(self, df: DataFrame, key: str, content: Sequence[str], make: Callable[[DataFrame], DataFrame] = lambda rows: rows, keep: int = 2) -> None:
+        """Adds the rows of df and replaces those of the same key. Rows whose content, told by a hash, is as it was keep what `make` once
+        made of them; it is applied to new and changed rows only. Keys are unique in df."""
+        digest = F.sha2(F.to_json(F.struct(*content)), 256)
+        rows = df.withColumn("content_hash", digest)
+        if not self.versions():
+            return self.rebuild(make(rows), keep=keep)
+        old = self.read()
+        known = old.select(key, "content_hash")
+        changed = rows.join(known, [key, "content_hash"], "left_anti")
+        stay = old.join(changed.select(key), key, "left_anti")
+        return self.rebuild(stay.unionByName(make(changed)), keep=keep)
+
+
 def rebuild_corpus(df: DataFrame, path: str, replace: bool = True) -> None:
-    """Drops and writes the corpus anew, or leaves one that is there."""
-    df.write.mode("overwrite" if replace else "ignore").parquet(path)
+    """Writes the corpus anew as its newest version, or leaves one that is there."""
+    Corpus(df.sparkSession, path).rebuild(df, replace)
+
+
+def export_newest(df: DataFrame, ts: str, tie: str, n: int, path: str, fmt: str = "csv") -> None:
+    """Writes the n newest rows, newest first, as CSV with a header or as JSON lines."""
+    if fmt not in ("csv", "json"):
+        raise ValueError(f"no such format: {fmt}")
+    newest = df.orderBy(F.desc(ts), F.desc(tie)).limit(n)
+    write = newest.write.format(fmt)
+    (write.option("header", True).option("escape", '"') if fmt == "csv" else write.option("ignoreNullFields", False)).save(path)
 
 
 def jsonp(df: DataFrame, column: str, schema: str) -> DataFrame:
