@@ -174,6 +174,34 @@ def test_nearest_neighbours(spark):
     assert ann.nearest(df.where("vec_id < 4"), F.col("vec_id") == 0).count() == 3
 
 
+def test_nearest_neighbours_verify_few_vectors(spark):
+    """Recall, and the share of vectors that are verified, with the parameters of the query on sf0.1."""
+    d = "/root/testdata/sf0.1"
+    rows = spark.read.parquet(f"{d}/embeddings.parquet").select("vec_id", "embedding").collect()
+    ids, v = np.array([r.vec_id for r in rows]), np.array([r.embedding for r in rows], float)
+    matrix, limit = ann.directions(v.shape[1], 48), ann.chi_square_limit(0.12, 48)
+    assert v.shape[1] == 64 and np.isfinite(v).all()
+    got = {}
+    for r in ann.op3_stable_ann(spark, d).collect():
+        got.setdefault(r.query_id, set()).add(r.vec_id)
+    projected = v @ matrix
+    planes = ann.Planes(projected, 1)
+    leaf = planes.leaf(projected)
+    parts = [(ann.Local(projected[leaf == x]), v[leaf == x], ids[leaf == x]) for x in (0, 1)]
+    hit = verified = 0
+    asked = np.flatnonzero(ids % 100 == 0)
+    for q in asked:
+        away = np.sqrt(((v - v[q]) ** 2).sum(1))
+        away[ids == ids[q]] = np.inf
+        hit += len(got[ids[q]] & set(ids[np.lexsort((ids, away))[:10]].tolist()))
+        home = parts[leaf[q]]
+        _, found, first = ann.search(*home, v[q], projected[q], ids[q], np.inf, 10, limit)
+        *_, second = ann.search(*parts[1 - leaf[q]], v[q], projected[q], ids[q], found[-1], 10, limit)
+        verified += first + second
+    assert hit / (10 * len(asked)) >= 0.9
+    assert verified / (len(v) * len(asked)) < 0.3
+
+
 def test_source_mix(spark, docs, none):
     rows = [(i, words(1 + i % 40, i), "en", [None, "a", "b", "c"][i % 4] if i % 3 else "a", 0) for i in range(1200)]
     df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
