@@ -9,8 +9,9 @@ from collections.abc import Callable, Mapping, Sequence
 from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.window import Window
 
+from corpusops.functions.text import aliases
 from corpusops.operators.phrases import occurring
-from corpusops.operators.ranking import top_k
+from corpusops.operators.ranking import keep_first, top_k
 
 
 def words(text: Column, least: int = 1) -> Column:
@@ -146,16 +147,16 @@ def search_catalog(questions: DataFrame, catalog: DataFrame, key: str, code: str
 Cues = Mapping[str, tuple[Sequence[str], Sequence[str]]]
 
 
-def search_programs(questions: DataFrame, programs: DataFrame, aliases: DataFrame, key: str, limit: int = 5, levels: Cues | None = None, subjects: Cues | None = None) -> DataFrame:
+def search_programs(questions: DataFrame, programs: DataFrame, also: DataFrame, key: str, limit: int = 5, levels: Cues | None = None, subjects: Cues | None = None) -> DataFrame:
     """(query_id, key, rank, stage): the program of that name, else the one it is an alias of, else the first whose
     name holds the text, else the best by points: five for each word of three characters in the name, three for the
     level that is asked for, four for a subject in both, one for each word of four characters in the outcomes.
 
-    programs: (key, name, level, outcomes); aliases: (alias, name); levels and subjects: cues of each level and of each part of a name."""
+    programs: (key, name, level, outcomes); also: (alias, name); levels and subjects: cues of each level and of each part of a name."""
     asked = questions.withColumn("_q", F.lower(F.trim("text"))).where("_q != ''")
     rows = programs.select(key, F.lower("name").alias("_name"), F.lower("level").alias("_level"), F.lower("outcomes").alias("_outcomes"))
     exact = lambda q: asked.join(rows, F.col("_q") == F.col("_name")).groupBy("query_id").agg(F.max(key).alias(key))
-    other = aliases.select(F.lower("alias").alias("_q"), F.lower("name").alias("_name")).distinct()
+    other = also.select(F.lower("alias").alias("_q"), F.lower("name").alias("_name")).distinct()
     by_alias = lambda q: asked.join(other, "_q").join(rows, "_name").groupBy("query_id").agg(F.max(key).alias(key))
     held = holding(rows.select("_name").distinct(), asked.select("_q").distinct(), "_name", "_q")
     partial = lambda q: asked.join(held, "_q").join(rows, "_name").groupBy("query_id").agg(F.min(key).alias(key))
@@ -223,6 +224,26 @@ def affinity_rank(rows: DataFrame, topic: Column, group: str, affinity: Mapping[
     return rows.withColumn("preferred", preferred).withColumn("place", F.row_number().over(Window.partitionBy("topic").orderBy(F.desc("preferred"), position)))
 
 
+def search_people(questions: DataFrame, people: DataFrame, forms: Mapping[str, str], affinity: Mapping[str, Sequence[str]], few: int = 10, many: int = 100) -> DataFrame:
+    """(query_id, person, preferred, rank) of questions (query_id, department, topic, scope): people of the department, if there is one, whose
+    searchable text holds the topic or its long or short form, if there is one; nobody without either. Those of departments that affinity gives
+    for the topic or its other form come first, each half in the order of persons; one of each name stays; `many` of a
+    complete list, else `few`. people: (person, name, department, searchable)."""
+    others = F.create_map(*[F.lit(x) for topic, names in affinity.items() for x in (topic, ",".join(names))]) if affinity else F.lit(None).cast("map<string,string>")
+    terms_of = F.when(F.length("topic") > 0, aliases(F.col("topic"), dict(forms)))
+    asked = questions.withColumn("_terms", terms_of).withColumn("_preferred", F.flatten(F.transform("_terms", lambda t: F.split(F.coalesce(F.try_element_at(others, t), F.lit("")), ","))))
+    asked = asked.select("query_id", "department", "_terms", "_preferred", F.when(F.col("scope") == "complete_list", many).otherwise(few).alias("_most"))
+    rows = people.select("person", "name", F.col("department").alias("_of"), F.lower("searchable").alias("_text"))
+    wanted = asked.select("query_id", F.explode("_terms").alias("_term"))
+    held = wanted.join(occurring(rows, wanted, "_text", "_term", ["person"]), "_term").select("query_id", "person").distinct()
+    on_topic = asked.join(held, "query_id").join(rows.drop("_text"), "person").where(F.col("department").isNull() | (F.col("department") == F.col("_of")))
+    listed = asked.where("_terms IS NULL").join(rows.drop("_text"), F.col("department") == F.col("_of"))
+    found = on_topic.select(listed.columns).unionByName(listed).withColumn("preferred", F.coalesce(F.array_contains("_preferred", F.col("_of")) & (F.col("_of") != ""), F.lit(False)))
+    order = [F.desc("preferred"), F.asc("person")]
+    first = keep_first(found, [F.col("query_id"), F.lower("name")], order)
+    return top_k(first, ["query_id"], order, many).where(F.col("rank") <= F.col("_most")).select("query_id", "person", "preferred", "rank")
+
+
 def retry_prefixed(questions: DataFrame, prefix: str, search: Callable[[DataFrame], DataFrame]) -> DataFrame:
     """Rows of search(questions) and their stage; questions that it doesn't answer and that lack the prefix's word are
     searched again with the prefix."""

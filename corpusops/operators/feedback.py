@@ -121,6 +121,13 @@ def similar_failure(questions: DataFrame, failures: DataFrame) -> DataFrame:
     return met.groupBy("query_id").agg(F.min_by(F.struct("example", "comment"), "failure_no").alias("x")).select("query_id", "x.*")
 
 
+def learnt(rows: DataFrame, families: Mapping[str, tuple[str, str]], cue: str, least: int = 2) -> DataFrame:
+    """One row (lessons, patterns) for `annotate`: what the ratings teach, most frequent lessons first, and what good answers have in common."""
+    taught = lessons(rows, families, least).agg(F.array_sort(F.collect_list(F.struct((-F.col("n")).alias("n"), "family", "lesson"))).alias("l")).select(F.transform("l", lambda x: x["lesson"]).alias("lessons"))  # a row a family
+    common = success_patterns(rows, cue).select(F.filter(F.split("patterns", ","), lambda x: x != "").alias("patterns"))
+    return taught.crossJoin(F.broadcast(common))  # one row each
+
+
 def annotate(questions: DataFrame, learnt: DataFrame, problem_types: Sequence[str], base: str) -> DataFrame:
     """Adds the prompt: the base text, at most five lessons, at most three patterns, and a warning for problem types.
     learnt: one row (lessons array, patterns array)."""

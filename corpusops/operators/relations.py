@@ -35,9 +35,15 @@ def prerequisite_edges(courses: DataFrame, code: str, text: str) -> DataFrame:
     return courses.select(F.col(code).alias("course_code"), F.explode(course_codes(F.col(text))).alias("prereq_code")).where("course_code != prereq_code")
 
 
-def program_requirements(courses: DataFrame, program: str, code: str, admission: str) -> DataFrame:
-    """Distinct required codes and the first 500 characters of the admission text of each program."""
-    return courses.groupBy(program).agg(F.array_join(F.array_sort(F.collect_set(code)), "|").alias("required"), F.substring(F.min(admission), 1, 500).alias("admission"))
+def program_requirements(courses: DataFrame, program: str, code: str, admission: str, plan: DataFrame | None = None, outcomes: DataFrame | None = None) -> DataFrame:
+    """Distinct required codes and the first 500 characters of the admission text of each program; with plan (program, place, year, fall,
+    spring) and outcomes (program, place, outcome), tables of one catalogue page each, also both as lists in their order."""
+    out = courses.groupBy(program).agg(F.array_join(F.array_sort(F.collect_set(code)), "|").alias("required"), F.substring(F.min(admission), 1, 500).alias("admission"))
+    for name, table, item in (("plan", plan, F.struct("year", "fall", "spring")), ("outcomes", outcomes, F.col("outcome"))):
+        if table is not None:
+            lists = table.groupBy(program).agg(F.array_sort(F.collect_list(F.struct("place", item.alias("item")))).alias("_items"))
+            out = out.join(lists.select(program, F.transform("_items", lambda x: x["item"]).alias(name)), program, "left").withColumn(name, F.coalesce(name, F.array().cast(f"array<{lists.schema['_items'].dataType.elementType['item'].dataType.simpleString()}>")))
+    return out
 
 
 def program_type(name: Column, rules: Mapping[str, Sequence[str]] = PROGRAM_TYPES) -> Column:

@@ -153,6 +153,12 @@ def _(spark, sf):
     return B.preference_pairs(rated(spark, sf), "event_id")
 
 
+@query("preference_pairs_newest", RATED + ", n AS (SELECT * FROM f ORDER BY event_id DESC LIMIT 5000) SELECT query, max_by(response, event_id) FILTER (rating = 'up') AS chosen, max_by(response, event_id) FILTER (rating = 'down') AS rejected FROM n GROUP BY query HAVING chosen IS NOT NULL AND rejected IS NOT NULL")
+def _(spark, sf):
+    """Of the newest 5000 ratings, as the report is defined."""
+    return B.preference_pairs(rated(spark, sf), "event_id", 5000)
+
+
 @query("approval_by_type", RATED + f""", k AS (SELECT *, CASE WHEN contains(query, '7') THEN 'sevens' WHEN contains(query, '3') OR contains(query, '5') THEN 'odd' ELSE 'general' END AS type FROM f WHERE created_at >= TIMESTAMP '{NOW}' - INTERVAL 30 DAYS AND created_at <= TIMESTAMP '{NOW}' ORDER BY created_at DESC, event_id LIMIT 500),
   r AS (SELECT *, row_number() OVER (PARTITION BY type, rating ORDER BY event_id) AS n FROM k)
   SELECT type, count(*) AS n, round(100.0 * count(*) FILTER (rating = 'up') / count(*), 1)::DOUBLE AS approval, coalesce(string_agg(query, '|' ORDER BY event_id) FILTER (rating = 'down' AND n <= 3), '') AS examples FROM r GROUP BY type HAVING count(*) >= 3 AND approval < 70""")
@@ -218,6 +224,16 @@ def _(spark, sf):
     return B.annotate(rows, learnt, ["english"], "Be helpful.").select("conv_id", "turn", "prompt")
 
 
+@query("annotate_learnt", TEXTS + ", c AS (" + " UNION ALL ".join(f"SELECT '{f}' AS family, count(*) FILTER (regexp_matches(lower(comment), '{p}')) AS n, '{t}' AS lesson FROM f WHERE rating = 'down'" for f, (p, t) in FAMILIES.items()) + """),
+  l AS (SELECT string_agg(lesson, '; ' ORDER BY n DESC, family) AS lessons FROM c WHERE n >= 2), u AS (SELECT avg(regexp_matches(response, '[0-9]')::INT) AS digits, avg(regexp_matches(response, 'The|Der')::INT) AS cues, avg(length(response)) AS mean_length FROM f WHERE rating = 'up'),
+  p AS (SELECT nullif(array_to_string(list_filter([CASE WHEN digits > 0.7 THEN 'digits' END, CASE WHEN cues > 0.5 THEN 'cues' END, CASE WHEN mean_length > 100 AND mean_length < 500 THEN 'concise' END], lambda x: x IS NOT NULL), '; '), '') AS patterns FROM u)
+  SELECT conv_id, turn, concat_ws(chr(10), 'Be helpful.', 'Lessons: ' || lessons, 'Patterns: ' || patterns, CASE WHEN contains(lower(text), 'tion') THEN 'Careful with english' END) AS prompt FROM conversations, l, p""")
+def _(spark, sf):
+    """Prompts with what the ratings have taught."""
+    rows = turns(spark, sf).withColumn("type", C.first_keyword_type(F.col("text"), {"english": ["tion"]}))
+    return B.annotate(rows, B.learnt(judged_texts(spark, sf), FAMILIES, "The|Der"), ["english"], "Be helpful.").select("conv_id", "turn", "prompt")
+
+
 # --- limits ---------------------------------------------------------------------------------------------
 
 #: Small limits, so that the events meet them.

@@ -200,6 +200,32 @@ def _(spark, sf):
     return R.top_k(people, ["r_name"], [F.asc("s_suppkey")], 10, "place").select("s_suppkey", "place")
 
 
+#: Short and long forms of a topic, and nations that are preferred for topics.
+FORMS, AFFINITY = {"th": "erha", "onen": "tien"}, {"erha": ["FRANCE", "NATION_3", "NATION_7"], "onen": ["NATION_5", "NATION_11"]}
+
+
+def sql_people() -> str:
+    forms = {**FORMS, **{v: k for k, v in FORMS.items()}}
+    arms = " ".join(f"WHEN '{a}' THEN '{b}'" for a, b in forms.items())
+    liked = " OR ".join(f"'{t}' IN (topic, other) AND n_name IN ({', '.join(map(repr, names))})" for t, names in AFFINITY.items())
+    return f"""WITH q AS (SELECT n_nationkey AS query_id, CASE WHEN n_nationkey % 4 IN (0, 2) THEN n_name END AS department, CASE n_nationkey % 4 WHEN 1 THEN 'th' WHEN 2 THEN 'onen' END AS topic, n_nationkey % 5 = 1 OR n_nationkey % 4 = 0 AS whole FROM nation),
+  t AS (SELECT *, CASE topic {arms} END AS other FROM q), s AS (SELECT s_suppkey, s_name, n_name, lower(coalesce(text, '')) AS text FROM supplier JOIN nation ON s_nationkey = n_nationkey LEFT JOIN documents ON doc_id = s_suppkey),
+  f AS (SELECT query_id, whole, s_suppkey, s_name, coalesce({liked}, false) AS preferred FROM t JOIN s ON (department IS NULL OR department = n_name) AND (topic IS NULL OR contains(text, topic) OR contains(text, other)) WHERE department IS NOT NULL OR topic IS NOT NULL),
+  d AS (SELECT * FROM f QUALIFY row_number() OVER (PARTITION BY query_id, lower(s_name) ORDER BY preferred DESC, s_suppkey) = 1)
+  SELECT query_id, s_suppkey AS person, preferred, CAST(row_number() OVER (PARTITION BY query_id ORDER BY preferred DESC, s_suppkey) AS INT) AS rank, FROM d QUALIFY rank <= CASE WHEN whole THEN 100 ELSE 10 END"""
+
+
+@query("search_people_scoped", sql_people())
+def _(spark, sf):
+    """A question a nation: by department, by topic under either of its forms, by both, or by neither; every fifth wants a complete list."""
+    nations, key = read(spark, sf, "nation"), F.col("n_nationkey")
+    whole = (key % 5 == 1) | (key % 4 == 0)
+    asked = nations.select(key.alias("query_id"), F.when(key % 2 == 0, F.col("n_name")).alias("department"), F.when(key % 4 == 1, "th").when(key % 4 == 2, "onen").alias("topic"), F.when(whole, "complete_list").otherwise("top_results").alias("scope"))
+    rows = read(spark, sf, "supplier").join(nations, F.col("s_nationkey") == key).join(read(spark, sf, "documents").select("doc_id", "text"), F.col("doc_id") == F.col("s_suppkey"), "left")
+    people = rows.select(F.col("s_suppkey").alias("person"), F.col("s_name").alias("name"), F.col("n_name").alias("department"), F.coalesce("text", F.lit("")).alias("searchable"))
+    return L.search_people(asked, people, FORMS, AFFINITY)
+
+
 @query("retry_prefixed", """WITH t AS (SELECT DISTINCT item_id, unnest(regexp_split_to_array(lower(text), '\\s+')) AS term FROM benchmark WHERE item_id % 2 = 0 UNION ALL SELECT item_id, 'q' || item_id FROM benchmark WHERE item_id % 2 = 1),
   h AS (SELECT DISTINCT item_id, p_partkey, 0 AS stage FROM t JOIN part ON term <> '' AND contains(lower(p_name), term)),
   g AS (SELECT * FROM h UNION ALL SELECT item_id, p_partkey, 1 FROM benchmark, part WHERE contains(lower(p_name), 'plate') AND NOT contains(lower(text), 'plate') AND item_id NOT IN (SELECT item_id FROM h))

@@ -208,6 +208,19 @@ def _(spark, sf):
     return G.program_requirements(rows, "p_brand", "code", "p_type")
 
 
+@query("program_record", """WITH y AS (SELECT p_brand, p_size % 4 AS place, min(p_name) AS fall, max(p_name) AS spring FROM part WHERE p_size % 5 > 0 GROUP BY ALL), o AS (SELECT DISTINCT p_brand, p_type FROM part WHERE p_size % 3 = 0)
+  SELECT p_brand, string_agg(DISTINCT 'CS ' || (100 + p_size), '|' ORDER BY 'CS ' || (100 + p_size)) AS required, min(p_type) AS admission,
+    coalesce((SELECT string_agg('Year ' || place || ': ' || fall || ' / ' || spring, '|' ORDER BY place) FROM y WHERE y.p_brand = part.p_brand), '') AS plan, coalesce((SELECT string_agg(p_type, '|' ORDER BY p_type) FROM o WHERE o.p_brand = part.p_brand), '') AS outcomes FROM part GROUP BY p_brand""")
+def _(spark, sf):
+    """Brands as programs, with a plan of up to four years and outcomes."""
+    rows = part(spark, sf).withColumn("code", F.concat(F.lit("CS "), (100 + F.col("p_size")).cast("string")))
+    plan = rows.where("p_size % 5 > 0").groupBy("p_brand", (F.col("p_size") % 4).alias("place")).agg(F.min("p_name").alias("fall"), F.max("p_name").alias("spring")).withColumn("year", F.concat(F.lit("Year "), F.col("place").cast("string")))
+    outcomes = rows.where("p_size % 3 = 0").select("p_brand", F.col("p_type").alias("place"), F.col("p_type").alias("outcome")).distinct()
+    found = G.program_requirements(rows, "p_brand", "code", "p_type", plan, outcomes)
+    years = F.transform("plan", lambda x: F.concat(x["year"], F.lit(": "), x["fall"], F.lit(" / "), x["spring"]))
+    return found.select("p_brand", "required", "admission", F.array_join(years, "|").alias("plan"), F.array_join("outcomes", "|").alias("outcomes"))
+
+
 NAMES = ["History, Ph.D.", "Doctor of Music", "Physics, M.S.", "Master of Arts", "Art, M.A.", "Design, M.Arch.", "Chemistry, B.S.", "History, B.A.", "Art, B.F.A.", "Bachelor of Music", "Certificate in Data", "Minor in Latin", "PhD in Law", "Doctor of Philosophy in Law", "Master of Science in Law", "Summer School"]
 TYPES = ["doctoral", "doctoral", "masters", "masters", "masters", "masters", "bachelors", "bachelors", "bachelors", "bachelors", "certificate", "minor", "other", "doctoral", "masters", "other"]
 DEGREES = ["other", "other", "other", "other", "other", "other", "other", "other", "other", "bachelors", "certificate", "other", "doctoral", "doctoral", "masters", "other"]

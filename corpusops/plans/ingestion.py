@@ -215,6 +215,22 @@ def _(spark, sf):
     return found.select("page_id", "item_no", "class_number", "seats_status", "enrolled", "days")
 
 
+@query("section_details", """SELECT l_orderkey AS page_id, CAST(row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_quantity) - 1 AS INT) AS item_no, CASE WHEN l_returnflag = 'A' THEN 'LAB' ELSE 'LEC' END AS type, 'Lee ' || l_suppkey AS instructor, l_partkey::VARCHAR AS class_number,
+  CASE WHEN l_quantity < 10 THEN 'open' WHEN l_quantity < 20 THEN 'full' WHEN l_quantity < 30 THEN 'unopened' ELSE 'unknown' END AS seats_status, CASE WHEN l_linenumber % 3 > 0 THEN CAST(l_suppkey AS INT) END AS enrolled, CASE WHEN l_linenumber % 3 > 0 THEN 300 END AS most,
+  CASE l_linenumber % 3 WHEN 1 THEN 'MWF' WHEN 2 THEN 'TuTh' END AS days, CASE l_linenumber % 3 WHEN 1 THEN '10:00 - 10:50 AM' WHEN 2 THEN '1:05 - 2:15 PM' END AS time, CASE WHEN l_linenumber % 3 = 1 THEN 'Hall ' || l_partkey || ' & Annex' END AS location FROM lineitem""")
+def _(spark, sf):
+    """All fields of class sections: some rows of notes have no place, some sections no notes."""
+    seats = F.expr("CASE WHEN l_quantity < 10 THEN cast(1 + cast(l_quantity AS INT) AS STRING) WHEN l_quantity < 20 THEN 'Full' WHEN l_quantity < 30 THEN 'Unopened' ELSE '?' END")
+    number, kind = F.col("l_linenumber"), F.when(F.col("l_returnflag") == "A", "LAB").otherwise("LEC")
+    when = F.when(number % 3 == 1, F.concat(F.lit("MWF 10:00 - 10:50 AM <a href='https://maps.example.org'><span>Hall "), F.col("l_partkey").cast("string"), F.lit(" &amp; Annex</span></a>"))).otherwise("TuTh 1:05 - 2:15 PM")
+    notes = F.when(number % 3 > 0, F.concat(F.lit("<tr><td>Notes</td><td>"), F.col("l_suppkey").cast("string"), F.lit(" students enrolled out of 300 "), when, F.lit("</td></tr>"))).otherwise("")
+    row = F.concat(F.lit("<tr><td>"), kind, F.lit("</td><td>Lee "), F.col("l_suppkey").cast("string"), F.lit("</td><td>"), F.col("l_partkey").cast("string"), F.lit("</td><td>"), seats, F.lit("</td></tr>"), notes)
+    ordered = F.array_sort(F.collect_list(F.struct("l_linenumber", "l_partkey", "l_suppkey", "l_quantity", row.alias("row"))))
+    pages = read(spark, sf, "lineitem").groupBy(F.col("l_orderkey").alias("page_id")).agg(F.array_join(F.transform(ordered, lambda x: x["row"]), "").alias("rows"))
+    schema = "type string, instructor string, class_number string, seats_status string, enrolled int, most int, days string, time string, location string"
+    return H.extract(pages.select("page_id", F.concat(F.lit("<table>"), "rows", F.lit("</table>")).alias("html")), "page_id", "html", H.section_rows, schema)
+
+
 @query("leaders_by_role", "SELECT role, max_by(p_name, p_partkey) AS name, max(p_partkey) AS p_partkey FROM (SELECT *, CASE WHEN contains(lower(p_type), 'eco') THEN 'chair' WHEN contains(lower(p_type), 'pro') THEN 'director' END AS role FROM part) WHERE role IS NOT NULL GROUP BY role")
 def _(spark, sf):
     """The last match of each role counts."""

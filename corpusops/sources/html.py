@@ -174,18 +174,18 @@ def plan_rows(html: str) -> list[dict]:
 
 
 def section_rows(html: str) -> list[dict]:
-    """Class sections: a row of cells, and the row of notes after it."""
+    """Class sections: a row of cells, and the row of notes after it, where the place follows the time."""
     out: list[dict] = []
     for cells in table_rows(html):
         if len(cells) >= 4:
             seats = cells[3]
             status = "full" if seats.lower() == "full" else "unopened" if "unopened" in seats.lower() else "open" if seats.isdigit() and int(seats) > 0 else "full" if seats == "0" else "unknown"
-            out.append({"type": cells[0], "instructor": cells[1], "class_number": cells[2], "seats_status": status, "enrolled": None, "most": None, "days": None, "time": None})
+            out.append({"type": cells[0], "instructor": cells[1], "class_number": cells[2], "seats_status": status, "enrolled": None, "most": None, "days": None, "time": None, "location": None})
         elif out:
             note = " ".join(cells)
-            n, when = re.search(r"(\d+) students? enrolled out of (\d+)", note), re.search(r"\b([MTWRFSU][A-Za-z]*)\s+(\d{1,2}:\d{2}\s*-\s*\d{1,2}:\d{2}\s*[AP]M)", note)
+            n, when = re.search(r"(\d+) students? enrolled out of (\d+)", note), re.search(r"\b([MTWRFSU][A-Za-z]*)\s+(\d{1,2}:\d{2}\s*-\s*\d{1,2}:\d{2}\s*[AP]M)\s*(.*)", note)
             out[-1] |= {"enrolled": int(n[1]), "most": int(n[2])} if n else {}
-            out[-1] |= {"days": when[1], "time": when[2]} if when else {}
+            out[-1] |= {"days": when[1], "time": when[2], "location": when[3].strip() or None} if when else {}
     return out
 
 
