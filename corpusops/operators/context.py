@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, functions as F
 
@@ -32,6 +33,61 @@ def render_by_intent(intent: Column, source: Column, blocks: Mapping[str, Sequen
     return F.coalesce(*[F.when(intent == name, render_result(source, fields, fallback)) for name, fields in blocks.items()], plain)
 
 
+def picked(value: Column, metadata: Column, key: str) -> Column:
+    """The value or, where it is null or empty, the metadata's of that key; null without either."""
+    some = lambda c: F.nullif(c.cast("string"), F.lit(""))
+    return F.coalesce(some(value), some(F.try_element_at(metadata, F.lit(key))))
+
+
+def line(label: str, value: Column, most: int | None = None) -> Column:
+    """"Label: value", cut; null without a value."""
+    text = F.nullif(value.cast("string"), F.lit(""))
+    return F.when(text.isNotNull(), F.concat(F.lit(f"{label}: "), F.substring(text, 1, most) if most else text))
+
+
+def if_asked(fields: Column, names: Sequence[str], shown: Column) -> Column:
+    """The line, if one of the names is among the fields that a question asks for."""
+    return F.when(F.arrays_overlap(fields, F.array(*map(F.lit, names))), shown)
+
+
+def counted(values: Column, most: int) -> Column:
+    """The first values, and how many more there are."""
+    more = F.size(values) - most
+    return F.concat(F.array_join(F.slice(values, 1, most), ", "), F.when(more > 0, F.concat(F.lit(" (+"), more.cast("string"), F.lit(" more)"))).otherwise(""))
+
+
+def below(title: str, values: Column, most: int, cut: int, mark: str = "  - ") -> Column:
+    """A title and the first values below it, a line each; null without values."""
+    shown = F.transform(F.slice(F.filter(values, lambda v: v.isNotNull()), 1, most), lambda v: F.concat(F.lit(mark), F.substring(v, 1, cut)))
+    return F.when(F.size(shown) > 0, F.concat(F.lit(f"{title}:\n"), F.array_join(shown, "\n")))
+
+
+@dataclass(frozen=True)
+class Block:
+    """How results of a kind are shown: by their lines; without a name by their content, of `bare` characters; if `ready` is given, by so many
+    characters of their content also where there is a name, as it is text that was made to be shown."""
+
+    name: Column
+    lines: Sequence[Column]
+    bare: int = 400
+    ready: int = 0
+
+
+def render_block(source: Column, content: Column, block: Block) -> Column:
+    """The source's line and the block; an empty text where there is nothing to show."""
+    said, named = F.nullif(content, F.lit("")), F.coalesce(block.name, F.lit("")) != ""
+    body = F.when(named, F.concat_ws("\n", *block.lines)).otherwise(F.substring(said, 1, block.bare))
+    if block.ready:
+        body = F.when(named & said.isNotNull(), F.substring(said, 1, block.ready)).otherwise(body)
+    return F.coalesce(F.concat(F.lit("[Source: "), source, F.lit("]\n"), body), F.lit(""))
+
+
+def render_kinds(kind: Column, source: Column, content: Column, blocks: Mapping[str, Block], otherwise: Block) -> Column:
+    """render_block with the block of each kind; kinds without one get `otherwise`."""
+    arms = [F.when(kind == name, render_block(source, content, block)) for name, block in blocks.items()]
+    return F.coalesce(*arms, render_block(source, content, otherwise))
+
+
 def listed(values: Column, most: int = 5) -> Column:
     """The first values of a list as text."""
     return F.array_join(F.slice(values, 1, most), ", ")

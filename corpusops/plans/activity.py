@@ -266,7 +266,7 @@ def _(spark, sf):
     return R.budget(let_in, "ts", "event_id", F.coalesce(actual, F.lit(25.0)), 1000.0).select("event_id", "spent", "within")
 
 
-@query("budget_coupled", f"""WITH RECURSIVE n AS (SELECT event_id, user_id, epoch_us(ts) AS t, ts::DATE AS day, CASE WHEN event_id % 2 = 0 THEN value ELSE 25.0 END AS cost, row_number() OVER (ORDER BY ts, event_id) AS i FROM events),
+@query("budget_coupled", f"""WITH RECURSIVE n AS MATERIALIZED (SELECT event_id, user_id, epoch_us(ts) AS t, ts::DATE AS day, CASE WHEN event_id % 2 = 0 THEN value ELSE 25.0 END AS cost, row_number() OVER (ORDER BY ts, event_id) AS i FROM events),
   a(i, event_id, held, day, spent, reason) AS (SELECT 0::BIGINT, NULL::BIGINT, []::STRUCT(u BIGINT, t BIGINT)[], NULL::DATE, 0.0::DOUBLE, NULL::VARCHAR
     UNION ALL SELECT i, event_id, CASE WHEN why IS NULL THEN list_append(list_filter(held, lambda x: x.t > t - {max(s for _, s, _ in FEW[:2]) * 1_000_000}), {{u: user_id, t: t}}) ELSE held END, day, CASE WHEN why IS NULL THEN spent + cost ELSE spent END, why
       FROM (SELECT *, CASE {' '.join(f"WHEN len(list_filter(held, lambda x: x.u = user_id AND x.t > t - {s * 1_000_000})) >= {m} THEN '{k}'" for k, s, m in FEW[:2])} WHEN round(spent, 6) >= 1000 THEN 'budget' END AS why

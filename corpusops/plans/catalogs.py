@@ -201,7 +201,7 @@ def _(spark, sf):
 
 
 #: Short and long forms of a topic, and nations that are preferred for topics.
-FORMS, AFFINITY = {"th": "erha", "onen": "tien"}, {"erha": ["FRANCE", "NATION_3", "NATION_7"], "onen": ["NATION_5", "NATION_11"]}
+FORMS, AFFINITY = {"th": "erha", "onen": "tien"}, {"erha": ["NATION_14", "NATION_3", "NATION_7"], "onen": ["NATION_5", "NATION_11"]}
 
 
 def sql_people() -> str:

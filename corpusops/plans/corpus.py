@@ -321,6 +321,63 @@ def _(spark, sf):
     return rendered(spark, sf).select("query_id", "rank", "doc_id", F.md5("block").alias("block"))
 
 
+#: Results of seven kinds, by number; every second has a name of its own, every third one in its metadata, every fifth no content.
+KINDS = ["people", "course", "dining", "transit", "housing", "program", "other"]
+#: What each kind shows in SQL, from d (doc_id, source, lang, name, content, words): the name that it needs, its lines, and how much content it shows without a name and with one.
+SHOWN = {
+    "people": ("name", """'Professor: ' || name, 'Department: ' || coalesce(nullif(lang, ''), 'N/A'), CASE WHEN doc_id % 4 < 2 THEN 'Email: u' || doc_id || '@x.org' END,
+      CASE WHEN doc_id % 3 = 1 OR doc_id % 4 = 1 THEN 'Office: ' || trim(CASE WHEN doc_id % 3 = 1 THEN 'R' || doc_id ELSE '' END || ' ' || CASE WHEN doc_id % 4 = 1 THEN 'Hall' ELSE '' END) END,
+      'Research: ' || nullif(array_to_string(words[1:5], ', '), ''), CASE WHEN doc_id % 3 = 2 THEN 'URL: https://x.org/' || doc_id END""", 400, 0),
+    "course": ("coalesce(CASE WHEN doc_id % 2 = 0 THEN upper(source) || ' ' || doc_id END, name)", """'Course: ' || CASE WHEN doc_id % 2 = 0 THEN upper(source) || ' ' || doc_id || ' - ' ELSE '' END || coalesce(name, ''), CASE WHEN doc_id % 4 < 2 THEN 'Credits: ' || doc_id % 5 END,
+      'Description: ' || nullif(left(content, 200), ''), CASE WHEN doc_id % 2 = 0 THEN 'URL: https://x.org/?P=' || replace(upper(source) || ' ' || doc_id, ' ', '+') END""", 500, 0),
+    "dining": ("name", "'Name: ' || name, 'Building: ' || nullif(lang, ''), CASE WHEN doc_id % 3 < 2 THEN 'Hours: Mo: 8-5' || CASE WHEN doc_id % 2 = 0 THEN '; Tu: 9-5' ELSE '' END END, 'Source URL: https://x.org/dining'", 400, 500),
+    "transit": ("name", "'Route: ' || name, 'Number: ' || doc_id % 50, 'Operates: ' || nullif(array_to_string(list_filter([CASE WHEN doc_id % 2 = 0 THEN 'Monday' END, CASE WHEN doc_id % 3 = 0 THEN 'Sunday' END], lambda x: x IS NOT NULL), ', '), ''), 'Source URL: https://x.org/transit'", 400, 500),
+    "housing": ("name", "'Name: ' || name, CASE WHEN doc_id % 2 = 0 THEN 'Bath: shared' END, 'Room types: ' || nullif(array_to_string(words[1:3], ', '), ''), 'Source URL: https://x.org/housing'", 400, 600),
+    "program": ("'?'", """'Program: ' || coalesce(name, '?'), 'Level: ' || nullif(lang, ''), 'Courses: ' || nullif(array_to_string(words[1:15], ', ') || CASE WHEN len(words) > 15 THEN ' (+' || len(words) - 15 || ' more)' ELSE '' END, ''),
+      CASE WHEN len(words) > 0 THEN 'Outcomes:' || chr(10) || array_to_string(list_transform(words[1:4], lambda x: '  - ' || left(x, 180)), chr(10)) END, CASE WHEN doc_id % 3 = 2 THEN 'Catalog URL: https://x.org/' || doc_id END""", 400, 0),
+    "other": ("NULL", "NULL", 400, 0),
+}
+
+
+def sql_block(kind: str) -> str:
+    name, lines, bare, ready = SHOWN[kind]
+    body = f"CASE WHEN {name} IS NOT NULL THEN concat_ws(chr(10), {lines}) ELSE left(nullif(content, ''), {bare}) END"
+    body = f"CASE WHEN {name} IS NOT NULL AND content <> '' THEN left(content, {ready}) ELSE {body} END" if ready else body
+    return f"coalesce('[Source: ' || source || ']' || chr(10) || {body}, '')"
+
+
+@query("render_kinds", bm25_sql() + """, z AS (SELECT query_id, rank, doc_id, source, lang, coalesce(CASE WHEN doc_id % 2 = 0 THEN 'N' || doc_id END, CASE WHEN doc_id % 3 = 0 THEN 'M' || doc_id END) AS name, CASE WHEN doc_id % 5 = 0 THEN '' ELSE text END AS content FROM bm25 b JOIN documents USING (doc_id)),
+  shown AS (SELECT *, list_filter(string_split(content, ' '), lambda x: x <> '') AS words FROM z) SELECT query_id, rank, doc_id, md5(CASE doc_id % 7 """ + " ".join(f"WHEN {i} THEN {sql_block(k)}" for i, k in enumerate(KINDS)) + " END) AS block FROM shown")
+def _(spark, sf):
+    """Blocks of six kinds of result, with values of the row or of its metadata, and of those of none."""
+    number = F.col("doc_id")
+    ranked = standing(spark, sf).search(questions(spark, sf), 5).join(documents(spark, sf), "doc_id")
+    rows = ranked.withColumns({
+        "own": F.when(number % 2 == 0, F.concat(F.lit("N"), number.cast("string"))),
+        "metadata": F.when(number % 3 == 0, F.create_map(F.lit("name"), F.concat(F.lit("M"), number.cast("string")))),
+        "content": F.when(number % 5 == 0, "").otherwise(F.col("text")), "fields": F.when(number % 4 < 2, F.array(F.lit("email"), F.lit("credits"))).otherwise(F.array(F.lit("phone"))),
+        "kind": F.element_at(F.array(*map(F.lit, KINDS)), (number % 7 + 1).cast("int")),
+    })
+    rows = rows.withColumn("words", F.filter(F.split("content", " "), lambda x: x != ""))
+    name, text, n = X.picked(F.col("own"), F.col("metadata"), "name"), F.col("content"), number.cast("string")
+    code = F.when(number % 2 == 0, F.concat_ws(" ", F.upper("source"), n))
+    url = F.when(number % 3 == 2, F.concat(F.lit("https://x.org/"), n))
+    office = F.trim(F.concat_ws(" ", F.when(number % 3 == 1, F.concat(F.lit("R"), n)), F.when(number % 4 == 1, "Hall")))
+    hours = F.when(number % 3 < 2, F.concat_ws("; ", F.lit("Mo: 8-5"), F.when(number % 2 == 0, "Tu: 9-5")))
+    days = F.array_join(F.array_compact(F.array(F.when(number % 2 == 0, "Monday"), F.when(number % 3 == 0, "Sunday"))), ", ")
+    fields, words = F.col("fields"), F.col("words")
+    blocks = {
+        "people": X.Block(name, [X.line("Professor", name), X.line("Department", F.coalesce(F.nullif("lang", F.lit("")), F.lit("N/A"))), X.if_asked(fields, ["email"], X.line("Email", F.concat(F.lit("u"), n, F.lit("@x.org")))), X.line("Office", office), X.line("Research", X.listed(words)), X.line("URL", url)]),
+        "course": X.Block(F.coalesce(code, name), [X.line("Course", F.concat(F.coalesce(F.concat(code, F.lit(" - ")), F.lit("")), F.coalesce(name, F.lit("")))), X.if_asked(fields, ["credits"], X.line("Credits", number % 5)), X.line("Description", text, 200), X.line("URL", F.concat(F.lit("https://x.org/?P="), F.replace(code, F.lit(" "), F.lit("+"))))], 500),
+        "dining": X.Block(name, [X.line("Name", name), X.line("Building", F.col("lang")), X.line("Hours", hours), F.lit("Source URL: https://x.org/dining")], ready=500),
+        "transit": X.Block(name, [X.line("Route", name), X.line("Number", number % 50), X.line("Operates", days), F.lit("Source URL: https://x.org/transit")], ready=500),
+        "housing": X.Block(name, [X.line("Name", name), X.line("Bath", F.when(number % 2 == 0, "shared")), X.line("Room types", X.listed(words, 3)), F.lit("Source URL: https://x.org/housing")], ready=600),
+        "program": X.Block(F.lit("?"), [X.line("Program", F.coalesce(name, F.lit("?"))), X.line("Level", F.col("lang")), X.line("Courses", X.counted(words, 15)), X.below("Outcomes", words, 4, 180), X.line("Catalog URL", url)]),
+    }
+    block = X.render_kinds(F.col("kind"), F.col("source"), text, blocks, X.Block(F.lit(None).cast("string"), []))
+    return rows.select("query_id", "rank", "doc_id", F.md5(block).alias("block"))
+
+
 @query("build_context", bm25_sql() + f""", rr AS (SELECT query_id, b.rank, source, {BLOCK} AS block FROM bm25 b JOIN documents USING (doc_id)), k AS (SELECT *, row_number() OVER (PARTITION BY query_id, source ORDER BY rank) AS n FROM rr),
   j AS (SELECT query_id, string_agg(block, chr(10) || chr(10) ORDER BY rank) AS c FROM k WHERE n = 1 GROUP BY query_id) SELECT query_id, CASE WHEN length(c) > 600 THEN left(c, 600) || '[...additional results omitted]' ELSE c END AS context FROM j""")
 def _(spark, sf):
