@@ -9,7 +9,7 @@ from corpusops.functions import text as T
 from corpusops.operators import evaluation as E, lexical as L, ranking as R, rerank as R2, vectors as V
 from corpusops.operators.standing import Index
 from corpusops.plans.registry import query, read
-from corpusops.sources.files import exists, shared_folder, spread
+from corpusops.sources.files import exists, shared_folder, spread, state_of
 
 STOP = ", ".join(f"'{w}'" for w in T.STOPWORDS)
 
@@ -28,19 +28,16 @@ def documents(spark: SparkSession, sf: str) -> DataFrame:
 
 # --- lexical ------------------------------------------------------------------------------------------
 
-#: Paths of this application's standing indexes, by what their documents were when they were built.
-_standing: dict[tuple, str] = {}
+#: This application's standing indexes, by what their documents were when they were built.
+_standing: dict[tuple, Index] = {}
 
 
-def standing(spark: SparkSession, sf: str, by: list[str] | None = None) -> Index:
+def standing(spark: SparkSession, sf: str) -> Index:
     """The index over the documents of a folder, built when it is first asked for, and again when their files change or it is gone."""
-    files = spark.read.format("binaryFile").load(f"{sf}/documents.parquet")
-    state = files.agg(F.count("path"), F.sum("length"), F.max("modificationTime")).first()
-    name = (spark.sparkContext.applicationId, sf, tuple(by or ()), tuple(state))
-    if name not in _standing or not exists(spark, _standing[name]):
-        _standing[name] = shared_folder(spark, "index")
-        return Index.build(documents(spark, sf), "doc_id", "text", _standing[name], by)
-    return Index(spark, _standing[name], "doc_id", by)
+    name = (spark.sparkContext.applicationId, sf, state_of(spark, f"{sf}/documents.parquet"))
+    if name not in _standing or not exists(spark, _standing[name].path):
+        _standing[name] = Index.build(documents(spark, sf), "doc_id", "text", shared_folder(spark, "index"))
+    return _standing[name]
 
 
 TOKENS = f"WITH d AS (SELECT doc_id, source, text, {sql_tokens('text')} AS tokens FROM documents),"
@@ -105,7 +102,7 @@ def _(spark, sf):
 
 @query("bm25_by_source", bm25_sql("source", 3) + " SELECT * FROM bm25")
 def _(spark, sf):
-    return standing(spark, sf, ["source"]).search(questions(spark, sf), 3).select("query_id", "source", "doc_id", "score", "rank")
+    return L.search(questions(spark, sf), documents(spark, sf), "doc_id", "text", 3, ["source"]).select("query_id", "source", "doc_id", "score", "rank")
 
 
 @query("top_k_parts", "SELECT p_brand, p_partkey, p_retailprice, CAST(rank AS INT) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY p_brand ORDER BY p_retailprice DESC, p_partkey) AS rank FROM part) WHERE rank <= 10")
@@ -269,7 +266,7 @@ def _(spark, sf):
   SELECT query_id, source, doc_id, score, rank FROM (SELECT query_id, source, doc_id, coalesce(hybrid, relevance, bm25) AS score, CAST(row_number() OVER (PARTITION BY query_id ORDER BY coalesce(hybrid, relevance, bm25) DESC, doc_id) AS INT) AS rank FROM m) WHERE rank <= 10""")
 def _(spark, sf):
     """Results of several sources by the first score that each has; some have other kinds of scores."""
-    found = standing(spark, sf, ["source"]).search(questions(spark, sf), 3).drop("rank")
+    found = L.search(questions(spark, sf), documents(spark, sf), "doc_id", "text", 3, ["source"]).drop("rank")
     some = lambda i, n: F.when(F.col("doc_id") % 3 == i, F.round(F.col("score") * n, 6))
     kinds = found.select("query_id", "source", "doc_id", some(0, 2).alias("hybrid"), some(1, 3).alias("relevance"), F.col("score").alias("bm25"))
     return R.merge_sources(kinds, ["hybrid", "relevance", "bm25"], "doc_id", 10).select("query_id", "source", "doc_id", "score", "rank")

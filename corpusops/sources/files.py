@@ -51,6 +51,13 @@ def exists(spark: SparkSession, path: str) -> bool:
     return files.exists(where)
 
 
+def state_of(spark: SparkSession, path: str) -> tuple[int, int, int]:
+    """Number and bytes of the files of a table, and when its folder (or only file) last changed."""
+    where, files = file_system(spark, path)
+    whole = files.getContentSummary(where)
+    return whole.getFileCount(), whole.getLength(), files.getFileStatus(where).getModificationTime()
+
+
 def stored(df: DataFrame, name: str = "stored") -> DataFrame:
     """df written to a shared folder and read again, so that what depends on how rows are dealt stays as it is."""
     path = shared_folder(df.sparkSession, name)

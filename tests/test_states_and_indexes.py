@@ -284,15 +284,16 @@ def corpus_rows(n, seed):
     return [(i, same if i % 5 == 0 else text(), rng.choice(["x", "y", None])) for i in range(n)] + [(n, None, "x")]
 
 
+@pytest.mark.parametrize("prune", [False, True])
 @pytest.mark.parametrize("by", [[], ["source"]])
-def test_index_answers_as_a_scan_does(spark, tmp_path, by):
+def test_index_answers_as_a_scan_does(spark, tmp_path, by, prune):
     docs = spark.createDataFrame(corpus_rows(1500, 1), "doc_id long, text string, source string")
     rng = random.Random(2)
     asked = spark.createDataFrame([(q, " ".join(f"t{int(1.3 ** rng.uniform(0, 24))}" for _ in range(rng.randrange(0, 9)))) for q in range(60)], "query_id int, text string")
     if by:
         docs = docs.where("source IS NOT NULL")
     index = Index.build(docs, "doc_id", "text", str(tmp_path / "index"), by, folders=4, shard=32)
-    got, want = index.search(asked, 7), lexical.search(asked, docs, "doc_id", "text", 7, by)
+    got, want = index.search(asked, 7, prune), lexical.search(asked, docs, "doc_id", "text", 7, by)
     columns = ["query_id", *by, "doc_id", "score", "rank"]
     # sums in another order may differ in the last digit that scores are rounded to
     key = lambda r: tuple(r[c] for c in columns if c != "score")
@@ -310,7 +311,7 @@ def test_index_leaves_blocks_closed_and_reads_no_documents(spark, tmp_path):
     asked = spark.createDataFrame([(1, "common rare"), (2, "nothing")], "query_id int, text string")
     (row,) = index.skipped(asked, 3).collect()
     assert row.n_opened < row.n_blocks / 4
-    found = index.search(asked, 3)
+    found = index.search(asked, 3, prune=True)
     assert not any("/docs/" in f for f in found.inputFiles())
     assert [r.doc_id for r in sorted(found.collect(), key=lambda r: r["rank"])] == [0, 997, 1994]
     again = Index(spark, str(tmp_path / "index"), "doc_id")
