@@ -40,6 +40,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from corpusops.llm import rank_bpe
 from corpusops.llm.common import stored, table
 from corpusops.llm.token_counts import byte_letters
+from corpusops.sources.files import spread
 
 BYTE_LEVEL, PIECES = public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model")
 #: Words that a worker remembers at most; beyond it starts anew.
@@ -319,4 +320,4 @@ def link_digests(docs: DataFrame, kind: str = "ends", a_path: str = BYTE_LEVEL,
 
 
 def op12_token_links(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return link_digests(table(spark, sf_dir, "documents"))
+    return link_digests(spread(table(spark, sf_dir, "documents")))  # one file may be one task
