@@ -95,10 +95,10 @@ def _(spark, sf):
     return M.without(rows, rows.where(F.col("text").contains("zu")), "conv_id").select("conv_id", "turn")
 
 
-@query("combine_clarification", """WITH u AS (SELECT conv_id, turn, CASE WHEN turn % 4 = 1 THEN 'research' WHEN turn % 4 = 3 THEN left(text, 20) ELSE text END AS text FROM conversations WHERE role = 'user'), l AS (SELECT *, lower(trim(lag(text) OVER (PARTITION BY conv_id ORDER BY turn))) AS v FROM u)
+@query("combine_clarification", """WITH u AS (SELECT conv_id, turn, CASE WHEN turn % 4 = 1 THEN 'research' ELSE text END AS text FROM conversations WHERE role = 'user'), l AS (SELECT *, lower(trim(lag(text) OVER (PARTITION BY conv_id ORDER BY turn))) AS v FROM u)
   SELECT conv_id, turn, CASE WHEN v = 'research' THEN text || ' ' || v ELSE text END AS combined FROM l""")
 def _(spark, sf):
-    text = F.when(F.col("turn") % 4 == 1, "research").when(F.col("turn") % 4 == 3, F.substring("text", 1, 20)).otherwise(F.col("text"))
+    text = F.when(F.col("turn") % 4 == 1, "research").otherwise(F.col("text"))
     return M.combine_clarification(turns(spark, sf).withColumn("text", text), ["research", "courses"], ["professors"]).select("conv_id", "turn", "combined")
 
 

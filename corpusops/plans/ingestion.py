@@ -398,7 +398,7 @@ def _(spark, sf):
 
 #: Suppliers as staff, of whom documents tell the research; a question for each nation and kind.
 STAFF = "p AS (SELECT s_suppkey AS person, s_name AS name, n_name AS department, coalesce(text, '') AS research, CAST(embedding AS DOUBLE[]) AS v FROM supplier JOIN nation ON s_nationkey = n_nationkey LEFT JOIN documents ON doc_id = s_suppkey LEFT JOIN embeddings ON vec_id = s_suppkey)"
-WANTED = """q AS (SELECT n_nationkey AS query_id, CASE WHEN n_nationkey % 4 = 0 THEN CAST(n_nationkey AS VARCHAR) END AS name, CASE WHEN n_nationkey % 4 IN (1, 2) THEN n_name END AS department, CASE WHEN n_nationkey % 4 >= 2 THEN lower(regexp_replace(text[1:40], '[^A-Za-z]', ' ', 'g')) END AS topic, n_nationkey % 4 = 1 AS complete, n_nationkey AS vid
+WANTED = """q AS (SELECT n_nationkey AS query_id, CASE WHEN n_nationkey % 4 = 0 THEN CAST(n_nationkey AS VARCHAR) END AS name, CASE WHEN n_nationkey % 4 IN (1, 2) THEN n_name END AS department, CASE WHEN n_nationkey % 4 >= 2 THEN lower(regexp_replace(text, '[^A-Za-z]', ' ', 'g')) END AS topic, n_nationkey % 4 = 1 AS complete, n_nationkey AS vid
   FROM nation LEFT JOIN benchmark ON item_id = n_nationkey)"""
 
 
@@ -419,7 +419,7 @@ def _(spark, sf):
     staff = people.join(told, F.col("doc_id") == F.col("s_suppkey"), "left").join(vectors, F.col("vec_id") == F.col("s_suppkey"), "left")
     staff = staff.select(F.col("s_suppkey").cast("long").alias("person"), F.col("s_name").alias("name"), F.col("n_name").alias("department"), F.coalesce("research", F.lit("")).alias("research"), "embedding")
     k = F.col("n_nationkey")
-    topic = F.when(k % 4 >= 2, F.lower(F.regexp_replace(F.substring("text", 1, 40), "[^A-Za-z]", " ")))
+    topic = F.when(k % 4 >= 2, F.lower(F.regexp_replace("text", "[^A-Za-z]", " ")))
     asked = read(spark, sf, "nation").join(read(spark, sf, "benchmark"), F.col("item_id") == k, "left")
     asked = asked.select(k.cast("long").alias("query_id"), F.when(k % 4 == 0, k.cast("string")).alias("name"), F.when((k % 4).isin(1, 2), F.col("n_name")).alias("department"), topic.alias("topic"), (k % 4 == 1).alias("complete"))
     return W.people(with_vectors(spark, sf, asked, F.col("query_id")), staff, 3, 8)
