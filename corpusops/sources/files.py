@@ -22,11 +22,18 @@ GTFS = {
 }
 
 
+#: Bytes of files a core up to which a table is dealt anew.
+SMALL = 64 << 20
+
+
 def spread(df: DataFrame) -> DataFrame:
-    """A table of fewer files than cores dealt evenly to the cores, as one file may be one split; a table of many
-    files stays as it is."""
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if len(df.inputFiles()) < cores else df
+    """A small table of fewer files than cores dealt evenly to the cores, as one file may be one split. A table of many files, or of large
+    ones, which have splits enough, stays as it is."""
+    cores, names = df.sparkSession.sparkContext.defaultParallelism, df.inputFiles()
+    if len(names) >= cores:
+        return df
+    size = sum(files.getFileStatus(where).getLen() for where, files in (file_system(df.sparkSession, n) for n in names))
+    return df.repartition(cores) if size <= cores * SMALL else df
 
 
 def shared_folder(spark: SparkSession, name: str) -> str:
@@ -36,7 +43,7 @@ def shared_folder(spark: SparkSession, name: str) -> str:
     if not parent:
         if not spark.sparkContext.master.startswith("local") or "cluster" in spark.sparkContext.master:
             raise ValueError("set spark.checkpoint.dir to a folder that all executors reach")
-        parent = tempfile.mkdtemp(prefix="spark-")
+        parent = f"file://{tempfile.mkdtemp(prefix='spark-')}"
     return f"{parent.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
