@@ -153,8 +153,8 @@ def sql_lines(html: str) -> str:
     text = f"regexp_replace({html}, '(?s)<!--.*?-->', '', 'g')"
     parts = f"regexp_split_to_array({text}, '<[^>]*>')"
     entity = "x"
-    for a, b in ENTITIES:
-        entity = f"replace({entity}, '{a}', '{b}')"
+    for a, b in ENTITIES:  # a browser takes them without their semicolon too, as in a title that was cut there
+        entity = f"regexp_replace({entity}, '{a}?', '{b}', 'g')"
     return f"list_filter(list_transform({parts}, lambda x: trim(regexp_replace({entity}, '\\s+', ' ', 'g'))), lambda x: x <> '')"
 
 
