@@ -199,7 +199,7 @@ def _(spark, sf):
 def _(spark, sf):
     """Parts as pages with a plan of two years."""
     page = F.expr("concat('<main><table><tr><th>First Year</th></tr><tr><td>', p_name, '</td><td>3</td><td>', p_brand, '</td></tr><tr><th>Second Year ', p_size, '</th></tr><tr><td>', p_type, '</td><td>3</td><td>', p_name, '</td></tr><tr><td>short</td></tr></table></main>')")
-    pages = read(spark, sf, "part").select(F.col("p_partkey").alias("page_id"), page.alias("html"))
+    pages = S.spread(read(spark, sf, "part")).select(F.col("p_partkey").alias("page_id"), page.alias("html"))
     return H.extract(pages, "page_id", "html", H.plan_rows, "year string, fall string, spring string").select("page_id", "year", "fall", "spring")
 
 
