@@ -14,10 +14,10 @@ from corpusops.streaming.ordered import Ordered, in_order
 class Admission(Ordered):
     """State: the times that the longest window admits."""
 
-    state = "micros bigint"
+    state = ["micros"]
 
-    def __init__(self, key: str, tie: str, tie_kind: str, limits):
-        super().__init__(key, tie, tie_kind)
+    def __init__(self, key: str, tie: str, limits):
+        super().__init__(key, tie)
         self.limits, self.columns = limits, [tie, "allowed", "reason"]
         self.keep = max(seconds for _, seconds, _ in limits) * 1_000_000
 
@@ -37,16 +37,16 @@ def stream_admit(requests: DataFrame, key: str, ts: str, tie: str, limits=LIMITS
     may be that much out of order. A request that comes later still has no decision and leaves no trace. A
     key's state goes when its longest window has passed without a request."""
     kind = requests.schema[tie].dataType.simpleString()
-    return in_order(requests, key, ts, late, Admission(key, tie, kind, limits), f"{tie} {kind}, allowed boolean, reason string")
+    return in_order(requests, key, ts, late, Admission(key, tie, limits), f"{tie} {kind}, allowed boolean, reason string")
 
 
 class Sessions(Ordered):
     """State: first and last write of the session, and the number of writes."""
 
-    state = "first bigint, last bigint, n bigint"
+    state = ["first", "last", "n"]
 
-    def __init__(self, key: str, tie: str, tie_kind: str, ttl: int):
-        super().__init__(key, tie, tie_kind)
+    def __init__(self, key: str, tie: str, ttl: int):
+        super().__init__(key, tie)
         self.ttl, self.columns = ttl * 1_000_000, ["first", "last", "n"]
 
     def fold(self, rows: list[tuple[int, Any]], held: list[tuple]) -> tuple[list[tuple], list[tuple]]:
@@ -69,8 +69,7 @@ class Sessions(Ordered):
 def stream_sessions(writes: DataFrame, key: str, ts: str, tie: str, ttl: int, late: str = "1 hour") -> DataFrame:
     """(key, first, last, n, late): the sessions that have expired, each `ttl` seconds after its last write; a write renews
     its session. Times are in microseconds. A late write is returned by itself and renews nothing."""
-    kind = writes.schema[tie].dataType.simpleString()
-    return in_order(writes, key, ts, late, Sessions(key, tie, kind, ttl), "first bigint, last bigint, n bigint")
+    return in_order(writes, key, ts, late, Sessions(key, tie, ttl), "first bigint, last bigint, n bigint")
 
 
 def stream_counts(requests: DataFrame, ts: str, by: str, every: str = "1 hour", late: str = "10 minutes") -> DataFrame:
