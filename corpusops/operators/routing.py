@@ -14,18 +14,18 @@ from corpusops.operators.rerank import rerank
 from corpusops.sources.files import stored
 
 
-def hybrid(questions: DataFrame, corpus: DataFrame, most: int, by: list[str] | None = None, least: float = 0.25, weights: tuple[float, float] = (0.6, 0.4)) -> DataFrame:
+def hybrid(questions: DataFrame, corpus: DataFrame, most: int, by: list[str] | None = None, least: float = 0.25, weights: tuple[float, float] = (0.6, 0.4), held: L.Counts | None = None) -> DataFrame:
     """(query_id, doc_id, score, rank): nearest vectors of at least that relevance and best documents by BM25, fused;
     `most` of each list and of the result, or the question's own n if that is less.
 
     questions: (query_id long, text, query vector[, n][, by]); corpus: (doc_id long, text, embedding[, by]). With `by`
     a question is asked of the documents of its own group only, with the statistics of that group. Blank questions find
-    nothing; those without a vector are asked by their words alone."""
+    nothing; those without a vector are asked by their words alone. held: the documents' terms, if other searches share them."""
     by = by or []
     asked = questions.where(F.trim("text") != "")
     near = V.knn(asked.select("query_id", "query", *by), corpus.select(F.col("doc_id").alias("vec_id"), "embedding", *by), most, same=by)
     near = near.where(V.distance_to_score(F.col("distance")) >= least).select("query_id", F.lit(0).alias("list"), F.col("vec_id").alias("key"), "rank")
-    words = L.search(asked.select("query_id", "text", *by), corpus, "doc_id", "text", most, by).select("query_id", F.lit(1).alias("list"), F.col("doc_id").alias("key"), "rank")
+    words = L.search(asked.select("query_id", "text", *by), corpus, "doc_id", "text", most, by, held=held).select("query_id", F.lit(1).alias("list"), F.col("doc_id").alias("key"), "rank")
     fused = R.fuse(near.unionByName(words), list(weights)).withColumn("score", F.round("score", 9))
     ranked = R.top_k(fused, ["query_id"], [F.desc("score"), F.asc("first_list"), F.asc("first_rank")], most)
     if "n" in questions.columns:
@@ -33,20 +33,21 @@ def hybrid(questions: DataFrame, corpus: DataFrame, most: int, by: list[str] | N
     return ranked.select("query_id", F.col("key").alias("doc_id"), "score", "rank")
 
 
-def fan_out(questions: DataFrame, corpus: DataFrame, active: DataFrame, domain: str, most: int) -> DataFrame:
+def fan_out(questions: DataFrame, corpus: DataFrame, active: DataFrame, domain: str, most: int, held: L.Counts | None = None) -> DataFrame:
     """(query_id, domain, doc_id, score, rank): hybrid search of each question in each of its active domains; a question
     that finds nothing there is asked of the whole corpus, where its domain is null.
 
     active: (query_id, domain, n), n being the most results of the question in the domain."""
+    held = held or L.counts(questions, corpus, "doc_id", "text", [domain])
     pairs = questions.join(active, "query_id").withColumn("_ask", F.struct("query_id", domain))
     numbered = stored(pairs.select(F.monotonically_increasing_id().alias("_no"), "query_id", domain, "n", "text", "query"), "asked")
-    found = hybrid(numbered.select(F.col("_no").alias("query_id"), domain, "n", "text", "query"), corpus, most, [domain])
+    found = hybrid(numbered.select(F.col("_no").alias("query_id"), domain, "n", "text", "query"), corpus, most, [domain], held=held)
     named = numbered.select(F.col("_no").alias("_of"), F.col("query_id").alias("_query"), domain)
     first = stored(found.join(named, F.col("query_id") == F.col("_of")).select(F.col("_query").alias("query_id"), domain, "doc_id", "score", "rank"), "found")
     open_ = questions.join(first, "query_id", "left_anti")
     most_of = active.groupBy("query_id").agg(F.max("n").alias("n"))
     again = open_.join(most_of, "query_id", "left").withColumn("n", F.coalesce("n", F.lit(most)))
-    rest = hybrid(again, corpus, most)
+    rest = hybrid(again, corpus, most, held=held)
     return first.unionByName(rest.select("query_id", F.lit(None).cast(first.schema[domain].dataType).alias(domain), "doc_id", "score", "rank"))
 
 
@@ -57,10 +58,11 @@ def route(questions: DataFrame, corpus: DataFrame, table: DataFrame, active: Dat
 
     questions: (query_id, intent, scope, text, query); table: (intent, domain, n_top, n_all)."""
     sent = questions.join(F.broadcast(table), "intent").withColumn("n", F.when(F.col("scope") == "complete_list", F.col("n_all")).otherwise(F.col("n_top")))  # a row per intent
-    direct = hybrid(sent.select("query_id", "text", "query", "n", domain), corpus, most, [domain])
+    held = L.counts(questions, corpus, "doc_id", "text", [domain])
+    direct = hybrid(sent.select("query_id", "text", "query", "n", domain), corpus, most, [domain], held=held)
     first = stored(direct.select("query_id", F.lit("source").alias("strategy"), "doc_id", "score", "rank"), "routed")
     open_ = questions.join(first, "query_id", "left_anti").select("query_id", "text", "query")
-    rest = fan_out(open_, corpus, active.join(open_.select("query_id"), "query_id", "left_semi"), domain, most)
+    rest = fan_out(open_, corpus, active.join(open_.select("query_id"), "query_id", "left_semi"), domain, most, held)
     order = [F.desc("score"), F.asc("doc_id")]
     # what several domains find is one list
     merged = R.top_k(rest.groupBy("query_id", "doc_id").agg(F.max("score").alias("score")), ["query_id"], order, most)
@@ -90,12 +92,13 @@ def dispatch(questions: DataFrame, chains: Mapping[str, Sequence[str]], strategi
     return rest if every is None else every.unionByName(rest)
 
 
-def two_sources(questions: DataFrame, corpus: DataFrame, domain: str, domains: Sequence[str], each: int, most: int, scorer: Callable[[Column, Column], Column]) -> DataFrame:
+def two_sources(questions: DataFrame, corpus: DataFrame, domain: str, domains: Sequence[str], each: int, most: int, scorer: Callable[[Column, Column], Column], held: L.Counts | None = None) -> DataFrame:
     """(query_id, doc_id, score, rank): the `each` best of every domain, in one list by the scorer of question and passage, then by
     the order of domains and ranks; `most` stay. questions: (query_id, text, query vector)."""
     named = F.explode(F.array(*[F.struct(F.lit(i).alias("_no"), F.lit(d).alias(domain)) for i, d in enumerate(domains)])).alias("_d")
     asked = questions.select("query_id", "text", "query", named).select((F.col("query_id") * len(domains) + F.col("_d._no")).alias("query_id"), "text", "query", F.lit(each).alias("n"), f"_d.{domain}")
-    found = hybrid(asked, corpus, each, [domain]).select(F.floor(F.col("query_id") / len(domains)).alias("query_id"), ((F.col("query_id") % len(domains)) * each + F.col("rank")).cast("int").alias("rank"), "doc_id")
+    found = hybrid(asked, corpus, each, [domain], held=held).select(F.floor(F.col("query_id") / len(domains)).alias("query_id"), ((F.col("query_id") % len(domains)) * each + F.col("rank")).cast("int").alias("rank"), "doc_id")
+    found = stored(found, "found")  # as a table of known size it goes to the texts, if it is small
     passages = found.join(corpus.select("doc_id", F.col("text").alias("passage")), "doc_id").join(questions.select("query_id", F.col("text").alias("question")), "query_id")
     return rerank(passages, scorer, most=len(domains) * each).where(F.col("rank") <= most).select("query_id", "doc_id", F.col("rerank_score").alias("score"), "rank")
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from corpusops.functions import decompose as Q, rules as C
-from corpusops.operators import catalog as L, ranking as R, relations as G, rerank as R2, routing as W
+from corpusops.operators import catalog as L, lexical, ranking as R, relations as G, rerank as R2, routing as W
 from corpusops.plans.activity import events
 from corpusops.plans.questions import INTENTS, SEED, sql_intent, sql_score, sql_word
 from corpusops.plans.registry import query, read
@@ -365,9 +365,10 @@ def _(spark, sf):
     put = questions(spark, sf).withColumns({"intent": kind, "topic": F.lower(F.get(words, 1))})
     put = put.join(parts.select("p_partkey", "p_name"), F.col("p_partkey") == F.col("query_id") * 3, "left").join(nations.select("n_nationkey", F.col("n_name").alias("department")), F.col("n_nationkey") == F.col("query_id") % 25, "left")
     text = F.when(F.col("intent") == "course", F.concat(F.lit("PT "), (F.col("query_id") * 7).cast("string"), F.lit(" "), "text")).when(F.col("intent") == "program", F.coalesce("p_name", "text")).otherwise(F.col("text"))
-    asked = with_vectors(spark, sf, put.withColumn("text", text).drop("p_partkey", "p_name", "n_nationkey"), F.col("query_id"))
+    asked = S.stored(with_vectors(spark, sf, put.withColumn("text", text).drop("p_partkey", "p_name", "n_nationkey"), F.col("query_id")), "asked")
     docs = corpus(spark, sf)
-    staff = read(spark, sf, "supplier").join(nations, F.col("s_nationkey") == F.col("n_nationkey")).join(docs, F.col("doc_id") == F.col("s_suppkey"), "left")
+    held = lexical.counts(asked, docs, "doc_id", "text", ["lang"])
+    staff = read(spark, sf, "supplier").join(nations, F.col("s_nationkey") == F.col("n_nationkey")).join(documents(spark, sf).select("doc_id", "text"), F.col("doc_id") == F.col("s_suppkey"), "left")
     staff = staff.select(F.col("s_suppkey").alias("person"), F.col("s_name").alias("name"), F.col("n_name").alias("department"), F.coalesce("text", F.lit("")).alias("research"))
     catalog = parts.select("p_partkey", F.concat(F.lit("PT "), F.col("p_partkey").cast("string")).alias("code"))
     triggers = spark.createDataFrame(TRIGGERS, "trigger_no int, trigger string, target string")
@@ -376,7 +377,7 @@ def _(spark, sf):
     names = parts.groupBy(F.lower("p_name").alias("_name")).agg(F.max("p_partkey").alias("p_partkey"))
 
     def fan_out(q: DataFrame) -> DataFrame:
-        found = W.fan_out(q.select("query_id", "text", "query"), docs, active_domains(q), "lang", 6)
+        found = W.fan_out(q.select("query_id", "text", "query"), docs, active_domains(q), "lang", 6, held)
         return by_document(R.top_k(found.groupBy("query_id", "doc_id").agg(F.max("score").alias("score")), ["query_id"], [F.desc("score"), F.asc("doc_id")], 6))
 
     def trigger(q: DataFrame) -> DataFrame:
@@ -385,8 +386,8 @@ def _(spark, sf):
 
     strategies = {
         "code": lambda q: one(L.lookup_code(q.select("query_id", "text"), catalog, "code", "p_partkey")),
-        "source": lambda q: by_document(W.hybrid(q.select("query_id", "text", "query", F.lit("en").alias("lang"), F.lit(3).alias("n")), docs, 3, ["lang"])),
-        "two_sources": lambda q: by_document(W.two_sources(q.select("query_id", "text", "query"), docs, "lang", ["en", "fr"], 3, 4, R2.overlap_score)),
+        "source": lambda q: by_document(W.hybrid(q.select("query_id", "text", "query", F.lit("en").alias("lang"), F.lit(3).alias("n")), docs, 3, ["lang"], held=held)),
+        "two_sources": lambda q: by_document(W.two_sources(q.select("query_id", "text", "query"), docs, "lang", ["en", "fr"], 3, 4, R2.overlap_score, held)),
         "trigger": trigger,
         "people_in_department": lambda q: W.people_on(q, staff, 3, True),
         "people": lambda q: W.people_on(q, staff, 3, False),
