@@ -9,18 +9,25 @@ from corpusops.plans.registry import query
 from corpusops.sources import files as S
 from corpusops.streaming import admission as A, ordered as O
 
-#: Batches that the events come in, files of a batch, and days that a row may be behind the newest before it.
-BATCHES, FILES, DELAY = 6, 4, 2
+#: Batches that the events come in, the least number of files of a batch, rows that a file is given before there are more files, and days
+#: that a row may be behind the newest before it.
+BATCHES, FILES, ROWS, DELAY = 6, 4, 50_000, 2
 
 
 def arriving(rows: DataFrame, batch: Column, end: Column) -> DataFrame:
-    """The rows as a stream: those of batch 0 come first. Then comes a row without a user that takes time to `end`."""
-    path = S.shared_folder(rows.sparkSession, "stream")
+    """The rows as a stream: those of batch 0 come first. Then comes a row without a user that takes time to `end`. Large batches are in
+    as many files as there are cores. Each file begins with a row of the oldest time, without a user, so that none is left out
+    and a batch is never read with the next one's files."""
+    spark, path = rows.sparkSession, S.shared_folder(rows.sparkSession, "stream")
+    count, oldest = rows.agg(F.count(F.lit(1)), F.min("ts")).first()
+    files = max(FILES, min(count // (BATCHES * ROWS), spark.sparkContext.defaultParallelism))
+    first = spark.range(files).select(*[F.lit(oldest if c == "ts" else None).cast(t).alias(c) for c, t in rows.dtypes], F.col("id").cast("int").alias("_file"))
+    dealt = rows.withColumn("_file", F.pmod(F.xxhash64(*rows.columns), F.lit(files)).cast("int"))
     for n in range(BATCHES):
-        rows.where(batch == n).repartition(FILES).write.mode("append").parquet(f"{path}/in")
+        first.unionByName(dealt.where(batch == n)).repartitionById(files, "_file").drop("_file").write.mode("append").parquet(f"{path}/in")
     last = rows.agg(*[end.alias(c) if c == "ts" else F.first(F.when(F.lit(False), F.col(c))).alias(c) for c in rows.columns])
     last.write.mode("append").parquet(f"{path}/in")
-    return rows.sparkSession.readStream.schema(rows.schema).option("maxFilesPerTrigger", FILES).parquet(f"{path}/in")
+    return spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", files).parquet(f"{path}/in")
 
 
 def outcome(out: DataFrame) -> DataFrame:
